@@ -180,3 +180,100 @@ cte("pooled", ("pool_all", "honey_papers", "pilot_papers"), """
 SQL: dict[str, str] = {}
 
 SQL["pool_build"] = with_views("SELECT pool, paper_id, sentence_id, pool_text FROM pooled", "pooled")
+
+# ---------------------------------------------------------------- votes
+
+
+def wawa_ctes(p: str, src: str) -> None:
+    """Majority vote, worker skill and skill-weighted vote over ``src``
+    (task, worker, label) as CTEs named ``{p}_mv``, ``{p}_skill``, ``{p}_wawa``."""
+    cte(f"{p}_mv", (src,), f"""
+  SELECT task, label FROM (SELECT task, label, count(*) AS n FROM {src} GROUP BY task, label)
+  QUALIFY row_number() OVER (PARTITION BY task ORDER BY n DESC, label) = 1""")
+    cte(f"{p}_skill", (src, f"{p}_mv"), f"""
+  SELECT v.worker, sum(CASE WHEN v.label = m.label THEN 1 ELSE 0 END)::DOUBLE / count(*) AS skill
+  FROM {src} v JOIN {p}_mv m ON v.task = m.task GROUP BY v.worker""")
+    cte(f"{p}_wawa", (src, f"{p}_skill"), f"""
+  SELECT task, label FROM (
+    SELECT v.task, v.label, round(sum(s.skill), 9) AS weight
+    FROM {src} v JOIN {p}_skill s ON v.worker = s.worker GROUP BY v.task, v.label)
+  QUALIFY row_number() OVER (PARTITION BY task ORDER BY weight DESC, label) = 1""")
+
+
+def f1_ctes(p: str, src: str, by: str, gold: str, pred: str) -> None:
+    """Per-class and macro F1 over classes present in gold or pred, grouped by
+    ``by`` (empty string for none): ``{p}_cls`` and ``{p}_macro``."""
+    k = f"{by}, " if by else ""
+    g = f"GROUP BY {by}" if by else ""
+    cte(f"{p}_cls", (src,), f"""
+  SELECT {k}cls, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn,
+         2.0 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)) AS f1 FROM (
+    SELECT {k}{gold} AS cls, CASE WHEN {gold} = {pred} THEN 1 ELSE 0 END AS tp, 0 AS fp,
+           CASE WHEN {gold} <> {pred} THEN 1 ELSE 0 END AS fn FROM {src}
+    UNION ALL
+    SELECT {k}{pred} AS cls, 0, 1, 0 FROM {src} WHERE {gold} <> {pred})
+  GROUP BY {k}cls""")
+    cte(f"{p}_macro", (f"{p}_cls",), f"SELECT {k}avg(f1) AS macro_f1 FROM {p}_cls {g}")
+
+
+wawa_ctes("v", "votes")
+f1_ctes("wf", "votes_gold", "worker", "gold", "label")
+cte("votes_gold", ("votes", "v_wawa"), """
+  SELECT v.worker, v.task, w.label AS gold, v.label FROM votes v JOIN v_wawa w ON v.task = w.task""")
+
+SQL["votes_majority"] = with_views("SELECT task, label FROM v_mv", "v_mv")
+SQL["votes_worker_skill"] = with_views("SELECT worker, round(skill, 9) AS skill FROM v_skill", "v_skill")
+SQL["votes_wawa"] = with_views("SELECT task, label FROM v_wawa", "v_wawa")
+SQL["votes_unaligned_workers"] = with_views(
+    "SELECT worker, round(macro_f1, 9) AS f1 FROM wf_macro WHERE macro_f1 < 0.35", "wf_macro")
+SQL["votes_label_distribution"] = with_views("""
+  SELECT d.label, d.name, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+  FROM (VALUES (0, 'Non-Applicable'), (1, 'Objective'), (2, 'Neutral'), (3, 'Subjective')) d(label, name)
+  LEFT JOIN (SELECT label, count(*) AS n FROM v_wawa GROUP BY label) c ON d.label = c.label""", "v_wawa")
+SQL["votes_majority_or_median"] = with_views("""
+  SELECT task, CAST(CASE WHEN max(n) = 1 THEN trunc(median(label)) ELSE arg_max(label, n * 10 - label) END AS INTEGER) AS label
+  FROM (SELECT task, label, count(*) AS n FROM votes GROUP BY task, label) GROUP BY task""", "votes")
+SQL["votes_label_histogram"] = with_views("""
+  SELECT task, CAST(count(*) FILTER (WHERE label = 0) AS BIGINT) AS n0,
+         CAST(count(*) FILTER (WHERE label = 1) AS BIGINT) AS n1,
+         CAST(count(*) FILTER (WHERE label = 2) AS BIGINT) AS n2,
+         CAST(count(*) FILTER (WHERE label = 3) AS BIGINT) AS n3
+  FROM votes GROUP BY task""", "votes")
+SQL["sentences_canonical_task"] = with_views(
+    "SELECT text, min(sentence_id) AS canonical_task FROM sentences GROUP BY text", "sentences")
+
+# crowd results: each vote carries the pool text of its task's sentence
+cte("crowd", ("votes", "pool_all"), """
+  SELECT v.task, v.worker, v.label, p.pool_text AS text FROM votes v JOIN pool_all p ON v.task = p.sentence_id""")
+cte("retrieval", ("pool_all",), "SELECT pool_text, sentence_id FROM pool_all")
+wawa_ctes("c", "crowd")
+SQL["votes_task_text"] = with_views("""
+  SELECT w.task, w.label, t.text FROM c_wawa w LEFT JOIN (SELECT DISTINCT task, text FROM crowd) t
+  ON w.task = t.task""", "c_wawa", "crowd")
+SQL["votes_retrieve_ids"] = with_views("""
+  SELECT r.sentence_id, c.worker, c.label, c.text FROM crowd c
+  JOIN retrieval r ON replace(c.text, chr(13), '') = replace(r.pool_text, chr(13), '')""", "crowd", "retrieval")
+SQL["votes_attach_attributes"] = with_views("""
+  SELECT w.task, w.label, s.paper_id, s.domain, s.date, s.pos, s.text
+  FROM v_wawa w LEFT JOIN sentences s ON w.task = s.sentence_id""", "v_wawa", "sentences")
+
+cte("m14_votes", ("raters", "crowd", "retrieval", "curated"), f"""
+  SELECT k.canonical_task AS task, a.worker, a.label FROM (
+    SELECT a.task, a.worker, a.label, s.text FROM (
+      SELECT sentence_id AS task, CAST(1000 AS BIGINT) AS worker, {collapse_sql('score')} AS label FROM raters
+      UNION ALL
+      SELECT r.sentence_id AS task, c.worker, c.label FROM crowd c
+      JOIN retrieval r ON replace(c.text, chr(13), '') = replace(r.pool_text, chr(13), '')) a
+    JOIN curated s ON a.task = s.sentence_id) a
+  JOIN (SELECT text, min(task) AS canonical_task FROM (
+          SELECT a.task, s.text FROM (
+            SELECT sentence_id AS task FROM raters
+            UNION ALL
+            SELECT r.sentence_id FROM crowd c
+            JOIN retrieval r ON replace(c.text, chr(13), '') = replace(r.pool_text, chr(13), '')) a
+          JOIN curated s ON a.task = s.sentence_id) GROUP BY text) k ON a.text = k.text""")
+wawa_ctes("m14", "m14_votes")
+cte("labelled", ("m14_wawa", "curated"), """
+  SELECT w.task, w.label AS score, s.text, s.domain, s.date, s.paper_id
+  FROM m14_wawa w LEFT JOIN curated s ON w.task = s.sentence_id""")
+SQL["votes_consolidate"] = with_views("SELECT * FROM labelled", "labelled")

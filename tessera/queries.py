@@ -30,3 +30,93 @@ def curated(spark: SparkSession, sf: str) -> DataFrame:
 @register("pool_build")
 def pool_build(spark, sf):
     return pools.pool_rows(curated(spark, sf))
+
+
+# ---------------------------------------------------------------- votes
+from pyspark.sql import functions as F  # noqa: E402
+
+from tessera.operators import votes as vt  # noqa: E402
+
+
+def pool_all(spark, sf):
+    return pools.pool_text(curated(spark, sf))
+
+
+def crowd(spark, sf):
+    """Crowd results: every vote carries the pool text of its task's sentence."""
+    p = pool_all(spark, sf).select(F.col("sentence_id").alias("task"), F.col("pool_text").alias("text"))
+    return tb.votes(spark, sf).select("task", "worker", "label").join(p, "task")
+
+
+@register("votes_majority")
+def votes_majority(spark, sf):
+    return vt.majority_vote(tb.votes(spark, sf))
+
+
+@register("votes_worker_skill")
+def votes_worker_skill(spark, sf):
+    v = tb.votes(spark, sf)
+    return vt.worker_skill(v, vt.majority_vote(v)).select("worker", F.round("skill", 9).alias("skill"))
+
+
+@register("votes_wawa")
+def votes_wawa(spark, sf):
+    return vt.wawa(tb.votes(spark, sf))
+
+
+@register("votes_unaligned_workers")
+def votes_unaligned_workers(spark, sf):
+    return vt.unaligned_workers(tb.votes(spark, sf)).select("worker", F.round("f1", 9).alias("f1"))
+
+
+@register("votes_label_distribution")
+def votes_label_distribution(spark, sf):
+    return vt.label_distribution(vt.wawa(tb.votes(spark, sf)))
+
+
+@register("votes_majority_or_median")
+def votes_majority_or_median(spark, sf):
+    return vt.majority_or_median(tb.votes(spark, sf))
+
+
+@register("votes_label_histogram")
+def votes_label_histogram(spark, sf):
+    return vt.label_histogram(tb.votes(spark, sf))
+
+
+@register("sentences_canonical_task")
+def sentences_canonical_task(spark, sf):
+    return vt.canonical_task(tb.sentences(spark, sf), "text", "sentence_id")
+
+
+@register("votes_task_text")
+def votes_task_text(spark, sf):
+    c = crowd(spark, sf)
+    return vt.task_text(vt.wawa(c), c).select("task", "label", "text")
+
+
+@register("votes_retrieve_ids")
+def votes_retrieve_ids(spark, sf):
+    retrieval = pool_all(spark, sf).select("pool_text", "sentence_id")
+    return vt.retrieve_ids(crowd(spark, sf), retrieval).select("sentence_id", "worker", "label", "text")
+
+
+@register("votes_attach_attributes")
+def votes_attach_attributes(spark, sf):
+    return (vt.attach_attributes(vt.wawa(tb.votes(spark, sf)), tb.sentences(spark, sf))
+            .select("task", "label", "paper_id", "domain", "date", "pos", "text"))
+
+
+def labelled(spark, sf):
+    """M14 on the fixtures: expert = first rater's raw scores, crowd = votes
+    with pool texts, ids retrieved through the pool table."""
+    cur = curated(spark, sf)
+    retrieval = pools.pool_text(cur).select("pool_text", "sentence_id")
+    c = crowd(spark, sf).select("text", "worker", "label")
+    expert = vt.expert_votes(tb.raters(spark, sf).select("sentence_id", "score"))
+    return vt.consolidate(expert, c, retrieval, cur)
+
+
+@register("votes_consolidate")
+def votes_consolidate(spark, sf):
+    return labelled(spark, sf).select("task", "score", "text", "domain", "date", "paper_id")
