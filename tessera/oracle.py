@@ -277,3 +277,140 @@ cte("labelled", ("m14_wawa", "curated"), """
   SELECT w.task, w.label AS score, s.text, s.domain, s.date, s.paper_id
   FROM m14_wawa w LEFT JOIN curated s ON w.task = s.sentence_id""")
 SQL["votes_consolidate"] = with_views("SELECT * FROM labelled", "labelled")
+
+# ---------------------------------------------------------------- metrics
+cte("predicted", ("binary_predictions",), "SELECT * FROM binary_predictions WHERE pred IS NOT NULL")
+f1_ctes("bp", "predicted", "", "score", "pred")
+
+SQL["metrics_confusion"] = with_views(
+    "SELECT score, pred, count(*) AS n FROM predicted GROUP BY score, pred", "predicted")
+SQL["metrics_binary_f1"] = with_views("""
+  SELECT round(2.0 * sum(CASE WHEN score = 1 AND pred = 1 THEN 1 ELSE 0 END) /
+         (2 * sum(CASE WHEN score = 1 AND pred = 1 THEN 1 ELSE 0 END)
+          + sum(CASE WHEN score <> 1 AND pred = 1 THEN 1 ELSE 0 END)
+          + sum(CASE WHEN score = 1 AND pred <> 1 THEN 1 ELSE 0 END)), 9) AS binary_f1
+  FROM predicted""", "predicted")
+SQL["metrics_accuracy"] = with_views(
+    "SELECT round(avg(CASE WHEN score = pred THEN 1.0 ELSE 0.0 END), 9) AS accuracy FROM predicted", "predicted")
+SQL["metrics_macro_f1"] = with_views("SELECT round(macro_f1, 9) AS macro_f1 FROM bp_macro", "bp_macro")
+SQL["metrics_class_f1"] = with_views(
+    "SELECT cls, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, "
+    "round(f1, 9) AS f1 FROM bp_cls", "bp_cls")
+SQL["metrics_pearson"] = with_views("""
+  SELECT round(corr(score, opp_score), 9) AS pearson, count(*) AS n FROM raters
+  WHERE score <> 0 AND opp_score <> 0""", "raters")
+SQL["metrics_binarise"] = with_views("""
+  SELECT sentence_id, CASE WHEN score > 0 THEN 1 ELSE 0 END AS score_applicable,
+         CASE WHEN opp_score > 0 THEN 1 ELSE 0 END AS opp_applicable FROM raters""", "raters")
+f1_ctes("ag", "raters", "", "score", "opp_score")
+SQL["metrics_agreement"] = with_views("""
+  SELECT count(*) AS n, CAST(sum(CASE WHEN opp_score IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS matched,
+    round(2.0 * sum(CASE WHEN score > 0 AND opp_score > 0 THEN 1 ELSE 0 END) /
+      (2 * sum(CASE WHEN score > 0 AND opp_score > 0 THEN 1 ELSE 0 END)
+       + sum(CASE WHEN score = 0 AND opp_score > 0 THEN 1 ELSE 0 END)
+       + sum(CASE WHEN score > 0 AND opp_score = 0 THEN 1 ELSE 0 END)), 9) AS binary_f1,
+    round(corr(CASE WHEN score <> 0 AND opp_score <> 0 THEN score END,
+               CASE WHEN score <> 0 AND opp_score <> 0 THEN opp_score END), 9) AS pearson,
+    round(avg(CASE WHEN score = opp_score THEN 1.0 ELSE 0.0 END), 9) AS accuracy,
+    round((SELECT macro_f1 FROM ag_macro), 9) AS macro_f1
+  FROM raters""", "raters", "ag_macro")
+cte("s3pred", ("scores3",), """
+  SELECT *, CAST(list_position(probs, list_max(probs)) - 1 AS INTEGER) AS pred FROM scores3""")
+SQL["metrics_argmax"] = with_views("SELECT vec_id, score, pred FROM s3pred", "s3pred")
+SQL["metrics_cross_entropy"] = with_views(
+    "SELECT round(avg(-ln(probs[score + 1])), 9) AS loss FROM scores3", "scores3")
+
+
+def ordered_split_sql(src: str, key: str) -> str:
+    return f"""
+  SELECT *, CASE WHEN r >= m THEN 'test' WHEN r >= m - ceil(m * 0.1) THEN 'val' ELSE 'train' END AS split
+  FROM (SELECT *, n - ceil(n * 0.2) AS m FROM (
+    SELECT *, row_number() OVER (ORDER BY {key}) - 1 AS r, count(*) OVER () AS n FROM {src}))"""
+
+
+def stratified_split_sql(src: str, key: str, score: str = "score", seed: str = "42") -> str:
+    return f"""
+  SELECT * EXCLUDE (r, n, t), CASE WHEN r < t THEN 'test' WHEN r < t + round((n - t) * 0.1) THEN 'val'
+                          ELSE 'train' END AS split
+  FROM (SELECT *, round(n * 0.2) AS t FROM (
+    SELECT *, row_number() OVER (PARTITION BY {score}
+                 ORDER BY md5(concat_ws('-', '{seed}', CAST({key} AS VARCHAR))), {key}) - 1 AS r,
+           count(*) OVER (PARTITION BY {score}) AS n FROM {src}))"""
+
+
+cte("s3split", ("s3pred",), ordered_split_sql("s3pred", "vec_id"))
+f1_ctes("s3f", "s3split", "split", "score", "pred")
+SQL["metrics_evaluate"] = with_views("""
+  SELECT a.split, a.n, round(a.accuracy, 9) AS accuracy, round(f.macro_f1, 9) AS macro_f1,
+         round(a.loss, 9) AS loss
+  FROM (SELECT split, count(*) AS n, avg(CASE WHEN score = pred THEN 1.0 ELSE 0.0 END) AS accuracy,
+               avg(-ln(probs[score + 1])) AS loss FROM s3split GROUP BY split) a
+  JOIN s3f_macro f ON a.split = f.split""", "s3split", "s3f_macro")
+
+# ---------------------------------------------------------------- dataset preparation
+cte("lab_split", ("labelled",), stratified_split_sql("labelled", "task"))
+cte("lab_ordered", ("labelled",), ordered_split_sql("labelled", "task"))
+SQL["split_stratified"] = with_views("SELECT task, score, split FROM lab_split", "lab_split")
+SQL["split_ordered"] = with_views("SELECT task, score, split FROM lab_ordered", "lab_ordered")
+cte("lab_const", ("lab_split",), "SELECT split, score, 1 AS pred FROM lab_split")
+f1_ctes("cb", "lab_const", "split", "score", "pred")
+SQL["metrics_constant_baseline"] = with_views("""
+  SELECT a.split, round(a.accuracy, 9) AS accuracy, round(f.macro_f1, 9) AS macro_f1
+  FROM (SELECT split, avg(CASE WHEN score = pred THEN 1.0 ELSE 0.0 END) AS accuracy FROM lab_const GROUP BY split) a
+  JOIN cb_macro f ON a.split = f.split""", "lab_const", "cb_macro")
+cte("lab_train", ("lab_split",), "SELECT * FROM lab_split WHERE split = 'train'")
+SQL["downsample_majority"] = with_views("""
+  SELECT task, score FROM lab_train WHERE score <> 1
+  UNION ALL
+  SELECT task, score FROM (SELECT task, score, row_number() OVER (ORDER BY task) - 1 AS r
+                           FROM lab_train WHERE score = 1)
+  WHERE r < (SELECT count(*) FROM lab_train WHERE score = 3)""", "lab_train")
+SQL["class_filter"] = with_views("SELECT task, score FROM labelled WHERE score <> 2", "labelled")
+SQL["neighbour_context"] = with_views("""
+  SELECT s.task, s.split, s.paper_id, concat_ws(' ', p.text, s.text, n.text) AS text
+  FROM lab_ordered s
+  LEFT JOIN lab_ordered p ON p.split = s.split AND p.paper_id = s.paper_id AND p.task = s.task - 1
+  LEFT JOIN lab_ordered n ON n.split = s.split AND n.paper_id = s.paper_id AND n.task = s.task + 1""",
+                                      "lab_ordered")
+cte("pair_votes", ("votes",), """
+  SELECT task, CASE raw % 3 WHEN 0 THEN 'contradiction' WHEN 1 THEN 'neutral' ELSE 'entailment' END AS name
+  FROM votes""")
+cte("pairs", ("pair_votes", "sentences"), """
+  SELECT g.task AS pair_id, CASE WHEN g.n >= 2 THEN g.name ELSE '-' END AS gold_label,
+         s1.text AS sentence1, s2.text AS sentence2
+  FROM (SELECT task, arg_max(name, n * 1000 + CASE name WHEN 'neutral' THEN 2 WHEN 'entailment' THEN 1 ELSE 3 END) AS name,
+               max(n) AS n
+        FROM (SELECT task, name, count(*) AS n FROM pair_votes GROUP BY task, name) GROUP BY task) g
+  LEFT JOIN sentences s1 ON s1.sentence_id = g.task
+  LEFT JOIN sentences s2 ON s2.sentence_id = g.task + 1""")
+cte("pair_consensus", ("pair_votes",), """
+  SELECT task, median(v) AS med FROM (
+    SELECT task, v, n, max(n) OVER (PARTITION BY task) AS top FROM (
+      SELECT task, CASE name WHEN 'entailment' THEN 2 WHEN 'neutral' THEN 1 ELSE 0 END AS v, count(*) AS n
+      FROM pair_votes GROUP BY task, name)) WHERE n = top GROUP BY task""")
+SQL["consensus_labels"] = with_views("""
+  SELECT p.pair_id, p.gold_label,
+         CAST(CASE WHEN p.gold_label = '-' THEN c.med
+              ELSE CASE p.gold_label WHEN 'entailment' THEN 2 WHEN 'neutral' THEN 1 ELSE 0 END END AS DOUBLE) AS score,
+         replace(concat_ws(' ', p.sentence1, p.sentence2), '"', '') AS text
+  FROM pairs p LEFT JOIN pair_consensus c ON p.pair_id = c.task""", "pairs", "pair_consensus")
+cte("sent_ordered", ("sentences",), ordered_split_sql("sentences", "sentence_id"))
+SQL["split_integrity"] = with_views("""
+  SELECT text, count(DISTINCT split) AS n_splits, count(*) AS n_rows FROM sent_ordered
+  GROUP BY text HAVING count(DISTINCT split) > 1""", "sent_ordered")
+SQL["union_splits"] = with_views("""
+  SELECT task, score, split FROM lab_split WHERE split IN ('train', 'val')
+  UNION ALL SELECT task, NULL AS score, split FROM lab_split WHERE split = 'test'""", "lab_split")
+SQL["distinct_texts"] = with_views("SELECT DISTINCT text FROM sentences", "sentences")
+SQL["difference_pools"] = with_views("""
+  SELECT paper_id, sentence_id FROM curated WHERE paper_id NOT IN (SELECT paper_id FROM honey_papers)""",
+                                     "curated", "honey_papers")
+SQL["canonical_schema"] = """
+  SELECT CAST(d.text AS VARCHAR) AS text, CAST(l.quality AS DOUBLE) AS score
+  FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
+SQL["recode_votes"] = with_views("SELECT event_id, raw, label FROM votes", "votes")
+SQL["error_extraction"] = """
+  SELECT d.doc_id, d.text, l.quality AS score, l.toxic AS pred
+  FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+  WHERE l.toxic IS NOT NULL AND l.quality <> CAST(l.toxic AS INTEGER)
+  ORDER BY d.doc_id LIMIT 100"""

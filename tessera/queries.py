@@ -120,3 +120,173 @@ def labelled(spark, sf):
 @register("votes_consolidate")
 def votes_consolidate(spark, sf):
     return labelled(spark, sf).select("task", "score", "text", "domain", "date", "paper_id")
+
+
+# ---------------------------------------------------------------- metrics
+from tessera.functions import text as tx  # noqa: E402
+from tessera.operators import datasets as ds  # noqa: E402
+from tessera.operators import metrics as mt  # noqa: E402
+
+
+def _r(c, d=9):
+    return F.round(c, d)
+
+
+def predicted(spark, sf):
+    return tb.binary_predictions(spark, sf).filter(F.col("pred").isNotNull())
+
+
+@register("metrics_confusion")
+def metrics_confusion(spark, sf):
+    return mt.confusion(predicted(spark, sf), "score", "pred")
+
+
+@register("metrics_binary_f1")
+def metrics_binary_f1(spark, sf):
+    return mt.binary_f1(predicted(spark, sf), "score", "pred").select(_r("binary_f1").alias("binary_f1"))
+
+
+@register("metrics_accuracy")
+def metrics_accuracy(spark, sf):
+    return mt.accuracy(predicted(spark, sf)).select(_r("accuracy").alias("accuracy"))
+
+
+@register("metrics_macro_f1")
+def metrics_macro_f1(spark, sf):
+    conf = mt.confusion(predicted(spark, sf))
+    return mt.macro_f1(conf, "score", "pred").select(_r("macro_f1").alias("macro_f1"))
+
+
+@register("metrics_class_f1")
+def metrics_class_f1(spark, sf):
+    conf = mt.confusion(predicted(spark, sf))
+    return mt.class_f1(conf, "score", "pred").select("cls", "tp", "fp", "fn", _r("f1").alias("f1"))
+
+
+@register("metrics_pearson")
+def metrics_pearson(spark, sf):
+    r = tb.raters(spark, sf).filter((F.col("score") != 0) & (F.col("opp_score") != 0))
+    return r.agg(_r(F.corr("score", "opp_score")).alias("pearson"), F.count(F.lit(1)).alias("n"))
+
+
+@register("metrics_binarise")
+def metrics_binarise(spark, sf):
+    r = tb.raters(spark, sf)
+    return r.select("sentence_id", F.when(F.col("score") > 0, 1).otherwise(0).alias("score_applicable"),
+                    F.when(F.col("opp_score") > 0, 1).otherwise(0).alias("opp_applicable"))
+
+
+@register("metrics_agreement")
+def metrics_agreement(spark, sf):
+    a = mt.agreement(tb.raters(spark, sf))
+    return a.select("n", "matched", *[_r(c).alias(c) for c in ("binary_f1", "pearson", "accuracy", "macro_f1")])
+
+
+@register("metrics_argmax")
+def metrics_argmax(spark, sf):
+    return tb.scores3(spark, sf).select("vec_id", "score", tx.argmax("probs").alias("pred"))
+
+
+@register("metrics_cross_entropy")
+def metrics_cross_entropy(spark, sf):
+    return mt.mean_cross_entropy(tb.scores3(spark, sf), "probs").select(_r("loss").alias("loss"))
+
+
+@register("metrics_evaluate")
+def metrics_evaluate(spark, sf):
+    s = tb.scores3(spark, sf).withColumn("pred", tx.argmax("probs"))
+    s = ds.ordered_split(s, ["vec_id"])
+    e = mt.evaluate(s, "score", "pred", by=["split"], probs="probs")
+    return e.select("split", "n", _r("accuracy").alias("accuracy"), _r("macro_f1").alias("macro_f1"),
+                    _r("loss").alias("loss"))
+
+
+# ---------------------------------------------------------------- dataset preparation
+def labelled_split(spark, sf):
+    return ds.stratified_split(labelled(spark, sf), "task")
+
+
+@register("split_stratified")
+def split_stratified(spark, sf):
+    return labelled_split(spark, sf).select("task", "score", "split")
+
+
+@register("split_ordered")
+def split_ordered(spark, sf):
+    return ds.ordered_split(labelled(spark, sf), ["task"]).select("task", "score", "split")
+
+
+@register("metrics_constant_baseline")
+def metrics_constant_baseline(spark, sf):
+    b = mt.constant_baseline(labelled_split(spark, sf), 1, "score", by=["split"])
+    return b.select("split", _r("accuracy").alias("accuracy"), _r("macro_f1").alias("macro_f1"))
+
+
+@register("downsample_majority")
+def downsample_majority(spark, sf):
+    train = labelled_split(spark, sf).filter(F.col("split") == "train")
+    return ds.downsample_majority(train, ["task"]).select("task", "score")
+
+
+@register("class_filter")
+def class_filter(spark, sf):
+    return ds.drop_class(labelled(spark, sf), 2).select("task", "score")
+
+
+@register("neighbour_context")
+def neighbour_context(spark, sf):
+    sp = ds.ordered_split(labelled(spark, sf), ["task"])
+    return ds.neighbour_text(sp).select("task", "split", "paper_id", "text")
+
+
+@register("consensus_labels")
+def consensus_labels(spark, sf):
+    c = ds.consensus(tb.annotated_pairs(spark, sf))
+    return c.select("pair_id", "gold_label", "score",
+                    tx.join_pair("sentence1", "sentence2").alias("text"))
+
+
+@register("split_integrity")
+def split_integrity(spark, sf):
+    sp = ds.ordered_split(tb.sentences(spark, sf), ["sentence_id"])
+    return ds.split_violations(sp)
+
+
+@register("union_splits")
+def union_splits(spark, sf):
+    sp = labelled_split(spark, sf)
+    parts = [sp.filter(F.col("split") == s).select("task", "score", "split") for s in ("train", "val")]
+    test = sp.filter(F.col("split") == "test").select("task", "split")
+    return parts[0].unionByName(parts[1]).unionByName(test, allowMissingColumns=True)
+
+
+@register("distinct_texts")
+def distinct_texts(spark, sf):
+    return tb.sentences(spark, sf).select("text").distinct()
+
+
+@register("difference_pools")
+def difference_pools(spark, sf):
+    cur = curated(spark, sf)
+    honey = pools.first_papers(cur, 3)
+    return ds.difference(cur, honey, "paper_id").select("paper_id", "sentence_id")
+
+
+@register("canonical_schema")
+def canonical_schema(spark, sf):
+    d = tb.table(spark, sf, "documents").join(tb.table(spark, sf, "labels"), "doc_id")
+    return ds.canonical(d, "text", "quality")
+
+
+@register("recode_votes")
+def recode_votes(spark, sf):
+    return tb.votes(spark, sf).select("event_id", "raw", "label")
+
+
+@register("error_extraction")
+def error_extraction(spark, sf):
+    ex = tb.table(spark, sf, "documents").select("doc_id", "text")
+    preds = tb.table(spark, sf, "labels").select("doc_id", F.col("quality").alias("score"),
+                                                   F.col("toxic").alias("pred"))
+    aligned = ds.align_predictions(ex, preds, "doc_id")
+    return ds.mismatches(aligned, ["doc_id"]).select("doc_id", "text", "score", "pred")

@@ -113,3 +113,27 @@ def scores3(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(*[(x / z) for x in ex]).alias("probs"),
         (F.col("label") % 3).cast("int").alias("score"),
     )
+
+
+def annotated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pair corpus from votes: per task the annotator labels are the class
+    names of ``raw % 3`` (at most three per task by construction), gold is the
+    label given at least twice, else '-'; sentence1/2 are the sentences with
+    id = task and task + 1."""
+    names = F.create_map(*[x for k, v in PAIR_CLASS_NAMES.items() for x in (F.lit(k), F.lit(v))])
+    v = votes(spark, sf_dir).withColumn("name", names[F.col("raw") % 3])
+    lab = v.groupBy("task").agg(F.collect_list("name").alias("annotator_labels"))
+    top = (v.groupBy("task", "name").agg(F.count(F.lit(1)).alias("n"))
+           .groupBy("task").agg(F.max(F.struct("n", "name")).alias("b"))
+           .select("task", F.when(F.col("b.n") >= 2, F.col("b.name")).otherwise(F.lit("-")).alias("gold_label")))
+    s = sentences(spark, sf_dir).select("sentence_id", "text")
+    s1 = s.select(F.col("sentence_id").alias("task"), F.col("text").alias("sentence1"))
+    s2 = s.select((F.col("sentence_id") - 1).alias("task"), F.col("text").alias("sentence2"))
+    return (lab.join(top, "task").join(s1, "task", "left").join(s2, "task", "left")
+            .withColumnRenamed("task", "pair_id"))
+
+
+def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as stop-word-free word tokens (F6 + F7)."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return d.select("doc_id", tx.remove_stop_words(tx.words("text")).alias("tokens"))
