@@ -414,3 +414,141 @@ SQL["error_extraction"] = """
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
   WHERE l.toxic IS NOT NULL AND l.quality <> CAST(l.toxic AS INTEGER)
   ORDER BY d.doc_id LIMIT 100"""
+
+# ---------------------------------------------------------------- features
+cte("tokens", (), f"""
+  SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[A-Za-z]+'),
+                             lambda t: NOT list_contains({stop_list_sql()}, t)) AS tokens
+  FROM documents""")
+cte("tok_rows", ("tokens",), """
+  SELECT doc_id, unnest(tokens) AS term, unnest(range(len(tokens))) AS pos FROM tokens""")
+cte("tf", ("tok_rows",), "SELECT doc_id, term, count(*) AS tf FROM tok_rows GROUP BY doc_id, term")
+cte("doc_split", ("predicted",), stratified_split_sql(
+    "(SELECT doc_id, text, score FROM predicted)", "doc_id"))
+cte("train_docs", ("doc_split",), "SELECT doc_id FROM doc_split WHERE split = 'train'")
+cte("idf", ("tf", "train_docs"), """
+  SELECT term, ln((1 + (SELECT count(*) FROM train_docs)) / (1 + count(*))) + 1 AS idf
+  FROM tf WHERE doc_id IN (SELECT doc_id FROM train_docs) GROUP BY term""")
+cte("tfidf_raw", ("tf", "idf"), "SELECT tf.doc_id, tf.term, tf.tf * idf.idf AS w FROM tf JOIN idf ON tf.term = idf.term")
+SQL["tokens_words"] = with_views(
+    "SELECT doc_id, len(tokens) AS n_tokens, array_to_string(tokens, ' ') AS tokens FROM tokens", "tokens")
+SQL["tfidf_weights"] = with_views("""
+  SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 9) AS weight FROM tfidf_raw""",
+                                  "tfidf_raw")
+cte("vocab", ("tf",), """
+  SELECT term, CAST(row_number() OVER (ORDER BY count(*) DESC, term) - 1 + 4 AS BIGINT) AS id
+  FROM tf GROUP BY term""")
+SQL["vocabulary_ids"] = with_views("SELECT term, id FROM vocab", "vocab")
+cte("encoded", ("tok_rows", "vocab"), """
+  SELECT t.doc_id, list(v.id ORDER BY t.pos) AS ids FROM tok_rows t JOIN vocab v ON t.term = v.term
+  GROUP BY t.doc_id""")
+SQL["padded_batches"] = with_views("""
+  SELECT doc_id, batch_id, width,
+         array_to_string(list_concat(ids, list_transform(range(width - len(ids)), lambda x: 0)), ' ') AS padded
+  FROM (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS width FROM (
+    SELECT doc_id, list_concat([2], ids, [3]) AS ids,
+           CAST((row_number() OVER (ORDER BY doc_id) - 1) // 32 AS BIGINT) AS batch_id
+    FROM encoded WHERE len(ids) + 2 <= 512))""", "encoded")
+
+# ---------------------------------------------------------------- labelling
+ENT = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")]
+
+
+def clean_sql(x: str) -> str:
+    s = f"regexp_replace({x}, '<[^>]+>', '', 'g')"
+    for a, b in ENT:
+        s = f"replace({s}, '{a}', '{b}')"
+    s = f"translate({s}, '‘’“”', '''''\"\"')"
+    return strip_sql(s)
+
+
+BODY = "regexp_extract(html, '(?s)<article[^>]*>(.*?)</article>', 1)"
+cte("page_articles", (), f"""
+  SELECT page_id AS article_id,
+    coalesce(nullif({clean_sql("regexp_extract(" + BODY + ", '(?s)<h1[^>]*>(.*?)</h1>', 1)")}, ''),
+             nullif({clean_sql("regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)")}, '')) AS title,
+    nullif(regexp_extract(html, '<img[^>]*src=\"([^\"]*)\"', 1), '') AS image_url,
+    list_filter(list_transform(string_split_regex(regexp_replace({BODY}, '(?s)<h1[^>]*>(.*?)</h1>', '', 'g'),
+                               '(?i)</?p([ \\t\\n\\r\\f][^>]*)?>|<br[ \\t\\n\\r\\f]*/?>'),
+                               lambda p: {clean_sql('p')}), lambda p: p <> '') AS paragraphs
+  FROM pages""")
+cte("page_paras", ("page_articles",), """
+  SELECT article_id, CAST(unnest(range(len(paragraphs))) AS INTEGER) AS para_no, unnest(paragraphs) AS text
+  FROM page_articles""")
+cte("page_sents", ("page_paras",), f"""
+  SELECT article_id, para_no, CAST(unnest(range(len(s))) AS INTEGER) AS sent_no, unnest(s) AS text
+  FROM (SELECT article_id, para_no, {split_sql('text')} AS s FROM page_paras)""")
+cte("page_runs", ("page_sents",), """
+  SELECT article_id, para_no, CAST(run_no AS BIGINT) AS run_no, CAST(any_value(pred) AS INTEGER) AS pred,
+         string_agg(text, ' ' ORDER BY sent_no) AS text
+  FROM (SELECT *, sum(chg) OVER (PARTITION BY article_id, para_no ORDER BY sent_no
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run_no
+        FROM (SELECT *, CASE WHEN lag(pred) OVER (PARTITION BY article_id, para_no ORDER BY sent_no) = pred
+                             THEN 0 ELSE 1 END AS chg
+              FROM (SELECT *, CAST(length(text) % 4 AS INTEGER) AS pred FROM page_sents)))
+  GROUP BY article_id, para_no, run_no""")
+STYLE_SQL = ("    .green-background {' || chr(10) || '        background-color: rgb(200, 255, 200);' || chr(10) || '    }' "
+             "|| chr(10) || chr(10) || '    .red-background {' || chr(10) || '        background-color: rgb(255, 200, 200);' "
+             "|| chr(10) || '    }' || chr(10) || chr(10) || '    .yellow-background {' || chr(10) || "
+             "'        background-color: rgb(255, 255, 150);' || chr(10) || '    }")
+cte("page_html", ("page_runs", "page_articles"), f"""
+  SELECT a.article_id,
+    '<!DOCTYPE html>' || chr(10) || '<html>' || chr(10) || '<head>' || chr(10) || '<title>'
+    || coalesce(a.title, 'Labeled text') || '</title>' || chr(10) || '<style>' || chr(10) || '{STYLE_SQL}' || chr(10)
+    || '</style>' || chr(10) || '<meta content="text/html;charset=utf-8" http-equiv="Content-Type">' || chr(10)
+    || '<meta content="utf-8" http-equiv="encoding">' || chr(10) || '</head>' || chr(10) || chr(10) || '<body>'
+    || coalesce(chr(10) || '<h1>' || a.title || '</h1>', '')
+    || coalesce(chr(10) || '<img src="' || a.image_url || '">', '')
+    || coalesce(b.body, '') || '</body>' || chr(10) || '</html>' || chr(10) AS html
+  FROM page_articles a LEFT JOIN (
+    SELECT article_id, string_agg(p, '' ORDER BY para_no) AS body FROM (
+      SELECT article_id, para_no, '<p>' || chr(10) || string_agg(
+               CASE pred WHEN 1 THEN '<span class="green-background">' || text || '</span>'
+                         WHEN 2 THEN '<span class="yellow-background">' || text || '</span>'
+                         WHEN 3 THEN '<span class="red-background">' || text || '</span>'
+                         ELSE text END || ' ', '' ORDER BY run_no) || chr(10) || '</p>' || chr(10) AS p
+      FROM page_runs GROUP BY article_id, para_no) GROUP BY article_id) b ON a.article_id = b.article_id""")
+SQL["page_titles"] = with_views(
+    "SELECT article_id, title, image_url, len(paragraphs) AS n_paragraphs FROM page_articles", "page_articles")
+SQL["page_paragraphs"] = with_views("SELECT * FROM page_paras", "page_paras")
+SQL["page_sentences"] = with_views("SELECT * FROM page_sents", "page_sents")
+SQL["label_spans"] = with_views("SELECT * FROM page_runs", "page_runs")
+SQL["render_html"] = with_views("SELECT article_id, html FROM page_html", "page_html")
+SQL["article_lines"] = f"""
+  SELECT article_id, para_no, text FROM (
+    SELECT doc_id AS article_id, CAST(unnest(range(len(l))) AS INTEGER) AS para_no, unnest(l) AS text FROM (
+      SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)),
+               lambda x: {strip_sql("translate(x, '‘’“”', '''''\"\"')")}), lambda x: x <> '') AS l
+      FROM documents))"""
+SQL["scan_articles"] = with_views(
+    "SELECT paper_id, domain, date, CAST(length(text) AS INTEGER) AS n_chars FROM articles", "articles")
+SQL["curate_articles"] = with_views(
+    "SELECT paper_id, domain, date, length, first_sentence FROM cur_budget", "cur_budget")
+SQL["curated_sentences"] = with_views("SELECT * FROM curated", "curated")
+SQL["sentence_numbering"] = with_views("SELECT paper_id, pos, sentence_id FROM sentences", "sentences")
+SQL["sources_over_threshold"] = with_views(f"""
+  SELECT domain, CAST(count(*) AS BIGINT) AS n_articles FROM articles
+  WHERE NOT {blank_sql('text')} AND NOT {blank_sql('domain')} GROUP BY domain HAVING count(*) > 44""", "articles")
+cte("ann_ctx", ("curated",), window_context_sql("curated", 2, 3))
+SQL["annotator_context"] = with_views("SELECT sentence_id, prev_context, next_context FROM ann_ctx", "ann_ctx")
+SQL["annotation_queue"] = with_views("""
+  SELECT sentence_id, text, prev_context, next_context FROM ann_ctx
+  WHERE sentence_id > (SELECT coalesce(max(sentence_id), -1) FROM raters)""", "ann_ctx", "raters")
+SQL["honeypot_gold"] = with_views("""
+  SELECT p.sentence_id, p.pool_text, CASE WHEN coalesce(g.n, 0) = 1 THEN g.score END AS gold,
+         CAST(coalesce(g.n, 0) AS BIGINT) AS n_gold
+  FROM pooled p LEFT JOIN (SELECT sentence_id, count(*) AS n, min(score) AS score FROM raters GROUP BY sentence_id) g
+  ON p.sentence_id = g.sentence_id WHERE p.pool = 'honeypot'""", "pooled", "raters")
+SQL["pilot_papers"] = with_views("""
+  SELECT paper_id, min(sentence_id) AS first_seen FROM curated GROUP BY paper_id
+  ORDER BY first_seen, paper_id LIMIT 5""", "curated")
+
+# ---------------------------------------------------------------- experiments
+cte("best", ("epochs",), """
+  SELECT run, arg_min(epoch, (-f1, epoch)) AS best_epoch, max(f1) AS best_f1, max(epoch) AS last_epoch,
+         count(*) AS n_epochs FROM epochs GROUP BY run""")
+SQL["best_epoch"] = with_views("SELECT * FROM best", "best")
+SQL["experiment_comparison"] = with_views("""
+  SELECT run, best_epoch, best_f1, round(best_f1 - (SELECT max(best_f1) FROM best WHERE run = 0), 9) AS delta
+  FROM best""", "best")
+SQL["epoch_numbers"] = with_views("SELECT run, event_id, epoch FROM epochs", "epochs")

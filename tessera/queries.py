@@ -290,3 +290,206 @@ def error_extraction(spark, sf):
                                                    F.col("toxic").alias("pred"))
     aligned = ds.align_predictions(ex, preds, "doc_id")
     return ds.mismatches(aligned, ["doc_id"]).select("doc_id", "text", "score", "pred")
+
+
+# ---------------------------------------------------------------- features and models
+from tessera.operators import experiments as xp  # noqa: E402
+from tessera.operators import features as fe  # noqa: E402
+from tessera.operators import labelling as lb  # noqa: E402
+from tessera.operators import models as md  # noqa: E402
+
+
+def doc_split(spark, sf):
+    """Labelled documents (quality) with a stratified split."""
+    return ds.stratified_split(predicted(spark, sf).select("doc_id", "text", "score"), "doc_id")
+
+
+@register("tokens_words")
+def tokens_words(spark, sf):
+    t = tb.tokens(spark, sf)
+    return t.select("doc_id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+
+
+@register("tfidf_weights")
+def tfidf_weights(spark, sf):
+    toks = tb.tokens(spark, sf)
+    train_ids = doc_split(spark, sf).filter(F.col("split") == "train").select("doc_id")
+    tf = fe.term_counts(toks)
+    train_tf = tf.join(train_ids, "doc_id", "left_semi")
+    n_train = train_ids.select(F.count(F.lit(1))).scalar()
+    w = fe.tfidf(tf, fe.idf_table(train_tf, n_train))
+    return w.select("doc_id", "term", _r("weight").alias("weight"))
+
+
+@register("vocabulary_ids")
+def vocabulary_ids(spark, sf):
+    return fe.vocabulary(fe.term_counts(tb.tokens(spark, sf)))
+
+
+@register("padded_batches")
+def padded_batches(spark, sf):
+    toks = tb.tokens(spark, sf)
+    vocab = fe.vocabulary(fe.term_counts(toks))
+    enc = ds.token_length_cap(fe.encode(toks, vocab), "ids", 512)
+    b = ds.padded_batches(enc, "ids", ["doc_id"])
+    return b.select("doc_id", "batch_id", "width", F.array_join("padded", " ").alias("padded"))
+
+
+@register("tfidf_logreg")
+def tfidf_logreg(spark, sf):
+    d = doc_split(spark, sf)
+    model = md.tfidf_logreg(d.filter(F.col("split") == "train"))
+    pred = md.predict(model, d)
+    e = mt.evaluate(pred, "score", "pred", by=["split"])
+    return e.select("split", "n", _r("accuracy", 6).alias("accuracy"), _r("macro_f1", 6).alias("macro_f1"))
+
+
+TASKS = (
+    {"name": "nsdc", "type": "classification", "num_labels": 4},
+    {"name": "quality", "type": "classification", "num_labels": 2},
+    {"name": "pairs", "type": "regression", "num_labels": 1},
+)
+
+
+def multitask(spark, sf):
+    nsdc = labelled_split(spark, sf).select("split", "text", "score")
+    quality = doc_split(spark, sf).select("split", "text", "score")
+    pairs = ds.ordered_split(consensus_labels(spark, sf), ["pair_id"]).select("split", "text", "score")
+    return ds.multitask_corpus(list(zip(TASKS, (nsdc, quality, pairs))))
+
+
+@register("multitask_corpus")
+def multitask_corpus(spark, sf):
+    return multitask(spark, sf)
+
+
+@register("per_task_heads")
+def per_task_heads(spark, sf):
+    p = md.per_task_heads(multitask(spark, sf).filter("valid"), TASKS)
+    return p.groupBy("task_name", "split").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("score_sentences")
+def score_sentences(spark, sf):
+    s = lb.article_sentences(lb.extract_pages(tb.table(spark, sf, "pages")))
+    return md.score_batches(s, md.length_rule_scorer(4), 4, keep=("article_id", "para_no", "sent_no"),
+                            spread=8).select("article_id", "para_no", "sent_no", "pred")
+
+
+# ---------------------------------------------------------------- labelling and sources
+def page_articles(spark, sf):
+    return lb.extract_pages(tb.table(spark, sf, "pages"))
+
+
+@register("page_titles")
+def page_titles(spark, sf):
+    return page_articles(spark, sf).select("article_id", "title", "image_url",
+                                           F.size("paragraphs").alias("n_paragraphs"))
+
+
+@register("page_paragraphs")
+def page_paragraphs(spark, sf):
+    return page_articles(spark, sf).select("article_id", F.posexplode("paragraphs").alias("para_no", "text"))
+
+
+@register("page_sentences")
+def page_sentences(spark, sf):
+    return lb.article_sentences(page_articles(spark, sf))
+
+
+def rule_spans(spark, sf):
+    s = lb.article_sentences(page_articles(spark, sf)).withColumn("pred", lb.rule_pred(F.col("text")))
+    return lb.runs(s)
+
+
+@register("label_spans")
+def label_spans(spark, sf):
+    return rule_spans(spark, sf)
+
+
+@register("render_html")
+def render_html(spark, sf):
+    return lb.render(page_articles(spark, sf), rule_spans(spark, sf))
+
+
+@register("label_pages")
+def label_pages(spark, sf):
+    arts = page_articles(spark, sf)
+    s = lb.article_sentences(arts)
+    scored = md.score_batches(s, md.length_rule_scorer(4), 4, keep=("article_id", "para_no", "sent_no"),
+                              spread=8)
+    return lb.render(arts, lb.runs(scored))
+
+
+@register("article_lines")
+def article_lines(spark, sf):
+    a = lb.text_articles(tb.table(spark, sf, "documents"))
+    return a.select("article_id", F.posexplode("paragraphs").alias("para_no", "text"))
+
+
+@register("scan_articles")
+def scan_articles(spark, sf):
+    return tb.articles(spark, sf).select("paper_id", "domain", "date", F.length("text").alias("n_chars"))
+
+
+@register("curate_articles")
+def curate_articles(spark, sf):
+    return corpus.curate(tb.articles(spark, sf), **CURATION).select(
+        "paper_id", "domain", "date", "length", "first_sentence")
+
+
+@register("curated_sentences")
+def curated_sentences(spark, sf):
+    return curated(spark, sf)
+
+
+@register("sentence_numbering")
+def sentence_numbering(spark, sf):
+    return tb.sentences(spark, sf).select("paper_id", "pos", "sentence_id")
+
+
+@register("sources_over_threshold")
+def sources_over_threshold(spark, sf):
+    a = corpus.drop_blank(tb.articles(spark, sf), ["text", "domain", "date"])
+    return corpus.sources_over(a, 44)
+
+
+@register("annotator_context")
+def annotator_context(spark, sf):
+    return pools.annotator_context(curated(spark, sf)).select(
+        "sentence_id", "prev_context", "next_context")
+
+
+@register("annotation_queue")
+def annotation_queue(spark, sf):
+    marked = tb.raters(spark, sf).select("sentence_id", "score")
+    q = pools.annotation_queue(curated(spark, sf), marked)
+    return q.select("sentence_id", "text", "prev_context", "next_context")
+
+
+@register("honeypot_gold")
+def honeypot_gold(spark, sf):
+    p = pools.pool_rows(curated(spark, sf), ["honeypot"])
+    gold = tb.raters(spark, sf).select("sentence_id", "score")
+    return pools.gold_lookup(p, gold).select("sentence_id", "pool_text", "gold", "n_gold")
+
+
+@register("pilot_papers")
+def pilot_papers(spark, sf):
+    return pools.first_papers(curated(spark, sf), 5)
+
+
+@register("best_epoch")
+def best_epoch(spark, sf):
+    return xp.best_epoch(tb.epochs(spark, sf))
+
+
+@register("experiment_comparison")
+def experiment_comparison(spark, sf):
+    return xp.compare_to_baseline(xp.best_epoch(tb.epochs(spark, sf)), 0).select(
+        "run", "best_epoch", "best_f1", _r("delta").alias("delta"))
+
+
+@register("epoch_numbers")
+def epoch_numbers(spark, sf):
+    return tb.epochs(spark, sf).select("run", "event_id", "epoch")
