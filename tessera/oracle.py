@@ -552,3 +552,18 @@ SQL["experiment_comparison"] = with_views("""
   SELECT run, best_epoch, best_f1, round(best_f1 - (SELECT max(best_f1) FROM best WHERE run = 0), 9) AS delta
   FROM best""", "best")
 SQL["epoch_numbers"] = with_views("SELECT run, event_id, epoch FROM epochs", "epochs")
+
+cte("consensus", ("pairs", "pair_consensus"), """
+  SELECT p.pair_id, CAST(CASE WHEN p.gold_label = '-' THEN c.med
+              ELSE CASE p.gold_label WHEN 'entailment' THEN 2 WHEN 'neutral' THEN 1 ELSE 0 END END AS DOUBLE) AS score,
+         replace(concat_ws(' ', p.sentence1, p.sentence2), '"', '') AS text
+  FROM pairs p LEFT JOIN pair_consensus c ON p.pair_id = c.task""")
+cte("pair_split", ("consensus",), ordered_split_sql("consensus", "pair_id"))
+SQL["multitask_corpus"] = with_views("""
+  SELECT task_name, type, num_labels, split, text, score,
+         (type <> 'classification' OR (score >= 0 AND score < num_labels)) AND score IS NOT NULL AS valid
+  FROM (SELECT 'nsdc' AS task_name, 'classification' AS type, 4 AS num_labels, split, text,
+               CAST(score AS DOUBLE) AS score FROM lab_split
+        UNION ALL SELECT 'quality', 'classification', 2, split, text, CAST(score AS DOUBLE) FROM doc_split
+        UNION ALL SELECT 'pairs', 'regression', 1, split, text, score FROM pair_split)""",
+                                     "lab_split", "doc_split", "pair_split")
