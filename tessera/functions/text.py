@@ -82,11 +82,22 @@ def english_stop_words() -> tuple[str, ...]:
 
 
 def remove_stop_words(tokens, stop_words=None) -> Column:
-    """order- and duplicate-preserving stop-word removal (not array_except)."""
+    """F7 as a column expression: order- and duplicate-preserving (not
+    ``array_except``). Linear in the list per token; for whole corpora use
+    ``stop_word_remover`` (hash-set lookup)."""
     stop = F.array(*[F.lit(w) for w in (stop_words or english_stop_words())])
     return F.filter(_c(tokens), lambda t: ~F.array_contains(stop, t))
 
 
+def stop_word_remover(input_col: str, output_col: str, stop_words=None):
+    """F7 as Spark ML's ``StopWordsRemover`` (JVM hash set). Tokens are
+    already lower-case, so matching is exact (case-sensitive)."""
+    from pyspark.ml.feature import StopWordsRemover
+
+    return StopWordsRemover(inputCol=input_col, outputCol=output_col, caseSensitive=True,
+                            stopWords=list(stop_words or english_stop_words()))
+
+
 def wrap_markers(ids, begin, end) -> Column:
     """add begin/end markers once."""
     return F.concat(F.array(F.lit(begin)), _c(ids), F.array(F.lit(end)))

@@ -21,9 +21,11 @@ MIN_SENTENCES = 5
 MIN_SOURCE_ARTICLES = 100
 SENTENCE_BUDGET = 20000
 
-# Curation order: newest first, then domain descending; ties by text, then id.
-CURATION_ORDER: Sequence[Column] = (F.col("date").desc(), F.col("domain").desc(),
-                                    F.col("text").asc(), F.col("paper_id").asc())
+
+
+def curation_order() -> list[Column]:
+    """Newest first, then domain descending; ties by text, then id."""
+    return [F.col("date").desc(), F.col("domain").desc(), F.col("text").asc(), F.col("paper_id").asc()]
 
 
 def drop_blank(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -74,11 +76,11 @@ def keep_sources(df: DataFrame, threshold: int = MIN_SOURCE_ARTICLES, key: str =
     return df.join(sources_over(df, threshold, key).select(key), key, "left_semi")
 
 
-def budget_cut(df: DataFrame, budget: int = SENTENCE_BUDGET, order: Sequence[Column] = CURATION_ORDER,
+def budget_cut(df: DataFrame, budget: int = SENTENCE_BUDGET, order: Sequence[Column] | None = None,
                length_col: str = "length") -> DataFrame:
     """Keep rows while the running sentence total (inclusive) is below
     ``budget``; adds ``first_sentence`` = sentences before the row."""
-    cum = prefix.running_total(df, order, length_col, "_cum", inclusive=True)
+    cum = prefix.running_total(df, order or curation_order(), length_col, "_cum", inclusive=True)
     return (cum.filter(F.col("_cum") < budget)
             .withColumn("first_sentence", F.col("_cum") - F.col(length_col))
             .drop("_cum"))

@@ -8,9 +8,13 @@ its own contiguous slice with Arrow batches; the per-slice totals (one row
 per partition, a bound fixed by the partition count, not by the data) are
 prefix-summed and broadcast back as offsets.
 
-The stamped slice table is materialised once (checkpoint when the session has
-a shared checkpoint folder, otherwise cached) so the totals pass and the
-offset pass see the same slices, also after a lost executor recomputes one.
+The stamped slice table is materialised once so the totals pass and the
+offset pass read the same slices: two separate range exchanges over the same
+input may sample different bounds (the sample seed depends on the RDD id).
+It is written to the shared checkpoint folder when the session has one
+(survives executor loss; later plans start from a scan), otherwise persisted
+(a lost cached partition is recomputed through the same, already sampled,
+range partitioner).
 """
 
 from __future__ import annotations
@@ -18,11 +22,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import checkpoint_dir
+from tessera.session import checkpoint_dir, cut_lineage
 
 _PART = "_slice"
 _LOCAL = "_local_total"
@@ -48,8 +53,8 @@ def _slice_totals(value_col: str):
 
 def _materialise(df: DataFrame) -> DataFrame:
     if checkpoint_dir(df.sparkSession) is not None:
-        return df.checkpoint(eager=True)
-    return df.persist()
+        return cut_lineage(df)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def running_total(df: DataFrame, order: Sequence[Column | str], value: Column | str,

@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.operators import corpus, pools
+from tessera.session import cut_lineage
 from tessera.sources import tables as tb
 
 # Test-size thresholds (the operator defaults stay as in the reference).
@@ -24,7 +25,8 @@ def register(name: str):
 
 
 def curated(spark: SparkSession, sf: str) -> DataFrame:
-    return corpus.curated_sentences(tb.articles(spark, sf), **CURATION)
+    """The curated corpus, materialised once per query (pipeline boundary)."""
+    return cut_lineage(corpus.curated_sentences(tb.articles(spark, sf), **CURATION))
 
 
 @register("pool_build")
@@ -114,7 +116,7 @@ def labelled(spark, sf):
     retrieval = pools.pool_text(cur).select("pool_text", "sentence_id")
     c = crowd(spark, sf).select("text", "worker", "label")
     expert = vt.expert_votes(tb.raters(spark, sf).select("sentence_id", "score"))
-    return vt.consolidate(expert, c, retrieval, cur)
+    return cut_lineage(vt.consolidate(expert, c, retrieval, cur))
 
 
 @register("votes_consolidate")

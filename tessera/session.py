@@ -67,12 +67,18 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` into the shared checkpoint folder.
 
     A reliable checkpoint survives executor loss (it is re-read, not
-    recomputed). Without a configured folder the plan is returned unchanged:
-    a machine-local fallback would not survive on a cluster.
+    recomputed) and later plans start from a scan instead of re-analysing the
+    whole upstream pipeline. The plan is persisted first so the checkpoint
+    write reads it back instead of computing it a second time. Without a
+    configured folder the plan is returned unchanged: a machine-local
+    fallback would not survive on a cluster.
     """
     if checkpoint_dir(df.sparkSession) is None:
         return df
-    return df.checkpoint(eager=True)
+    cached = df.persist()
+    out = cached.checkpoint(eager=True)
+    cached.unpersist(blocking=False)
+    return out
 
 
 def table_path(sf_dir: str, name: str) -> str:

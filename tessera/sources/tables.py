@@ -135,5 +135,5 @@ def annotated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as stop-word-free word tokens (F6 + F7)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return d.select("doc_id", tx.remove_stop_words(tx.words("text")).alias("tokens"))
+    d = table(spark, sf_dir, "documents").select("doc_id", tx.words("text").alias("words"))
+    return tx.stop_word_remover("words", "tokens").transform(d).select("doc_id", "tokens")
