@@ -5,7 +5,8 @@ Operators: P1 canonical (text, score), P5 class filter, P9 mismatch filter,
 P10 token-length cap, U1 union, U2 distinct, U3 difference, U4 split
 integrity, M1 stratified split, M2 ordered split, M3 majority downsample,
 W5 neighbour concatenation, A19 consensus label, M8 multi-task corpus,
-M10 padded batches, M11 error extraction, J9 prediction alignment.
+M10 padded batches, M11 error extraction, J9 prediction alignment, O3
+first n per class, A1 group counts, A6 null profile, P8 literal membership.
 """
 
 from __future__ import annotations
@@ -173,3 +174,30 @@ def mismatches(df: DataFrame, order: Sequence[Column | str], limit: int = 100,
     first ``limit`` in ``order`` (a top-k report; the limit is the feature)."""
     return (df.filter(F.col(pred).isNotNull() & (F.col(score) != F.col(pred).cast("int")))
             .orderBy(*order).limit(limit))
+
+
+def first_per_class(df: DataFrame, n: int, order: Sequence[Column | str], score: str = "score") -> DataFrame:
+    """O3: the first ``n`` rows of every class in ``order``. A bounded top-n
+    (Spark plans it as a partial + final ``WindowGroupLimit``, so each map
+    task keeps at most ``n`` rows per class before the shuffle)."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(score).orderBy(*order)
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+
+def null_profile(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Count of rows per null pattern of ``cols``."""
+    return df.groupBy(*[F.col(c).isNull().alias(f"{c}_is_null") for c in cols]).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def group_counts(df: DataFrame, key: str) -> DataFrame:
+    """A1: rows per key, most frequent first."""
+    return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), F.col(key))
+
+
+def keep_ids(df: DataFrame, key: str, ids: Sequence) -> DataFrame:
+    """P8 for a literal id list (an ``In`` predicate Catalyst can push into
+    the scan); for id tables use the semi/anti joins."""
+    return df.filter(F.col(key).isin(list(ids)))

@@ -567,3 +567,38 @@ SQL["multitask_corpus"] = with_views("""
         UNION ALL SELECT 'quality', 'classification', 2, split, text, CAST(score AS DOUBLE) FROM doc_split
         UNION ALL SELECT 'pairs', 'regression', 1, split, text, score FROM pair_split)""",
                                      "lab_split", "doc_split", "pair_split")
+
+# ---------------------------------------------------------------- remaining inventory rows
+SQL["rater_join"] = with_views("""
+  SELECT a.task AS sentence_id, a.score, b.opp_score FROM
+    (SELECT task, arg_min(raw, event_id) AS score FROM votes GROUP BY task) a
+  LEFT JOIN (SELECT task, arg_max(raw, event_id) AS opp_score FROM votes GROUP BY task HAVING count(*) > 1) b
+  ON a.task = b.task""", "votes")
+SQL["source_counts"] = with_views(
+    "SELECT domain, count(*) AS n FROM articles GROUP BY domain ORDER BY n DESC, domain", "articles")
+SQL["null_profile"] = with_views("""
+  SELECT score IS NULL AS score_is_null, pred IS NULL AS pred_is_null, count(*) AS n
+  FROM binary_predictions GROUP BY 1, 2""", "binary_predictions")
+SQL["dedup_texts"] = with_views("""
+  SELECT paper_id, domain FROM articles
+  QUALIFY row_number() OVER (PARTITION BY text ORDER BY domain, paper_id) = 1""", "articles")
+SQL["blank_filter"] = f"""
+  SELECT conv_id, turn, role FROM conversations
+  WHERE NOT {blank_sql('text')} AND NOT {blank_sql('role')}"""
+SQL["curation_rank"] = with_views("""
+  SELECT paper_id, CAST(row_number() OVER (ORDER BY date DESC, domain DESC, text, paper_id) - 1 AS BIGINT) AS rank
+  FROM articles""", "articles")
+SQL["first_per_class"] = with_views("""
+  SELECT task, score FROM labelled QUALIFY row_number() OVER (PARTITION BY score ORDER BY task) <= 100""",
+                                    "labelled")
+cte("pe_first", ("predicted",), "SELECT * FROM predicted ORDER BY doc_id LIMIT 1000")
+f1_ctes("pe", "pe_first", "", "score", "pred")
+SQL["prefix_evaluation"] = with_views("""
+  SELECT count(*) AS n, round(avg(CASE WHEN score = pred THEN 1.0 ELSE 0.0 END), 9) AS accuracy,
+         round((SELECT macro_f1 FROM pe_macro), 9) AS macro_f1 FROM pe_first""", "pe_first", "pe_macro")
+SQL["flatten_sentences"] = with_views(f"""
+  SELECT article_id, CAST(len(flatten(list_transform(paragraphs, lambda p: {split_sql('p')}))) AS INTEGER) AS n_sentences
+  FROM page_articles""", "page_articles")
+SQL["zip_votes"] = with_views("SELECT task, label, worker FROM votes", "votes")
+SQL["keep_literal_ids"] = with_views(
+    "SELECT event_id, worker, label FROM votes WHERE worker IN (0, 1, 2, 3, 4)", "votes")

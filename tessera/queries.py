@@ -495,3 +495,85 @@ def experiment_comparison(spark, sf):
 @register("epoch_numbers")
 def epoch_numbers(spark, sf):
     return tb.epochs(spark, sf).select("run", "event_id", "epoch")
+
+
+# ---------------------------------------------------------------- remaining inventory rows
+@register("rater_join")
+def rater_join(spark, sf):
+    """First rater's scores left-joined with the second rater's by id."""
+    v = tb.votes(spark, sf)
+    a = v.groupBy("task").agg(F.min_by("raw", "event_id").alias("score"))
+    b = (v.groupBy("task").agg(F.max_by("raw", "event_id").alias("opp_score"), F.count(F.lit(1)).alias("n"))
+         .filter(F.col("n") > 1).drop("n"))
+    return a.join(b, "task", "left").withColumnRenamed("task", "sentence_id")
+
+
+@register("source_counts")
+def source_counts(spark, sf):
+    return ds.group_counts(tb.articles(spark, sf), "domain")
+
+
+@register("null_profile")
+def null_profile(spark, sf):
+    return ds.null_profile(tb.binary_predictions(spark, sf), ["score", "pred"])
+
+
+@register("dedup_texts")
+def dedup_texts(spark, sf):
+    """W7 on all articles: one paper per identical text (smallest domain, then id)."""
+    return corpus.dedup_first(tb.articles(spark, sf), "text", ("domain", "paper_id")).select("paper_id", "domain")
+
+
+@register("blank_filter")
+def blank_filter(spark, sf):
+    """P2 on the conversations table: rows with a blank text or role are dropped."""
+    c = tb.table(spark, sf, "conversations")
+    return corpus.drop_blank(c, ["text", "role"]).select("conv_id", "turn", "role")
+
+
+@register("curation_rank")
+def curation_rank(spark, sf):
+    """O1: every article's position in curation order (date desc, domain desc, text, id)."""
+    from tessera.plans import prefix
+
+    a = tb.articles(spark, sf)
+    return prefix.row_number(a, corpus.curation_order(), "rank").select("paper_id", "rank")
+
+
+@register("first_per_class")
+def first_per_class(spark, sf):
+    return ds.first_per_class(labelled(spark, sf), 100, ["task"]).select("task", "score")
+
+
+@register("prefix_evaluation")
+def prefix_evaluation(spark, sf):
+    """The first 1000 examples by id are scored (the cut is the feature)."""
+    first = predicted(spark, sf).orderBy("doc_id").limit(1000)
+    e = mt.evaluate(first, "score", "pred")
+    return e.select("n", _r("accuracy").alias("accuracy"), _r("macro_f1").alias("macro_f1"))
+
+
+@register("flatten_sentences")
+def flatten_sentences(spark, sf):
+    """per page, paragraphs -> sentences flattened into one array (size)."""
+    a = page_articles(spark, sf)
+    flat = F.flatten(F.transform("paragraphs", lambda p: tx.split_sentences(p)))
+    return a.select("article_id", F.size(flat).alias("n_sentences"))
+
+
+@register("zip_votes")
+def zip_votes(spark, sf):
+    """labels and workers of a task zipped into (label, worker) pairs and
+    unzipped again; one row per pair. Per task at most three votes."""
+    v = tb.votes(spark, sf)
+    per = v.groupBy("task").agg(F.collect_list(F.struct("event_id", "label", "worker")).alias("s"))
+    s = F.array_sort("s")
+    zipped = F.arrays_zip(F.transform(s, lambda x: x["label"]).alias("label"),
+                          F.transform(s, lambda x: x["worker"]).alias("worker"))
+    return per.select("task", F.explode(zipped).alias("p")).select("task", "p.label", "p.worker")
+
+
+@register("keep_literal_ids")
+def keep_literal_ids(spark, sf):
+    """P8 with a literal id list: the first five worker ids."""
+    return ds.keep_ids(tb.votes(spark, sf), "worker", [0, 1, 2, 3, 4]).select("event_id", "worker", "label")
