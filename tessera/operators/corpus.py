@@ -92,9 +92,12 @@ def curate(articles: DataFrame, min_sentences: int = MIN_SENTENCES,
     """M12 up to the article table (``raw_dataset``):
     (paper_id, domain, date, text, length, first_sentence)."""
     clean = drop_blank(articles.select("paper_id", "domain", "date", "text"), ["text", "domain", "date"])
-    split = min_length(clean.withColumn("length", F.size(tx.split_sentences("text"))), min_sentences)
-    unique = dedup_first(split, "text", ("domain", "paper_id"), carry=("date", "length"))
-    kept = keep_sources(unique, min_source_articles)
+    # Identical texts have identical sentence counts, so the length filter and
+    # the keep-first dedup commute: dedup first (cheap hashing before the
+    # shuffle), split sentences after it on the surviving rows, in parallel.
+    unique = dedup_first(clean, "text", ("domain", "paper_id"), carry=("date",))
+    split = min_length(unique.withColumn("length", F.size(tx.split_sentences("text"))), min_sentences)
+    kept = keep_sources(split, min_source_articles)
     return budget_cut(kept, budget)
 
 

@@ -26,7 +26,8 @@ def register(name: str):
 
 def curated(spark: SparkSession, sf: str) -> DataFrame:
     """The curated corpus, materialised once per query (pipeline boundary)."""
-    return cut_lineage(corpus.curated_sentences(tb.articles(spark, sf), **CURATION))
+    # curation starts with the dedup shuffle: no rebalancing of the scan
+    return cut_lineage(corpus.curated_sentences(tb.articles(spark, sf, balance=False), **CURATION))
 
 
 @register("pool_build")
@@ -420,7 +421,7 @@ def label_pages(spark, sf):
     s = lb.article_sentences(arts)
     scored = md.score_batches(s, md.length_rule_scorer(4), 4, keep=("article_id", "para_no", "sent_no"),
                               spread=8)
-    return lb.render(arts, lb.runs(scored))
+    return lb.render(arts, lb.runs(lb.drop_long_predictions(scored, 512)))
 
 
 @register("article_lines")
