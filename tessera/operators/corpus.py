@@ -77,10 +77,28 @@ def keep_sources(df: DataFrame, threshold: int = MIN_SOURCE_ARTICLES, key: str =
 
 
 def budget_cut(df: DataFrame, budget: int = SENTENCE_BUDGET, order: Sequence[Column] | None = None,
-               length_col: str = "length") -> DataFrame:
+               length_col: str = "length", bucket: Sequence[str] = ("date", "domain"),
+               bucket_order: Sequence[Column] | None = None) -> DataFrame:
     """Keep rows while the running sentence total (inclusive) is below
-    ``budget``; adds ``first_sentence`` = sentences before the row."""
-    cum = prefix.running_total(df, order or curation_order(), length_col, "_cum", inclusive=True)
+    ``budget``; adds ``first_sentence`` = sentences before the row.
+
+    Two levels: per-bucket totals (``bucket`` = the leading order keys) get
+    a running total of their own; buckets that start at or past the budget
+    are dropped before any row is sorted, so with a small budget only a few
+    buckets' rows reach the row-level range sort. Buckets are a prefix of
+    the order, so the row-level totals over the survivors equal the totals
+    over all rows."""
+    order = list(order or curation_order())
+    bucket_order = list(bucket_order or [F.col("date").desc(), F.col("domain").desc()])
+    keys = list(bucket)
+    totals = df.groupBy(*keys).agg(F.sum(length_col).alias("_bucket_total"))
+    starts = prefix.running_total(totals, bucket_order + [F.col(k) for k in keys], "_bucket_total",
+                                  "_bucket_start", inclusive=False)
+    live = starts.filter(F.col("_bucket_start") < budget).select(*keys)
+    # the live-bucket table is an aggregate measured at run time (AQE
+    # broadcasts it when small, as it is for any budget far below the data)
+    rows = df.join(live, keys, "left_semi")
+    cum = prefix.running_total(rows, order, length_col, "_cum", inclusive=True)
     return (cum.filter(F.col("_cum") < budget)
             .withColumn("first_sentence", F.col("_cum") - F.col(length_col))
             .drop("_cum"))

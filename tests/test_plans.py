@@ -47,3 +47,34 @@ def test_context_matches_per_group_window_across_block_edges(spark):
     cols = ["sentence_id", "prev_context", "next_context"]
     assert sorted(got.select(cols).collect()) == sorted(naive.select(cols).collect())
     assert got.count() == df.count()
+
+
+def test_budget_cut_matches_naive_window_at_any_budget(spark):
+    from tessera.operators import corpus
+
+    rows = [(i, f"2018-07-{1 + i % 5:02d}", f"src{i % 3}", f"text {i:04d}", 5 + i % 7) for i in range(200)]
+    df = (spark.createDataFrame(rows, "paper_id long, d string, domain string, text string, length long")
+          .withColumn("date", F.col("d").cast("date")).drop("d"))
+    w = Window.orderBy(*corpus.curation_order()).rowsBetween(Window.unboundedPreceding, 0)
+    naive = df.withColumn("_c", F.sum("length").over(w))
+    for budget in (1, 40, 700, 10 ** 6):
+        got = corpus.budget_cut(df, budget)
+        want = naive.filter(F.col("_c") < budget).withColumn("first_sentence", F.col("_c") - F.col("length"))
+        assert sorted(got.select("paper_id", "first_sentence").collect()) == \
+            sorted(want.select("paper_id", "first_sentence").collect()), budget
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    from conftest import SF_CHECK
+    from tessera.operators import datasets as ds
+    from tessera.sources import tables as tb
+
+    plan = _plan(ds.keep_ids(tb.votes(spark, SF_CHECK), "worker", [0, 1]).select("event_id", "label"))
+    assert "PushedFilters: [IsNotNull(user_id), In(user_id" in plan or "In(user_id, [0,1])" in plan
+    # only the needed event columns are read
+    scan = [line for line in plan.splitlines() if "ReadSchema" in line][0]
+    assert "ts" not in scan.split("ReadSchema")[1] and "props" not in scan
