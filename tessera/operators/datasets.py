@@ -47,7 +47,8 @@ def stratified_split(df: DataFrame, id_col: str, score: str = "score", seed: int
     Ranks come from the range-partitioned prefix, so a class holding most of
     the rows is still spread over all tasks."""
     h = F.md5(F.concat_ws("-", F.lit(str(seed)), F.col(id_col).cast("string")))
-    ranked = prefix.rank_within(df.withColumn("_h", h), [score], ["_h", id_col], "_r")
+    ranked = prefix.number_by_key(df.withColumn("_h", h), id_col, [score, "_h"], ["_h", id_col], "_r",
+                                  group=[score])
     sizes = df.groupBy(score).agg(F.count(F.lit(1)).alias("_n"))
     n_test = F.round(F.col("_n") * test_size)
     n_val = F.round((F.col("_n") - n_test) * val_size)
@@ -58,10 +59,13 @@ def stratified_split(df: DataFrame, id_col: str, score: str = "score", seed: int
 
 
 def ordered_split(df: DataFrame, order: Sequence[Column | str],
-                  test_size: float = TEST_SIZE, val_size: float = VAL_SIZE) -> DataFrame:
+                  test_size: float = TEST_SIZE, val_size: float = VAL_SIZE,
+                  key: str | None = None, needed: Sequence[str] = ()) -> DataFrame:
     """M2: no shuffle: the last ``ceil(n*test_size)`` rows in ``order`` are
-    test, the last ``ceil(m*val_size)`` of the remaining ``m`` are val."""
-    ranked = prefix.row_number(df, order, "_r")
+    test, the last ``ceil(m*val_size)`` of the remaining ``m`` are val.
+    With a unique ``key`` the ranks are computed on ``key + needed`` only."""
+    ranked = (prefix.number_by_key(df, key, needed, order, "_r") if key
+              else prefix.row_number(df, order, "_r"))
     n = df.select(F.count(F.lit(1))).scalar()
     m = n - F.ceil(n * F.lit(test_size))
     train_end = m - F.ceil(m * F.lit(val_size))
@@ -154,7 +158,9 @@ def padded_batches(df: DataFrame, ids: str, order: Sequence[Column | str],
     """Markers once (F12), batch = rank div batch_size, ids padded to
     the longest sequence of the batch. A batch has at most ``batch_size``
     rows, so the per-batch max is a bounded aggregate."""
-    wrapped = prefix.row_number(df.withColumn("_ids", tx.wrap_markers(ids, bos, eos)), order, "_r")
+    key = order[0] if len(order) == 1 and isinstance(order[0], str) else None
+    src = df.withColumn("_ids", tx.wrap_markers(ids, bos, eos))
+    wrapped = prefix.number_by_key(src, key, [], order, "_r") if key else prefix.row_number(src, order, "_r")
     batched = wrapped.withColumn("batch_id", F.floor(F.col("_r") / batch_size).cast("long"))
     width = batched.groupBy("batch_id").agg(F.max(F.size("_ids")).alias("_w"))
     return (batched.join(width, "batch_id")

@@ -109,3 +109,20 @@ def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[Column | st
     return (numbered.join(first, list(group))
             .withColumn(out, F.col("_g") - F.col("_g0") + F.lit(start))
             .drop("_g", "_g0"))
+
+
+def number_by_key(df: DataFrame, key: str, needed: Sequence[str], order: Sequence[Column | str],
+                  out: str, group: Sequence[str] = (), start: int = 0,
+                  num_slices: int | None = None) -> DataFrame:
+    """``row_number`` (or ``rank_within`` when ``group`` is given) computed on
+    the narrow projection ``key + needed`` and joined back on the unique
+    ``key``: wide columns (texts, arrays) never go through the range sort,
+    the Arrow pass or the slice materialisation; they take part in one
+    shuffle join on a unique key (no skew)."""
+    cols = [key] + [c for c in dict.fromkeys(list(group) + list(needed)) if c != key]
+    narrow = df.select(*cols)
+    if group:
+        numbered = rank_within(narrow, group, order, out, start=start, num_slices=num_slices)
+    else:
+        numbered = row_number(narrow, order, out, start=start, num_slices=num_slices)
+    return df.join(numbered.select(key, out), key)

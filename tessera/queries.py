@@ -216,7 +216,7 @@ def split_stratified(spark, sf):
 
 @register("split_ordered")
 def split_ordered(spark, sf):
-    return ds.ordered_split(labelled(spark, sf), ["task"]).select("task", "score", "split")
+    return ds.ordered_split(labelled(spark, sf), ["task"], key="task").select("task", "score", "split")
 
 
 @register("metrics_constant_baseline")
@@ -238,7 +238,7 @@ def class_filter(spark, sf):
 
 @register("neighbour_context")
 def neighbour_context(spark, sf):
-    sp = ds.ordered_split(labelled(spark, sf), ["task"])
+    sp = ds.ordered_split(labelled(spark, sf), ["task"], key="task")
     return ds.neighbour_text(sp).select("task", "split", "paper_id", "text")
 
 
@@ -251,7 +251,7 @@ def consensus_labels(spark, sf):
 
 @register("split_integrity")
 def split_integrity(spark, sf):
-    sp = ds.ordered_split(tb.sentences(spark, sf), ["sentence_id"])
+    sp = ds.ordered_split(tb.sentences(spark, sf), ["sentence_id"], key="sentence_id")
     return ds.split_violations(sp)
 
 

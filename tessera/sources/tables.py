@@ -63,12 +63,20 @@ def articles(spark: SparkSession, sf_dir: str, balance: bool = True) -> DataFram
 
 
 def number_sentences(art: DataFrame, order, sents_col: str = "sents",
-                     id_col: str = "sentence_id") -> DataFrame:
+                     id_col: str = "sentence_id", key: str = "paper_id") -> DataFrame:
     """Explode per-article sentence arrays and number them 0..n-1 in
-    ``order`` (article order) then position, via an article-level prefix sum."""
+    ``order`` (article order) then position.
+
+    The prefix sum runs on a narrow article table (order keys + count); the
+    sentence arrays never pass through the Arrow pass or the slice
+    materialisation, they meet their offset in one join on the unique
+    article ``key``."""
     counted = art.withColumn("_n", F.size(sents_col))
-    offset = prefix.running_total(counted, order, "_n", "_first", inclusive=False)
-    return (offset.select("*", F.posexplode(sents_col).alias("pos", "_sent"))
+    narrow = counted.drop(sents_col)
+    offsets = prefix.running_total(narrow, order, "_n", "_first", inclusive=False)
+    body = counted.select(key, sents_col)
+    return (offsets.join(body, key)
+            .select("*", F.posexplode(sents_col).alias("pos", "_sent"))
             .withColumn(id_col, F.col("_first") + F.col("pos"))
             .drop("_n", "_first", sents_col)
             .withColumnRenamed("_sent", "text_sentence"))
