@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.plans import prefix
+from tessera.session import cut_lineage
 from tessera.sources.tables import number_sentences
 
 # Reference defaults.
@@ -115,7 +116,9 @@ def curate(articles: DataFrame, min_sentences: int = MIN_SENTENCES,
     # shuffle), split sentences after it on the surviving rows, in parallel.
     unique = dedup_first(clean, "text", ("domain", "paper_id"), carry=("date",))
     split = min_length(unique.withColumn("length", F.size(tx.split_sentences("text"))), min_sentences)
-    kept = keep_sources(split, min_source_articles)
+    # pipeline boundary (the deduplicated article table): the two prefix
+    # passes of the budget cut read it instead of redoing dedup and split
+    kept = cut_lineage(keep_sources(split, min_source_articles))
     return budget_cut(kept, budget)
 
 

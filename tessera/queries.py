@@ -374,14 +374,15 @@ def per_task_heads(spark, sf):
 
 @register("score_sentences")
 def score_sentences(spark, sf):
-    s = lb.article_sentences(lb.extract_pages(tb.table(spark, sf, "pages")))
+    s = lb.article_sentences(page_articles(spark, sf))
     return md.score_batches(s, md.length_rule_scorer(4), 4, keep=("article_id", "para_no", "sent_no"),
                             spread=8).select("article_id", "para_no", "sent_no", "pred")
 
 
 # ---------------------------------------------------------------- labelling and sources
 def page_articles(spark, sf):
-    return lb.extract_pages(tb.table(spark, sf, "pages"))
+    """Extracted pages: a pipeline boundary (the HTML regex work runs once)."""
+    return cut_lineage(lb.extract_pages(tb.table(spark, sf, "pages")))
 
 
 @register("page_titles")

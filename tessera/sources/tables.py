@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.plans import prefix
+from tessera.session import cut_lineage
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
@@ -83,8 +84,9 @@ def number_sentences(art: DataFrame, order, sents_col: str = "sents",
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All articles split by rule F1, numbered by (paper_id, pos)."""
-    art = articles(spark, sf_dir).withColumn("sents", tx.split_sentences("text")).drop("text")
+    """All articles split by rule F1, numbered by (paper_id, pos). The split
+    runs once: its result is a pipeline boundary (checkpointed)."""
+    art = cut_lineage(articles(spark, sf_dir).withColumn("sents", tx.split_sentences("text")).drop("text"))
     return (number_sentences(art, ["paper_id"])
             .withColumnRenamed("text_sentence", "text")
             .select("paper_id", "domain", "date", "pos", "text", "sentence_id"))
@@ -163,4 +165,5 @@ def annotated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as stop-word-free word tokens (F6 + F7)."""
     d = table(spark, sf_dir, "documents").select("doc_id", tx.words("text").alias("words"))
-    return tx.stop_word_remover("words", "tokens").transform(d).select("doc_id", "tokens")
+    # a pipeline boundary: every later pass reads the tokens, not the text
+    return cut_lineage(tx.stop_word_remover("words", "tokens").transform(d).select("doc_id", "tokens"))
