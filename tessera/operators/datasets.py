@@ -66,12 +66,13 @@ def ordered_split(df: DataFrame, order: Sequence[Column | str],
     With a unique ``key`` the ranks are computed on ``key + needed`` only."""
     ranked = (prefix.number_by_key(df, key, needed, order, "_r") if key
               else prefix.row_number(df, order, "_r"))
-    n = df.select(F.count(F.lit(1))).scalar()
+    n = F.col("_n")
     m = n - F.ceil(n * F.lit(test_size))
     train_end = m - F.ceil(m * F.lit(val_size))
-    return (ranked.withColumn("split", F.when(F.col("_r") >= m, "test")
-                              .when(F.col("_r") >= train_end, "val").otherwise("train"))
-            .drop("_r"))
+    return (ranked.withColumn("_n", df.select(F.count(F.lit(1))).scalar())
+            .withColumn("split", F.when(F.col("_r") >= m, "test")
+                        .when(F.col("_r") >= train_end, "val").otherwise("train"))
+            .drop("_r", "_n"))
 
 
 def downsample_majority(df: DataFrame, order: Sequence[Column | str], majority=1, target=3,

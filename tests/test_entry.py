@@ -17,12 +17,25 @@ def test_registry_consistent():
     assert len(q) >= 60
 
 
-def test_all_queries_plan_on_small_data(spark):
-    """Every registered query analyses and runs over the whole sf0.001 tables."""
+def test_all_queries_run_with_scalable_plans(spark):
+    """Every registered query runs over the whole sf0.001 tables, and its
+    physical plan has no cartesian / nested-loop join, no row-at-a-time
+    Python UDF, and no single-partition exchange except above a partial
+    aggregate (global aggregates, per-slice totals)."""
+    import re
+
     E = importlib.import_module("__spark_entry__")
     for name, fn in E.queries().items():
         if name in ("per_task_heads", "tfidf_logreg"):
             continue  # model fits: covered by the oracle run and the bench
         df = fn(spark, SF_SMALL)
         assert df.columns, name
+        plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        text = "\n".join(plan)
+        for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython"):
+            assert bad not in text, (name, bad)
+        for i, line in enumerate(plan):
+            if "Exchange SinglePartition" in line:
+                child = re.sub(r"[\s:+\-*]+", " ", plan[i + 1]).strip()
+                assert child.startswith("HashAggregate") or child.startswith("ObjectHashAggregate"), (name, child)
         df.limit(1).collect()
