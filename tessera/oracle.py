@@ -600,5 +600,5 @@ SQL["flatten_sentences"] = with_views(f"""
   SELECT article_id, CAST(len(flatten(list_transform(paragraphs, lambda p: {split_sql('p')}))) AS INTEGER) AS n_sentences
   FROM page_articles""", "page_articles")
 SQL["zip_votes"] = with_views("SELECT task, label, worker FROM votes", "votes")
-SQL["keep_literal_ids"] = with_views(
-    "SELECT event_id, worker, label FROM votes WHERE worker IN (0, 1, 2, 3, 4)", "votes")
+SQL["keep_literal_labels"] = with_views(
+    "SELECT event_id, worker, label FROM votes WHERE label IN (1, 3)", "votes")

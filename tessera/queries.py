@@ -575,7 +575,7 @@ def zip_votes(spark, sf):
     return per.select("task", F.explode(zipped).alias("p")).select("task", "p.label", "p.worker")
 
 
-@register("keep_literal_ids")
-def keep_literal_ids(spark, sf):
-    """P8 with a literal id list: the first five worker ids."""
-    return ds.keep_ids(tb.votes(spark, sf), "worker", [0, 1, 2, 3, 4]).select("event_id", "worker", "label")
+@register("keep_literal_labels")
+def keep_literal_labels(spark, sf):
+    """P8 with a literal list: votes labelled objective or subjective."""
+    return ds.keep_ids(tb.votes(spark, sf), "label", [1, 3]).select("event_id", "worker", "label")
