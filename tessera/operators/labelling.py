@@ -134,3 +134,9 @@ def drop_long_predictions(scored: DataFrame, max_len: int = 512, text: str = "te
 def rule_pred(text: Column, n_classes: int = 4) -> Column:
     """SQL-expressible stand-in for a model: ``length(text) % n_classes``."""
     return (F.length(text) % n_classes).cast("int")
+
+
+def write_html(docs: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """S11 sink: one ``article_id=<id>/`` folder per article holding its HTML
+    document (written by the tasks, never collected on the driver)."""
+    docs.select("article_id", "html").write.mode(mode).partitionBy("article_id").text(path)

@@ -579,3 +579,15 @@ def zip_votes(spark, sf):
 def keep_literal_labels(spark, sf):
     """P8 with a literal list: votes labelled objective or subjective."""
     return ds.keep_ids(tb.votes(spark, sf), "label", [1, 3]).select("event_id", "worker", "label")
+
+
+@register("label_pages_model")
+def label_pages_model(spark, sf):
+    """M15 with the M4 model as the scorer (X1 via ``PipelineModel.transform``):
+    every page sentence is predicted, runs of equal label become spans."""
+    d = doc_split(spark, sf)
+    model = md.tfidf_logreg(d.filter(F.col("split") == "train"), max_iter=50)
+    arts = page_articles(spark, sf)
+    s = lb.article_sentences(arts)
+    scored = md.predict(model, s).select("article_id", "para_no", "sent_no", "text", "pred")
+    return lb.render(arts, lb.runs(lb.drop_long_predictions(scored, 512)))

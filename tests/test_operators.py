@@ -106,3 +106,15 @@ def test_best_epoch_first_maximum(spark):
     assert b == {1: (2, 0.7, 4), 2: (1, 0.2, 1)}
     c = {r.run: r.delta for r in xp.compare_to_baseline(xp.best_epoch(log), 2).collect()}
     assert c[1] == pytest.approx(0.5)
+
+
+def test_html_sink_one_folder_per_article(spark, tmp_path):
+    arts = spark.createDataFrame([(7, "T", None), (8, None, "http://x/i.png")],
+                                 "article_id long, title string, image_url string")
+    s = spark.createDataFrame([(7, 0, 0, "a.", 1), (8, 0, 0, "b.", 0)],
+                              "article_id long, para_no int, sent_no int, text string, pred int")
+    out = str(tmp_path / "html")
+    lb.write_html(lb.render(arts, lb.runs(s)), out)
+    back = {r.article_id: r.value for r in spark.read.text(out, wholetext=True).collect()}
+    assert set(back) == {7, 8}
+    assert "<h1>T</h1>" in back[7] and '<img src="http://x/i.png">' in back[8]
