@@ -109,7 +109,7 @@ cte("scores3", (), """
 CURATION = dict(min_sources=44, budget=5000)
 
 cte("cur_clean", ("articles",), f"""
-  SELECT paper_id, domain, date, text, len({split_sql('text')}) AS length
+  SELECT paper_id, domain, date, text, CAST(len({split_sql('text')}) AS INTEGER) AS length
   FROM articles
   WHERE NOT {blank_sql('text')} AND NOT {blank_sql('domain')} AND date IS NOT NULL""")
 
@@ -431,7 +431,8 @@ cte("idf", ("tf", "train_docs"), """
   FROM tf WHERE doc_id IN (SELECT doc_id FROM train_docs) GROUP BY term""")
 cte("tfidf_raw", ("tf", "idf"), "SELECT tf.doc_id, tf.term, tf.tf * idf.idf AS w FROM tf JOIN idf ON tf.term = idf.term")
 SQL["tokens_words"] = with_views(
-    "SELECT doc_id, len(tokens) AS n_tokens, array_to_string(tokens, ' ') AS tokens FROM tokens", "tokens")
+    "SELECT doc_id, CAST(len(tokens) AS INTEGER) AS n_tokens, array_to_string(tokens, ' ') AS tokens FROM tokens",
+    "tokens")
 SQL["tfidf_weights"] = with_views("""
   SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 9) AS weight FROM tfidf_raw""",
                                   "tfidf_raw")
@@ -445,7 +446,7 @@ cte("encoded", ("tok_rows", "vocab"), """
 SQL["padded_batches"] = with_views("""
   SELECT doc_id, batch_id, width,
          array_to_string(list_concat(ids, list_transform(range(width - len(ids)), lambda x: 0)), ' ') AS padded
-  FROM (SELECT *, max(len(ids)) OVER (PARTITION BY batch_id) AS width FROM (
+  FROM (SELECT *, CAST(max(len(ids)) OVER (PARTITION BY batch_id) AS INTEGER) AS width FROM (
     SELECT doc_id, list_concat([2], ids, [3]) AS ids,
            CAST((row_number() OVER (ORDER BY doc_id) - 1) // 32 AS BIGINT) AS batch_id
     FROM encoded WHERE len(ids) + 2 <= 512))""", "encoded")
@@ -509,7 +510,8 @@ cte("page_html", ("page_runs", "page_articles"), f"""
                          ELSE text END || ' ', '' ORDER BY run_no) || chr(10) || '</p>' || chr(10) AS p
       FROM page_runs GROUP BY article_id, para_no) GROUP BY article_id) b ON a.article_id = b.article_id""")
 SQL["page_titles"] = with_views(
-    "SELECT article_id, title, image_url, len(paragraphs) AS n_paragraphs FROM page_articles", "page_articles")
+    "SELECT article_id, title, image_url, CAST(len(paragraphs) AS INTEGER) AS n_paragraphs FROM page_articles",
+    "page_articles")
 SQL["page_paragraphs"] = with_views("SELECT * FROM page_paras", "page_paras")
 SQL["page_sentences"] = with_views("SELECT * FROM page_sents", "page_sents")
 SQL["label_spans"] = with_views("SELECT * FROM page_runs", "page_runs")
