@@ -42,12 +42,14 @@ from tessera.operators import votes as vt  # noqa: E402
 
 
 def pool_all(spark, sf):
-    return pools.pool_text(curated(spark, sf))
+    """The pool with context: a pipeline boundary (read by retrieval and crowd)."""
+    return cut_lineage(pools.pool_text(curated(spark, sf)))
 
 
-def crowd(spark, sf):
+def crowd(spark, sf, pool=None):
     """Crowd results: every vote carries the pool text of its task's sentence."""
-    p = pool_all(spark, sf).select(F.col("sentence_id").alias("task"), F.col("pool_text").alias("text"))
+    pool = pool if pool is not None else pool_all(spark, sf)
+    p = pool.select(F.col("sentence_id").alias("task"), F.col("pool_text").alias("text"))
     return tb.votes(spark, sf).select("task", "worker", "label").join(p, "task")
 
 
@@ -100,8 +102,9 @@ def votes_task_text(spark, sf):
 
 @register("votes_retrieve_ids")
 def votes_retrieve_ids(spark, sf):
-    retrieval = pool_all(spark, sf).select("pool_text", "sentence_id")
-    return vt.retrieve_ids(crowd(spark, sf), retrieval).select("sentence_id", "worker", "label", "text")
+    pool = pool_all(spark, sf)
+    retrieval = pool.select("pool_text", "sentence_id")
+    return vt.retrieve_ids(crowd(spark, sf, pool), retrieval).select("sentence_id", "worker", "label", "text")
 
 
 @register("votes_attach_attributes")
@@ -114,8 +117,9 @@ def labelled(spark, sf):
     """M14 on the fixtures: expert = first rater's raw scores, crowd = votes
     with pool texts, ids retrieved through the pool table."""
     cur = curated(spark, sf)
-    retrieval = pools.pool_text(cur).select("pool_text", "sentence_id")
-    c = crowd(spark, sf).select("text", "worker", "label")
+    pool = cut_lineage(pools.pool_text(cur))
+    retrieval = pool.select("pool_text", "sentence_id")
+    c = crowd(spark, sf, pool).select("text", "worker", "label")
     expert = vt.expert_votes(tb.raters(spark, sf).select("sentence_id", "score"))
     return cut_lineage(vt.consolidate(expert, c, retrieval, cur))
 
