@@ -157,6 +157,16 @@ def task_text(agg: DataFrame, results: DataFrame) -> DataFrame:
     return agg.join(results.select("task", "text").distinct(), "task", "left")
 
 
+def text_join(left: DataFrame, right: DataFrame, text: str = "text", how: str = "inner") -> DataFrame:
+    """Equi-join on a long text column with ``xxhash64(text)`` as the leading
+    key: a sort-merge join then orders and compares 64-bit hashes, and the
+    full strings only on hash ties; equality on the text itself keeps the
+    result exact."""
+    lh = left.withColumn("_th", F.xxhash64(text))
+    rh = right.withColumn("_th", F.xxhash64(text))
+    return lh.join(rh, ["_th", text], how).drop("_th")
+
+
 def retrieve_ids(results: DataFrame, retrieval: DataFrame, how: str = "inner",
                  text: str = "text", id_col: str = "sentence_id") -> DataFrame:
     """Map result texts to ids via the pool's (pool_text -> id) table.
@@ -165,7 +175,7 @@ def retrieve_ids(results: DataFrame, retrieval: DataFrame, how: str = "inner",
     many, as in the reference); with ``how='inner'`` misses are dropped."""
     left = results.withColumn(text, tx.drop_carriage_returns(text))
     right = retrieval.select(tx.drop_carriage_returns("pool_text").alias(text), id_col)
-    return left.join(right, text, how)
+    return text_join(left, right, text, how)
 
 
 def attach_attributes(labels: DataFrame, sentences: DataFrame, key: str = "task") -> DataFrame:
@@ -194,7 +204,7 @@ def consolidate(expert: DataFrame, crowd: DataFrame, retrieval: DataFrame,
     texts = sentences.select(F.col("sentence_id").alias("task"), "text")
     with_text = all_votes.join(texts, "task")
     canon = canonical_task(with_text)
-    keyed = (with_text.join(canon, "text")
+    keyed = (text_join(with_text, canon, "text")
              .select(F.col("canonical_task").alias("task"), "worker", "label"))
     agg = wawa(keyed).withColumnRenamed("label", "score")
     attrs = sentences.select(F.col("sentence_id").alias("task"), "text", "domain", "date", "paper_id")
