@@ -118,3 +118,10 @@ def test_html_sink_one_folder_per_article(spark, tmp_path):
     back = {r.article_id: r.value for r in spark.read.text(out, wholetext=True).collect()}
     assert set(back) == {7, 8}
     assert "<h1>T</h1>" in back[7] and '<img src="http://x/i.png">' in back[8]
+
+
+def test_weighted_vote_rounds(spark):
+    v = tb.votes(spark, SF_CHECK)
+    one, two = vt.wawa(v, 1), vt.wawa(v, 2)
+    assert two.count() == one.count() == v.select("task").distinct().count()
+    assert two.select("label").distinct().count() <= 4
