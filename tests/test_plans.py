@@ -78,3 +78,11 @@ def test_filters_and_columns_reach_the_scan(spark):
     # only the needed event columns are read
     scan = [line for line in plan.splitlines() if "ReadSchema" in line][0]
     assert "ts" not in scan.split("ReadSchema")[1] and "props" not in scan
+
+
+def test_top_n_per_class_limits_before_the_shuffle(spark):
+    from tessera.operators import datasets as ds
+
+    df = spark.range(5000).selectExpr("id as task", "cast(id % 4 as int) as score")
+    plan = _plan(ds.first_per_class(df, 100, ["task"]))
+    assert "WindowGroupLimit" in plan and "Partial" in plan
