@@ -2,10 +2,11 @@
 
 ``Window.orderBy(...)`` with no partition key moves every row into one task
 (``Exchange SinglePartition``). Here the rows are range-partitioned on the
-full (unique) order key instead, so a hot value of the leading key is split
-across tasks like any other range. Each task computes the running total of
-its own contiguous slice with Arrow batches; the per-slice totals (one row
-per partition, a bound fixed by the partition count, not by the data) are
+full (unique) order key instead, into at most ``spark.sql.shuffle.partitions``
+slices (AQE may merge adjacent ones), so a hot value of the leading key is
+split across tasks like any other range. Each task computes the running
+total of its own contiguous slice with Arrow batches; the per-slice totals
+(one row per slice: a bound fixed by configuration, not by the data) are
 prefix-summed and broadcast back as offsets.
 
 The stamped slice table is materialised once so the totals pass and the
@@ -65,13 +66,16 @@ def running_total(df: DataFrame, order: Sequence[Column | str], value: Column |
     ``order`` must be a total order (end with a unique key). ``inclusive``
     selects whether a row's own value is part of its total.
     """
-    spark = df.sparkSession
-    n = num_slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     val = F.col(value) if isinstance(value, str) else value
-    staged = (df.withColumn("_val", F.coalesce(val.cast("long"), F.lit(0)))
-              .repartitionByRange(n, *order_cols)
-              .sortWithinPartitions(*order_cols))
+    keyed = df.withColumn("_val", F.coalesce(val.cast("long"), F.lit(0)))
+    # Without an explicit count the range exchange may be coalesced by AQE,
+    # which only merges adjacent ranges: slices stay contiguous and ordered,
+    # and their number follows the data size. The stamped table below is
+    # materialised, so every consumer sees the same slices.
+    ranged = (keyed.repartitionByRange(num_slices, *order_cols) if num_slices
+              else keyed.repartitionByRange(*order_cols))
+    staged = ranged.sortWithinPartitions(*order_cols)
     schema = T.StructType(staged.schema.fields + [
         T.StructField(_PART, T.IntegerType(), False),
         T.StructField(_LOCAL, T.LongType(), False),
