@@ -564,7 +564,7 @@ cte("pair_split", ("consensus",), ordered_split_sql("consensus", "pair_id"))
 SQL["multitask_corpus"] = with_views("""
   SELECT task_name, type, num_labels, split, text, score,
          (type <> 'classification' OR (score >= 0 AND score < num_labels)) AND score IS NOT NULL AS valid
-  FROM (SELECT 'nsdc' AS task_name, 'classification' AS type, 4 AS num_labels, split, text,
+  FROM (SELECT 'subjectivity' AS task_name, 'classification' AS type, 4 AS num_labels, split, text,
                CAST(score AS DOUBLE) AS score FROM lab_split
         UNION ALL SELECT 'quality', 'classification', 2, split, text, CAST(score AS DOUBLE) FROM doc_split
         UNION ALL SELECT 'pairs', 'regression', 1, split, text, score FROM pair_split)""",

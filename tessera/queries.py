@@ -352,17 +352,17 @@ def tfidf_logreg(spark, sf):
 
 
 TASKS = (
-    {"name": "nsdc", "type": "classification", "num_labels": 4},
+    {"name": "subjectivity", "type": "classification", "num_labels": 4},
     {"name": "quality", "type": "classification", "num_labels": 2},
     {"name": "pairs", "type": "regression", "num_labels": 1},
 )
 
 
 def multitask(spark, sf):
-    nsdc = labelled_split(spark, sf).select("split", "text", "score")
+    subjectivity = labelled_split(spark, sf).select("split", "text", "score")
     quality = doc_split(spark, sf).select("split", "text", "score")
     pairs = ds.ordered_split(consensus_labels(spark, sf), ["pair_id"]).select("split", "text", "score")
-    return ds.multitask_corpus(list(zip(TASKS, (nsdc, quality, pairs))))
+    return ds.multitask_corpus(list(zip(TASKS, (subjectivity, quality, pairs))))
 
 
 @register("multitask_corpus")
