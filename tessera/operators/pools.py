@@ -109,3 +109,24 @@ def pool_rows(sent: DataFrame, pools: Sequence[str] | None = None) -> DataFrame:
     if pools:
         assigned = assigned.filter(F.col("pool").isin(list(pools)))
     return pool_text(assigned).select("pool", "paper_id", "sentence_id", "pool_text")
+
+
+# Column names of the crowd platform's pool files.
+POOL_TEXT_COL, POOL_GOLD_COL = "INPUT:text", "GOLDEN:is_subjective"
+
+
+def write_pools(pool: DataFrame, path: str, gold: DataFrame | None = None,
+                with_ids: bool = False, mode: str = "overwrite") -> None:
+    """M13 + S9: write every pool in one pass as headed TSV, one
+    ``pool=<name>/`` folder each; ``gold`` (J7 output) adds the gold column,
+    ``with_ids`` keeps ``sentence_id`` (the retrieval variant)."""
+    out = pool
+    cols = [F.col("pool"), F.col("pool_text").alias(POOL_TEXT_COL)]
+    if gold is not None:
+        out = gold_lookup(out, gold)
+        cols.append(F.col("gold").alias(POOL_GOLD_COL))
+    if with_ids:
+        cols.append(F.col("sentence_id"))
+    (out.select(*cols).write.mode(mode).partitionBy("pool")
+     .option("header", True).option("sep", "\t").option("quote", '"').option("escape", '"')
+     .csv(path))

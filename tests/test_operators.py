@@ -125,3 +125,21 @@ def test_weighted_vote_rounds(spark):
     one, two = vt.wawa(v, 1), vt.wawa(v, 2)
     assert two.count() == one.count() == v.select("task").distinct().count()
     assert two.select("label").distinct().count() <= 4
+
+
+def test_pool_files_one_folder_per_pool(spark, tmp_path):
+    from tessera.sources import files
+
+    sent = spark.createDataFrame([(p, p * 10 + i, f"s{p}{i}.") for p in range(10) for i in range(3)],
+                                 "paper_id long, sentence_id long, text string")
+    pool = pools.pool_text(pools.assign_pools(sent))
+    gold = spark.createDataFrame([(0, 4), (1, 2)], "sentence_id long, score int")
+    out = str(tmp_path / "pools")
+    pools.write_pools(pool, out, gold=gold, with_ids=True)
+    back = files.read_csv(spark, out, "`INPUT:text` string, `GOLDEN:is_subjective` int, sentence_id long, pool string",
+                          sep="\t")
+    counts = {r.pool: r.n for r in back.groupBy("pool").agg(F.count("*").alias("n")).collect()}
+    assert counts == {"honeypot": 9, "pilot": 15, "full": 6}
+    g = {r.sentence_id: r["GOLDEN:is_subjective"] for r in back.collect()}
+    assert g[0] == 4 and g[1] == 2 and g[2] is None
+    assert back.filter(F.col("sentence_id") == 1).first()["INPUT:text"] == "s00. **s01.** s02."
