@@ -208,3 +208,12 @@ def keep_ids(df: DataFrame, key: str, ids: Sequence) -> DataFrame:
     """P8 for a literal id list (an ``In`` predicate Catalyst can push into
     the scan); for id tables use the semi/anti joins."""
     return df.filter(F.col(key).isin(list(ids)))
+
+
+def write_splits(df: DataFrame, path: str, cols: Sequence[str] = ("text", "score"),
+                 split: str = "split", mode: str = "overwrite") -> None:
+    """S9 for split corpora: one headed CSV folder per split
+    (``split=train|val|test``) written in one pass; M8 reads them back by
+    partition (``split`` is a partition column, so a per-split read prunes)."""
+    (df.select(*cols, split).write.mode(mode).partitionBy(split)
+     .option("header", True).option("quote", '"').option("escape", '"').csv(path))

@@ -143,3 +143,15 @@ def test_pool_files_one_folder_per_pool(spark, tmp_path):
     g = {r.sentence_id: r["GOLDEN:is_subjective"] for r in back.collect()}
     assert g[0] == 4 and g[1] == 2 and g[2] is None
     assert back.filter(F.col("sentence_id") == 1).first()["INPUT:text"] == "s00. **s01.** s02."
+
+
+def test_split_files_round_trip(spark, tmp_path):
+    from tessera.sources import files
+
+    df = spark.createDataFrame([(i, f'line "{i}"\nmore', float(i % 3)) for i in range(60)], "id long, text string, score double")
+    s = ds.ordered_split(df, ["id"])
+    out = str(tmp_path / "corpus")
+    ds.write_splits(s, out)
+    back = files.read_csv(spark, out, "text string, score double, split string")
+    assert back.count() == 60
+    assert back.filter("split = 'test'").count() == 12
