@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from tessera.functions import text as tx
 from tessera.plans import prefix
 from tessera.session import cut_lineage
-from tessera.sources.tables import number_sentences
 
 # Reference defaults.
 MIN_SENTENCES = 5
@@ -23,7 +22,6 @@ MIN_SOURCE_ARTICLES = 100
 SENTENCE_BUDGET = 20000
 
 
-
 def curation_order() -> list[Column]:
     """Newest first, then domain descending; ties by text, then id."""
     return [F.col("date").desc(), F.col("domain").desc(), F.col("text").asc(), F.col("paper_id").asc()]
@@ -37,12 +35,6 @@ def drop_blank(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return out.na.drop("any", subset=list(cols))
 
 
-def with_sentence_split(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """F1 + F8: sentence array and its length."""
-    return (df.withColumn("sents", tx.split_sentences(text_col))
-            .withColumn("length", F.size("sents")))
-
-
 def min_length(df: DataFrame, n: int = MIN_SENTENCES, length_col: str = "length") -> DataFrame:
     """Keep articles with at least ``n`` sentences."""
     return df.filter(F.col(length_col) >= n)
@@ -130,8 +122,3 @@ def curated_sentences(articles: DataFrame, **kw) -> DataFrame:
                         F.posexplode(tx.split_sentences("text")).alias("pos", "sentence"))
             .select("paper_id", "domain", "date", F.col("sentence").alias("text"),
                     (F.col("first_sentence") + F.col("pos")).alias("sentence_id")))
-
-
-def number_articles(art: DataFrame, order: Sequence[Column | str] = ("paper_id",)) -> DataFrame:
-    """W2 on an article table with a ``sents`` array column."""
-    return number_sentences(art, list(order))
