@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.session import cut_lineage
 
 # Worker id given to the expert rater, F1 cut for workers,
 # rounding used to compare floating weight sums.
@@ -42,9 +43,7 @@ def majority_vote(votes: DataFrame, key: str = "task") -> DataFrame:
     return _pick_max(vote_counts(votes, (key, "label")), key, "n")
 
 
-def worker_skill(votes: DataFrame, truth: DataFrame) -> DataFrame:
-    """A10: share of each worker's votes that agree with ``truth(task, label)``."""
-    per = vote_counts(votes, ("task", "worker", "label"))
+def _skill_from_counts(per: DataFrame, truth: DataFrame) -> DataFrame:
     t = truth.select("task", F.col("label").alias("_true"))
     return (per.join(t, "task")
             .groupBy("worker")
@@ -52,24 +51,37 @@ def worker_skill(votes: DataFrame, truth: DataFrame) -> DataFrame:
                   / F.sum("n")).alias("skill")))
 
 
-def weighted_vote(votes: DataFrame, skills: DataFrame) -> DataFrame:
-    """Votes weighted by worker skill; per task the label with the largest
-    (rounded) weight sum, ties -> smallest label."""
-    per = vote_counts(votes, ("task", "worker", "label"))
+def _weighted_from_counts(per: DataFrame, skills: DataFrame) -> DataFrame:
     w = (per.join(skills, "worker")
          .groupBy("task", "label")
          .agg(F.round(F.sum(F.col("n") * F.col("skill")), WEIGHT_DIGITS).alias("weight")))
     return _pick_max(w, "task", "weight")
 
 
+def worker_skill(votes: DataFrame, truth: DataFrame) -> DataFrame:
+    """A10: share of each worker's votes that agree with ``truth(task, label)``."""
+    return _skill_from_counts(vote_counts(votes, ("task", "worker", "label")), truth)
+
+
+def weighted_vote(votes: DataFrame, skills: DataFrame) -> DataFrame:
+    """Votes weighted by worker skill; per task the label with the largest
+    (rounded) weight sum, ties -> smallest label."""
+    return _weighted_from_counts(vote_counts(votes, ("task", "worker", "label")), skills)
+
+
 def wawa(votes: DataFrame, n_rounds: int = 1) -> DataFrame:
     """Majority vote -> worker accuracy against it -> skill-weighted vote.
 
-    ``n_rounds`` > 1 repeats the accuracy/re-vote step on the previous result.
+    The votes are reduced once to ``(task, worker, label, n)`` and that table
+    is cut from its lineage (checkpoint when the session has a folder): the
+    majority counts, the skills and the weighted sums all read it, so the
+    vote table is scanned once. ``n_rounds`` > 1 repeats the accuracy /
+    re-vote step on the previous result.
     """
-    labels = majority_vote(votes)
+    per = cut_lineage(vote_counts(votes, ("task", "worker", "label")))
+    labels = _pick_max(per.groupBy("task", "label").agg(F.sum("n").alias("n")), "task", "n")
     for _ in range(n_rounds):
-        labels = weighted_vote(votes, worker_skill(votes, labels))
+        labels = _weighted_from_counts(per, _skill_from_counts(per, labels))
     return labels
 
 
