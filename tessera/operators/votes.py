@@ -29,6 +29,10 @@ LABELS = (0, 1, 2, 3)
 
 
 def vote_counts(votes: DataFrame, by=("task", "label")) -> DataFrame:
+    """Votes per ``by`` key. Input rows may already carry a multiplicity
+    ``n`` (pre-aggregated votes); it is summed instead of counting rows."""
+    if "n" in votes.columns:
+        return votes.groupBy(*by).agg(F.sum("n").cast("long").alias("n"))
     return votes.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -89,8 +93,7 @@ def worker_f1(votes: DataFrame, truth: DataFrame) -> DataFrame:
     """Per-worker macro-F1 of the worker's labels against ``truth``; classes
     are those present in the worker's gold or predicted labels (J8 + A11)."""
     t = truth.select("task", F.col("label").alias("gold"))
-    pairs = (votes.join(t, "task")
-             .groupBy("worker", "gold", "label").agg(F.count(F.lit(1)).alias("n")))
+    pairs = vote_counts(votes.join(t, "task"), ("worker", "gold", "label"))
     return macro_f1(pairs, "gold", "label", by=("worker",)).withColumnRenamed("macro_f1", "f1")
 
 
@@ -210,14 +213,19 @@ def consolidate(expert: DataFrame, crowd: DataFrame, retrieval: DataFrame,
 
     ``crowd`` has (text, worker, label) with the pool text; ``retrieval`` has
     (pool_text, sentence_id); ``sentences`` the corpus."""
-    mapped = (retrieve_ids(crowd, retrieval)
-              .select(F.col("sentence_id").alias("task"), "worker", "label"))
-    all_votes = expert.unionByName(mapped)
+    # Votes are reduced to (text, worker, label, n) before the many-to-many
+    # text join: a pool text shared by M sentences and voted K times emits
+    # (distinct worker/label pairs) x M rows instead of K x M, with the same
+    # multiplicities.
+    crowd_counts = vote_counts(crowd, ("text", "worker", "label"))
+    mapped = (retrieve_ids(crowd_counts, retrieval)
+              .select(F.col("sentence_id").alias("task"), "worker", "label", "n"))
+    all_votes = expert.withColumn("n", F.lit(1).cast("long")).unionByName(mapped)
     texts = sentences.select(F.col("sentence_id").alias("task"), "text")
     with_text = all_votes.join(texts, "task")
     canon = canonical_task(with_text)
     keyed = (text_join(with_text, canon, "text")
-             .select(F.col("canonical_task").alias("task"), "worker", "label"))
+             .select(F.col("canonical_task").alias("task"), "worker", "label", "n"))
     agg = wawa(keyed).withColumnRenamed("label", "score")
     attrs = sentences.select(F.col("sentence_id").alias("task"), "text", "domain", "date", "paper_id")
     return agg.join(attrs, "task", "left")

@@ -155,3 +155,12 @@ def test_split_files_round_trip(spark, tmp_path):
     back = files.read_csv(spark, out, "text string, score double, split string")
     assert back.count() == 60
     assert back.filter("split = 'test'").count() == 12
+
+
+def test_pre_aggregated_votes_equal_expanded_votes(spark):
+    rows = [(1, 10, 2, 3), (1, 11, 1, 1), (1, 12, 1, 2), (2, 10, 0, 1), (2, 12, 3, 2), (3, 11, 3, 1)]
+    agg = spark.createDataFrame(rows, "task long, worker long, label int, n long")
+    expanded = spark.createDataFrame([(t, w, l) for t, w, l, n in rows for _ in range(n)],
+                                     "task long, worker long, label int")
+    assert sorted(vt.wawa(agg).collect()) == sorted(vt.wawa(expanded).collect())
+    assert sorted(vt.worker_f1(agg, vt.wawa(agg)).collect()) == sorted(vt.worker_f1(expanded, vt.wawa(expanded)).collect())
