@@ -251,7 +251,8 @@ SQL["votes_task_text"] = with_views("""
   SELECT w.task, w.label, t.text FROM c_wawa w LEFT JOIN (SELECT DISTINCT task, text FROM crowd) t
   ON w.task = t.task""", "c_wawa", "crowd")
 SQL["votes_retrieve_ids"] = with_views("""
-  SELECT r.sentence_id, c.worker, c.label, c.text FROM crowd c
+  SELECT r.sentence_id, c.worker, c.label, c.n FROM
+    (SELECT text, worker, label, count(*) AS n FROM crowd GROUP BY text, worker, label) c
   JOIN retrieval r ON replace(c.text, chr(13), '') = replace(r.pool_text, chr(13), '')""", "crowd", "retrieval")
 SQL["votes_attach_attributes"] = with_views("""
   SELECT w.task, w.label, s.paper_id, s.domain, s.date, s.pos, s.text

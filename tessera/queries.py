@@ -104,7 +104,8 @@ def votes_task_text(spark, sf):
 def votes_retrieve_ids(spark, sf):
     pool = pool_all(spark, sf)
     retrieval = pool.select("pool_text", "sentence_id")
-    return vt.retrieve_ids(crowd(spark, sf, pool), retrieval).select("sentence_id", "worker", "label", "text")
+    votes = vt.vote_counts(crowd(spark, sf, pool), ("text", "worker", "label"))
+    return vt.retrieve_ids(votes, retrieval).select("sentence_id", "worker", "label", "n")
 
 
 @register("votes_attach_attributes")
