@@ -126,9 +126,11 @@ def macro_f1(pairs: DataFrame, gold: str, pred: str, by=()) -> DataFrame:
 def unaligned_workers(votes: DataFrame, truth: DataFrame | None = None,
                       threshold: float = WORKER_F1_THRESHOLD) -> DataFrame:
     """Workers whose macro-F1 against the aggregated label is below
-    ``threshold`` (the argument is honoured)."""
-    truth = truth if truth is not None else wawa(votes)
-    return worker_f1(votes, truth).filter(F.col("f1") < threshold)
+    ``threshold`` (the argument is honoured). The votes are pre-aggregated
+    once; the weighted vote and the F1 pass both read that table."""
+    per = cut_lineage(vote_counts(votes, ("task", "worker", "label")))
+    truth = truth if truth is not None else wawa(per)
+    return worker_f1(per, truth).filter(F.col("f1") < threshold)
 
 
 def label_distribution(agg: DataFrame, label: str = "label") -> DataFrame:
