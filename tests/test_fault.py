@@ -2,14 +2,17 @@ import os
 import subprocess
 import sys
 
+import pytest
 
-def test_prefix_survives_failed_tasks(tmp_path):
+
+@pytest.mark.parametrize("mode", ["checkpoint", "no-checkpoint"])
+def test_prefix_survives_failed_tasks(tmp_path, mode):
     """Every slice task fails once; Spark retries it from the shuffle output
-    and the running totals are still exact."""
+    and the running totals are still exact (checkpointed or persisted slices)."""
     flags = tmp_path / "flags"
     flags.mkdir()
     script = os.path.join(os.path.dirname(__file__), "fault_job.py")
-    out = subprocess.run([sys.executable, script, str(flags)], capture_output=True, text=True, timeout=600)
+    out = subprocess.run([sys.executable, script, str(flags), mode], capture_output=True, text=True, timeout=600)
     line = [x for x in out.stdout.splitlines() if x.startswith("RESULT")]
     assert line, out.stderr[-2000:]
     assert "ok=True" in line[0]
