@@ -373,8 +373,20 @@ def multitask_corpus(spark, sf):
 
 @register("per_task_heads")
 def per_task_heads(spark, sf):
+    """M9 + M7: per task and split, accuracy and macro-F1 of the
+    classification heads and RMSE of the regression head."""
     p = md.per_task_heads(multitask(spark, sf).filter("valid"), TASKS)
-    return p.groupBy("task_name", "split").agg(F.count(F.lit(1)).alias("n"))
+    kinds = {t["name"]: t["type"] for t in TASKS}
+    cls = p.filter(F.col("task_name").isin([k for k, v in kinds.items() if v != "regression"]))
+    reg = p.filter(F.col("task_name").isin([k for k, v in kinds.items() if v == "regression"]))
+    c = mt.evaluate(cls.withColumn("pred", F.col("pred_d").cast("int")).withColumn("score", F.col("score").cast("int")),
+                    "score", "pred", by=["task_name", "split"])
+    r = reg.groupBy("task_name", "split").agg(
+        F.count(F.lit(1)).alias("n"), F.sqrt(F.avg((F.col("pred_d") - F.col("score")) ** 2)).alias("rmse"))
+    return (c.select("task_name", "split", "n", _r("accuracy", 6).alias("accuracy"),
+                     _r("macro_f1", 6).alias("macro_f1"), F.lit(None).cast("double").alias("rmse"))
+            .unionByName(r.select("task_name", "split", "n", F.lit(None).cast("double").alias("accuracy"),
+                                  F.lit(None).cast("double").alias("macro_f1"), _r("rmse", 6).alias("rmse"))))
 
 
 @register("score_sentences")
