@@ -68,3 +68,14 @@ def test_text_article_file(spark, tmp_path):
     r = arts.select(F.size("paragraphs").alias("n")).first()
     with open(src, encoding="utf-8") as fh:
         assert r.n == sum(1 for line in fh if line.strip())
+
+
+def test_missing_store_counts_as_empty(spark, tmp_path):
+    from tessera.operators import pools
+
+    sent = spark.createDataFrame([(0, i, f"t{i}") for i in range(4)], "paper_id long, sentence_id long, text string")
+    store = str(tmp_path / "store")
+    assert files.read_store(spark, store) is None
+    assert pools.annotation_queue(sent, files.read_store(spark, store)).count() == 4
+    files.append_rows(spark.createDataFrame([(1, 5)], "sentence_id long, score int"), store)
+    assert sorted(r.sentence_id for r in pools.annotation_queue(sent, files.read_store(spark, store)).collect()) == [2, 3]
