@@ -393,7 +393,7 @@ def per_task_heads(spark, sf):
 def score_sentences(spark, sf):
     s = lb.article_sentences(page_articles(spark, sf))
     return md.score_batches(s, md.length_rule_scorer(4), 4, keep=("article_id", "para_no", "sent_no"),
-                            spread=8).select("article_id", "para_no", "sent_no", "pred")
+                            spread=spark.sparkContext.defaultParallelism).select("article_id", "para_no", "sent_no", "pred")
 
 
 # ---------------------------------------------------------------- labelling and sources
@@ -438,7 +438,7 @@ def label_pages(spark, sf):
     arts = page_articles(spark, sf)
     s = lb.article_sentences(arts)
     scored = md.score_batches(s, md.length_rule_scorer(4), 4, keep=("article_id", "para_no", "sent_no"),
-                              spread=8)
+                              spread=spark.sparkContext.defaultParallelism)
     return lb.render(arts, lb.runs(lb.drop_long_predictions(scored, 512)))
 
 
