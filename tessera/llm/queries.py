@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import bpe, token_counts
+from tessera.llm import bpe, simhash, token_counts
 from tessera.llm.common import read_table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,8 @@ def op3_token_counts(spark, sf):
 @register
 def op4_byte_bpe(spark, sf):
     return bpe.round_trip(read_table(spark, sf, "documents"))
+
+
+@register
+def op10_simhash(spark, sf):
+    return simhash.near_duplicates(read_table(spark, sf, "documents"))
