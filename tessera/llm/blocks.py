@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from tessera.llm import common
 
 BLOCK_BYTES = 16 << 20
+BLOCK_DOCS = 1 << 20  # a block of short texts ends here
 DOCS_SLOT = -1
 SCHEMA = "block long, slot int, docs long, words long, payload binary"
 
@@ -150,8 +151,8 @@ def pack(df: DataFrame, text: str, keep: list[str], split: Callable[[str], list]
     stay apart, and null keys are kept.
     """
     keep = list(dict.fromkeys(keep))
-    picked = df.select(F.col(text).alias("_text"), (F.coalesce(F.col(train), F.lit(False))
-                       if train else F.lit(True)).alias("_train"), *keep)
+    picked = df.select(F.col(text).alias("__text"), (F.coalesce(F.col(train), F.lit(False))
+                       if train else F.lit(True)).alias("__train"), *keep)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -167,10 +168,10 @@ def pack(df: DataFrame, text: str, keep: list[str], split: Callable[[str], list]
 
         def flush():
             all_codes = np.concatenate(codes) if codes else np.zeros(0, np.uint32)
-            yield from _flush((part << 32) | serial, ids, all_codes, sizes, np.array(trained, bool), metas, slots)
+            yield from _flush((part << 16) | serial, ids, all_codes, sizes, np.array(trained, bool), metas, slots)
 
         for batch in batches:
-            texts, flags, first = batch.column("_text"), batch.column("_train").to_pylist(), 0
+            texts, flags, first = batch.column("__text"), batch.column("__train").to_pylist(), 0
             for i in range(batch.num_rows):
                 t = texts[i].as_py() or ""
                 ws = split(t)
@@ -178,10 +179,11 @@ def pack(df: DataFrame, text: str, keep: list[str], split: Callable[[str], list]
                 sizes.append(len(ws))
                 trained.append(flags[i])
                 size += len(t)
-                if size >= block_bytes or i == batch.num_rows - 1:
+                full = size >= block_bytes or len(sizes) >= BLOCK_DOCS
+                if full or i == batch.num_rows - 1:
                     metas.append(batch.select(keep).slice(first, i + 1 - first))
                     first = i + 1
-                if size >= block_bytes:
+                if full:
                     yield _rows(list(flush()))
                     serial += 1
                     ids, codes, sizes, trained, metas, size = fresh()

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessera.llm import bpe, simhash, token_counts
+from tessera.llm import bpe, lm, quality, simhash, token_counts
 from tessera.llm.common import read_table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,3 +32,15 @@ def op4_byte_bpe(spark, sf):
 @register
 def op10_simhash(spark, sf):
     return simhash.near_duplicates(read_table(spark, sf, "documents"))
+
+
+@register
+def op9_quality(spark, sf):
+    return quality.quality(read_table(spark, sf, "documents").select("doc_id", "text", "lang"))
+
+
+@register
+def op7_lm_scoring(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    held = docs.withColumn("held_out", lm.held_out(F.col("doc_id"))).withColumn("train", ~F.col("held_out"))
+    return lm.score(held, keep=("doc_id", "held_out"))

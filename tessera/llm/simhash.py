@@ -60,12 +60,12 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprints(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
                  shingle: int = SHINGLE) -> DataFrame:
     """``keep`` columns and ``_fp``, the fingerprint as a signed long."""
-    picked = df.select(*keep, F.col(text).alias("_text"))
+    picked = df.select(*keep, F.col(text).alias("__text"))
     schema = T.StructType([*picked.schema.fields[:-1], T.StructField("_fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("_text")
+            texts = batch.column("__text")
             fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in texts), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fp.view(np.int64))],
                                              [*batch.schema.names[:-1], "_fp"])

@@ -90,14 +90,14 @@ def token_counts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     """``keep`` columns, n_bytes, n_tokens and over_limit of every row."""
     with open(vocabulary or public_tokenizers.path(VOCABULARY), "rb") as f:
         data = df.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file
-    picked = df.select(*keep, F.col(text).alias("_text"))
+    picked = df.select(*keep, F.col(text).alias("__text"))
     schema = T.StructType([*picked.schema.fields[:-1], T.StructField("n_bytes", T.LongType()),
                            T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(Vocabulary.from_json(data.value), pattern, special)
         for batch in batches:
-            column = batch.column("_text")
+            column = batch.column("__text")
             for a, b in _groups([x or "" for x in column.to_pylist()]):
                 texts = [x or "" for x in column.slice(a, b - a).to_pylist()]
                 n = np.array(counter.counts(texts), np.int64)
