@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from tessera.llm import blocks
 from tessera.llm.common import boundary, shuffle_partitions
 
-MU = 4.0
+MU = 1000.0
 LEVEL_BASE = 2.0
 BITS, PROBES = 8, 4  # bits of the filter per item, and places of an item
 PART_BYTES = 48 << 20  # the most of the filter that is broadcast at once

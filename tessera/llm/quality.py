@@ -19,8 +19,6 @@ repeated rows, null ids and null languages stay; other columns are untouched.
 
 from __future__ import annotations
 
-import math
-
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,9 +33,11 @@ MIN_WORDS = 50  # the base rule: shorter documents fail
 MAX_REPEAT_PERCENT = 50
 TOP_WORDS = 64
 MAX_LANGUAGES = 64
-CHAR_LIMIT = 0.20  # largest distance of a kept document
-WORD_LIMIT = 0.60
-WORD_GUARD = 100  # shorter documents are too short for the word histogram
+# Largest distance of a kept document of n words: a + b / sqrt(n). The second
+# part is the distance that sampling alone gives a short clean document.
+CHAR_LIMIT = (0.20, 0.8)
+WORD_LIMIT = (0.28, 1.5)
+WORD_GUARD = 50  # shorter documents are too short for the word histogram
 
 
 def _let(value: Column, body) -> Column:
@@ -206,9 +206,6 @@ def word_distance(hashes: Column, refs: References, shares: Column) -> Column:
                           lambda j: j >= 0)
 
         def runs(at: Column) -> Column:
-            def add(acc: Column, j: Column, r: Column) -> Column:
-                return acc + r
-
             parts = F.transform(at, lambda j, r: _term(
                 (F.coalesce(F.get(at, r + 1), F.size(s)) - j) / n, F.get(shares, F.get(s, j))))
             return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
@@ -222,7 +219,7 @@ def word_distance(hashes: Column, refs: References, shares: Column) -> Column:
 
 
 def judge(df: DataFrame, refs: References, text: str = "text", lang: str = "lang",
-          char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
+          char_limit: tuple[float, float] = CHAR_LIMIT, word_limit: tuple[float, float] = WORD_LIMIT) -> DataFrame:
     """``df`` with the column ``_q``: a struct of counts, distances and verdicts."""
     whole = F.coalesce(F.col(text), F.lit(""))
     words = words_of(F.col(text))
@@ -252,7 +249,8 @@ def judge(df: DataFrame, refs: References, text: str = "text", lang: str = "lang
     dup = _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     q = F.col("_q")
     failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEAT_PERCENT * q["n_words"])
-    good = (q["char_js"] <= char_limit) & (q["word_js"] <= word_limit)
+    root = F.sqrt(F.greatest(q["n_words"], F.lit(1)).cast("double"))
+    good = (q["char_js"] <= char_limit[0] + char_limit[1] / root) & (q["word_js"] <= word_limit[0] + word_limit[1] / root)
     return base.drop("_words").withColumn("_q", F.struct(
         q["n_words"].alias("n_words"), q["word_chars"].alias("word_chars"), q["n_symbols"].alias("n_symbols"),
         dup.cast("long").alias("n_dup_lines"), q["n_repeat_words"].alias("n_repeat_words"),
@@ -270,3 +268,63 @@ def kept_documents(df: DataFrame, text: str = "text", lang: str = "lang") -> Dat
     """The rows of ``df`` that the rules keep."""
     refs = References.learn(df, text, lang)
     return judge(df, refs, text, lang).filter("_q.kept").drop("_q")
+
+
+def _sql_classes(text: str) -> list[str]:
+    return [f"length(regexp_replace({text}, '{p}', '', 'g'))" for p in CLASSES.values()]
+
+
+def _sql_term(p: str, q: str) -> str:
+    return (f"(CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END"
+            f" + CASE WHEN {q} > 0 THEN {q} * log2({q} / (({p} + {q}) / 2)) ELSE 0 END - {q})")
+
+
+_N = len(CLASSES)
+SQL = f"""
+WITH docs AS (SELECT doc_id, lang, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
+split AS (SELECT rid, lang, t, list_filter(string_split_regex(t, '{SPACE}'), lambda w: w <> '') AS ws FROM docs),
+occ AS (SELECT rid, lang, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM split),
+counts AS (SELECT lang, word, count(*) AS n FROM occ GROUP BY ALL),
+large AS (SELECT lang FROM counts WHERE lang IS NOT NULL GROUP BY lang
+          HAVING sum(n) * {MAX_LANGUAGES} >= (SELECT sum(n) FROM counts)),
+keyed AS (SELECT c.lang AS key, c.word, c.n FROM counts c JOIN large USING (lang)
+          UNION ALL SELECT '' AS key, word, n FROM counts),
+vocab AS (SELECT DISTINCT word FROM
+          (SELECT word, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r
+           FROM counts JOIN large USING (lang)) WHERE r <= {TOP_WORDS}),
+totals AS (SELECT key, sum(n) AS n, [{", ".join(f"sum({c} * n)" for c in _sql_classes("word"))},
+           sum((length(word) - ({" + ".join(_sql_classes("word"))})) * n)] AS k FROM keyed GROUP BY key),
+chars AS (SELECT key, list_transform(k, lambda x: x / list_sum(k)) AS q FROM totals),
+shares AS (SELECT v.word, t.key, coalesce(sum(k.n), 0) / t.n AS q FROM vocab v CROSS JOIN (SELECT key, n FROM totals) t
+           LEFT JOIN keyed k ON k.word = v.word AND k.key = t.key GROUP BY v.word, t.key, t.n),
+rest AS (SELECT key, greatest(0, 1 - sum(q)) AS q FROM shares GROUP BY key),
+tri AS (SELECT rid, pos, word || ' ' || lead(word) OVER w || ' ' || lead(word, 2) OVER w AS tri FROM occ
+        WINDOW w AS (PARTITION BY rid ORDER BY pos)),
+twice AS (SELECT rid, pos FROM (SELECT rid, pos, count(*) OVER (PARTITION BY rid, tri) AS c FROM tri
+          WHERE tri IS NOT NULL) WHERE c > 1),
+covered AS (SELECT rid, count(DISTINCT pos + o) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS o) GROUP BY rid),
+lines AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM split),
+base AS (SELECT s.rid, coalesce(l.lang, '') AS key, len(ws) AS n, list_sum(list_transform(ws, lambda w: length(w))) AS wc,
+         {", ".join(f"{c} AS c{i}" for i, c in enumerate(_sql_classes("t")))}, coalesce(c.n, 0) AS rep,
+         len(ls) - len(list_distinct(ls)) AS dup
+         FROM split s LEFT JOIN large l USING (lang) LEFT JOIN covered c USING (rid) JOIN lines USING (rid)),
+shared AS (SELECT b.*, q, [{", ".join(f"c{i} / greatest(wc, 1)" for i in range(_N))},
+           (wc - {" - ".join(f"c{i}" for i in range(_N))}) / greatest(wc, 1)] AS p FROM base b JOIN chars USING (key)),
+char_js AS (SELECT rid, CASE WHEN n < 1 THEN 0 ELSE sqrt(greatest(0, ({" + ".join(
+    _sql_term(f"p[{i + 1}]", f"q[{i + 1}]") for i in range(_N + 1))} + 1) / 2)) END AS js FROM shared),
+present AS (SELECT o.rid, o.word, count(*) AS c FROM occ o JOIN vocab USING (word) GROUP BY ALL),
+parts AS (SELECT p.rid, sum({_sql_term("(p.c / b.n)", "s.q")}) AS x, sum(p.c) AS c FROM present p JOIN base b USING (rid)
+          JOIN shares s ON s.key = b.key AND s.word = p.word GROUP BY p.rid),
+word_js AS (SELECT b.rid, CASE WHEN b.n < {WORD_GUARD} THEN 0 ELSE sqrt(greatest(0, (coalesce(x, 0)
+            + CASE WHEN b.n > coalesce(c, 0) THEN {_sql_term("((b.n - coalesce(c, 0)) / b.n)", "r.q")} ELSE 0 END + 1) / 2))
+            END AS js FROM base b JOIN rest r USING (key) LEFT JOIN parts USING (rid)),
+judged AS (SELECT rid, b.n, coalesce(wc, 0) AS wc, c{list(CLASSES).index("symbol")} AS sym, dup, rep, c.js AS cj, w.js AS wj,
+           b.n < {MIN_WORDS} OR 100 * rep > {MAX_REPEAT_PERCENT} * b.n AS failed
+           FROM base b JOIN char_js c USING (rid) JOIN word_js w USING (rid))
+SELECT doc_id, n::BIGINT AS n_words, wc::BIGINT AS word_chars, sym::BIGINT AS n_symbols, dup::BIGINT AS n_dup_lines,
+       rep::BIGINT AS n_repeat_words, failed AS base_failed,
+       NOT failed AND cj <= {CHAR_LIMIT[0]} + {CHAR_LIMIT[1]} / sqrt(greatest(n, 1))
+           AND wj <= {WORD_LIMIT[0]} + {WORD_LIMIT[1]} / sqrt(greatest(n, 1)) AS kept,
+       round(cj, 4) AS char_js, round(wj, 4) AS word_js
+FROM judged JOIN docs USING (rid)
+"""

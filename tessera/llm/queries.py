@@ -44,3 +44,6 @@ def op7_lm_scoring(spark, sf):
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
     held = docs.withColumn("held_out", lm.held_out(F.col("doc_id"))).withColumn("train", ~F.col("held_out"))
     return lm.score(held, keep=("doc_id", "held_out"))
+
+
+SQL["op9_quality"] = quality.SQL
