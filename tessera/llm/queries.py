@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, lm, quality, simhash, token_counts
+from tessera.llm import bpe, lm, quality, simhash, token_counts, topk
 from tessera.llm.common import read_table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,11 @@ def op7_lm_scoring(spark, sf):
 
 
 SQL["op9_quality"] = quality.SQL
+
+
+@register
+def op8_top_k(spark, sf):
+    return topk.search(read_table(spark, sf, "embeddings"))
+
+
+SQL["op8_top_k"] = topk.SQL
