@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, lm, quality, simhash, token_counts, topk
+from tessera.llm import bpe, line_dedup, lm, quality, simhash, token_counts, topk
 from tessera.llm.common import read_table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,13 @@ def op8_top_k(spark, sf):
 
 
 SQL["op8_top_k"] = topk.SQL
+
+
+@register
+def op6_line_dedup(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "text", F.col("_n_lines").alias("n_lines"),
+                                               F.col("_n_removed").alias("n_removed"))
+
+
+SQL["op6_line_dedup"] = line_dedup.SQL
