@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, line_dedup, lm, quality, simhash, token_counts, topk
+from tessera.llm import bpe, line_dedup, lm, quality, simhash, token_counts, topk, warc
 from tessera.llm.common import read_table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,12 @@ def op6_line_dedup(spark, sf):
 
 
 SQL["op6_line_dedup"] = line_dedup.SQL
+
+
+@register
+def op2_warc(spark, sf):
+    return warc.archive_round_trip(read_table(spark, sf, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL["op2_warc"] = warc.SQL
