@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, line_dedup, lm, quality, simhash, token_counts, topk, warc
+from tessera.llm import bpe, langid, line_dedup, lm, mixing, quality, simhash, token_counts, topk, warc
 from tessera.llm.common import read_table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,14 @@ def op5_langid(spark, sf):
     docs = read_table(spark, sf, "documents").select("doc_id", "text", "lang")
     docs = docs.withColumn("held_out", langid.held_out(F.col("doc_id"))).withColumn("train", ~F.col("held_out"))
     return langid.identify(docs, langid.learn(docs), keep=("doc_id", "held_out"))
+
+
+@register
+def op1_mixing(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text", "source", "lang")
+    return mixing.mixed_documents(docs).select(
+        "doc_id", "source", "lang", "topic", F.col("_tokens").alias("n_tokens"), F.round("_weight", 6).alias("weight"),
+        F.round("_prob", 6).alias("prob"), F.col("_sampled").alias("sampled"))
+
+
+SQL["op1_mixing"] = mixing.SQL
