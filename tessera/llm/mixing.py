@@ -148,8 +148,10 @@ FRACTION = 0.6
 
 
 def mixed_documents(docs: DataFrame, targets: dict = TARGETS, fraction: float = FRACTION) -> DataFrame:
-    """Documents with their size class as ``topic``, mixed to ``targets``."""
-    return mix(docs.withColumn("topic", topic_by_size(tokens(F.col("text")))), targets, fraction)
+    """Documents mixed to ``targets``, with their size class as ``topic`` unless they have one."""
+    if "topic" not in docs.columns:
+        docs = docs.withColumn("topic", topic_by_size(tokens(F.col("text"))))
+    return mix(docs, targets, fraction)
 
 
 def _sql() -> str:
