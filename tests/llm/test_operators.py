@@ -1,0 +1,298 @@
+"""Each operator against brute force, and its defined results for odd rows."""
+
+import collections
+import gzip
+import io
+import random
+import zlib
+
+import brute
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.llm import bpe, langid, line_dedup, lm, mixing, quality, simhash, token_counts, topk, warc
+from tessera.llm.common import read_table
+from tessera.llm.components import components
+
+SF = "/root/testdata/sf0.001"
+random.seed(5)
+ODD = ["", "a" * 3000, "aaaa bbbb  \n\n  ", "日本語テキスト" * 50, "<|endoftext|>x<|endoftext|>", "   ", "é" * 999,
+       "'s'll we're I'D", "".join(random.choice("abcdefgh \n'1é日") for _ in range(20_000)),
+       "".join(random.choice("etaoinshr") for _ in range(5_000)), " " * 500, "\x00\x01", None, "x y", "x y"]
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r["doc_id"]: r["text"] for r in read_table(spark, SF, "documents").select("doc_id", "text").collect()}
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    rows = [(None if i == 12 else i, t, i, "n", "w") for i, t in enumerate(ODD)]
+    return spark.createDataFrame(rows, "doc_id long, text string, n int, word string, fp string")
+
+
+# ---------------------------------------------------------------- 3 and 4
+def test_token_counts(spark, texts, odd):
+    library = brute.library_counter()
+
+    def expect(t):
+        return len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)
+
+    for r in token_counts.token_counts(read_table(spark, SF, "documents")).collect():
+        assert (r["n_bytes"], r["n_tokens"]) == expect(texts[r["doc_id"]])
+        assert r["over_limit"] == (r["n_tokens"] > 512)
+    got = token_counts.token_counts(odd, keep=("doc_id", "n", "word")).collect()
+    assert len(got) == len(ODD)
+    for r in got:
+        assert (r["n_bytes"], r["n_tokens"]) == expect(ODD[r["n"]])
+    assert token_counts.token_counts(odd.limit(0)).collect() == []
+
+
+def test_bpe_round_trip(spark, texts, odd):
+    library = brute.library_encoder()
+    for r in bpe.round_trip(read_table(spark, SF, "documents"), block_bytes=100_000).collect():
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == brute.digests(library, texts[r["doc_id"]])
+    ids = bpe.encode(odd, keep=("n", "word"))
+    assert {r["n"]: list(r["ids"]) for r in ids.collect()} == {
+        i: library.encode_ordinary(t or "") for i, t in enumerate(ODD)}
+    for r in bpe.decode(ids).collect():
+        assert bytes(r["decoded"]) == (ODD[r["n"]] or "").encode()
+    assert bpe.round_trip(odd.limit(0)).collect() == []
+
+
+# ---------------------------------------------------------------- 10
+def test_simhash_components(spark, texts):
+    got = simhash.near_duplicates(read_table(spark, SF, "documents")).collect()
+    ids = sorted(texts)
+    prints = [brute.fingerprint(texts[i]) for i in ids]
+    root = {i: ids[r] for i, r in zip(ids, brute.components(prints))}
+    assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in got} == {
+        i: (f"{p:016x}", root[i]) for i, p in zip(ids, prints)}
+
+
+@pytest.mark.parametrize("bucket_rows", [20_000, 40])
+def test_simhash_links_of_dense_groups(spark, bucket_rows):
+    rng = np.random.default_rng(0)
+    prints = set()
+    for centre in rng.integers(0, 2**63, 6):
+        for _ in range(120):
+            x = int(centre)
+            for b in rng.integers(0, 64, rng.integers(0, 6)):
+                x ^= 1 << int(b)
+            prints.add(x)
+    prints = sorted(prints)
+    signed = [x - (1 << 64) if x >> 63 else x for x in prints]
+    found = components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), 4, bucket_rows))
+    root = {r["node"]: r["root"] for r in found.collect()}
+    got, want = collections.defaultdict(set), collections.defaultdict(set)
+    for i, (s, k) in enumerate(zip(signed, brute.components(prints))):
+        got[root.get(s, s)].add(i)
+        want[k].add(i)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
+def test_simhash_odd_rows(spark, odd):
+    df = spark.createDataFrame([(1, "a b c d e"), (2, "A b\tc d e"), (None, "a b c d e"), (None, None), (None, ""),
+                                (5, "x"), (5, "x")], "doc_id long, text string")
+    got = simhash.near_duplicates(df).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in got) == [
+        (0, 0), (0, 0), (0, 1), (1, 1), (2, 1), (5, 5), (5, 5)]
+    kept = simhash.one_of_each(df).collect()
+    assert sorted((r["doc_id"] or 0) for r in kept) == [0, 1, 5]
+    assert simhash.near_duplicates(df.limit(0)).collect() == [] and simhash.one_of_each(df.limit(0)).collect() == []
+    assert simhash.one_of_each(odd).columns == odd.columns
+    assert simhash.near_duplicates(odd).count() == len(ODD)
+
+
+# ---------------------------------------------------------------- 9
+def test_quality_counts(spark, texts, odd):
+    for r in quality.quality(read_table(spark, SF, "documents")).collect():
+        n, wc, sym, dup, rep = brute.base_quality(texts[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (
+            n, wc, sym, dup, rep)
+        assert r["base_failed"] == (n < 50 or 100 * rep > 50 * n)
+        assert not (r["kept"] and r["base_failed"])
+    rows = odd.withColumn("lang", F.lit(None).cast("string"))
+    for r in quality.quality(rows, keep=("n",)).collect():
+        assert r["n_words"] == len(brute.words(ODD[r["n"]]))
+    assert quality.quality(rows.limit(0)).collect() == []
+    assert quality.kept_documents(rows).columns == rows.columns
+
+
+def test_quality_keeps_clean_drops_noise(spark):
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents")
+    labels = read_table(spark, "/root/testdata/sf0.01", "labels")
+    r = {(x["quality"], x["kept"]): x["count"] for x in quality.quality(docs).filter("not base_failed")
+         .join(labels, "doc_id").groupBy("quality", "kept").count().collect()}
+    assert r.get((1, False), 0) <= 0.01 * r[(1, True)]
+    assert r.get((0, True), 0) <= 0.2 * (r.get((0, True), 0) + r[(0, False)])
+
+
+def test_perfect_hash_finds_every_word():
+    codes = [quality._signed_hash(f"w{i}") for i in range(500)]
+    shift, slots = quality.perfect_hash(codes)
+    for i, h in enumerate(codes):
+        assert slots[((h >> 20) + shift[h % len(shift)]) % len(slots)] == i
+
+
+# ---------------------------------------------------------------- 7
+def test_lm_against_exact_counts(spark, texts):
+    docs = read_table(spark, SF, "documents").select("doc_id", "text")
+    marked = docs.withColumn("train", ~lm.held_out(F.col("doc_id")))
+    got = {r["doc_id"]: r for r in lm.score(marked, block_bytes=100_000).collect()}
+    ids = sorted(texts)
+    rows = [(texts[i], zlib.crc32(str(i).encode()) % 7 != 2) for i in ids]
+    want = brute.lm_scores(rows, lm.MU, lm.level_count)
+    total = 0.0
+    for i, k in enumerate(ids):
+        n, known, train, base, exact = want[i]
+        r = got[k]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, train)
+        assert r["base_score"] == pytest.approx(base, rel=1e-9)
+        assert r["score"] >= exact - 1e-6  # the filter has no false negative
+        total += r["score"] - exact
+    assert total / sum(w[0] for w in want.values()) < 0.02  # few false positives
+    parts = {r["doc_id"]: r["score"] for r in lm.score(marked, part_bytes=5_000, shard_bits=5).collect()}
+    whole = {r["doc_id"]: r["score"] for r in lm.score(marked, shard_bits=5).collect()}
+    assert parts == pytest.approx(whole)
+
+
+def test_lm_odd_rows(spark, odd):
+    df = spark.createDataFrame([(1, None, True), (None, "A b", False), (2, "", None), (2, "a b a b" * 500, True)],
+                               "doc_id long, text string, train boolean")
+    got = lm.score(df).collect()
+    assert sorted(r["n_tokens"] for r in got) == [1, 1, 3, 1502]
+    assert lm.score(df.limit(0)).collect() == []
+    assert {r["score"] for r in lm.score(df.withColumn("train", F.lit(False))).collect()} == {0.0}
+    assert lm.score(odd.withColumn("train", F.lit(True)), keep=("doc_id", "n", "word")).count() == len(ODD)
+
+
+# ---------------------------------------------------------------- 8
+def test_top_k(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(1500, 16)) * rng.exponential(1, size=(1500, 1))
+    x[100:400] = x[100]  # ties
+    x = x.astype(np.float32)
+    rows = [(i, [float(y) for y in v]) for i, v in enumerate(x)]
+    rows += [(-50, [9.0] * 16), (5150, [1.0, 2.0])]
+    good = {**dict(rows), 5250: []}  # an empty vector is a zero vector
+    rows += [(None, [1.0]), (5000, None), (5050, [float("nan")] * 16), (5100, [None] * 16), (5150, [1.0, 2.0]),
+             (5200, [float("inf")]), (5250, [])]
+    df = spark.createDataFrame([(a, b, "x") for a, b in rows], "vec_id long, embedding array<float>, id string")
+    for sizes in ({}, {"block": 100, "query_block": 8, "seeds": 10}):
+        assert {tuple(r) for r in topk.search(df, **sizes).collect()} == brute.top_k(good)
+    assert topk.search(df.limit(0)).collect() == []
+    assert topk.search(df.filter("vec_id = 3")).collect() == []
+
+
+# ---------------------------------------------------------------- 2
+def test_warc_round_trip(spark):
+    big = "x\r\n\r\nWARC/1.1" * 300
+    rows = [(1, "u", big), (2, None, big), (2, "v", big), (None, "w", big), (3, "a b\n", None), (4, "", "short"),
+            (5, "", "short"), (6, "é", "y" * 3_000_000)]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, digest string")
+    got = [(r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"])
+           for r in warc.archive_round_trip(df, archive_bytes=2000).collect()]
+    assert sorted(got, key=str) == sorted([
+        (1, 3900, "revisit", 2), (2, 3900, "response", None), (2, 3900, "response", None), (None, 3900, "revisit", 2),
+        (3, 0, "response", None), (4, 5, "response", None), (5, 5, "response", None),
+        (6, 3_000_000, "response", None)], key=str)
+    assert warc.archive_round_trip(df.limit(0)).collect() == []
+
+
+def test_warc_index_points_at_members(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"u{i}", "p" * i) for i in range(40)], "page_id long, url string, html string")
+    whole = warc.write_archives(warc.with_targets(df), f"file://{tmp_path}/whole")
+    index = warc.normalise(whole, f"file://{tmp_path}/records", 2).collect()
+    assert len(index) == 40
+    for r in index:
+        with open(r["archive"].removeprefix("file://"), "rb") as f:
+            f.seek(r["offset"])
+            record = gzip.decompress(f.read(r["length"]))
+        assert record.startswith(b"WARC/1.1") and r["record_id"].encode() in record
+    listed = sum(len(p.read_text().splitlines()) for p in (tmp_path / "records").glob("*.index.jsonl"))
+    assert listed == 40
+
+
+def test_warc_stream_pieces():
+    records = [warc.record_bytes(i, "u", random.randbytes(random.randint(0, 3000)), "00" * 20, None) for i in range(20)]
+    for data in (gzip.compress(b"".join(records)), b"".join(map(gzip.compress, records))):
+        for piece in (1, 7, 1 << 16):
+            assert [h + b"".join(b) for h, _, b in warc.RecordStream(io.BytesIO(data), piece)] == records
+    with pytest.raises(ValueError):
+        list(warc.RecordStream(io.BytesIO(gzip.compress(b"".join(records))[:-300])))
+
+
+# ---------------------------------------------------------------- 5
+def test_langid(spark, odd):
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    marked = docs.withColumn("held_out", langid.held_out(F.col("doc_id"))).withColumn("train", ~F.col("held_out"))
+    model = langid.learn(marked)
+    got = langid.identify(marked.filter("held_out"), model).join(docs, "doc_id").collect()
+    assert np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.97
+    assert all(0 <= r["score"] <= 1 for r in got)
+    for r in langid.identify(odd, model, keep=("n", "word")).collect():
+        t = ODD[r["n"]]
+        assert (r["lang_pred"] == "und") == (t is None or not any(c.isalpha() for c in t))
+    assert langid.identify(odd.limit(0), model).collect() == []
+    none = marked.withColumn("lang", F.lit(None).cast("string"))
+    assert langid.learn(none) is None
+    assert {r["lang_pred"] for r in langid.identify(none, None).collect()} == {"und"}
+
+
+# ---------------------------------------------------------------- 6
+def test_line_dedup(spark, texts):
+    docs = read_table(spark, SF, "documents").select("doc_id", "text")
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert got == brute.cut_lines(texts)
+    small = {2: "a\nb\nc\nd\ne", 1: "x\nb\nc\n\nd\ny\n", 3: "a\na\na\na\na\nq", 5: "", 6: "one\ntwo",
+             7: "b\n \nc\nd\nz\nx\nb\nc", 8: "p\nq\nr\ns\n" * 400}
+    df = spark.createDataFrame(list(small.items()), "doc_id long, text string")
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()} == brute.cut_lines(small)
+
+
+def test_line_dedup_odd_rows(spark, odd):
+    df = spark.createDataFrame([(1, "a\nb\nc"), (None, "a\nb\nc"), (None, "p\nq\nr"), (4, None), (7, "k\nl\nm"),
+                                (7, "k\nl\nm")], "doc_id long, text string")
+    got = [(r["doc_id"], r["text"]) for r in line_dedup.dedup_lines(df).collect()]
+    assert sorted(got, key=str) == sorted([(1, "a\nb\nc"), (None, ""), (None, "p\nq\nr"), (4, None), (7, "k\nl\nm"),
+                                           (7, "k\nl\nm")], key=str)
+    assert line_dedup.dedup_lines(df.limit(0)).collect() == []
+    assert line_dedup.dedup_lines(odd).columns == [*odd.columns, "_n_lines", "_n_removed"]
+
+
+# ---------------------------------------------------------------- 1
+def test_mixing_marginals(spark):
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents")
+    mixed = mixing.mixed_documents(docs)
+    expected = F.sum(F.col("_tokens") * F.col("_prob") * F.col("_weight"))
+    total = mixed.agg(expected).first()[0]
+    for column in ("source", "lang"):
+        for r in mixed.groupBy(column).agg(expected.alias("x")).collect():
+            assert r["x"] / total == pytest.approx(mixing.TARGETS[column][r[column]], rel=1e-3)
+    kept = mixed.agg(F.sum(F.col("_tokens") * F.col("_prob")) / F.sum("_tokens")).first()[0]
+    assert kept == pytest.approx(mixing.FRACTION, rel=1e-6)
+
+
+def test_mixing_odd_rows(spark, odd):
+    df = spark.createDataFrame([(1, "a b", "src0", "en"), (None, "a b", "src0", None), (2, None, None, "xx"),
+                                (2, None, None, "xx"), (3, "", "src1", "de")],
+                               "doc_id long, text string, source string, lang string")
+    got = mixing.mixed_documents(df).collect()
+    assert len(got) == 5 and all(r["_prob"] == 0 and not r["_sampled"] for r in got if not r["_tokens"])
+    assert mixing.mixed_documents(df.limit(0)).collect() == []
+
+
+def test_rake_reaches_every_margin():
+    rng = np.random.default_rng(1)
+    cells = [(a, b, float(n)) for a in "xyz" for b in "pq" for n in [rng.integers(1, 100)]]
+    w = mixing.rake(cells, [{"x": 0.5, "y": 0.3, "z": 0.2}, {"p": 0.9, "q": 0.1}])
+    for d, goal in enumerate(({"x": 0.5, "y": 0.3, "z": 0.2}, {"p": 0.9, "q": 0.1})):
+        for k, v in goal.items():
+            assert sum(x for c, x in zip(cells, w) if c[d] == k) == pytest.approx(v)
+    n = np.array([c[-1] for c in cells])
+    p, weight = mixing.probabilities(n, w, 0.7)
+    assert (p * n).sum() == pytest.approx(0.7 * n.sum()) and (p <= 1).all()
+    assert p * weight * n / (p * weight * n).sum() == pytest.approx(w)
