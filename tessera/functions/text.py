@@ -6,15 +6,11 @@ whole-stage code generation; none of them is a Python UDF.
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
-
-import pyspark
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.stopwords import ENGLISH
+
 # The sentence boundary rule (F1) and the whitespace class used
 # for blank detection and stripping. RE2 and Java read them the same way.
 SENTENCE_BOUNDARY = r"([.!?])[ \t\n\r\f]+"
@@ -66,26 +62,11 @@ def words(text) -> Column:
     return F.regexp_extract_all(F.lower(_c(text)), F.lit(WORD_PATTERN), 0)
 
 
-@functools.lru_cache(maxsize=1)
-def english_stop_words() -> tuple[str, ...]:
-    """Spark ML's default English stop-word list, read from the mllib jar.
-
-    The same list feeds ``StopWordsRemover`` and the SQL oracle.
-    """
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    for jar in jars:
-        with zipfile.ZipFile(jar) as z:
-            name = "org/apache/spark/ml/feature/stopwords/english.txt"
-            if name in z.namelist():
-                return tuple(z.read(name).decode("utf-8").split())
-    raise FileNotFoundError("spark-mllib jar with the English stop-word list not found")
-
-
 def remove_stop_words(tokens, stop_words=None) -> Column:
     """F7 as a column expression: order- and duplicate-preserving (not
     ``array_except``). Linear in the list per token; for whole corpora use
     ``stop_word_remover`` (hash-set lookup)."""
-    stop = F.array(*[F.lit(w) for w in (stop_words or english_stop_words())])
+    stop = F.array(*[F.lit(w) for w in (stop_words or ENGLISH)])
     return F.filter(_c(tokens), lambda t: ~F.array_contains(stop, t))
 
 
@@ -95,7 +76,7 @@ def stop_word_remover(input_col: str, output_col: str, stop_words=None):
     from pyspark.ml.feature import StopWordsRemover
 
     return StopWordsRemover(inputCol=input_col, outputCol=output_col, caseSensitive=True,
-                            stopWords=list(stop_words or english_stop_words()))
+                            stopWords=list(stop_words or ENGLISH))
 
 
 def wrap_markers(ids, begin, end) -> Column:
@@ -117,9 +98,16 @@ def join_context(prev, target, nxt, marker: str = "") -> Column:
 
 
 def recode(col, mapping: dict) -> Column:
-    """Many-to-one value map; unmapped values pass through unchanged."""
-    m = F.create_map(*[x for k, v in mapping.items() for x in (F.lit(k), F.lit(v))])
-    return F.coalesce(m[_c(col)], _c(col))
+    """Many-to-one value map as a ``when`` chain.
+
+    Keys and values of one type: unmapped values pass through unchanged. Keys
+    and values of different types (text labels to numbers): the result has
+    the values' type and unmapped values are null."""
+    c, out = _c(col), F
+    for k, v in mapping.items():
+        out = out.when(c == F.lit(k), F.lit(v))
+    same = {type(k) for k in mapping} == {type(v) for v in mapping.values()}
+    return out.otherwise(c if same else F.lit(None))
 
 
 # The 0-5 annotation scale collapsed to four classes
