@@ -12,10 +12,8 @@ prefix-summed and broadcast back as offsets.
 The stamped slice table is materialised once so the totals pass and the
 offset pass read the same slices: two separate range exchanges over the same
 input may sample different bounds (the sample seed depends on the RDD id).
-It is written to the shared checkpoint folder when the session has one
-(survives executor loss; later plans start from a scan), otherwise persisted
-(a lost cached partition is recomputed through the same, already sampled,
-range partitioner).
+It is written to the shared checkpoint folder: it survives executor loss, and
+later plans start from a scan.
 """
 
 from __future__ import annotations
@@ -23,12 +21,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.session import checkpoint_dir, cut_lineage
+from tessera.plans.joins import join_checked
+from tessera.session import cut_lineage
 
 _PART = "_slice"
 _LOCAL = "_local_total"
@@ -38,26 +37,19 @@ def _slice_totals(value_col: str):
     def stamp(batches):
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
-        carry = 0
-        for pdf in batches:
-            v = pdf[value_col].to_numpy(dtype=np.int64, na_value=0)
-            local = np.cumsum(v) + carry
+        part, carry = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            local = np.cumsum(batch.column(value_col).to_numpy(zero_copy_only=False).astype(np.int64)) + carry
             if len(local):
                 carry = int(local[-1])
-            pdf[_PART] = np.int32(part)
-            pdf[_LOCAL] = local
-            yield pdf
+            # only the value column is looked at; the others pass as they are
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(np.full(len(local), part, np.int32)), pa.array(local, pa.int64())],
+                [*batch.schema.names, _PART, _LOCAL])
 
     return stamp
 
 
-def _materialise(df: DataFrame) -> DataFrame:
-    if checkpoint_dir(df.sparkSession) is not None:
-        return cut_lineage(df)
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def running_total(df: DataFrame, order: Sequence[Column | str], value: Column | str,
                   out: str, inclusive: bool = True,
                   num_slices: int | None = None) -> DataFrame:
@@ -80,7 +72,7 @@ def running_total(df: DataFrame, order: Sequence[Column | str], value: Column |
         T.StructField(_PART, T.IntegerType(), False),
         T.StructField(_LOCAL, T.LongType(), False),
     ])
-    stamped = _materialise(staged.mapInPandas(_slice_totals("_val"), schema))
+    stamped = cut_lineage(staged.mapInArrow(_slice_totals("_val"), schema))
     per_slice = stamped.groupBy(_PART).agg(F.max(_LOCAL).alias("_slice_sum"))
     offsets = per_slice.select(
         _PART,
@@ -110,7 +102,7 @@ def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[Column | st
     group's first number (a partially aggregated ``min`` joined back)."""
     numbered = row_number(df, list(group) + list(order), "_g", num_slices=num_slices)
     first = numbered.groupBy(*group).agg(F.min("_g").alias("_g0"))
-    return (numbered.join(first, list(group))
+    return (join_checked(numbered, first, list(group))
             .withColumn(out, F.col("_g") - F.col("_g0") + F.lit(start))
             .drop("_g", "_g0"))
 

@@ -1,12 +1,15 @@
 """Session construction and lineage cutting.
 
 The checkpoint folder is taken from ``spark.checkpoint.dir`` as the cluster
-sets it. A caller may pass its own folder only for the case where the
-session has none (tests on one machine).
+sets it. A folder of the caller's or of this module's own is used only where
+the session has none (tests on one machine).
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULT_CONF = {
@@ -39,41 +42,28 @@ def build_session(master: str | None = None, app: str = "tessera",
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | None:
+def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder, registering it with the context.
 
-    ``spark.checkpoint.dir`` wins; ``fallback`` is used only when it is unset.
+    ``spark.checkpoint.dir`` wins. Where it is unset (one machine, as in tests)
+    ``fallback`` or a new folder under ``/tmp`` stands in for it.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = sc.getConf().get("spark.checkpoint.dir", None)
-    if not configured:
-        try:
-            configured = spark.conf.get("spark.checkpoint.dir")
-        except Exception:  # noqa: BLE001 - unset key
-            configured = None
-    target = configured or fallback
-    if target:
-        sc.setCheckpointDir(target)
-        return sc.getCheckpointDir()
-    return None
+    if not sc.getCheckpointDir():
+        configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(configured or fallback or tempfile.mkdtemp(prefix="tessera-", dir="/tmp"))
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` into the shared checkpoint folder.
+    """Write ``df`` as Parquet into a folder of its own under the shared
+    checkpoint folder and read it back.
 
-    A reliable checkpoint survives executor loss (it is re-read, not
-    recomputed) and later plans start from a scan instead of re-analysing the
-    whole upstream pipeline. The plan is persisted first so the checkpoint
-    write reads it back instead of computing it a second time. Without a
-    configured folder the plan is returned unchanged: a machine-local
-    fallback would not survive on a cluster.
+    Later plans start from a scan with column pruning and filter pushdown; a
+    lost executor costs a re-read, not a recomputation. The files belong to
+    the session's checkpoint folder and go when its owner clears it.
     """
-    if checkpoint_dir(df.sparkSession) is None:
-        return df
-    cached = df.persist()
-    out = cached.checkpoint(eager=True)
-    cached.unpersist(blocking=False)
-    return out
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

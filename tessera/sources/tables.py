@@ -28,32 +28,14 @@ ARTICLE_DATE_SPAN = 31
 PAIR_CLASS_NAMES = {0: "contradiction", 1: "neutral", 2: "entailment"}
 
 
-# Tables whose rows carry long texts (per-row work is CPU heavy) and their keys.
-TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id", "benchmark": "item_id"}
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table, partitioned as the scan splits it."""
+    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-def table(spark: SparkSession, sf_dir: str, name: str, balance: bool = True) -> DataFrame:
-    """A driver table. ``balance=False`` for plans whose first step is a
-    shuffle anyway (it redistributes the rows itself)."""
-    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return balanced(df, TEXT_TABLES[name]) if balance and name in TEXT_TABLES else df
-
-
-def balanced(df: DataFrame, key: str) -> DataFrame:
-    """Spread an under-partitioned scan (fewer splits than task slots, e.g. a
-    file with one row group) by its key before CPU-heavy text work. Hash
-    partitioning on the key is deterministic without the local sort a
-    round-robin repartition needs. Inputs with enough splits (any large
-    table) are left untouched: no shuffle."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
-        return df
-    return df.repartition(slots, key)
-
-
-def articles(spark: SparkSession, sf_dir: str, balance: bool = True) -> DataFrame:
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as raw news: (paper_id, domain, date, text)."""
-    d = table(spark, sf_dir, "documents", balance)
+    d = table(spark, sf_dir, "documents")
     return d.select(
         F.col("doc_id").alias("paper_id"),
         F.col("source").alias("domain"),
@@ -63,6 +45,12 @@ def articles(spark: SparkSession, sf_dir: str, balance: bool = True) -> DataFram
     )
 
 
+def corpus_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole sentence corpus (paper_id, domain, date, text, sentence_id):
+    a pipeline boundary for everything that reads it several times."""
+    return cut_lineage(sentences(spark, sf_dir).select("paper_id", "domain", "date", "text", "sentence_id"))
+
+
 def number_sentences(art: DataFrame, order, sents_col: str = "sents",
                      id_col: str = "sentence_id", key: str = "paper_id") -> DataFrame:
     """Explode per-article sentence arrays and number them 0..n-1 in

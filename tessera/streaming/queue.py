@@ -27,8 +27,8 @@ def start_queue(spark: SparkSession, sentences: DataFrame, store_path: str, queu
     """Start the streaming queue; returns the ``StreamingQuery``.
 
     ``sentences`` is the corpus (static); ``store_path`` the append-only
-    annotation store; ``queue_path`` receives ``batch=<id>/`` folders and
-    ``latest`` always holds the current queue."""
+    annotation store; ``queue_path`` receives one ``batch=<id>/`` folder per
+    micro-batch, and ``latest_queue`` reads the newest complete one."""
     marks = (spark.readStream.schema(STORE_SCHEMA).parquet(store_path)
              .agg(F.max("sentence_id").alias("sentence_id")))
 
@@ -36,9 +36,21 @@ def start_queue(spark: SparkSession, sentences: DataFrame, store_path: str, queu
         queue = annotation_queue(sentences, batch.filter(F.col("sentence_id").isNotNull()))
         out = queue.select("sentence_id", "paper_id", "text", "prev_context", "next_context")
         out.write.mode("overwrite").parquet(os.path.join(queue_path, f"batch={batch_id}"))
-        out.write.mode("overwrite").parquet(os.path.join(queue_path, "latest"))
 
     writer = (marks.writeStream.outputMode("complete").foreachBatch(emit)
               .option("checkpointLocation", checkpoint_location))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
     return writer.start()
+
+
+def latest_queue(spark: SparkSession, queue_path: str) -> DataFrame:
+    """The queue of the newest batch. A folder counts once its ``_SUCCESS``
+    file is there, so a reader never sees a half-written queue; older batches
+    stay readable until their owner removes them."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(queue_path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [s.getPath().getParent().getName() for s in
+            fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "batch=*/_SUCCESS"))]
+    newest = max(int(name.split("=")[1]) for name in done)
+    return spark.read.parquet(os.path.join(queue_path, f"batch={newest}"))

@@ -86,3 +86,61 @@ def test_top_n_per_class_limits_before_the_shuffle(spark):
     df = spark.range(5000).selectExpr("id as task", "cast(id % 4 as int) as score")
     plan = _plan(ds.first_per_class(df, 100, ["task"]))
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+def _without_broadcast(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+
+
+def test_class_tables_do_not_shuffle_the_rows(spark):
+    """Stratified split: no exchange on the class above the ranked rows."""
+    from tessera.operators import datasets as ds
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    _without_broadcast(spark)
+    try:
+        df = spark.range(3000).selectExpr("id as task", "cast(id % 3 as int) as score")
+        plan = _plan(ds.stratified_split(df, "task"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert "hashpartitioning(score" not in plan and plan.count("BroadcastHashJoin") >= 2
+
+
+def test_dedup_sorts_no_text(spark):
+    from tessera.operators import corpus
+
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    _without_broadcast(spark)
+    try:
+        df = spark.createDataFrame([(1, "b", "t"), (2, "a", "t"), (3, None, "u"), (3, None, None)],
+                                   "paper_id long, domain string, text string")
+        out = corpus.dedup_first(df)
+        plan = _plan(out)
+        assert sorted(r.paper_id for r in out.collect()) == [2, 3, 3] or sorted(
+            r.paper_id for r in out.collect()) == [3, 3, 1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    for line in plan.splitlines():
+        assert not ("SortAggregate(key=[text" in line or "Sort [text" in line), line
+
+
+def test_queue_filter_lies_below_the_window(spark):
+    from tessera.operators import pools
+
+    rows = [(i // 10, i, f"t{i}") for i in range(100)]
+    sent = spark.createDataFrame(rows, "paper_id long, sentence_id long, text string")
+    marked = spark.createDataFrame([(90, 1)], "sentence_id long, score int")
+    q = pools.annotation_queue(sent, marked)
+    plan = _plan(q).splitlines()
+    window = max(i for i, line in enumerate(plan) if "Window " in line)
+    assert any("Filter" in line and "subquery" in line.lower() for line in plan[window:])
+    assert sorted(r.sentence_id for r in q.collect()) == list(range(91, 100))
+    assert {r.sentence_id: r.prev_context for r in q.collect()}[91] == "t90"
+
+
+def test_boundary_does_not_depend_on_a_configured_folder(spark):
+    from tessera.session import cut_lineage
+
+    df = cut_lineage(spark.range(10).withColumn("x", F.lit("a")))
+    plan = _plan(df.select("id"))
+    assert "parquet" in plan.lower() and "x" not in plan.split("ReadSchema")[1]

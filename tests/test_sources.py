@@ -1,29 +1,32 @@
 import json
-import os
 
 from pyspark.sql import functions as F
 
 from tessera.sources import files
 
-from conftest import ref_file
 
+def test_tsv_pool_with_hints(spark, tmp_path):
+    rows = [(f'text {i} "quoted"\nsecond line', i % 6, f"hint\t{i}") for i in range(16)]
+    names = "`INPUT:text` string, `GOLDEN:is_subjective` int, `HINT:text` string"
+    files.write_delimited(spark.createDataFrame(rows, names).coalesce(1), str(tmp_path / "pool"), sep="\t")
+    got = files.read_csv(spark, str(tmp_path / "pool"), names, sep="\t").collect()
+    assert sorted(map(tuple, got)) == sorted(rows)
 
-def test_tsv_pool_with_hints(spark):
-    df = files.read_csv(spark, ref_file("data", "training_dataset.tsv"),
-                        "`INPUT:text` string, `GOLDEN:is_subjective` int, `HINT:text` string", sep="\t")
-    rows = df.collect()
-    assert len(rows) == 16
-    assert all(0 <= r["GOLDEN:is_subjective"] <= 5 for r in rows)
 
+REGISTRY = {"main-task": {"data-dir": "datasets/one", "type": "classification", "num-labels": 4},
+            "additional-tasks": [{"data-dir": "datasets/two", "type": "classification", "num-labels": 2},
+                                 {"data-dir": "datasets/three", "type": "regression", "num-labels": 1}]}
 
-def test_registry(spark):
-    reg = files.read_registry(spark, ref_file("model", "mtl-config-3.json"))
-    rows = sorted((r.role, r.type, r.num_labels) for r in reg.collect())
-    assert rows == [("additional", "classification", 2), ("additional", "classification", 2),
-                    ("main", "classification", 4)]
-    assert all(r.data_dir.startswith("datasets/") for r in reg.collect())
-    single = files.read_registry(spark, ref_file("model", "stl-config.json"))
-    assert single.count() == 1
+
+def test_registry(spark, tmp_path):
+    p, single = tmp_path / "tasks.json", tmp_path / "single.json"
+    p.write_text(json.dumps(REGISTRY, indent=2))
+    single.write_text(json.dumps({"main-task": REGISTRY["main-task"]}))
+    rows = sorted((r.role, r.type, r.num_labels) for r in files.read_registry(spark, str(p)).collect())
+    assert rows == [("additional", "classification", 2), ("additional", "regression", 1), ("main", "classification", 4)]
+    assert files.read_registry(spark, str(single)).count() == 1
+    assert [t["name"] for t in files.registry_entries(str(p))] == ["one", "two", "three"]
+    assert len(files.registry_entries(str(single))) == 1
 
 
 def test_positional_latin1_tsv(spark, tmp_path):
@@ -60,14 +63,9 @@ def test_csv_roundtrip_and_append(spark, tmp_path):
 
 
 def test_text_article_file(spark, tmp_path):
-    src = ref_file("cli", "sample.txt")
-    d = tmp_path / "articles"
-    os.makedirs(d)
-    (d / "a.txt").write_text(open(src, encoding="utf-8").read(), encoding="utf-8")
-    arts = files.read_text_articles(spark, str(d))
-    r = arts.select(F.size("paragraphs").alias("n")).first()
-    with open(src, encoding="utf-8") as fh:
-        assert r.n == sum(1 for line in fh if line.strip())
+    (tmp_path / "a.txt").write_text("First “line”\n\n  second \n \nthird\n", encoding="utf-8")
+    arts = files.read_text_articles(spark, str(tmp_path))
+    assert arts.first().paragraphs == ['First "line"', "second", "third"]
 
 
 def test_missing_store_counts_as_empty(spark, tmp_path):

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from tessera.sources import files
-from tessera.streaming.queue import start_queue
+from tessera.streaming.queue import latest_queue, start_queue
 
 
 def test_streaming_queue_follows_the_store(spark, tmp_path):
@@ -10,12 +10,12 @@ def test_streaming_queue_follows_the_store(spark, tmp_path):
     files.append_rows(spark.createDataFrame([(1, 3), (4, 2)], "sentence_id long, score int"), store)
     q = start_queue(spark, sent, store, queue, ckpt)
     q.awaitTermination(120)
-    latest = spark.read.parquet(f"{queue}/latest")
+    latest = latest_queue(spark, queue)
     assert sorted(r.sentence_id for r in latest.collect()) == list(range(5, 12))
     files.append_rows(spark.createDataFrame([(9, 1)], "sentence_id long, score int"), store)
     q = start_queue(spark, sent, store, queue, ckpt)
     q.awaitTermination(120)
-    latest = spark.read.parquet(f"{queue}/latest")
+    latest = latest_queue(spark, queue)
     rows = {r.sentence_id: r.prev_context for r in latest.collect()}
     assert sorted(rows) == [10, 11]
     assert rows[10] == "t8 t9"
