@@ -23,8 +23,8 @@ SENTENCE_BUDGET = 20000
 
 
 def curation_order() -> list[Column]:
-    """Newest first, then domain descending; ties by text, then id."""
-    return [F.col("date").desc(), F.col("domain").desc(), F.col("text").asc(), F.col("paper_id").asc()]
+    """Newest first, then domain descending; ties by id."""
+    return [F.col("date").desc(), F.col("domain").desc(), F.col("paper_id").asc()]
 
 
 def drop_blank(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -40,17 +40,22 @@ def min_length(df: DataFrame, n: int = MIN_SENTENCES, length_col: str = "length"
     return df.filter(F.col(length_col) >= n)
 
 
-def dedup_first(df: DataFrame, key: str = "text", order: Sequence[str] = ("domain", "paper_id"),
-                carry: Sequence[str] = ()) -> DataFrame:
-    """One row per ``key``: the smallest ``order`` tuple wins.
+def dedup_first(df: DataFrame, key: str = "text", order: Sequence[str] = ("domain", "paper_id")) -> DataFrame:
+    """One row per ``key``: the smallest ``order`` tuple (ending in a unique id) wins.
 
-    A ``min(struct)`` aggregate instead of a ranking window: it is partially
-    aggregated before the shuffle, so a text repeated millions of times costs
-    one row per map task, and no sort of the group is needed.
+    The group key is the text's SHA-256, so what is aggregated, shuffled and
+    sorted are digests and order columns; a text repeated millions of times is
+    one row per map task. The winners fetch their rows by digest and id in one
+    semi join on narrow keys; texts are never sorted or compared.
     """
-    fields = list(order) + [c for c in carry if c not in order]
-    best = F.min(F.struct(*[F.col(c) for c in fields])).alias("_best")
-    return df.groupBy(key).agg(best).select(key, *[F.col(f"_best.{c}").alias(c) for c in fields])
+    fields = list(order)
+    keyed = df.withColumn("_digest", F.sha2(F.col(key).cast("binary"), 256))
+    best = (keyed.groupBy("_digest").agg(F.min(F.struct(*fields)).alias("_best"))
+            .select(F.col("_digest").alias("_d"), *[F.col(f"_best.{c}").alias(f"_{c}") for c in fields]))
+    same = keyed["_digest"].eqNullSafe(best["_d"])
+    for c in fields:
+        same = same & keyed[c].eqNullSafe(best[f"_{c}"])
+    return keyed.join(best, same, "left_semi").drop("_digest")
 
 
 def sources_over(df: DataFrame, threshold: int = MIN_SOURCE_ARTICLES,
@@ -71,7 +76,8 @@ def keep_sources(df: DataFrame, threshold: int = MIN_SOURCE_ARTICLES, key: str =
 
 def budget_cut(df: DataFrame, budget: int = SENTENCE_BUDGET, order: Sequence[Column] | None = None,
                length_col: str = "length", bucket: Sequence[str] = ("date", "domain"),
-               bucket_order: Sequence[Column] | None = None) -> DataFrame:
+               bucket_order: Sequence[Column] | None = None, id_col: str = "paper_id",
+               needed: Sequence[str] = ()) -> DataFrame:
     """Keep rows while the running sentence total (inclusive) is below
     ``budget``; adds ``first_sentence`` = sentences before the row.
 
@@ -80,7 +86,8 @@ def budget_cut(df: DataFrame, budget: int = SENTENCE_BUDGET, order: Sequence[Col
     are dropped before any row is sorted, so with a small budget only a few
     buckets' rows reach the row-level range sort. Buckets are a prefix of
     the order, so the row-level totals over the survivors equal the totals
-    over all rows."""
+    over all rows. ``order`` may use the bucket columns, ``id_col`` (unique)
+    and ``needed``."""
     order = list(order or curation_order())
     bucket_order = list(bucket_order or [F.col("date").desc(), F.col("domain").desc()])
     keys = list(bucket)
@@ -90,11 +97,12 @@ def budget_cut(df: DataFrame, budget: int = SENTENCE_BUDGET, order: Sequence[Col
     live = starts.filter(F.col("_bucket_start") < budget).select(*keys)
     # the live-bucket table is an aggregate measured at run time (AQE
     # broadcasts it when small, as it is for any budget far below the data)
-    rows = df.join(live, keys, "left_semi")
-    cum = prefix.running_total(rows, order, length_col, "_cum", inclusive=True)
-    return (cum.filter(F.col("_cum") < budget)
-            .withColumn("first_sentence", F.col("_cum") - F.col(length_col))
-            .drop("_cum"))
+    narrow = df.select(id_col, *[c for c in dict.fromkeys([*keys, *needed, length_col]) if c != id_col])
+    # texts stay out of the range sort: kept rows are fetched by id
+    cum = prefix.running_total(narrow.join(live, keys, "left_semi"), order, length_col, "_cum", inclusive=True)
+    kept = cum.filter(F.col("_cum") < budget).select(
+        id_col, (F.col("_cum") - F.col(length_col)).alias("first_sentence"))
+    return df.join(kept, id_col)
 
 
 def curate(articles: DataFrame, min_sentences: int = MIN_SENTENCES,
@@ -106,7 +114,7 @@ def curate(articles: DataFrame, min_sentences: int = MIN_SENTENCES,
     # Identical texts have identical sentence counts, so the length filter and
     # the keep-first dedup commute: dedup first (cheap hashing before the
     # shuffle), split sentences after it on the surviving rows, in parallel.
-    unique = dedup_first(clean, "text", ("domain", "paper_id"), carry=("date",))
+    unique = dedup_first(clean, "text", ("domain", "paper_id"))
     split = min_length(unique.withColumn("length", F.size(tx.split_sentences("text"))), min_sentences)
     # pipeline boundary (the deduplicated article table): the two prefix
     # passes of the budget cut read it instead of redoing dedup and split

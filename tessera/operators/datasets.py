@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
 from tessera.plans import prefix
+from tessera.plans.joins import join_checked
 
 # Reference split ratios and batch/padding parameters.
 TEST_SIZE = 0.2
@@ -52,7 +53,7 @@ def stratified_split(df: DataFrame, id_col: str, score: str = "score", seed: int
     sizes = df.groupBy(score).agg(F.count(F.lit(1)).alias("_n"))
     n_test = F.round(F.col("_n") * test_size)
     n_val = F.round((F.col("_n") - n_test) * val_size)
-    return (ranked.join(sizes, score)
+    return (join_checked(ranked, sizes, [score])
             .withColumn("split", F.when(F.col("_r") < n_test, "test")
                         .when(F.col("_r") < n_test + n_val, "val").otherwise("train"))
             .drop("_h", "_r", "_n"))

@@ -123,20 +123,12 @@ def render(articles: DataFrame, spans: DataFrame) -> DataFrame:
                                            F.lit("</body>\n</html>\n")).alias("html")))
 
 
-def drop_long_predictions(scored: DataFrame, max_len: int = 512, text: str = "text",
-                          pred: str = "pred") -> DataFrame:
-    """Sentences whose word count plus the two markers exceeds ``max_len``
-    keep a null label (rendered unhighlighted) instead of being dropped."""
-    too_long = F.size(tx.words(text)) + 2 > max_len
-    return scored.withColumn(pred, F.when(too_long, F.lit(None)).otherwise(F.col(pred)).cast("int"))
-
-
 def rule_pred(text: Column, n_classes: int = 4) -> Column:
     """SQL-expressible stand-in for a model: ``length(text) % n_classes``."""
     return (F.length(text) % n_classes).cast("int")
 
 
 def write_html(docs: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """S11 sink: one ``article_id=<id>/`` folder per article holding its HTML
-    document (written by the tasks, never collected on the driver)."""
-    docs.select("article_id", "html").write.mode(mode).partitionBy("article_id").text(path)
+    """S11 sink: Parquet shards of ``(article_id, html)``, about one file per
+    task, with min/max statistics on the id for lookups of single articles."""
+    docs.select("article_id", "html").sortWithinPartitions("article_id").write.mode(mode).parquet(path)

@@ -96,11 +96,12 @@ def annotation_queue(sent: DataFrame, marked: DataFrame | None,
                      before: int = ANNOTATOR_BEFORE, after: int = ANNOTATOR_AFTER) -> DataFrame:
     """Sentences after the last marked id, with annotator context.
 
-    Context is computed on the whole table first (sentences before the mark
-    may be context of the first queued one); the mark is a scalar subquery,
-    evaluated once and pushed into the filter."""
-    ctx = annotator_context(sent, before, after)
-    return ctx.filter(F.col("sentence_id") > high_water_mark(marked))
+    Only the ``before`` sentences ahead of the mark can be context of a queued
+    one, so everything earlier is filtered out below the context window; the
+    mark is a scalar subquery, evaluated once."""
+    mark = high_water_mark(marked)
+    near = sent.filter(F.col("sentence_id") > mark - before)
+    return annotator_context(near, before, after).filter(F.col("sentence_id") > mark)
 
 
 def pool_rows(sent: DataFrame, pools: Sequence[str] | None = None) -> DataFrame:

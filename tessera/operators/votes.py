@@ -156,12 +156,18 @@ def majority_or_median(votes: DataFrame, key: str = "task") -> DataFrame:
                       .otherwise(-F.col("_b.neg")).cast("int").alias("label"))
 
 
-def label_histogram(votes: DataFrame, key: str = "task") -> DataFrame:
+def label_histogram(votes: DataFrame, key: str = "task", labels=LABELS) -> DataFrame:
     """A3, bounded form: the multiset of labels per key as fixed-width counts
-    (a pivot over the known label set) instead of an unbounded list."""
+    instead of an unbounded list; ``n_other`` counts votes outside ``labels``
+    (null labels too), so every vote is in one column."""
     c = vote_counts(votes, (key, "label"))
-    return (c.groupBy(key).pivot("label", list(LABELS)).agg(F.sum("n"))
-            .select(key, *[F.coalesce(F.col(str(k)), F.lit(0)).cast("long").alias(f"n{k}") for k in LABELS]))
+
+    def count(wanted):
+        return F.sum(F.when(wanted, F.col("n")).otherwise(0)).cast("long")
+
+    known = F.coalesce(F.col("label").isin(list(labels)), F.lit(False))
+    return c.groupBy(key).agg(*[count(F.col("label") == k).alias(f"n{k}") for k in labels],
+                              count(~known).alias("n_other"))
 
 
 def canonical_task(df: DataFrame, text: str = "text", task: str = "task") -> DataFrame:
@@ -215,16 +221,20 @@ def consolidate(expert: DataFrame, crowd: DataFrame, retrieval: DataFrame,
 
     ``crowd`` has (text, worker, label) with the pool text; ``retrieval`` has
     (pool_text, sentence_id); ``sentences`` the corpus."""
-    # Votes are reduced to (text, worker, label, n) before the many-to-many
-    # text join: a pool text shared by M sentences and voted K times emits
-    # (distinct worker/label pairs) x M rows instead of K x M, with the same
-    # multiplicities.
+    # Votes are reduced to (pool text, worker, label, n), and the retrieval
+    # table to (pool text, sentence text, smallest id, m ids): all m sentences
+    # of one text end in the same canonical task, so one row with n * m votes
+    # stands for the m rows of the many-to-many join.
     crowd_counts = vote_counts(crowd, ("text", "worker", "label"))
-    mapped = (retrieve_ids(crowd_counts, retrieval)
-              .select(F.col("sentence_id").alias("task"), "worker", "label", "n"))
-    all_votes = expert.withColumn("n", F.lit(1).cast("long")).unionByName(mapped)
     texts = sentences.select(F.col("sentence_id").alias("task"), "text")
-    with_text = all_votes.join(texts, "task")
+    ids = retrieval.select("pool_text", F.col("sentence_id").alias("task")).join(texts, "task")
+    places = (ids.groupBy("pool_text", "text").agg(F.min("task").alias("task"), F.count(F.lit(1)).alias("m"))
+              .withColumnRenamed("text", "sentence_text"))
+    pool = places.select(tx.drop_carriage_returns("pool_text").alias("text"), "sentence_text", "task", "m")
+    found = text_join(crowd_counts.withColumn("text", tx.drop_carriage_returns("text")), pool)
+    mapped = found.select("task", "worker", "label", (F.col("n") * F.col("m")).alias("n"),
+                          F.col("sentence_text").alias("text"))
+    with_text = expert.withColumn("n", F.lit(1).cast("long")).join(texts, "task").unionByName(mapped)
     canon = canonical_task(with_text)
     keyed = (text_join(with_text, canon, "text")
              .select(F.col("canonical_task").alias("task"), "worker", "label", "n"))

@@ -7,7 +7,8 @@ assembled statement is plain SQL over the pre-registered driver tables.
 
 from __future__ import annotations
 
-from tessera.functions.text import english_stop_words
+from tessera.functions.stopwords import ENGLISH
+from tessera.operators.labelling import STYLE
 
 SPLIT = ("list_filter(string_split(regexp_replace({x}, '([.!?])[ \\t\\n\\r\\f]+', "
          "'\\1' || chr(1), 'g'), chr(1)), lambda s: s <> '')")
@@ -27,7 +28,7 @@ def blank_sql(x: str) -> str:
 
 
 def stop_list_sql() -> str:
-    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in english_stop_words()) + "]"
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in ENGLISH) + "]"
 
 
 def event_raw_sql() -> str:
@@ -128,7 +129,7 @@ cte("cur_kept", ("cur_dedup", "cur_sources"), """
 
 cte("cur_budget", ("cur_kept",), f"""
   SELECT paper_id, domain, date, text, length, CAST(cum - length AS BIGINT) AS first_sentence FROM (
-    SELECT *, sum(length) OVER (ORDER BY date DESC, domain DESC, text, paper_id
+    SELECT *, sum(length) OVER (ORDER BY date DESC, domain DESC, paper_id
                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
     FROM cur_kept) WHERE cum < {CURATION['budget']}""")
 
@@ -162,14 +163,15 @@ def window_context_sql(src: str, before: int, after: int) -> str:
   FROM {src}"""
 
 
-cte("pool_ctx", ("curated",), window_context_sql("curated", 2, 4))
+cte("corpus", ("sentences",), "SELECT paper_id, domain, date, text, sentence_id FROM sentences")
+cte("pool_ctx", ("corpus",), window_context_sql("corpus", 2, 4))
 cte("pool_all", ("pool_ctx",), """
   SELECT *, concat_ws(' ', nullif(prev_context, ''), '**' || text || '**', nullif(next_context, ''))
          AS pool_text FROM pool_ctx""")
-cte("honey_papers", ("curated",), """
-  SELECT paper_id FROM curated GROUP BY paper_id ORDER BY min(sentence_id), paper_id LIMIT 3""")
-cte("pilot_papers", ("curated", "honey_papers"), """
-  SELECT paper_id FROM curated WHERE paper_id NOT IN (SELECT paper_id FROM honey_papers)
+cte("honey_papers", ("corpus",), """
+  SELECT paper_id FROM corpus GROUP BY paper_id ORDER BY min(sentence_id), paper_id LIMIT 3""")
+cte("pilot_papers", ("corpus", "honey_papers"), """
+  SELECT paper_id FROM corpus WHERE paper_id NOT IN (SELECT paper_id FROM honey_papers)
   GROUP BY paper_id ORDER BY min(sentence_id), paper_id LIMIT 5""")
 cte("pooled", ("pool_all", "honey_papers", "pilot_papers"), """
   SELECT CASE WHEN paper_id IN (SELECT paper_id FROM honey_papers) THEN 'honeypot'
@@ -237,7 +239,8 @@ SQL["votes_label_histogram"] = with_views("""
   SELECT task, CAST(count(*) FILTER (WHERE label = 0) AS BIGINT) AS n0,
          CAST(count(*) FILTER (WHERE label = 1) AS BIGINT) AS n1,
          CAST(count(*) FILTER (WHERE label = 2) AS BIGINT) AS n2,
-         CAST(count(*) FILTER (WHERE label = 3) AS BIGINT) AS n3
+         CAST(count(*) FILTER (WHERE label = 3) AS BIGINT) AS n3,
+         CAST(count(*) FILTER (WHERE label IS NULL OR label NOT IN (0, 1, 2, 3)) AS BIGINT) AS n_other
   FROM votes GROUP BY task""", "votes")
 SQL["sentences_canonical_task"] = with_views(
     "SELECT text, min(sentence_id) AS canonical_task FROM sentences GROUP BY text", "sentences")
@@ -258,25 +261,25 @@ SQL["votes_attach_attributes"] = with_views("""
   SELECT w.task, w.label, s.paper_id, s.domain, s.date, s.pos, s.text
   FROM v_wawa w LEFT JOIN sentences s ON w.task = s.sentence_id""", "v_wawa", "sentences")
 
-cte("m14_votes", ("raters", "crowd", "retrieval", "curated"), f"""
+cte("m14_votes", ("raters", "crowd", "retrieval", "corpus"), f"""
   SELECT k.canonical_task AS task, a.worker, a.label FROM (
     SELECT a.task, a.worker, a.label, s.text FROM (
       SELECT sentence_id AS task, CAST(1000 AS BIGINT) AS worker, {collapse_sql('score')} AS label FROM raters
       UNION ALL
       SELECT r.sentence_id AS task, c.worker, c.label FROM crowd c
       JOIN retrieval r ON replace(c.text, chr(13), '') = replace(r.pool_text, chr(13), '')) a
-    JOIN curated s ON a.task = s.sentence_id) a
+    JOIN corpus s ON a.task = s.sentence_id) a
   JOIN (SELECT text, min(task) AS canonical_task FROM (
           SELECT a.task, s.text FROM (
             SELECT sentence_id AS task FROM raters
             UNION ALL
             SELECT r.sentence_id FROM crowd c
             JOIN retrieval r ON replace(c.text, chr(13), '') = replace(r.pool_text, chr(13), '')) a
-          JOIN curated s ON a.task = s.sentence_id) GROUP BY text) k ON a.text = k.text""")
+          JOIN corpus s ON a.task = s.sentence_id) GROUP BY text) k ON a.text = k.text""")
 wawa_ctes("m14", "m14_votes")
-cte("labelled", ("m14_wawa", "curated"), """
+cte("labelled", ("m14_wawa", "corpus"), """
   SELECT w.task, w.label AS score, s.text, s.domain, s.date, s.paper_id
-  FROM m14_wawa w LEFT JOIN curated s ON w.task = s.sentence_id""")
+  FROM m14_wawa w LEFT JOIN corpus s ON w.task = s.sentence_id""")
 SQL["votes_consolidate"] = with_views("SELECT * FROM labelled", "labelled")
 
 # ---------------------------------------------------------------- metrics
@@ -404,8 +407,8 @@ SQL["union_splits"] = with_views("""
   UNION ALL SELECT task, NULL AS score, split FROM lab_split WHERE split = 'test'""", "lab_split")
 SQL["distinct_texts"] = with_views("SELECT DISTINCT text FROM sentences", "sentences")
 SQL["difference_pools"] = with_views("""
-  SELECT paper_id, sentence_id FROM curated WHERE paper_id NOT IN (SELECT paper_id FROM honey_papers)""",
-                                     "curated", "honey_papers")
+  SELECT paper_id, sentence_id FROM corpus WHERE paper_id NOT IN (SELECT paper_id FROM honey_papers)""",
+                                     "corpus", "honey_papers")
 SQL["canonical_schema"] = """
   SELECT CAST(d.text AS VARCHAR) AS text, CAST(l.quality AS DOUBLE) AS score
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
@@ -441,16 +444,19 @@ cte("vocab", ("tf",), """
   SELECT term, CAST(row_number() OVER (ORDER BY count(*) DESC, term) - 1 + 4 AS BIGINT) AS id
   FROM tf GROUP BY term""")
 SQL["vocabulary_ids"] = with_views("SELECT term, id FROM vocab", "vocab")
-cte("encoded", ("tok_rows", "vocab"), """
-  SELECT t.doc_id, list(v.id ORDER BY t.pos) AS ids FROM tok_rows t JOIN vocab v ON t.term = v.term
-  GROUP BY t.doc_id""")
+cte("encoded", ("tokens", "tok_rows", "vocab"), """
+  SELECT doc_id, coalesce(ids, []) AS ids FROM tokens LEFT JOIN (
+    SELECT t.doc_id, list(v.id ORDER BY t.pos) AS ids FROM tok_rows t JOIN vocab v ON t.term = v.term
+    GROUP BY t.doc_id) USING (doc_id)""")
+SQL["token_length_cap"] = with_views(
+    "SELECT doc_id, CAST(len(ids) AS INTEGER) AS n_ids FROM encoded WHERE len(ids) + 2 <= 512", "encoded")
 SQL["padded_batches"] = with_views("""
   SELECT doc_id, batch_id, width,
          array_to_string(list_concat(ids, list_transform(range(width - len(ids)), lambda x: 0)), ' ') AS padded
   FROM (SELECT *, CAST(max(len(ids)) OVER (PARTITION BY batch_id) AS INTEGER) AS width FROM (
     SELECT doc_id, list_concat([2], ids, [3]) AS ids,
            CAST((row_number() OVER (ORDER BY doc_id) - 1) // 32 AS BIGINT) AS batch_id
-    FROM encoded WHERE len(ids) + 2 <= 512))""", "encoded")
+    FROM encoded))""", "encoded")
 
 # ---------------------------------------------------------------- labelling
 ENT = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")]
@@ -489,10 +495,7 @@ cte("page_runs", ("page_sents",), """
                              THEN 0 ELSE 1 END AS chg
               FROM (SELECT *, CAST(length(text) % 4 AS INTEGER) AS pred FROM page_sents)))
   GROUP BY article_id, para_no, run_no""")
-STYLE_SQL = ("    .green-background {' || chr(10) || '        background-color: rgb(200, 255, 200);' || chr(10) || '    }' "
-             "|| chr(10) || chr(10) || '    .red-background {' || chr(10) || '        background-color: rgb(255, 200, 200);' "
-             "|| chr(10) || '    }' || chr(10) || chr(10) || '    .yellow-background {' || chr(10) || "
-             "'        background-color: rgb(255, 255, 150);' || chr(10) || '    }")
+STYLE_SQL = STYLE.replace("'", "''")  # quoted SQL of the operator's own style sheet
 cte("page_html", ("page_runs", "page_articles"), f"""
   SELECT a.article_id,
     '<!DOCTYPE html>' || chr(10) || '<html>' || chr(10) || '<head>' || chr(10) || '<title>'
@@ -516,6 +519,19 @@ SQL["page_titles"] = with_views(
 SQL["page_paragraphs"] = with_views("SELECT * FROM page_paras", "page_paras")
 SQL["page_sentences"] = with_views("SELECT * FROM page_sents", "page_sents")
 SQL["label_spans"] = with_views("SELECT * FROM page_runs", "page_runs")
+SQL["score_sentences"] = with_views(
+    "SELECT article_id, para_no, sent_no, CAST(length(text) % 4 AS INTEGER) AS pred FROM page_sents", "page_sents")
+SQL["label_pages"] = with_views("""
+  SELECT article_id, pred, count(*) AS n_spans, CAST(sum(length(text)) AS BIGINT) AS n_chars
+  FROM page_runs GROUP BY article_id, pred""", "page_runs")
+SQL["recode_texts"] = """
+  SELECT conv_id, turn, CAST(CASE role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 END AS INTEGER) AS score
+  FROM conversations"""
+SQL["paired_texts"] = """
+  SELECT a.conv_id, a.turn, CASE a.conv_id % 10 WHEN 0 THEN 'test' WHEN 1 THEN 'val' ELSE 'train' END AS split,
+         replace(concat_ws(' ', a.text, b.text), '"', '') AS text,
+         CAST(CASE a.role WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 END AS DOUBLE) AS score
+  FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1"""
 SQL["render_html"] = with_views("SELECT article_id, html FROM page_html", "page_html")
 SQL["article_lines"] = f"""
   SELECT article_id, para_no, text FROM (
@@ -531,8 +547,8 @@ SQL["curated_sentences"] = with_views("SELECT * FROM curated", "curated")
 SQL["sentence_numbering"] = with_views("SELECT paper_id, pos, sentence_id FROM sentences", "sentences")
 SQL["sources_over_threshold"] = with_views(f"""
   SELECT domain, CAST(count(*) AS BIGINT) AS n_articles FROM articles
-  WHERE NOT {blank_sql('text')} AND NOT {blank_sql('domain')} GROUP BY domain HAVING count(*) > 44""", "articles")
-cte("ann_ctx", ("curated",), window_context_sql("curated", 2, 3))
+  WHERE NOT {blank_sql('text')} AND NOT {blank_sql('domain')} GROUP BY domain HAVING count(*) > {CURATION['min_sources']}""", "articles")
+cte("ann_ctx", ("corpus",), window_context_sql("corpus", 2, 3))
 SQL["annotator_context"] = with_views("SELECT sentence_id, prev_context, next_context FROM ann_ctx", "ann_ctx")
 SQL["annotation_queue"] = with_views("""
   SELECT sentence_id, text, prev_context, next_context FROM ann_ctx
@@ -543,8 +559,8 @@ SQL["honeypot_gold"] = with_views("""
   FROM pooled p LEFT JOIN (SELECT sentence_id, count(*) AS n, min(score) AS score FROM raters GROUP BY sentence_id) g
   ON p.sentence_id = g.sentence_id WHERE p.pool = 'honeypot'""", "pooled", "raters")
 SQL["pilot_papers"] = with_views("""
-  SELECT paper_id, min(sentence_id) AS first_seen FROM curated GROUP BY paper_id
-  ORDER BY first_seen, paper_id LIMIT 5""", "curated")
+  SELECT paper_id, min(sentence_id) AS first_seen FROM corpus GROUP BY paper_id
+  ORDER BY first_seen, paper_id LIMIT 5""", "corpus")
 
 # ---------------------------------------------------------------- experiments
 cte("best", ("epochs",), """
@@ -589,7 +605,7 @@ SQL["blank_filter"] = f"""
   SELECT conv_id, turn, role FROM conversations
   WHERE NOT {blank_sql('text')} AND NOT {blank_sql('role')}"""
 SQL["curation_rank"] = with_views("""
-  SELECT paper_id, CAST(row_number() OVER (ORDER BY date DESC, domain DESC, text, paper_id) - 1 AS BIGINT) AS rank
+  SELECT paper_id, CAST(row_number() OVER (ORDER BY date DESC, domain DESC, paper_id) - 1 AS BIGINT) AS rank
   FROM articles""", "articles")
 SQL["first_per_class"] = with_views("""
   SELECT task, score FROM labelled QUALIFY row_number() OVER (PARTITION BY score ORDER BY task) <= 100""",

@@ -3,12 +3,14 @@ whose columns match the SQL twin in ``tessera.oracle``."""
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.operators import corpus, pools
 from tessera.session import cut_lineage
+from tessera.sources import files
 from tessera.sources import tables as tb
 
 # Test-size thresholds (the operator defaults stay as in the reference).
@@ -25,14 +27,14 @@ def register(name: str):
 
 
 def curated(spark: SparkSession, sf: str) -> DataFrame:
-    """The curated corpus, materialised once per query (pipeline boundary)."""
-    # curation starts with the dedup shuffle: no rebalancing of the scan
-    return cut_lineage(corpus.curated_sentences(tb.articles(spark, sf, balance=False), **CURATION))
+    """The curated corpus: threshold and budget are its feature, so only the
+    curation queries use it; everything else reads the whole corpus."""
+    return corpus.curated_sentences(tb.articles(spark, sf), **CURATION)
 
 
 @register("pool_build")
 def pool_build(spark, sf):
-    return pools.pool_rows(curated(spark, sf))
+    return pools.pool_rows(tb.corpus_sentences(spark, sf))
 
 
 # ---------------------------------------------------------------- votes
@@ -43,7 +45,7 @@ from tessera.operators import votes as vt  # noqa: E402
 
 def pool_all(spark, sf):
     """The pool with context: a pipeline boundary (read by retrieval and crowd)."""
-    return cut_lineage(pools.pool_text(curated(spark, sf)))
+    return cut_lineage(pools.pool_text(tb.corpus_sentences(spark, sf)))
 
 
 def crowd(spark, sf, pool=None):
@@ -117,7 +119,7 @@ def votes_attach_attributes(spark, sf):
 def labelled(spark, sf):
     """M14 on the fixtures: expert = first rater's raw scores, crowd = votes
     with pool texts, ids retrieved through the pool table."""
-    cur = curated(spark, sf)
+    cur = tb.corpus_sentences(spark, sf)
     pool = cut_lineage(pools.pool_text(cur))
     retrieval = pool.select("pool_text", "sentence_id")
     c = crowd(spark, sf, pool).select("text", "worker", "label")
@@ -275,7 +277,7 @@ def distinct_texts(spark, sf):
 
 @register("difference_pools")
 def difference_pools(spark, sf):
-    cur = curated(spark, sf)
+    cur = tb.corpus_sentences(spark, sf)
     honey = pools.first_papers(cur, 3)
     return ds.difference(cur, honey, "paper_id").select("paper_id", "sentence_id")
 
@@ -334,36 +336,51 @@ def vocabulary_ids(spark, sf):
     return fe.vocabulary(fe.term_counts(tb.tokens(spark, sf)))
 
 
+def encoded(spark, sf):
+    """Every document's term ids (token-free documents have none)."""
+    toks = tb.tokens(spark, sf)
+    return fe.encode(toks, fe.vocabulary(fe.term_counts(toks)))
+
+
 @register("padded_batches")
 def padded_batches(spark, sf):
-    toks = tb.tokens(spark, sf)
-    vocab = fe.vocabulary(fe.term_counts(toks))
-    enc = ds.token_length_cap(fe.encode(toks, vocab), "ids", 512)
-    b = ds.padded_batches(enc, "ids", ["doc_id"])
+    """M10 over every document, long and token-free ones too."""
+    b = ds.padded_batches(encoded(spark, sf), "ids", ["doc_id"])
     return b.select("doc_id", "batch_id", "width", F.array_join("padded", " ").alias("padded"))
 
 
+@register("token_length_cap")
+def token_length_cap(spark, sf):
+    """P10: the documents whose ids and markers fit 512 (the cap is the feature)."""
+    return ds.token_length_cap(encoded(spark, sf), "ids", 512).select("doc_id", F.size("ids").alias("n_ids"))
+
+
 @register("tfidf_logreg")
 def tfidf_logreg(spark, sf):
     d = doc_split(spark, sf)
     model = md.tfidf_logreg(d.filter(F.col("split") == "train"))
     pred = md.predict(model, d)
-    e = mt.evaluate(pred, "score", "pred", by=["split"])
-    return e.select("split", "n", _r("accuracy", 6).alias("accuracy"), _r("macro_f1", 6).alias("macro_f1"))
+    e = mt.evaluate(pred, "score", "pred", by=["split"], probs="probs")
+    return e.select("split", "n", _r("accuracy", 6).alias("accuracy"), _r("macro_f1", 6).alias("macro_f1"),
+                    _r("loss", 6).alias("loss"))
+
 
+# Task corpora by the registry's data folder.
+CORPORA = {
+    "datasets/subjectivity": lambda spark, sf: labelled_split(spark, sf).select("split", "text", "score"),
+    "datasets/quality": lambda spark, sf: doc_split(spark, sf).select("split", "text", "score"),
+    "datasets/pairs": lambda spark, sf: ds.ordered_split(
+        consensus_labels(spark, sf), ["pair_id"]).select("split", "text", "score"),
+}
 
-TASKS = (
-    {"name": "subjectivity", "type": "classification", "num_labels": 4},
-    {"name": "quality", "type": "classification", "num_labels": 2},
-    {"name": "pairs", "type": "regression", "num_labels": 1},
-)
+
+def registered_tasks() -> list[dict]:
+    """The package's task registry, a configuration file of a few entries."""
+    return files.registry_entries(os.path.join(os.path.dirname(__file__), "tasks.json"))
 
 
 def multitask(spark, sf):
-    subjectivity = labelled_split(spark, sf).select("split", "text", "score")
-    quality = doc_split(spark, sf).select("split", "text", "score")
-    pairs = ds.ordered_split(consensus_labels(spark, sf), ["pair_id"]).select("split", "text", "score")
-    return ds.multitask_corpus(list(zip(TASKS, (subjectivity, quality, pairs))))
+    return ds.multitask_corpus([(t, CORPORA[t["data_dir"]](spark, sf)) for t in registered_tasks()])
 
 
 @register("multitask_corpus")
@@ -373,27 +390,26 @@ def multitask_corpus(spark, sf):
 
 @register("per_task_heads")
 def per_task_heads(spark, sf):
-    """M9 + M7: per task and split, accuracy and macro-F1 of the
+    """M9 + M7: per task and split, accuracy, macro-F1 and loss of the
     classification heads and RMSE of the regression head."""
-    p = md.per_task_heads(multitask(spark, sf).filter("valid"), TASKS)
-    kinds = {t["name"]: t["type"] for t in TASKS}
-    cls = p.filter(F.col("task_name").isin([k for k, v in kinds.items() if v != "regression"]))
-    reg = p.filter(F.col("task_name").isin([k for k, v in kinds.items() if v == "regression"]))
-    c = mt.evaluate(cls.withColumn("pred", F.col("pred_d").cast("int")).withColumn("score", F.col("score").cast("int")),
-                    "score", "pred", by=["task_name", "split"])
-    r = reg.groupBy("task_name", "split").agg(
+    tasks = registered_tasks()
+    p = md.per_task_heads(multitask(spark, sf).filter("valid"), tasks)
+    regression = F.col("task_name").isin([t["name"] for t in tasks if t["type"] == "regression"])
+    cls = p.filter(~regression).withColumn("pred", F.col("pred_d").cast("int")).withColumn(
+        "score", F.col("score").cast("int"))
+    c = mt.evaluate(cls, "score", "pred", by=["task_name", "split"], probs="probs")
+    r = p.filter(regression).groupBy("task_name", "split").agg(
         F.count(F.lit(1)).alias("n"), F.sqrt(F.avg((F.col("pred_d") - F.col("score")) ** 2)).alias("rmse"))
-    return (c.select("task_name", "split", "n", _r("accuracy", 6).alias("accuracy"),
-                     _r("macro_f1", 6).alias("macro_f1"), F.lit(None).cast("double").alias("rmse"))
-            .unionByName(r.select("task_name", "split", "n", F.lit(None).cast("double").alias("accuracy"),
-                                  F.lit(None).cast("double").alias("macro_f1"), _r("rmse", 6).alias("rmse"))))
+    figures = ("accuracy", "macro_f1", "loss", "rmse")
+    return (c.unionByName(r, allowMissingColumns=True)
+            .select("task_name", "split", "n", *[_r(F.col(x).cast("double"), 6).alias(x) for x in figures]))
 
 
 @register("score_sentences")
 def score_sentences(spark, sf):
+    """M15 up to the scores, with the rule in place of a model."""
     s = lb.article_sentences(page_articles(spark, sf))
-    return md.score_batches(s, md.length_rule_scorer(4), 4, keep=("article_id", "para_no", "sent_no"),
-                            spread=spark.sparkContext.defaultParallelism).select("article_id", "para_no", "sent_no", "pred")
+    return s.select("article_id", "para_no", "sent_no", lb.rule_pred(F.col("text")).alias("pred"))
 
 
 # ---------------------------------------------------------------- labelling and sources
@@ -435,11 +451,9 @@ def render_html(spark, sf):
 
 @register("label_pages")
 def label_pages(spark, sf):
-    arts = page_articles(spark, sf)
-    s = lb.article_sentences(arts)
-    scored = md.score_batches(s, md.length_rule_scorer(4), 4, keep=("article_id", "para_no", "sent_no"),
-                              spread=spark.sparkContext.defaultParallelism)
-    return lb.render(arts, lb.runs(lb.drop_long_predictions(scored, 512)))
+    """M15 as a report: highlighted spans and characters per page and label."""
+    return rule_spans(spark, sf).groupBy("article_id", "pred").agg(
+        F.count(F.lit(1)).alias("n_spans"), F.sum(F.length("text")).cast("long").alias("n_chars"))
 
 
 @register("article_lines")
@@ -472,32 +486,32 @@ def sentence_numbering(spark, sf):
 @register("sources_over_threshold")
 def sources_over_threshold(spark, sf):
     a = corpus.drop_blank(tb.articles(spark, sf), ["text", "domain", "date"])
-    return corpus.sources_over(a, 44)
+    return corpus.sources_over(a, CURATION["min_source_articles"])
 
 
 @register("annotator_context")
 def annotator_context(spark, sf):
-    return pools.annotator_context(curated(spark, sf)).select(
+    return pools.annotator_context(tb.corpus_sentences(spark, sf)).select(
         "sentence_id", "prev_context", "next_context")
 
 
 @register("annotation_queue")
 def annotation_queue(spark, sf):
     marked = tb.raters(spark, sf).select("sentence_id", "score")
-    q = pools.annotation_queue(curated(spark, sf), marked)
+    q = pools.annotation_queue(tb.corpus_sentences(spark, sf), marked)
     return q.select("sentence_id", "text", "prev_context", "next_context")
 
 
 @register("honeypot_gold")
 def honeypot_gold(spark, sf):
-    p = pools.pool_rows(curated(spark, sf), ["honeypot"])
+    p = pools.pool_rows(tb.corpus_sentences(spark, sf), ["honeypot"])
     gold = tb.raters(spark, sf).select("sentence_id", "score")
     return pools.gold_lookup(p, gold).select("sentence_id", "pool_text", "gold", "n_gold")
 
 
 @register("pilot_papers")
 def pilot_papers(spark, sf):
-    return pools.first_papers(curated(spark, sf), 5)
+    return pools.first_papers(tb.corpus_sentences(spark, sf), 5)
 
 
 @register("best_epoch")
@@ -552,10 +566,10 @@ def blank_filter(spark, sf):
 
 @register("curation_rank")
 def curation_rank(spark, sf):
-    """O1: every article's position in curation order (date desc, domain desc, text, id)."""
+    """O1: every article's position in curation order (date desc, domain desc, id)."""
     from tessera.plans import prefix
 
-    a = tb.articles(spark, sf)
+    a = tb.articles(spark, sf).select("paper_id", "domain", "date")
     return prefix.row_number(a, corpus.curation_order(), "rank").select("paper_id", "rank")
 
 
@@ -601,10 +615,31 @@ def keep_literal_labels(spark, sf):
 @register("label_pages_model")
 def label_pages_model(spark, sf):
     """M15 with the M4 model as the scorer (X1 via ``PipelineModel.transform``):
-    every page sentence is predicted, runs of equal label become spans."""
+    every page sentence, of any length, is predicted; runs of equal label become spans."""
     d = doc_split(spark, sf)
-    model = md.tfidf_logreg(d.filter(F.col("split") == "train"), max_iter=50)
+    model = md.tfidf_logreg(d.filter(F.col("split") == "train"))
     arts = page_articles(spark, sf)
-    s = lb.article_sentences(arts)
-    scored = md.predict(model, s).select("article_id", "para_no", "sent_no", "text", "pred")
-    return lb.render(arts, lb.runs(lb.drop_long_predictions(scored, 512)))
+    scored = md.predict(model, lb.article_sentences(arts)).select("article_id", "para_no", "sent_no", "text", "pred")
+    return lb.render(arts, lb.runs(scored))
+
+
+@register("recode_texts")
+def recode_texts(spark, sf):
+    """P4 with text keys: speaker names to numbers; other names have none."""
+    c = tb.table(spark, sf, "conversations")
+    return c.select("conv_id", "turn", tx.recode("role", SPEAKERS).alias("score"))
+
+
+SPEAKERS = {"user": 0, "assistant": 1}
+
+
+@register("paired_texts")
+def paired_texts(spark, sf):
+    """P1 for a two-column corpus with given splits: a turn and the one after
+    it as one text, the split (by conversation) kept."""
+    c = tb.table(spark, sf, "conversations")
+    split = F.when(F.col("conv_id") % 10 == 0, "test").when(F.col("conv_id") % 10 == 1, "val").otherwise("train")
+    later = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("_next"))
+    pairs = c.join(later, ["conv_id", "turn"])
+    return pairs.select("conv_id", "turn", split.alias("split"), tx.join_pair("text", "_next").alias("text"),
+                        tx.recode("role", SPEAKERS).cast("double").alias("score"))

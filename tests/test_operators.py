@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.functions import text as tx
 from tessera.operators import datasets as ds
 from tessera.operators import experiments as xp
 from tessera.operators import labelling as lb
@@ -108,18 +109,6 @@ def test_best_epoch_first_maximum(spark):
     assert c[1] == pytest.approx(0.5)
 
 
-def test_html_sink_one_folder_per_article(spark, tmp_path):
-    arts = spark.createDataFrame([(7, "T", None), (8, None, "http://x/i.png")],
-                                 "article_id long, title string, image_url string")
-    s = spark.createDataFrame([(7, 0, 0, "a.", 1), (8, 0, 0, "b.", 0)],
-                              "article_id long, para_no int, sent_no int, text string, pred int")
-    out = str(tmp_path / "html")
-    lb.write_html(lb.render(arts, lb.runs(s)), out)
-    back = {r.article_id: r.value for r in spark.read.text(out, wholetext=True).collect()}
-    assert set(back) == {7, 8}
-    assert "<h1>T</h1>" in back[7] and '<img src="http://x/i.png">' in back[8]
-
-
 def test_weighted_vote_rounds(spark):
     v = tb.votes(spark, SF_CHECK)
     one, two = vt.wawa(v, 1), vt.wawa(v, 2)
@@ -164,3 +153,50 @@ def test_pre_aggregated_votes_equal_expanded_votes(spark):
                                      "task long, worker long, label int")
     assert sorted(vt.wawa(agg).collect()) == sorted(vt.wawa(expanded).collect())
     assert sorted(vt.worker_f1(agg, vt.wawa(agg)).collect()) == sorted(vt.worker_f1(expanded, vt.wawa(expanded)).collect())
+
+
+def test_recode_text_keys(spark):
+    df = spark.createDataFrame([("pos",), ("neg",), ("other",), (None,)], "s string")
+    got = df.select(tx.recode("s", {"pos": 1, "neg": 0}).alias("x"))
+    assert got.schema["x"].dataType.simpleString() == "int"
+    assert [r.x for r in got.collect()] == [1, 0, None, None]
+    ints = spark.createDataFrame([(2,), (9,)], "s int").select(tx.recode("s", {2: 1}).alias("x"))
+    assert [r.x for r in ints.collect()] == [1, 9]
+
+
+def test_label_histogram_counts_every_vote(spark):
+    v = spark.createDataFrame([(1, 0), (1, 5), (1, None), (1, 3), (2, 4)], "task long, label int")
+    got = {r.task: (r.n0, r.n3, r.n_other) for r in vt.label_histogram(v).collect()}
+    assert got == {1: (1, 1, 2), 2: (0, 0, 1)}
+
+
+def test_encode_keeps_token_free_documents(spark):
+    from tessera.operators import features as fe
+
+    t = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, ["z"])], "doc_id long, tokens array<string>")
+    v = spark.createDataFrame([("a", 4), ("b", 5)], "term string, id long")
+    assert {r.doc_id: r.ids for r in fe.encode(t, v).collect()} == {1: [5, 4, 5], 2: [], 3: []}
+
+
+def test_consolidate_weights_repeated_texts(spark):
+    """n * m votes on one row give the same labels as the many-to-many rows."""
+    sent = spark.createDataFrame([(i, t, "d", "2018-07-01", 1) for i, t in enumerate(["s", "s", "s", "q", "q", "r"])],
+                                 "sentence_id long, text string, domain string, date string, paper_id long")
+    pool = sent.select(F.concat(F.lit("**"), "text", F.lit("**")).alias("pool_text"), "sentence_id")
+    crowd = spark.createDataFrame(
+        [("**s**", 1, 1), ("**s**", 1, 1), ("**s**", 2, 3), ("**q**", 2, 3), ("**q**", 1, 1), ("**q**", 3, 1),
+         ("**r**", 3, 2), ("**none**", 3, 2)], "text string, worker long, label int")
+    expert = spark.createDataFrame([(1, 1000, 3), (4, 1000, 3)], "task long, worker long, label int")
+    mapped = vt.retrieve_ids(crowd, pool).select(F.col("sentence_id").alias("task"), "worker", "label")
+    every = expert.unionByName(mapped).join(sent.select(F.col("sentence_id").alias("task"), "text"), "task")
+    canon = vt.canonical_task(every)
+    want = vt.wawa(every.join(canon, "text").select(F.col("canonical_task").alias("task"), "worker", "label"))
+    got = vt.consolidate(expert, crowd, pool, sent)
+    assert {(r.task, r.score) for r in got.collect()} == {(r.task, r.label) for r in want.collect()}
+
+
+def test_html_shards_hold_every_article(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"<p>{i}</p>") for i in range(50)], "article_id long, html string")
+    lb.write_html(docs.coalesce(2), str(tmp_path / "html"))
+    assert spark.read.parquet(str(tmp_path / "html")).count() == 50
+    assert len(list((tmp_path / "html").glob("part-*"))) <= 2
