@@ -25,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import boundary
+
 WINDOW = 3
 FOLD = 200
 BLANKS = " \t\r\n\x0b\x0c"
@@ -71,8 +73,10 @@ def windows_of(lines: Column) -> Column:
 
 def later_windows(df: DataFrame, id_col: str, text: str, fold: int = FOLD) -> DataFrame:
     """``(_id, _th, _covered)``: per document, the windows to cut, by first line."""
-    seen = df.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"),
-                     F.explode(windows_of(lines_of(F.col(text), fold))).alias("w")).select("_id", "_th", "w.*")
+    # cut and hashed once; the aggregate and both sides of the join read the windows
+    seen = boundary(df.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"),
+                              F.explode(windows_of(lines_of(F.col(text), fold))).alias("w"))
+                    .select("_id", "_th", "w.*"), compression="lz4")
     firsts = seen.filter("first").select("_id", "_th", "h", "g", "o")
     shared = (firsts.groupBy("h", "g")
               .agg(F.min("_id").alias("_min"), F.max("_id").alias("_max"),
@@ -87,7 +91,8 @@ def later_windows(df: DataFrame, id_col: str, text: str, fold: int = FOLD) -> Da
 
 
 def _cut(lines: Column, covered: Column) -> Column:
-    """``(text, removed)`` without the covered windows' runs of lines."""
+    """``(text, lines, removed)``: the text without the covered windows' runs of
+    lines (null where nothing is covered), the non-blank lines, and those removed."""
 
     def cut(x: Column) -> Column:
         units, at, p = x["u"], x["at"], x["p"]
@@ -101,9 +106,10 @@ def _cut(lines: Column, covered: Column) -> Column:
                 k["b"], lambda b, i: F.array_join(F.slice(units, b + 1, F.get(k["e"], i) - b), "")))
             removed = F.aggregate(F.transform(r["e"], lambda e, i: e + WINDOW - F.get(r["s"], i)), F.lit(0),
                                   lambda a, n: a + n)
-            return F.struct(F.array_join(pieces, "").alias("text"), removed.alias("removed"))
+            return F.struct(F.array_join(pieces, "").alias("text"), F.size(at).alias("lines"), removed.alias("removed"))
 
-        return _let(F.struct(starts.alias("s"), ends.alias("e")), rest)
+        same = F.struct(F.lit(None).cast("string").alias("text"), F.size(at).alias("lines"), F.lit(0).alias("removed"))
+        return F.when(p.isNull(), same).otherwise(_let(F.struct(starts.alias("s"), ends.alias("e")), rest))
 
     return _let(_let(lines, lambda u: F.struct(u.alias("u"), places(u).alias("at"), covered.alias("p"))), cut)
 
@@ -113,12 +119,10 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", fold:
     cover = later_windows(df, id_col, text, fold)
     marked = df.withColumn("__th", F.xxhash64(text))
     joined = marked.join(cover, marked[id_col].eqNullSafe(cover["_id"]) & (marked["__th"] == cover["_th"]), "left")
-    lines = lines_of(F.col(text), fold)
-    out = joined.withColumn("__cut", F.when(F.col("_covered").isNotNull(), _cut(lines, F.col("_covered"))))
-    n = F.size(F.filter(F.transform(lines, _trim), lambda x: x != ""))
+    out = joined.withColumn("__cut", _cut(lines_of(F.col(text), fold), F.col("_covered")))
     kept = [F.coalesce(F.col("__cut.text"), F.col(text)).alias(text) if c == text else F.col(c) for c in df.columns]
-    return out.select(*kept, n.cast("long").alias("_n_lines"),
-                      F.coalesce("__cut.removed", F.lit(0)).cast("long").alias("_n_removed"))
+    return out.select(*kept, F.col("__cut.lines").cast("long").alias("_n_lines"),
+                      F.col("__cut.removed").cast("long").alias("_n_removed"))
 
 
 _CUT = "chr(57344)"  # marks the line ends in the SQL twin
