@@ -73,8 +73,13 @@ def repeated_words(hashes: Column) -> Column:
     return F.when(F.size(hashes) < 3, 0).otherwise(many)
 
 
-def class_counts(text: Column) -> dict[str, Column]:
-    return {k: F.char_length(F.regexp_replace(text, p, "")) for k, p in CLASSES.items()}
+def class_counts(text: Column, solid: Column) -> Column:
+    """Characters of each class in order, as an array; ``solid`` are the
+    non-blank characters. Only what is no lower-case letter (a small part of
+    most texts) is read again for the other classes."""
+    rest = F.regexp_replace(text, r"[a-z\x20\x09-\x0D]+", "")
+    return _let(rest, lambda r: F.array(solid - F.char_length(r), *[
+        F.char_length(F.regexp_replace(r, p, "")) for k, p in CLASSES.items() if k != "lower"]))
 
 
 def word_counts(df: DataFrame, text: str, lang: str) -> DataFrame:
@@ -124,10 +129,11 @@ class References:
     @classmethod
     def _language_sums(cls, counts: DataFrame) -> DataFrame:
         """Word and class totals of the languages that hold their share; the others as one null row."""
-        classes = class_counts(F.col("word"))
-        known = sum(classes.values(), F.lit(0))
-        rows = counts.select("lang", "n", *[(c * F.col("n")).alias(k) for k, c in classes.items()],
-                             ((F.char_length("word") - known) * F.col("n")).alias("other"))
+        size = F.char_length("word")
+        typed = counts.select("lang", "n", size.alias("size"), class_counts(F.col("word"), size).alias("k"))
+        known = F.aggregate("k", F.lit(0), lambda a, x: a + x)
+        rows = typed.select("lang", "n", *[(F.col("k")[i] * F.col("n")).alias(k) for i, k in enumerate(CLASSES)],
+                            ((F.col("size") - known) * F.col("n")).alias("other"))
         names = (*CLASSES, "other", "n")
         by_lang = rows.groupBy("lang").agg(*[F.sum(k).alias(k) for k in names])
         total = by_lang.select(F.sum("n")).scalar()
@@ -142,25 +148,31 @@ def _signed_hash(word: str) -> int:
 
 
 def perfect_hash(hashes: list[int]) -> tuple[list[int], list[int]]:
-    """Displacements by ``h % len(displacements)`` and slots by
-    ``(h // 2**20 + displacement) % len(slots)``; a free slot is -1."""
+    """Displacements by ``h & (len(displacements) - 1)`` and the hash held by each
+    slot ``(h >> 20) + displacement & (len(slots) - 1)``; both lengths are powers of two."""
     width = 1 << max(4, (4 * len(hashes)).bit_length())
-    heads = max(1, width // 8)
+    heads = width // 8
     groups: dict[int, list[int]] = {}
-    for i, h in enumerate(hashes):
-        groups.setdefault(h % heads, []).append(i)
-    slots, shift = [-1] * width, [0] * heads
+    for h in hashes:
+        groups.setdefault(h & (heads - 1), []).append(h)
+    slots: list[int | None] = [None] * width
+    shift = [0] * heads
     for head, members in sorted(groups.items(), key=lambda g: (-len(g[1]), g[0])):
         for d in range(width):
-            at = [((hashes[i] >> 20) + d) % width for i in members]
-            if len(set(at)) == len(at) and all(slots[x] < 0 for x in at):
+            at = [(h >> 20) + d & (width - 1) for h in members]
+            if len(set(at)) == len(at) and all(slots[x] is None for x in at):
                 break
         else:
             raise ValueError("two reference words share a hash")
         shift[head] = d
-        for i, x in zip(members, at):
-            slots[x] = i
-    return shift, slots
+        for h, x in zip(members, at):
+            slots[x] = h
+    # a free slot holds a hash that belongs elsewhere, so nothing is found there
+    return shift, [_elsewhere(x, shift, width) if h is None else h for x, h in enumerate(slots)]
+
+
+def _elsewhere(slot: int, shift: list[int], width: int) -> int:
+    return next(h for h in range(0, len(shift) + 1 << 20, 1 << 20) if (h >> 20) + shift[0] & (width - 1) != slot)
 
 
 def _literals(values: list, kind: str) -> Column:
@@ -186,19 +198,18 @@ def char_distance(counts: list[Column], total: Column, shares: Column) -> Column
 
 
 def word_distance(hashes: Column, refs: References, shares: Column) -> Column:
-    codes = [_signed_hash(w) for w in refs.words]
-    shift, slots = perfect_hash(codes)
-    shift_c, slots_c, codes_c = _literals(shift, "int"), _literals(slots, "int"), _literals(codes, "bigint")
+    """``shares`` of the reference by slot (see ``slot_shares``)."""
+    shift, slots = perfect_hash([_signed_hash(w) for w in refs.words])
+    shift_c, slots_c = _literals(shift, "bigint"), _literals(slots, "bigint")
 
-    def index(h: Column) -> Column:
-        place = F.pmod(F.shiftright(h, 20) + F.get(shift_c, F.pmod(h, F.lit(len(shift))).cast("int")),
-                       F.lit(len(slots))).cast("int")
-        return F.get(slots_c, place)
+    def place(h: Column) -> Column:
+        own = F.get(shift_c, h.bitwiseAND(F.lit(len(shift) - 1)).cast("int"))
+        return (F.shiftright(h, 20) + own).bitwiseAND(F.lit(len(slots) - 1)).cast("int")
 
-    if not codes:
+    if not refs.words:
         return F.lit(0.0)
-    found = F.filter(F.transform(hashes, lambda h: F.when(F.get(codes_c, index(h)) == h, index(h)).otherwise(-1)),
-                     lambda k: k >= 0)
+    found = _let(F.transform(hashes, place), lambda p: F.filter(
+        p, lambda k, i: F.get(slots_c, k) == F.get(hashes, i)))
     n = F.greatest(F.size(hashes), F.lit(1))
 
     def compare(s: Column) -> Column:
@@ -211,13 +222,27 @@ def word_distance(hashes: Column, refs: References, shares: Column) -> Column:
             return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
 
         rest = (n - F.size(s)) / n
-        q_rest = F.lit(1.0) - F.aggregate(shares, F.lit(0.0), lambda a, x: a + x)
-        return _distance(_let(starts, runs) + F.when(rest > 0, _term(rest, F.greatest(q_rest, F.lit(0.0))))
+        q_rest = F.get(shares, F.lit(len(slots)))
+        return _distance(_let(starts, runs) + F.when(rest > 0, _term(rest, q_rest))
                          .otherwise(0.0))
 
     return _let(F.sort_array(found), compare)
 
 
+def slot_shares(refs: References) -> dict[str | None, list[float]]:
+    """Every language's shares in the order of the hash slots, and that of all other words."""
+    _, slots = perfect_hash([_signed_hash(w) for w in refs.words])
+    at = {_signed_hash(w): i for i, w in enumerate(refs.words)}
+    place = {h: x for x, h in enumerate(slots) if h in at}
+    out = {}
+    for key, shares in refs.shares.items():
+        row = [0.0] * len(slots)
+        for h, x in place.items():
+            row[x] = shares[at[h]]
+        out[key] = [*row, max(0.0, 1.0 - sum(shares))]
+    return out
+
+
 def judge(df: DataFrame, refs: References, text: str = "text", lang: str = "lang",
           char_limit: tuple[float, float] = CHAR_LIMIT, word_limit: tuple[float, float] = WORD_LIMIT) -> DataFrame:
     """``df`` with the column ``_q``: a struct of counts, distances and verdicts."""
@@ -233,16 +258,16 @@ def judge(df: DataFrame, refs: References, text: str = "text", lang: str = "lang
 
     base = df.withColumn("_words", words)
     base = base.withColumn("_q", _let(
-        F.struct(F.transform("_words", lambda w: F.xxhash64(w)).alias("h"), of(refs.shares).alias("s"),
-                 of(refs.chars).alias("c"), F.char_length(F.array_join("_words", "")).alias("n"),
-                 F.array(*class_counts(whole).values()).alias("k")),
+        F.struct(F.transform("_words", lambda w: F.xxhash64(w)).alias("h"), of(slot_shares(refs)).alias("s"),
+                 of(refs.chars).alias("c"), _let(F.char_length(F.array_join("_words", "")), lambda n: F.struct(
+                     n.alias("n"), class_counts(whole, n).alias("k"))).alias("t")),
         lambda x: F.struct(
             F.size(x["h"]).cast("long").alias("n_words"),
-            x["n"].cast("long").alias("word_chars"),
-            F.get(x["k"], F.lit(list(CLASSES).index("symbol"))).cast("long").alias("n_symbols"),
+            x["t"]["n"].cast("long").alias("word_chars"),
+            F.get(x["t"]["k"], F.lit(list(CLASSES).index("symbol"))).cast("long").alias("n_symbols"),
             repeated_words(x["h"]).cast("long").alias("n_repeat_words"),
             F.when(F.size(x["h"]) < 1, 0.0).otherwise(char_distance(
-                [F.get(x["k"], F.lit(i)) for i in range(len(CLASSES))], x["n"], x["c"])).alias("char_js"),
+                [F.get(x["t"]["k"], F.lit(i)) for i in range(len(CLASSES))], x["t"]["n"], x["c"])).alias("char_js"),
             F.when(F.size(x["h"]) < WORD_GUARD, 0.0).otherwise(
                 word_distance(x["h"], refs, x["s"])).alias("word_js"))))
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))

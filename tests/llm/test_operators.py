@@ -133,8 +133,13 @@ def test_quality_keeps_clean_drops_noise(spark):
 def test_perfect_hash_finds_every_word():
     codes = [quality._signed_hash(f"w{i}") for i in range(500)]
     shift, slots = quality.perfect_hash(codes)
-    for i, h in enumerate(codes):
-        assert slots[((h >> 20) + shift[h % len(shift)]) % len(slots)] == i
+
+    def held(h):
+        return slots[(h >> 20) + shift[h & (len(shift) - 1)] & (len(slots) - 1)]
+
+    assert all(held(h) == h for h in codes)
+    others = [quality._signed_hash(f"x{i}") for i in range(5000)]
+    assert not any(held(h) == h for h in [*others, *(set(slots) - set(codes))])
 
 
 # ---------------------------------------------------------------- 7
