@@ -42,7 +42,8 @@ from tessera.llm.common import boundary, shuffle_partitions
 MU = 1000.0
 LEVEL_BASE = 2.0
 BITS, PROBES = 8, 4  # bits of the filter per item, and places of an item
-PART_BYTES = 48 << 20  # the most of the filter that is broadcast at once
+BLOCK_BYTES = 8 << 20
+PART_BYTES = 32 << 20  # the most of the filter that is broadcast at once
 KEPT = 6  # low bytes of a pair's hash that tell it apart within its shard
 SHARD_ITEMS = 1 << 15  # about this many training tokens per shard
 START = 0x9E3779B97F4A7C15  # stands for the start of a text
@@ -196,7 +197,7 @@ def _parts(sizes: list[tuple[int, int]], part_bytes: int, shards: int) -> list[t
 
 
 def score(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), train: str = "train",
-          slots: int | None = None, block_bytes: int = blocks.BLOCK_BYTES, part_bytes: int = PART_BYTES,
+          slots: int | None = None, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES,
           shard_bits: int | None = None) -> DataFrame:
     """``keep`` columns, n_tokens, n_known, train_tokens, base_score and score of every row;
     the model learns from the rows whose boolean column ``train`` is true."""
@@ -216,20 +217,16 @@ def score(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
     if shard_bits is None:
         shard_bits = (n_train // SHARD_ITEMS).bit_length()
     shards = boundary(filter_shards(pair_counts(table, "_train", shard_bits)))
-    sizes = [(r["shard"], r["size"]) for r in
-             shards.select("shard", F.octet_length("data").alias("size")).orderBy("shard").collect()]
+    known = {r["shard"]: r["size"] for r in
+             shards.select("shard", F.octet_length("data").alias("size")).collect()}
     schema = T.StructType([T.StructField("_place", T.LongType()), *[numbered.schema[c] for c in keep],
                            T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
                            T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()),
                            T.StructField("_part", T.DoubleType())])
-    ranges = _parts(sizes, part_bytes, 1 << shard_bits)
+    ranges = _parts(sorted(known.items()), part_bytes, 1 << shard_bits)
     total = None
     for first, last in ranges:
-        data = {r["shard"]: r["data"] for r in
-                shards.filter(F.col("shard").between(first, last - 1)).select("shard", "data").collect()}
-        lengths = [len(data.get(s, b"")) for s in range(first, last)]
-        held = spark.sparkContext.broadcast(
-            (shard_bits, first, lengths, b"".join(bytes(data.get(s, b"")) for s in range(first, last))))
+        held = spark.sparkContext.broadcast((shard_bits, first, *_gather(shards, known, first, last)))
         part = blocks.reunite(table, replies, _scorer(held, [*keep], n_train, n_docs, v), schema)
         total = part if total is None else total.unionByName(part)
     if len(ranges) == 1:
@@ -239,6 +236,19 @@ def score(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
                                         F.sum("_part").alias("score")).drop("_place"))
 
 
+def _gather(shards: DataFrame, known: dict[int, int], first: int, last: int) -> tuple[list[int], bytearray]:
+    """Sizes and bytes of the shards ``first .. last - 1``, fetched one Spark
+    partition at a time into one buffer of at most a part's size."""
+    sizes = [known.get(s, 0) for s in range(first, last)]
+    ends = np.cumsum(sizes, dtype=np.int64)
+    data = bytearray(int(ends[-1]))
+    rows = shards.filter(F.col("shard").between(first, last - 1)).select("shard", "data")
+    for r in rows.toLocalIterator():
+        end = int(ends[r["shard"] - first])
+        data[end - len(r["data"]):end] = r["data"]
+    return sizes, data
+
+
 def train_totals(table: DataFrame, train: str) -> DataFrame:
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
