@@ -118,15 +118,28 @@ class _Searcher:
             live = live[q_len[live] * v_len[0] + slack[live] >= bar[live]]
             if not len(live):
                 break
-            bound = q_head[live] @ v_head.T + np.outer(q_tail[live], v_tail) + slack[live, None]
-            row, col = np.nonzero(bound >= bar[live, None])
-            row = live[row]
-            other = qid[row] != ids[col]
-            row, col = row[other], col[other]
-            score = np.einsum("ij,ij->i", q[row], block[col])
-            self._merge(best, kept_rows, row, col + a, score, vid)
+            open_ = q_head[live] @ v_head.T + np.outer(q_tail[live], v_tail) + slack[live, None] >= bar[live, None]
+            open_ &= qid[live][:, None] != ids[None, :]
+            rows, cols = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+            if not len(rows):
+                continue
+            open_ = open_[np.ix_(rows, cols)]
+            score = np.where(open_, self._exact(q[live[rows]], block[cols]), np.iinfo(np.int64).min)
+            limit = bar[live[rows]]
+            if len(cols) > k:  # the k-th best here is a threshold too
+                limit = np.maximum(limit, np.partition(score, -k, axis=1)[:, -k])
+            row, col = np.nonzero(open_ & (score >= limit[:, None]))
+            self._merge(best, kept_rows, live[rows[row]], cols[col] + a, score[row, col], vid)
         return best, kept_rows
 
+    @staticmethod
+    def _exact(q, v):
+        """Integer inner products of all rows; doubles hold them exactly up to 2**53."""
+        reach = float(np.abs(q).max(initial=0)) * float(np.abs(v).max(initial=0)) * q.shape[1]
+        if reach < 2**53:
+            return (q.astype(np.float64) @ v.T.astype(np.float64)).astype(np.int64)
+        return q @ v.T
+
     def _merge(self, best, kept, row, col, score, vid):
         if not len(row):
             return
