@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, line_dedup, mixing, quality, simhash
-from tessera.llm.common import boundary, read_table
+from tessera.llm.common import boundary, free_names, read_table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +26,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of three-line windows are cut; ``n_chars`` follows the text."""
-    cut = line_dedup.dedup_lines(docs)
+    lines, removed = free_names(docs, "_n_lines", "_n_removed")
+    cut = line_dedup.dedup_lines(docs, lines=lines, removed=removed)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        cut = cut.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.char_length("text").cast(kind))
+        cut = cut.withColumn("n_chars", F.when(F.col(removed) > 0, F.char_length("text").cast(kind))
                              .otherwise(F.col("n_chars")))
     return cut.select(*docs.columns)
 
@@ -41,7 +42,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn by their cell's calibrated probability stay."""
-    return mixing.mixed_documents(docs).filter("_sampled").select(*docs.columns)
+    narrow = docs.select("doc_id", "text", "source", "lang", F.struct(*docs.columns).alias("row"))
+    return mixing.mixed_documents(narrow).filter("_sampled").select("row.*")
 
 
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,8 @@ two to four, none across a word border; each is hashed to one of ``BUCKETS``
 embeddings. The mean embedding goes through a linear softmax. Embeddings and
 softmax are trained together by mini-batch gradient descent in numpy on a
 bounded sample: of each of the ``MAX_LANGUAGES`` most frequent languages the
-``PER_LANGUAGE`` training rows with the smallest id hash, whole texts. A fifth
+``PER_LANGUAGE`` training rows with the smallest id hash, whole texts, and not
+more than ``SAMPLE`` rows in all. A fifth
 of it calibrates: the temperature of the softmax, and the lowest score at which
 ``PRECISION`` of the predictions hold; below that ``accepted`` is false.
 
@@ -28,6 +29,7 @@ BUCKETS = 2048
 WIDTH = 16
 PER_LANGUAGE = 600
 MAX_LANGUAGES = 200
+SAMPLE = 12_000  # training rows in all: with many languages, fewer of each
 EPOCHS, RATE, BATCH = 60, 8.0, 32
 PRECISION = 0.99
 UNKNOWN = "und"
@@ -128,17 +130,20 @@ def training_sample(df: DataFrame, id_col: str, text: str, lang: str, train: str
     usable = df.filter(F.col(train) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
     keyed = usable.select(F.col(lang).alias("lang"), F.xxhash64(id_col).alias("h"), F.col(text).alias("text"))
     narrow = keyed.select("lang", "h")
+    frequent = [r["lang"] for r in narrow.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+                .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
+    per_language = min(per_language, SAMPLE // max(1, len(frequent)))
+    narrow, keyed = (x.filter(F.col("lang").isin(frequent)) for x in (narrow, keyed))
     # the first rank leaves per_language rows of each of 64 parts, so a hot language is never in one task
     parts = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h")
     whole = Window.partitionBy("lang").orderBy("h")
     last = (narrow.withColumn("r", F.row_number().over(parts)).filter(F.col("r") <= per_language)
             .withColumn("r", F.row_number().over(whole)).filter(F.col("r") <= per_language)
             .groupBy("lang").agg(F.max("h").alias("last")))
-    frequent = narrow.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
-    chosen = F.broadcast(last.join(frequent, "lang").select("lang", "last"))  # MAX_LANGUAGES rows at most
+    chosen = F.broadcast(last)  # MAX_LANGUAGES rows at most
     # rows that repeat an id hash alike: the limit keeps the bound exact
     return (keyed.join(chosen, "lang").filter(F.col("h") <= F.col("last")).select("lang", "text")
-            .limit(per_language * MAX_LANGUAGES))
+            .limit(SAMPLE))
 
 
 def learn(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", train: str = "train",

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import boundary
+from tessera.llm.common import boundary, free_names
 
 WINDOW = 3
 FOLD = 200
@@ -114,15 +114,18 @@ def _cut(lines: Column, covered: Column) -> Column:
     return _let(_let(lines, lambda u: F.struct(u.alias("u"), places(u).alias("at"), covered.alias("p"))), cut)
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", fold: int = FOLD) -> DataFrame:
-    """``df`` with ``text`` cut, and the columns ``_n_lines`` and ``_n_removed``."""
-    cover = later_windows(df, id_col, text, fold)
-    marked = df.withColumn("__th", F.xxhash64(text))
-    joined = marked.join(cover, marked[id_col].eqNullSafe(cover["_id"]) & (marked["__th"] == cover["_th"]), "left")
-    out = joined.withColumn("__cut", _cut(lines_of(F.col(text), fold), F.col("_covered")))
-    kept = [F.coalesce(F.col("__cut.text"), F.col(text)).alias(text) if c == text else F.col(c) for c in df.columns]
-    return out.select(*kept, F.col("__cut.lines").cast("long").alias("_n_lines"),
-                      F.col("__cut.removed").cast("long").alias("_n_removed"))
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", fold: int = FOLD,
+                lines: str = "_n_lines", removed: str = "_n_removed") -> DataFrame:
+    """``df`` with ``text`` cut, and the columns ``lines`` (non-blank lines) and
+    ``removed`` (those that were cut)."""
+    th, i, t, p, cut = free_names(df, "_text_hash", "_cover_id", "_cover_hash", "_cover", "_cut")
+    cover = later_windows(df, id_col, text, fold).toDF(i, t, p)
+    marked = df.withColumn(th, F.xxhash64(text))
+    joined = marked.join(cover, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(th) == F.col(t)), "left")
+    out = joined.withColumn(cut, _cut(lines_of(F.col(text), fold), F.col(p)))
+    kept = [F.coalesce(F.col(cut)["text"], F.col(text)).alias(text) if c == text else F.col(c) for c in df.columns]
+    return out.select(*kept, F.col(cut)["lines"].cast("long").alias(lines),
+                      F.col(cut)["removed"].cast("long").alias(removed))
 
 
 _CUT = "chr(57344)"  # marks the line ends in the SQL twin

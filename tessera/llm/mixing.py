@@ -29,6 +29,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import free_names
+
 REST = "*"
 ROUNDS = 60
 TOLERANCE = 1e-12
@@ -112,15 +114,17 @@ def uniform(id_col: Column, text: Column, seed: int) -> Column:
 
 def mix(df: DataFrame, targets: dict[str, dict[str, float]], fraction: float, id_col: str = "doc_id",
         text: str = "text", seed: int = 42) -> DataFrame:
-    """``df`` with ``_tokens``, ``_weight``, ``_prob`` and ``_sampled``.
+    """``df`` with ``_tokens``, ``_weight``, ``_prob`` and ``_sampled`` (columns of
+    these names in ``df`` are replaced).
 
     ``targets``: by column name, the wanted share of its values. Every document
     of a cell without tokens (empty texts) has the probability 0."""
     dims = list(targets)
     keyed = df.withColumn("_tokens", tokens(F.col(text)))
-    for d in dims:
-        keyed = keyed.withColumn(f"_k_{d}", _key(F.col(d), targets[d]))
-    keys = [f"_k_{d}" for d in dims]
+    keys = free_names(df, *[f"_k_{d}" for d in dims])
+    (cell,) = free_names(df, "_cell")
+    for k, d in zip(keys, dims):
+        keyed = keyed.withColumn(k, _key(F.col(d), targets[d]))
     cells = [tuple(r) for r in keyed.groupBy(*keys).agg(F.sum("_tokens").alias("n")).orderBy(*keys).collect()]
     n = np.array([c[-1] for c in cells], np.float64)
     p, weight = probabilities(n, rake(cells, list(targets.values())), fraction)
@@ -130,12 +134,12 @@ def mix(df: DataFrame, targets: dict[str, dict[str, float]], fraction: float, id
         table = {"\x1f".join(c[:-1]): (float(a), float(b)) for c, a, b in zip(cells, p, weight)}
         lookup = F.create_map(*[x for k, (a, b) in table.items()
                                 for x in (F.lit(k), F.struct(F.lit(a).alias("p"), F.lit(b).alias("w")))])
-        keyed = keyed.withColumn("_cell", lookup[name])
+        keyed = keyed.withColumn(cell, lookup[name])
     else:
-        keyed = keyed.withColumn("_cell", F.struct(F.lit(0.0).alias("p"), F.lit(1.0).alias("w")))
-    out = keyed.withColumn("_prob", F.col("_cell.p")).withColumn("_weight", F.col("_cell.w"))
+        keyed = keyed.withColumn(cell, F.struct(F.lit(0.0).alias("p"), F.lit(1.0).alias("w")))
+    out = keyed.withColumn("_prob", F.col(cell)["p"]).withColumn("_weight", F.col(cell)["w"])
     drawn = uniform(F.col(id_col), F.col(text), seed) < F.col("_prob")
-    return out.withColumn("_sampled", drawn).drop("_cell", *keys)
+    return out.withColumn("_sampled", drawn).drop(cell, *keys)
 
 
 # The targets of the registered query and of the pipeline.

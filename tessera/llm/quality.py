@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import boundary
+from tessera.llm.common import boundary, free_names
 
 SPACE = r"[\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -244,22 +244,25 @@ def slot_shares(refs: References) -> dict[str | None, list[float]]:
 
 
 def judge(df: DataFrame, refs: References, text: str = "text", lang: str = "lang",
-          char_limit: tuple[float, float] = CHAR_LIMIT, word_limit: tuple[float, float] = WORD_LIMIT) -> DataFrame:
-    """``df`` with the column ``_q``: a struct of counts, distances and verdicts."""
+          char_limit: tuple[float, float] = CHAR_LIMIT, word_limit: tuple[float, float] = WORD_LIMIT,
+          out: str = "_q") -> DataFrame:
+    """``df`` with the column ``out``: a struct of counts, distances and verdicts."""
     whole = F.coalesce(F.col(text), F.lit(""))
     words = words_of(F.col(text))
 
+    (split,) = free_names(df, "_words")
+
     def of(table: dict) -> Column:
         known = [k for k in table if k is not None]
-        out = F.when(F.lit(False), _literals(table[None], "double"))
+        chain = F.when(F.lit(False), _literals(table[None], "double"))
         for k in known:
-            out = out.when(F.col(lang) == k, _literals(table[k], "double"))
-        return out.otherwise(_literals(table[None], "double"))
+            chain = chain.when(F.col(lang) == k, _literals(table[k], "double"))
+        return chain.otherwise(_literals(table[None], "double"))
 
-    base = df.withColumn("_words", words)
-    base = base.withColumn("_q", _let(
-        F.struct(F.transform("_words", lambda w: F.xxhash64(w)).alias("h"), of(slot_shares(refs)).alias("s"),
-                 of(refs.chars).alias("c"), _let(F.char_length(F.array_join("_words", "")), lambda n: F.struct(
+    base = df.withColumn(split, words)
+    base = base.withColumn(out, _let(
+        F.struct(F.transform(F.col(split), lambda w: F.xxhash64(w)).alias("h"), of(slot_shares(refs)).alias("s"),
+                 of(refs.chars).alias("c"), _let(F.char_length(F.array_join(F.col(split), "")), lambda n: F.struct(
                      n.alias("n"), class_counts(whole, n).alias("k"))).alias("t")),
         lambda x: F.struct(
             F.size(x["h"]).cast("long").alias("n_words"),
@@ -272,11 +275,11 @@ def judge(df: DataFrame, refs: References, text: str = "text", lang: str = "lang
                 word_distance(x["h"], refs, x["s"])).alias("word_js"))))
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     dup = _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    q = F.col("_q")
+    q = F.col(out)
     failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEAT_PERCENT * q["n_words"])
     root = F.sqrt(F.greatest(q["n_words"], F.lit(1)).cast("double"))
     good = (q["char_js"] <= char_limit[0] + char_limit[1] / root) & (q["word_js"] <= word_limit[0] + word_limit[1] / root)
-    return base.drop("_words").withColumn("_q", F.struct(
+    return base.drop(split).withColumn(out, F.struct(
         q["n_words"].alias("n_words"), q["word_chars"].alias("word_chars"), q["n_symbols"].alias("n_symbols"),
         dup.cast("long").alias("n_dup_lines"), q["n_repeat_words"].alias("n_repeat_words"),
         failed.alias("base_failed"), (~failed & good).alias("kept"),
@@ -286,13 +289,15 @@ def judge(df: DataFrame, refs: References, text: str = "text", lang: str = "lang
 def quality(df: DataFrame, text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and the rule columns of every row."""
     refs = References.learn(df, text, lang)
-    return judge(df, refs, text, lang).select(*keep, "_q.*")
+    (q,) = free_names(df, "_q")
+    return judge(df, refs, text, lang, out=q).select(*keep, f"{q}.*")
 
 
 def kept_documents(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``df`` that the rules keep."""
     refs = References.learn(df, text, lang)
-    return judge(df, refs, text, lang).filter("_q.kept").drop("_q")
+    (q,) = free_names(df, "_q")
+    return judge(df, refs, text, lang, out=q).filter(F.col(q)["kept"]).drop(q)
 
 
 def _sql_classes(text: str) -> list[str]:

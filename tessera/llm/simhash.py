@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import boundary
+from tessera.llm.common import boundary, free_names
 from tessera.llm.components import components
 
 SHINGLE, MAX_BITS, SEED = 4, 4, 42
@@ -229,26 +229,29 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_RO
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (),
                     shingle: int = SHINGLE, max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """``id_col``, ``keep`` columns, ``fingerprint`` (hex) and ``component_id``, one row per row of ``df``."""
-    docs = boundary(fingerprints(df, text, (id_col, *keep), shingle))
-    nodes = docs.groupBy(F.col("_fp").alias("fp")).agg(F.min(id_col).alias("_least"))
+    kept = [F.col(c).alias(f"k{i}") for i, c in enumerate((id_col, *keep))]  # names of their own
+    docs = boundary(fingerprints(df.select(*kept, F.col(text).alias("text")), "text",
+                                 tuple(f"k{i}" for i in range(len(kept))), shingle))
+    nodes = docs.groupBy(F.col("_fp").alias("fp")).agg(F.min("k0").alias("_least"))
     roots = components(links(nodes.select("fp"), max_bits, bucket_rows))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select(
         "fp", "_least", F.coalesce("root", "fp").alias("_root"))
     least = placed.groupBy("_root").agg(F.min("_least").alias("component_id"))
     label = placed.join(least, "_root").select(F.col("fp").alias("_fp"), "component_id")
     return docs.join(label, "_fp").select(
-        id_col, *keep, F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+        *[F.col(f"k{i}").alias(c) for i, c in enumerate((id_col, *keep))], F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(df: DataFrame, id_col: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``df`` with one row of each group: the smallest id (null last), then the
     smallest text hash; of rows equal in both, any one (they are repeats)."""
-    marked = df.withColumn("_h", F.xxhash64(text))
-    found = near_duplicates(marked, id_col, text, ("_h",), **options)
+    h, group_name, winner, winner_hash = free_names(df, "_text_hash", "_group", "_winner", "_winner_hash")
+    marked = df.withColumn(h, F.xxhash64(text))
+    found = near_duplicates(marked.select(id_col, text, F.col(h).alias("_h")), id_col, text, ("_h",), **options)
     # a group without any id still has a place of its own: that of its fingerprints
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("fp:"), "fingerprint"))
-    best = found.groupBy(group.alias("_group")).agg(
+    best = found.groupBy(group.alias(group_name)).agg(
         F.min(F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("id"), F.col("_h").alias("h"))).alias("w"))
-    winners = best.select("_group", F.col("w.id").alias("_id"), F.col("w.h").alias("_wh"))
-    kept = marked.join(winners, marked[id_col].eqNullSafe(winners["_id"]) & (marked["_h"] == winners["_wh"]))
-    return kept.dropDuplicates(["_group"]).select(*[marked[c] for c in df.columns])
+    winners = best.select(group_name, F.col("w.id").alias(winner), F.col("w.h").alias(winner_hash))
+    kept = marked.join(winners, F.col(id_col).eqNullSafe(F.col(winner)) & (F.col(h) == F.col(winner_hash)))
+    return kept.dropDuplicates([group_name]).select(*df.columns)

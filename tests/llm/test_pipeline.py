@@ -50,10 +50,13 @@ def test_odd_rows(spark, number):
     name, stage = corpus_pipeline.STAGES[number]
     rows = [(1, "a b\nc", None, None, 5), (None, None, "en", "src0", None), (2, "", "en", "src0", 0),
             (2, "", "en", "src0", 0), (3, ("good the of " * 3000 + "\n") * 3, "xx", "yy", 3)]
-    df = spark.createDataFrame([(*r, 1, "z") for r in rows],
-                               "doc_id long, text string, lang string, source string, n_chars long, word int, n string")
+    clashing = ["word", "n", "_q", "_words", "_id", "_group", "_cell", "_sampled", "topic", "_n_lines", "_text_hash", "row"]
+    df = spark.createDataFrame([(*r, *["z"] * len(clashing)) for r in rows],
+                               "doc_id long, text string, lang string, source string, n_chars long, "
+                               + ", ".join(f"{c} string" for c in clashing))
     got = stage(spark, df, SF)
     assert got.count() <= len(rows)
     if number < 4:
         assert got.columns == df.columns
+        assert all(r[c] == "z" for r in got.collect() for c in clashing)
     assert stage(spark, df.filter(F.lit(False)), SF).collect() == []
