@@ -22,6 +22,7 @@ again.
 
 from __future__ import annotations
 
+import ctypes
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -40,6 +41,16 @@ DOCS_SLOT = -1
 SCHEMA = "block long, slot int, docs long, words long, payload binary"
 
 
+def release() -> None:
+    """Give freed memory back to the system: Spark keeps its Python workers for
+    later stages, and what they hold idle counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
 def _squeeze(*parts: bytes) -> bytes:
     head = np.array([len(parts), *map(len, parts)], dtype="<i8").tobytes()
     return zstandard.ZstdCompressor(level=3).compress(head + b"".join(parts))
@@ -189,6 +200,8 @@ def pack(df: DataFrame, text: str, keep: list[str], split: Callable[[str], list]
                     ids, codes, sizes, trained, metas, size = fresh()
         if sizes:
             yield _rows(list(flush()))
+        del ids, codes, metas
+        release()
 
     packed = picked.mapInArrow(build, SCHEMA)
     return common.bucketed(packed, "block", common.shuffle_partitions(df.sparkSession))
@@ -220,7 +233,8 @@ def answer(table: DataFrame, reply: Callable[[list[bytes], np.ndarray], list[byt
     All rows of a bucket meet in one group, whose size is the distinct words
     of all blocks over the number of buckets. ``reply(words, counts)`` gets the
     bucket's distinct words and their training counts over all blocks and
-    returns one value per word.
+    returns one value per word. ``learned`` is, in one row of each bucket, how
+    many of its words occur in training.
     """
 
     def group(rows: pa.Table) -> pa.Table:
@@ -235,15 +249,17 @@ def answer(table: DataFrame, reply: Callable[[list[bytes], np.ndarray], list[byt
             total[at] += learned
         values = reply(list(place), total)
         out = [_squeeze(*pack_ragged([values[i] for i in at.tolist()])) for at in wanted]
+        learned = [0] * len(out)
+        learned[0] = int((total > 0).sum())
+        del place, values
+        release()
         return pa.table({"block": rows.column("block"), "slot": rows.column("slot"),
-                         "distinct": pa.array([len(place) if i == 0 else 0 for i in range(len(out))], pa.int64()),
-                         "learned": pa.array([int((total > 0).sum()) if i == 0 else 0 for i in range(len(out))],
-                                             pa.int64()),
+                         "learned": pa.array(learned, pa.int64()),
                          "payload": pa.array(out, pa.binary())})
 
     buckets = table.filter(F.col("slot") != DOCS_SLOT).select("block", "slot", "payload")
     return buckets.groupBy("slot").applyInArrow(
-        group, "block long, slot int, distinct long, learned long, payload binary")
+        group, "block long, slot int, learned long, payload binary")
 
 
 def unpack_reply(replies: pa.Table) -> dict[int, list[bytes]]:
@@ -255,7 +271,9 @@ def reunite(table: DataFrame, replies: DataFrame, finish: Callable[[Block, dict]
     """``finish(block, replies by bucket)`` for every block; only the replies move."""
 
     def both(rows: pa.Table, answers: pa.Table) -> pa.Table:
-        return finish(unpack_block(rows), unpack_reply(answers))
+        out = finish(unpack_block(rows), unpack_reply(answers))
+        release()
+        return out
 
     return (table.groupBy("block").cogroup(replies.select("block", "slot", "payload").groupBy("block"))
             .applyInArrow(both, schema))

@@ -46,6 +46,7 @@ BLOCK_BYTES = 8 << 20
 PART_BYTES = 32 << 20  # the most of the filter that is broadcast at once
 KEPT = 6  # low bytes of a pair's hash that tell it apart within its shard
 SHARD_ITEMS = 1 << 15  # about this many training tokens per shard
+STEP = 1 << 18  # tokens scored at once
 START = 0x9E3779B97F4A7C15  # stands for the start of a text
 END_WORD = b"\x20end"  # no word holds a space
 
@@ -149,6 +150,8 @@ def pair_counts(table: DataFrame, train: str, shard_bits: int) -> DataFrame:
                 low = pairs[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEPT]
                 many = np.flatnonzero(counts[a:b] > 1).astype("<u4")
                 out.append((int(shard[a]), low.tobytes(), many.tobytes() + counts[a:b][many].astype("<u4").tobytes()))
+        block = None
+        blocks.release()
         cols = list(zip(*out)) or [[], [], []]
         return pa.table({"shard": pa.array(cols[0], pa.int64()), "pairs": pa.array(cols[1], pa.binary()),
                          "counts": pa.array(cols[2], pa.binary())})
@@ -277,11 +280,13 @@ def _scorer(held, keep: list[str], n_train: int, n_docs: int, v: int):
         context[1:] = c[:-1]
         context[starts] = n_docs
         pairs = pair_hashes(block)
-        distinct, at = np.unique(pairs, return_inverse=True)
-        shard_bits, low, lengths, data = held.value
-        mine, level = Filter(shard_bits, low, lengths, data).probe(distinct)
-        found = np.minimum(level_count(level)[at], context)
-        logp = np.where(mine[at], np.log10((found + MU * p) / (context + MU)), 0.0)
+        part, logp = Filter(*held.value), np.zeros(len(pairs))
+        for a in range(0, len(pairs), STEP):
+            own = slice(a, a + STEP)
+            distinct, at = np.unique(pairs[own], return_inverse=True)
+            mine, level = part.probe(distinct)
+            found = np.minimum(level_count(level)[at], context[own])
+            logp[own] = np.where(mine[at], np.log10((found + MU * p[own]) / (context[own] + MU)), 0.0)
 
         def per_doc(x):
             return np.add.reduceat(x, starts) if len(starts) else np.zeros(0)
