@@ -621,3 +621,23 @@ SQL["flatten_sentences"] = with_views(f"""
 SQL["zip_votes"] = with_views("SELECT task, label, worker FROM votes", "votes")
 SQL["keep_literal_labels"] = with_views(
     "SELECT event_id, worker, label FROM votes WHERE label IN (1, 3)", "votes")
+
+
+# ---------------------------------------------------------------- file sources and sinks on table data
+def one_line_sql(x: str) -> str:
+    return f"regexp_replace({x}, '[\\t\\r\\n\\x0B\\f\\x1C-\\x1F\\x{{85}}\\x{{2028}}\\x{{2029}}]+', ' ', 'g')"
+
+
+SQL["csv_articles"] = "SELECT doc_id, source, text FROM documents"
+SQL["tsv_turns"] = f"SELECT conv_id, turn, {one_line_sql('text')} AS text FROM conversations"
+SQL["positional_pairs"] = f"""
+  SELECT replace({strip_sql(one_line_sql('source'))} || ' ' || {strip_sql(one_line_sql('text'))}, '"', '') AS text,
+         n_chars::DOUBLE AS score FROM documents"""
+SQL["jsonl_pairs"] = with_views("""
+  SELECT p.gold_label, CAST(v.n AS INTEGER) AS n_labels, replace(concat_ws(' ', p.sentence1, p.sentence2), '"', '') AS text
+  FROM pairs p JOIN (SELECT task, count(*) AS n FROM pair_votes GROUP BY task) v ON v.task = p.pair_id""",
+                                "pairs", "pair_votes")
+SQL["class_files"] = with_views(f"""
+  SELECT {strip_sql(one_line_sql('text'))} AS text, score::DOUBLE AS score FROM binary_predictions
+  WHERE score IS NOT NULL""", "binary_predictions")
+SQL["appended_votes"] = with_views("SELECT task AS sentence_id, raw AS score FROM votes", "votes")

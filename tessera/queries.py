@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.operators import corpus, pools
-from tessera.session import cut_lineage
+from tessera.session import cut_lineage, shared_folder
 from tessera.sources import files
 from tessera.sources import tables as tb
 
@@ -643,3 +643,66 @@ def paired_texts(spark, sf):
     pairs = c.join(later, ["conv_id", "turn"])
     return pairs.select("conv_id", "turn", split.alias("split"), tx.join_pair("text", "_next").alias("text"),
                         tx.recode("role", SPEAKERS).cast("double").alias("score"))
+
+
+# ---------------------------------------------------------------- file sources and sinks on table data
+def one_line(c):
+    """Text as a field of an unquoted line format."""
+    return F.regexp_replace(c, r"[\t\r\n\x0B\f\x1C-\x1F\x85\u2028\u2029]+", " ")
+
+
+@register("csv_articles")
+def csv_articles(spark, sf):
+    """S9 + S1: articles as headed CSV, fields over several lines, read back."""
+    path = shared_folder(spark)
+    files.write_delimited(tb.table(spark, sf, "documents").select("doc_id", "source", "text"), path)
+    return files.read_csv(spark, path, "doc_id long, source string, text string")
+
+
+@register("tsv_turns")
+def tsv_turns(spark, sf):
+    """S9 + S2: conversation turns as headed TSV, read back in splits (no line breaks inside)."""
+    path = shared_folder(spark)
+    c = tb.table(spark, sf, "conversations").select("conv_id", "turn", one_line(F.col("text")).alias("text"))
+    files.write_delimited(c, path, sep="\t")
+    return files.read_csv(spark, path, "conv_id long, turn long, text string", sep="\t", multiline=False)
+
+
+@register("positional_pairs")
+def positional_pairs(spark, sf):
+    """S3: headerless unquoted TSV by position: score in column 4, the pair in 5 and 6."""
+    path = shared_folder(spark)
+    pair = [tx.strip_ws(one_line(F.col(x))) for x in ("source", "text")]
+    d = tb.table(spark, sf, "documents").select(F.concat_ws(
+        "\t", F.lit("a"), F.lit("b"), F.lit("c"), F.lit("d"), F.col("n_chars").cast("string"), *pair))
+    d.write.text(path)
+    return files.read_positional_tsv(spark, path, encoding="UTF-8")
+
+
+@register("jsonl_pairs")
+def jsonl_pairs(spark, sf):
+    """S4 + A19: pairs as JSON lines with their label arrays, read back and resolved."""
+    path = shared_folder(spark)
+    tb.annotated_pairs(spark, sf).select("gold_label", "annotator_labels", "sentence1", "sentence2").write.json(path)
+    return files.read_pair_jsonl(spark, path).select(
+        "gold_label", F.size("annotator_labels").alias("n_labels"), tx.join_pair("sentence1", "sentence2").alias("text"))
+
+
+@register("class_files")
+def class_files(spark, sf):
+    """S5 + U1: one text per line, one folder per class, read back with the class."""
+    path = shared_folder(spark)
+    d = tb.binary_predictions(spark, sf).filter(F.col("score").isNotNull())
+    for k in (0, 1):
+        d.filter(F.col("score") == k).select(tx.strip_ws(one_line(F.col("text")))).write.text(f"{path}/{k}")
+    return files.read_class_files(spark, [(f"{path}/{k}", k) for k in (0, 1)], encoding="UTF-8")
+
+
+@register("appended_votes")
+def appended_votes(spark, sf):
+    """Votes appended to a store in two writes, read back as one table."""
+    path = shared_folder(spark)
+    v = tb.votes(spark, sf).select(F.col("task").alias("sentence_id"), F.col("raw").alias("score"))
+    for part in (0, 1):
+        files.append_rows(v.filter(F.col("sentence_id") % 2 == part), path)
+    return files.read_store(spark, path)

@@ -55,6 +55,11 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     return sc.getCheckpointDir()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The name of a new folder under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet into a folder of its own under the shared
     checkpoint folder and read it back.
@@ -64,6 +69,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     the session's checkpoint folder and go when its owner clears it.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    path = shared_folder(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
