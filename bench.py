@@ -10,7 +10,6 @@ from __future__ import annotations
 import json
 import os
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -42,7 +41,8 @@ def main() -> None:
     # one shuffle partition per local core (measured faster than two at sf0.1)
     partitions = int(os.environ.get("BENCH_PARTITIONS", cpus))
     spark = build_session(f"local[{cpus}]", app="tessera-bench", shuffle_partitions=partitions,
-                          fallback_checkpoint_dir=tempfile.mkdtemp(prefix="tessera-bench-ckpt-", dir="/tmp"),
+                          # a folder all executors share; needed only where spark.checkpoint.dir is unset
+                          fallback_checkpoint_dir=os.environ.get("BENCH_CHECKPOINT_DIR"),
                           extra={"spark.driver.memory": "16g"})
     # warm-up: JVM start, parquet footers
     Q["scan_articles"](spark, sf_dir).write.format("noop").mode("overwrite").save()

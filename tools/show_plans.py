@@ -8,7 +8,6 @@ from __future__ import annotations
 import argparse
 import os
 import sys
-import tempfile
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -21,8 +20,7 @@ def main() -> None:
     from tessera.queries import Q
     from tessera.session import build_session
 
-    spark = build_session("local[8]", shuffle_partitions=8,
-                          fallback_checkpoint_dir=tempfile.mkdtemp(prefix="plans-ckpt-", dir="/tmp"))
+    spark = build_session("local[8]", shuffle_partitions=8)
     for name in args.names:
         df = Q[name](spark, args.sf)
         df.collect()
