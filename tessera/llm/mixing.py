@@ -37,17 +37,24 @@ TOLERANCE = 1e-12
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` (here a count over the whole text) evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
 def topic_by_size(n_tokens: Column) -> Column:
     """The driver tables name no topic; the size class stands in for one."""
-    return F.when(n_tokens < 100, "short").when(n_tokens < 800, "article").otherwise("long")
+    return _let(n_tokens, lambda n: F.when(n < 100, "short").when(n < 800, "article").otherwise("long"))
 
 
 def _key(value: Column, names) -> Column:
-    return F.when(value.isin(list(names)), value).otherwise(REST) if names else F.lit(REST)
+    if not names:
+        return F.lit(REST)
+    return _let(value, lambda v: F.when(v.isin(list(names)), v).otherwise(REST))
 
 
 def shares(targets: dict[str, float], present: dict[str, float]) -> dict[str, float]:

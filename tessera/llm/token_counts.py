@@ -97,9 +97,9 @@ def token_counts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("do
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(Vocabulary.from_json(data.value), pattern, special)
         for batch in batches:
-            column = batch.column("__text")
-            for a, b in _groups([x or "" for x in column.to_pylist()]):
-                texts = [x or "" for x in column.slice(a, b - a).to_pylist()]
+            whole = [x or "" for x in batch.column("__text").to_pylist()]
+            for a, b in _groups(whole):
+                texts = whole[a:b]
                 n = np.array(counter.counts(texts), np.int64)
                 size = np.array([len(t.encode("utf-8", "surrogatepass")) for t in texts], np.int64)
                 own = batch.slice(a, b - a)
