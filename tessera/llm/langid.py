@@ -4,9 +4,9 @@ A text's letters (lower case, other characters one blank) give byte n-grams of
 two to four, none across a word border; each is hashed to one of ``BUCKETS``
 embeddings. The mean embedding goes through a linear softmax. Embeddings and
 softmax are trained together by mini-batch gradient descent in numpy on a
-bounded sample: of each of the ``MAX_LANGUAGES`` most frequent languages the
-``PER_LANGUAGE`` training rows with the smallest id hash, whole texts, and not
-more than ``SAMPLE`` rows in all. A fifth
+bounded sample: of each of the ``MAX_LANGUAGES`` most frequent languages about
+``PER_LANGUAGE`` training rows, picked by a hash, whole texts, about ``SAMPLE``
+rows in all and never more than twice as many. A fifth
 of it calibrates: the temperature of the softmax, and the lowest score at which
 ``PRECISION`` of the predictions hold; below that ``accepted`` is false.
 
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -126,24 +126,19 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def training_sample(df: DataFrame, id_col: str, text: str, lang: str, train: str, per_language: int) -> DataFrame:
-    """``(lang, text)`` of the bounded sample; ranks are taken on ids alone."""
+    """``(lang, text)`` of the bounded sample: of each language the rows whose
+    hash lies in the share that leaves about ``per_language`` of them. Nothing
+    is ranked or gathered by language, so a hot one is no task of its own."""
     usable = df.filter(F.col(train) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    keyed = usable.select(F.col(lang).alias("lang"), F.xxhash64(id_col).alias("h"), F.col(text).alias("text"))
-    narrow = keyed.select("lang", "h")
-    frequent = [r["lang"] for r in narrow.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-                .orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
-    per_language = min(per_language, SAMPLE // max(1, len(frequent)))
-    narrow, keyed = (x.filter(F.col("lang").isin(frequent)) for x in (narrow, keyed))
-    # the first rank leaves per_language rows of each of 64 parts, so a hot language is never in one task
-    parts = Window.partitionBy("lang", F.pmod("h", F.lit(64))).orderBy("h")
-    whole = Window.partitionBy("lang").orderBy("h")
-    last = (narrow.withColumn("r", F.row_number().over(parts)).filter(F.col("r") <= per_language)
-            .withColumn("r", F.row_number().over(whole)).filter(F.col("r") <= per_language)
-            .groupBy("lang").agg(F.max("h").alias("last")))
-    chosen = F.broadcast(last)  # MAX_LANGUAGES rows at most
-    # rows that repeat an id hash alike: the limit keeps the bound exact
-    return (keyed.join(chosen, "lang").filter(F.col("h") <= F.col("last")).select("lang", "text")
-            .limit(SAMPLE))
+    sizes = [(r["lang"], r["n"]) for r in usable.groupBy(F.col(lang).alias("lang"))
+             .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
+    rows = usable.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(id_col, text).alias("h"))
+    if not sizes:
+        return rows.select("lang", "text").limit(0)
+    wanted = min(per_language, SAMPLE // len(sizes))
+    last = {k: min((1 << 63) - 1, (wanted * (1 << 64) // n) - (1 << 63)) for k, n in sizes}
+    cut = F.create_map(*[x for k, v in last.items() for x in (F.lit(k), F.lit(v).cast("long"))])[F.col("lang")]
+    return rows.filter(F.col("h") <= cut).select("lang", "text")
 
 
 def learn(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", train: str = "train",
@@ -156,7 +151,8 @@ def learn(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
                 yield pa.RecordBatch.from_arrays([own.column("lang"), pa.array([v.tobytes() for v in x])], ["lang", "x"])
 
     rows = (training_sample(df, id_col, text, lang, train, per_language)
-            .mapInArrow(extract, "lang string, x binary").toArrow().sort_by([("lang", "ascending"), ("x", "ascending")]))
+            # equal rows hash alike: the limit keeps the bound where very many are equal
+            .mapInArrow(extract, "lang string, x binary").limit(2 * SAMPLE).toArrow().sort_by([("lang", "ascending"), ("x", "ascending")]))
     if not rows.num_rows:
         return None
     labels = sorted(set(rows.column("lang").to_pylist()))
