@@ -4,17 +4,23 @@ References are learned from all documents: per language the shares of five
 character classes and of its ``top_words`` most frequent words (all languages'
 common words together are the word categories, the rest is one more). A
 document is compared with the reference of its own language by the
-Jensen-Shannon distance (base 2, 0 to 1) of both histograms. Languages with
-less than ``1 / MAX_LANGUAGES`` of all words, and null languages, use the
-reference of the whole corpus, which bounds what the driver holds to
-``MAX_LANGUAGES`` rows of ``MAX_LANGUAGES * top_words`` shares.
+Jensen-Shannon distance (base 2, 0 to 1) of both histograms. The driver holds
+the references of the large languages only, those with ``1 / MAX_LANGUAGES`` of
+all words or more, so at most ``MAX_LANGUAGES`` rows of ``MAX_LANGUAGES *
+top_words`` shares. Every other language with ``MIN_REFERENCE_WORDS`` words has
+a reference too, over its own top words alone; these stay a table, joined to the
+documents by language and broadcast while it has at most ``BROADCAST_LANGUAGES``
+rows (1 KB each). Documents of a null language, or of one with fewer words, have
+nothing to be compared with: their distances are null and the base rule decides.
+The SQL twin judges the languages that are not large by the whole corpus instead,
+and so agrees where every document's language is large.
 
 Everything is DataFrame expressions: one pass counts words per language (a
 partial aggregate, so a language with a third of all rows is one row per
 distinct word and task), one pass scores every document in place, unshuffled.
 
 Null text has no words and fails the base rule. Rows are judged one by one:
-repeated rows, null ids and null languages stay; other columns are untouched.
+repeated rows and null ids stay; other columns are untouched.
 """
 
 from __future__ import annotations
@@ -33,6 +39,8 @@ MIN_WORDS = 50  # the base rule: shorter documents fail
 MAX_REPEAT_PERCENT = 50
 TOP_WORDS = 64
 MAX_LANGUAGES = 64
+MIN_REFERENCE_WORDS = 5000  # a histogram of so many words is stable
+BROADCAST_LANGUAGES = 16_384
 # Largest distance of a kept document of n words: a + b / sqrt(n). The second
 # part is the distance that sampling alone gives a short clean document.
 CHAR_LIMIT = (0.20, 0.8)
@@ -89,46 +97,58 @@ def word_counts(df: DataFrame, text: str, lang: str) -> DataFrame:
 
 
 class References:
-    """Shares of every reference language and of the whole corpus (key None)."""
+    """Shares of every large language, and ``small``: a table ``(lang, words, shares,
+    chars)`` of the other languages' references, or None if there are none."""
 
-    def __init__(self, words: list[str], chars: dict, shares: dict):
-        self.words, self.chars, self.shares = words, chars, shares
+    def __init__(self, words: list[str], chars: dict, shares: dict, small: DataFrame | None = None):
+        self.words, self.chars, self.shares, self.small = words, chars, shares, small
 
     @classmethod
     def learn(cls, df: DataFrame, text: str = "text", lang: str = "lang", top_words: int = TOP_WORDS) -> References:
         counts = boundary(word_counts(df, text, lang))
-        sizes = {r["lang"]: r for r in cls._language_sums(counts).collect()}
-        total = sum(r["n"] for r in sizes.values())
-        names = [k for k in sizes if k is not None]
-        # two ranks: the first leaves top_words of each of 64 parts of a language, so no task sees a whole one
-        parts = Window.partitionBy("lang", F.pmod(F.xxhash64("word"), F.lit(64))).orderBy(F.desc("n"), "word")
-        whole = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-        top = (counts.filter(F.col("lang").isin(names))
-               .withColumn("_r", F.row_number().over(parts)).filter(F.col("_r") <= top_words)
-               .withColumn("_r", F.row_number().over(whole)).filter(F.col("_r") <= top_words))
+        sums = boundary(cls._language_sums(counts))
+        large = F.col("large") & F.col("lang").isNotNull()
+        sizes = {r["lang"]: r for r in sums.filter(large).collect()}
+        names = list(sizes)
+        top = cls._top(counts.filter(F.col("lang").isin(names)), top_words)
         words = sorted({r["word"] for r in top.select("word").distinct().collect()}) if names else []
-        wanted = (counts.filter(F.col("word").isin(words)).withColumn("lang", cls._named(F.col("lang"), names))
-                  .groupBy("lang", "word").agg(F.sum("n").alias("n")).collect()) if words else []
+        wanted = counts.filter(F.col("lang").isin(names) & F.col("word").isin(words)).collect() if words else []
         chars, shares = {}, {}
-        for key in [None, *names]:
-            rows = [r for k, r in sizes.items() if key is None or k == key]
-            sums = [sum(r[c] for r in rows) for c in (*CLASSES, "other")]
-            chars[key] = [x / max(1, sum(sums)) for x in sums]
-            n = sum(r["n"] for r in rows)
-            of = dict.fromkeys(words, 0)
-            for r in wanted:
-                if key is None or r["lang"] == key:
-                    of[r["word"]] += r["n"]
-            shares[key] = [of[w] / max(1, n) for w in words]
-        return cls(words, chars, shares)
+        for key, r in sizes.items():
+            classes = [r[c] for c in (*CLASSES, "other")]
+            chars[key] = [x / max(1, sum(classes)) for x in classes]
+            shares[key] = dict.fromkeys(words, 0.0)
+        for r in wanted:
+            shares[r["lang"]][r["word"]] = r["n"] / max(1, sizes[r["lang"]]["n"])
+        rest = sums.filter(~F.col("large") & F.col("lang").isNotNull() & (F.col("n") >= MIN_REFERENCE_WORDS))
+        small = None if rest.isEmpty() else boundary(cls._small(counts, rest, top_words))
+        return cls(words, chars, {k: [x[w] for w in words] for k, x in shares.items()}, small)
 
     @staticmethod
-    def _named(lang: Column, names: list[str]) -> Column:
-        return F.when(lang.isin(names), lang) if names else F.lit(None).cast("string")
+    def _top(counts: DataFrame, top_words: int) -> DataFrame:
+        # two ranks: the first leaves top_words of each of 64 parts of a language, so no task sees a whole one
+        parts = Window.partitionBy("lang", F.pmod(F.xxhash64("word"), F.lit(64))).orderBy(F.desc("n"), "word")
+        whole = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+        return (counts.withColumn("_r", F.row_number().over(parts)).filter(F.col("_r") <= top_words)
+                .withColumn("_r", F.row_number().over(whole)).filter(F.col("_r") <= top_words))
+
+    @classmethod
+    def _small(cls, counts: DataFrame, sums: DataFrame, top_words: int) -> DataFrame:
+        names = (*CLASSES, "other")
+        sizes = sums.select("lang", F.col("n").alias("of"), F.array(*names).alias("k"))
+        top = cls._top(counts.join(sizes.select("lang"), "lang", "left_semi"), top_words)
+        own = top.groupBy("lang").agg(F.sort_array(F.collect_list(
+            F.struct(F.xxhash64("word").alias("h"), F.col("n").alias("n")))).alias("w"))
+        add = F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+        chars = F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a + x)
+        return own.join(sizes, "lang").select(
+            "lang", F.transform("w", lambda x: x["h"]).alias("words"),
+            F.concat(F.transform("w", lambda x: x["n"] / F.col("of")), F.array((F.col("of") - add) / F.col("of")))
+            .alias("shares"), F.transform("k", lambda x: x / F.greatest(chars, F.lit(1))).alias("chars"))
 
     @classmethod
     def _language_sums(cls, counts: DataFrame) -> DataFrame:
-        """Word and class totals of the languages that hold their share; the others as one null row."""
+        """Word and class totals of every language, and whether it is ``large``."""
         size = F.char_length("word")
         typed = counts.select("lang", "n", size.alias("size"), class_counts(F.col("word"), size).alias("k"))
         known = F.aggregate("k", F.lit(0), lambda a, x: a + x)
@@ -137,9 +157,7 @@ class References:
         names = (*CLASSES, "other", "n")
         by_lang = rows.groupBy("lang").agg(*[F.sum(k).alias(k) for k in names])
         total = by_lang.select(F.sum("n")).scalar()
-        large = F.col("n") * MAX_LANGUAGES >= total
-        return (by_lang.withColumn("lang", F.when(large, F.col("lang")))
-                .groupBy("lang").agg(*[F.sum(k).alias(k) for k in names]))
+        return by_lang.withColumn("large", F.col("n") * MAX_LANGUAGES >= total)
 
 
 def _signed_hash(word: str) -> int:
@@ -199,6 +217,8 @@ def char_distance(counts: list[Column], total: Column, shares: Column) -> Column
 
 def word_distance(hashes: Column, refs: References, shares: Column) -> Column:
     """``shares`` of the reference by slot (see ``slot_shares``)."""
+    if not refs.words:
+        return F.lit(None).cast("double")
     shift, slots = perfect_hash([_signed_hash(w) for w in refs.words])
     shift_c, slots_c = _literals(shift, "bigint"), _literals(slots, "bigint")
 
@@ -206,10 +226,20 @@ def word_distance(hashes: Column, refs: References, shares: Column) -> Column:
         own = F.get(shift_c, h.bitwiseAND(F.lit(len(shift) - 1)).cast("int"))
         return (F.shiftright(h, 20) + own).bitwiseAND(F.lit(len(slots) - 1)).cast("int")
 
-    if not refs.words:
-        return F.lit(0.0)
     found = _let(F.transform(hashes, place), lambda p: F.filter(
         p, lambda k, i: F.get(slots_c, k) == F.get(hashes, i)))
+    return _found_distance(found, hashes, shares, len(slots))
+
+
+def own_word_distance(hashes: Column, words: Column, shares: Column) -> Column:
+    """``shares`` in the order of the reference's own ``words`` (hashes), and that of all other words."""
+    found = F.filter(F.transform(hashes, lambda h: (F.array_position(words, h) - 1).cast("int")), lambda k: k >= 0)
+    return _found_distance(found, hashes, shares, F.size(words))
+
+
+def _found_distance(found: Column, hashes: Column, shares: Column, rest_at: Column | int) -> Column:
+    """``found`` are the places of the document's reference words in ``shares``, ``rest_at`` that of all others."""
+    rest_at = F.lit(rest_at) if isinstance(rest_at, int) else rest_at
     n = F.greatest(F.size(hashes), F.lit(1))
 
     def compare(s: Column) -> Column:
@@ -222,14 +252,14 @@ def word_distance(hashes: Column, refs: References, shares: Column) -> Column:
             return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x)
 
         rest = (n - F.size(s)) / n
-        q_rest = F.get(shares, F.lit(len(slots)))
+        q_rest = F.get(shares, rest_at)
         return _distance(_let(starts, runs) + F.when(rest > 0, _term(rest, q_rest))
                          .otherwise(0.0))
 
     return _let(F.sort_array(found), compare)
 
 
-def slot_shares(refs: References) -> dict[str | None, list[float]]:
+def slot_shares(refs: References) -> dict[str, list[float]]:
     """Every language's shares in the order of the hash slots, and that of all other words."""
     _, slots = perfect_hash([_signed_hash(w) for w in refs.words])
     at = {_signed_hash(w): i for i, w in enumerate(refs.words)}
@@ -250,36 +280,48 @@ def judge(df: DataFrame, refs: References, text: str = "text", lang: str = "lang
     whole = F.coalesce(F.col(text), F.lit(""))
     words = words_of(F.col(text))
 
-    (split,) = free_names(df, "_words")
+    split, name, own = free_names(df, "_words", "_ref_lang", "_ref")
 
     def of(table: dict) -> Column:
-        known = [k for k in table if k is not None]
-        chain = F.when(F.lit(False), _literals(table[None], "double"))
-        for k in known:
-            chain = chain.when(F.col(lang) == k, _literals(table[k], "double"))
-        return chain.otherwise(_literals(table[None], "double"))
+        chain = F.when(F.lit(False), F.lit(None).cast("array<double>"))
+        for k, row in table.items():
+            chain = chain.when(F.col(lang) == k, _literals(row, "double"))
+        return chain
+
+    base, shares, chars, small = df, of(slot_shares(refs)), of(refs.chars), None
+    if refs.small is not None:
+        table = refs.small.select(F.col("lang").alias(name), F.struct("words", "shares", "chars").alias(own))
+        base = df.join(F.broadcast(table) if table.count() <= BROADCAST_LANGUAGES else table,
+                       F.col(lang) == F.col(name), "left").drop(name)
+        chars, small = F.coalesce(chars, F.col(own)["chars"]), F.col(own)
+    base = base.withColumn(split, words)
+
+    def words_js(x: Column) -> Column:
+        js = F.when(x["s"].isNotNull(), word_distance(x["h"], refs, x["s"]))
+        return js if small is None else js.when(
+            small.isNotNull(), own_word_distance(x["h"], small["words"], small["shares"]))
 
-    base = df.withColumn(split, words)
     base = base.withColumn(out, _let(
-        F.struct(F.transform(F.col(split), lambda w: F.xxhash64(w)).alias("h"), of(slot_shares(refs)).alias("s"),
-                 of(refs.chars).alias("c"), _let(F.char_length(F.array_join(F.col(split), "")), lambda n: F.struct(
+        F.struct(F.transform(F.col(split), lambda w: F.xxhash64(w)).alias("h"), shares.alias("s"),
+                 chars.alias("c"), _let(F.char_length(F.array_join(F.col(split), "")), lambda n: F.struct(
                      n.alias("n"), class_counts(whole, n).alias("k"))).alias("t")),
         lambda x: F.struct(
             F.size(x["h"]).cast("long").alias("n_words"),
             x["t"]["n"].cast("long").alias("word_chars"),
             F.get(x["t"]["k"], F.lit(list(CLASSES).index("symbol"))).cast("long").alias("n_symbols"),
             repeated_words(x["h"]).cast("long").alias("n_repeat_words"),
-            F.when(F.size(x["h"]) < 1, 0.0).otherwise(char_distance(
+            F.when(F.size(x["h"]) < 1, 0.0).when(x["c"].isNotNull(), char_distance(
                 [F.get(x["t"]["k"], F.lit(i)) for i in range(len(CLASSES))], x["t"]["n"], x["c"])).alias("char_js"),
-            F.when(F.size(x["h"]) < WORD_GUARD, 0.0).otherwise(
-                word_distance(x["h"], refs, x["s"])).alias("word_js"))))
+            F.when(F.size(x["h"]) < WORD_GUARD, 0.0).otherwise(words_js(x)).alias("word_js"))))
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     dup = _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     q = F.col(out)
     failed = (q["n_words"] < MIN_WORDS) | (100 * q["n_repeat_words"] > MAX_REPEAT_PERCENT * q["n_words"])
     root = F.sqrt(F.greatest(q["n_words"], F.lit(1)).cast("double"))
-    good = (q["char_js"] <= char_limit[0] + char_limit[1] / root) & (q["word_js"] <= word_limit[0] + word_limit[1] / root)
-    return base.drop(split).withColumn(out, F.struct(
+    near = [F.coalesce(q[js] <= a + b / root, F.lit(True))
+            for js, (a, b) in (("char_js", char_limit), ("word_js", word_limit))]
+    good = near[0] & near[1]
+    return base.drop(split, own).withColumn(out, F.struct(
         q["n_words"].alias("n_words"), q["word_chars"].alias("word_chars"), q["n_symbols"].alias("n_symbols"),
         dup.cast("long").alias("n_dup_lines"), q["n_repeat_words"].alias("n_repeat_words"),
         failed.alias("base_failed"), (~failed & good).alias("kept"),

@@ -130,6 +130,24 @@ def test_quality_keeps_clean_drops_noise(spark):
     assert r.get((0, True), 0) <= 0.2 * (r.get((0, True), 0) + r[(0, False)])
 
 
+def test_quality_keeps_clean_rare_languages(spark):
+    """Three Spanish copies of the corpus: a language under 1/64 of all words, one
+    with too few words for a reference, and none at all."""
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
+    labels = read_table(spark, "/root/testdata/sf0.01", "labels").select("doc_id", "quality")
+    es = docs.filter("lang = 'es'").join(labels, "doc_id").drop("lang")
+    rows = [es.withColumn("lang", F.lit("r1")), es.withColumn("lang", F.lit(None).cast("string")),
+            es.filter("quality = 1 and length(text) < 2000").orderBy("doc_id").limit(10).withColumn("lang", F.lit("r2"))]
+    big = docs.filter("lang <> 'es'").withColumn("quality", F.lit(-1)).crossJoin(spark.range(16).select(F.lit(0)))
+    for r in rows:
+        big = big.select("doc_id", "text", "lang", "quality").unionByName(r)
+    out = quality.quality(big, keep=("lang", "quality")).filter("quality >= 0 and not base_failed").collect()
+    clean = collections.Counter((r["lang"], r["kept"], r["word_js"] is None) for r in out if r["quality"] == 1)
+    assert set(clean) == {("r1", True, False), ("r2", True, True), (None, True, True)}
+    noise = [r["kept"] for r in out if r["quality"] == 0 and r["lang"] == "r1"]
+    assert sum(noise) <= 0.2 * len(noise)
+
+
 def test_perfect_hash_finds_every_word():
     codes = [quality._signed_hash(f"w{i}") for i in range(500)]
     shift, slots = quality.perfect_hash(codes)
