@@ -15,7 +15,13 @@ nothing to be compared with: their distances are null and the base rule decides.
 The SQL twin judges the languages that are not large by the whole corpus instead,
 and so agrees where every document's language is large.
 
-Everything is DataFrame expressions: one pass counts words per language (a
+References count every document, but the copies of one text at most as often as
+makes ``1 / COPY_PART`` of its language's distinct texts (once at least), so a
+large group of copies does not bend them. Only exact copies are known as such.
+The SQL twin counts all copies, and agrees where no text has more.
+
+Everything is DataFrame expressions: one pass finds such texts by a hash (one
+short row per distinct text is shuffled), one counts words per language (a
 partial aggregate, so a language with a third of all rows is one row per
 distinct word and task), one pass scores every document in place, unshuffled.
 
@@ -41,6 +47,8 @@ TOP_WORDS = 64
 MAX_LANGUAGES = 64
 MIN_REFERENCE_WORDS = 5000  # a histogram of so many words is stable
 BROADCAST_LANGUAGES = 16_384
+COPY_PART = 8  # copies of one text count up to this part of their language's distinct texts
+BROADCAST_TEXTS = 100_000  # 50 bytes each
 # Largest distance of a kept document of n words: a + b / sqrt(n). The second
 # part is the distance that sampling alone gives a short clean document.
 CHAR_LIMIT = (0.20, 0.8)
@@ -90,10 +98,35 @@ def class_counts(text: Column, solid: Column) -> Column:
         F.char_length(F.regexp_replace(r, p, "")) for k, p in CLASSES.items() if k != "lower"]))
 
 
+def heavy_copies(df: DataFrame, text: str, lang: str) -> DataFrame:
+    """``(lang, h, g, copies, weight)`` of the texts whose copies are longer in all than
+    ``1 / COPY_PART`` of their language's distinct texts; as many as are not count."""
+    texts = df.select(F.col(lang).alias("lang"), F.xxhash64(text).alias("h"), F.hash(text).alias("g"),
+                      F.octet_length(text).alias("size")).filter(F.col("size") > 0)
+    groups = boundary(texts.groupBy("lang", "h", "g").agg(
+        F.count(F.lit(1)).alias("copies"), F.max("size").cast("long").alias("size")), compression="lz4")
+    sums = groups.groupBy(F.col("lang").alias("of")).agg(F.sum("size").alias("all"))
+    own = (groups.filter("copies > 1").join(sums, F.col("lang").eqNullSafe(F.col("of")))
+           .withColumn("weight", F.greatest(F.lit(1), F.floor(F.col("all") / COPY_PART / F.col("size")))))
+    return boundary(own.filter("weight < copies").select("lang", "h", "g", "copies", "weight"))
+
+
 def word_counts(df: DataFrame, text: str, lang: str) -> DataFrame:
-    """``(lang, word, n)`` over the whole texts."""
-    words = df.select(F.col(lang).alias("lang"), F.explode(words_of(F.col(text))).alias("word"))
-    return words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    """``(lang, word, n)`` over the whole texts, those of ``heavy_copies`` at their weight."""
+    heavy = heavy_copies(df, text, lang)
+    n_heavy = heavy.count()
+    if not n_heavy:
+        words = df.select(F.col(lang).alias("lang"), F.explode(words_of(F.col(text))).alias("word"))
+        return words.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    own = heavy.toDF("_l", "_h", "_g", "copies", "weight")
+    rows = df.select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    same = (F.col("lang").eqNullSafe(F.col("_l")) & (F.xxhash64("text") == F.col("_h")) & (F.hash("text") == F.col("_g")))
+    words = (rows.join(F.broadcast(own) if n_heavy <= BROADCAST_TEXTS else own, same, "left")
+             .select("lang", F.explode(words_of(F.col("text"))).alias("word"), "copies", "weight"))
+    # all copies of a text have its words, so n is a multiple of copies
+    counts = words.groupBy("lang", "word", "copies", "weight").agg(F.count(F.lit(1)).alias("n"))
+    part = F.when(F.col("copies").isNull(), F.col("n")).otherwise(F.expr("n div copies") * F.col("weight"))
+    return counts.groupBy("lang", "word").agg(F.sum(part).alias("n"))
 
 
 class References:

@@ -148,6 +148,25 @@ def test_quality_keeps_clean_rare_languages(spark):
     assert sum(noise) <= 0.2 * len(noise)
 
 
+def test_quality_references_bear_copies(spark):
+    """Copies of one clean document with a third of its language's rows and words."""
+    docs = read_table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang").filter("lang = 'es'")
+    labels = read_table(spark, "/root/testdata/sf0.01", "labels").filter("quality = 1")
+    clean = docs.join(labels, "doc_id").select("doc_id", "text", "lang").filter("size(split(text, ' ')) between 100 and 250")
+    rows = docs.count()
+    plain = quality.quality(docs).filter("kept").join(labels, "doc_id").count()
+    for one in clean.orderBy("doc_id").limit(3).collect():
+        copies = max(rows // 2, int(docs.agg(F.sum(F.length("text"))).first()[0]) // (2 * len(one["text"])))
+        more = spark.range(copies).select((-1 - F.col("id")).alias("doc_id"), F.lit(one["text"]).alias("text"),
+                                          F.lit("es").alias("lang"))
+        out = quality.quality(docs.unionByName(more)).filter("kept").select("doc_id")
+        assert out.join(labels, "doc_id").count() >= plain
+        assert out.filter("doc_id < 0").count() == copies
+    counts = {r["word"]: r["n"] for r in quality.word_counts(spark.createDataFrame(
+        [("a b a", None)] * 90 + [("c d", None)] * 8, "text string, lang string"), "text", "lang").collect()}
+    assert counts == {"a": 2, "b": 1, "c": 1, "d": 1}
+
+
 def test_perfect_hash_finds_every_word():
     codes = [quality._signed_hash(f"w{i}") for i in range(500)]
     shift, slots = quality.perfect_hash(codes)
