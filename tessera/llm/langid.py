@@ -4,10 +4,11 @@ A text's letters (lower case, other characters one blank) give byte n-grams of
 two to four, none across a word border; each is hashed to one of ``BUCKETS``
 embeddings. The mean embedding goes through a linear softmax. Embeddings and
 softmax are trained together by mini-batch gradient descent in numpy on a
-bounded sample: of each of the ``MAX_LANGUAGES`` most frequent languages about
-``PER_LANGUAGE`` training rows, picked by a hash, whole texts, about ``SAMPLE``
-rows in all and never more than twice as many. A fifth
-of it calibrates: the temperature of the softmax, and the lowest score at which
+bounded sample: of every language about ``PER_LANGUAGE`` training rows, picked by
+a hash, whole texts, about ``SAMPLE`` rows in all, and with many languages still
+``FEW`` of each that has them, so the sample then grows with the languages (8 KB
+a row on the driver). Rows of one id and text count once. A fifth of it, but no
+language's last row, calibrates: the temperature of the softmax, and the lowest score at which
 ``PRECISION`` of the predictions hold; below that ``accepted`` is false.
 
 Prediction reads whole texts in place, with the model (a few hundred KB)
@@ -25,10 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import boundary
+
 BUCKETS = 2048
 WIDTH = 16
 PER_LANGUAGE = 600
-MAX_LANGUAGES = 200
+FEW = 2  # training rows that a language keeps in any case, if it has them
+BROADCAST_LANGUAGES = 100_000  # 60 bytes each
 SAMPLE = 12_000  # training rows in all: with many languages, fewer of each
 EPOCHS, RATE, BATCH = 60, 8.0, 32
 PRECISION = 0.99
@@ -87,6 +91,11 @@ class Model:
         calibrate, train = order[:cut], order[cut:]
         if not cut:
             calibrate = train
+        else:  # every language is learned
+            _, first = np.unique(y[order], return_index=True)
+            lacking = order[first][~np.isin(y[order][first], y[train])]
+            train, calibrate = np.concatenate([train, lacking]), calibrate[~np.isin(calibrate, lacking)]
+            calibrate = calibrate if len(calibrate) else train
         model = cls(labels, (rng.standard_normal((BUCKETS, WIDTH)) * 0.5).astype(np.float32),
                     np.zeros((WIDTH, len(labels)), np.float32), np.zeros(len(labels), np.float32), 1.0, 0.0)
         share = np.bincount(y[train], minlength=len(labels)) / max(1, len(train))
@@ -126,19 +135,20 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def training_sample(df: DataFrame, id_col: str, text: str, lang: str, train: str, per_language: int) -> DataFrame:
-    """``(lang, text)`` of the bounded sample: of each language the rows whose
-    hash lies in the share that leaves about ``per_language`` of them. Nothing
-    is ranked or gathered by language, so a hot one is no task of its own."""
+    """``(lang, text, h)`` of the bounded sample: of each language the rows whose hash
+    ``h`` lies in the share that leaves about ``per_language`` of them, and the rows of
+    the least hash in each of ``FEW`` parts. Nothing is ranked or gathered by language,
+    so a hot one is no task of its own."""
     usable = df.filter(F.col(train) & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    sizes = [(r["lang"], r["n"]) for r in usable.groupBy(F.col(lang).alias("lang"))
-             .agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()]
     rows = usable.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(id_col, text).alias("h"))
-    if not sizes:
-        return rows.select("lang", "text").limit(0)
-    wanted = min(per_language, SAMPLE // len(sizes))
-    last = {k: min((1 << 63) - 1, (wanted * (1 << 64) // n) - (1 << 63)) for k, n in sizes}
-    cut = F.create_map(*[x for k, v in last.items() for x in (F.lit(k), F.lit(v).cast("long"))])[F.col("lang")]
-    return rows.filter(F.col("h") <= cut).select("lang", "text")
+    least = F.array(*[F.min(F.when(F.pmod("h", F.lit(FEW)) == i, F.col("h"))) for i in range(FEW)])
+    sizes = boundary(rows.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("n"), least.alias("least")))
+    n = sizes.count()
+    wanted = max(1, min(per_language, SAMPLE // max(1, n)))
+    cuts = sizes.select("of", "least", (F.lit(2.0**64) * wanted / F.col("n") - 2.0**63).alias("last"))
+    return (rows.join(F.broadcast(cuts) if n <= BROADCAST_LANGUAGES else cuts, F.col("lang") == F.col("of"))
+            .filter((F.col("h") <= F.col("last")) | F.coalesce(F.array_contains("least", F.col("h")), F.lit(False)))
+            .select("lang", "text", "h"))
 
 
 def learn(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang", train: str = "train",
@@ -148,11 +158,13 @@ def learn(df: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str =
             for a in range(0, batch.num_rows, 256):
                 own = batch.slice(a, 256)
                 x = [features(t) for t in own.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([own.column("lang"), pa.array([v.tobytes() for v in x])], ["lang", "x"])
+                yield pa.RecordBatch.from_arrays(
+                    [own.column("lang"), own.column("h"), pa.array([v.tobytes() for v in x])], ["lang", "h", "x"])
 
     rows = (training_sample(df, id_col, text, lang, train, per_language)
-            # equal rows hash alike: the limit keeps the bound where very many are equal
-            .mapInArrow(extract, "lang string, x binary").limit(2 * SAMPLE).toArrow().sort_by([("lang", "ascending"), ("x", "ascending")]))
+            # equal rows hash alike and become one, so very many of them keep the bound
+            .mapInArrow(extract, "lang string, h long, x binary").groupBy("lang", "h").agg(F.first("x").alias("x"))
+            .select("lang", "x").toArrow().sort_by([("lang", "ascending"), ("x", "ascending")]))
     if not rows.num_rows:
         return None
     labels = sorted(set(rows.column("lang").to_pylist()))

@@ -284,6 +284,13 @@ def test_langid(spark, odd):
     assert {r["lang_pred"] for r in langid.identify(none, None).collect()} == {"und"}
 
 
+def test_langid_learns_every_language(spark):
+    rows = [(i, " ".join(chr(97 + i % 26) + chr(97 + i // 26 % 26) * 3 for _ in range(9)), f"l{i % 230:03}", True)
+            for i in range(3 * 230)]
+    df = spark.createDataFrame(rows + rows[:1] * 50, "doc_id long, text string, lang string, train boolean")
+    assert langid.learn(df, per_language=1).labels == [f"l{i:03}" for i in range(230)]
+
+
 # ---------------------------------------------------------------- 6
 def test_line_dedup(spark, texts):
     docs = read_table(spark, SF, "documents").select("doc_id", "text")
