@@ -1,37 +1,38 @@
 """Quality rules: divergence of a document's histograms from its language's.
 
 References are learned from all documents: per language the shares of five
-character classes and of its ``top_words`` most frequent words (all languages'
-common words together are the word categories, the rest is one more). A
+character classes and of its ``top_words`` most frequent words (all other words
+are one more category; equal counts are taken in the order of the words). A
 document is compared with the reference of its own language by the
-Jensen-Shannon distance (base 2, 0 to 1) of both histograms. The driver holds
-the references of the large languages only, those with ``1 / MAX_LANGUAGES`` of
-all words or more, so at most ``MAX_LANGUAGES`` rows of ``MAX_LANGUAGES *
-top_words`` shares. Every other language with ``MIN_REFERENCE_WORDS`` words has
-a reference too, over its own top words alone; these stay a table, joined to the
+Jensen-Shannon distance (base 2, 0 to 1) of both histograms. One rule holds for
+languages of every size: each has a reference of its own, however few its
+documents. References stay a table with one row per language, joined to the
 documents by language and broadcast while it has at most ``BROADCAST_LANGUAGES``
-rows (1 KB each). Documents of a null language, or of one with fewer words, have
-nothing to be compared with: their distances are null and the base rule decides.
-The SQL twin judges the languages that are not large by the whole corpus instead,
-and so agrees where every document's language is large.
+rows (about 20 KB each). Documents of a null language have nothing to be compared with:
+their distances are null and the base rule decides.
+
+A row finds a word in its reference by ``slots``: the word's hash shifted by the
+language's ``shift`` is the place where the hash must stand. The shift is the one
+that keeps most of the reference's words apart; words that still share a place
+are in ``extra``, which is searched through.
 
 References count every document, but the copies of one text at most as often as
 makes ``1 / COPY_PART`` of its language's distinct texts (once at least), so a
 large group of copies does not bend them. Only exact copies are known as such.
-The SQL twin counts all copies, and agrees where no text has more.
 
 Everything is DataFrame expressions: one pass finds such texts by a hash (one
 short row per distinct text is shuffled), one counts words per language (a
 partial aggregate, so a language with a third of all rows is one row per
 distinct word and task), one pass scores every document in place, unshuffled.
 
-Null text has no words and fails the base rule. Rows are judged one by one:
-repeated rows and null ids stay; other columns are untouched.
+Null and empty texts have no words and fail the base rule; very long ones are
+judged whole. Rows are judged one by one: repeated rows and null ids stay. An
+empty table gives an empty one. Other columns are untouched, also those that are
+named like working columns.
 """
 
 from __future__ import annotations
 
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,9 +45,9 @@ CLASSES = {"lower": "[^a-z]+", "upper": "[^A-Z]+", "digit": "[^0-9]+", "symbol":
 MIN_WORDS = 50  # the base rule: shorter documents fail
 MAX_REPEAT_PERCENT = 50
 TOP_WORDS = 64
-MAX_LANGUAGES = 64
-MIN_REFERENCE_WORDS = 5000  # a histogram of so many words is stable
-BROADCAST_LANGUAGES = 16_384
+SLOTS = 16  # places for each reference word
+SHIFTS = 48  # tried for each language
+BROADCAST_LANGUAGES = 1024
 COPY_PART = 8  # copies of one text count up to this part of their language's distinct texts
 BROADCAST_TEXTS = 100_000  # 50 bytes each
 # Largest distance of a kept document of n words: a + b / sqrt(n). The second
@@ -129,105 +130,70 @@ def word_counts(df: DataFrame, text: str, lang: str) -> DataFrame:
     return counts.groupBy("lang", "word").agg(F.sum(part).alias("n"))
 
 
-class References:
-    """Shares of every large language, and ``small``: a table ``(lang, words, shares,
-    chars)`` of the other languages' references, or None if there are none."""
-
-    def __init__(self, words: list[str], chars: dict, shares: dict, small: DataFrame | None = None):
-        self.words, self.chars, self.shares, self.small = words, chars, shares, small
-
-    @classmethod
-    def learn(cls, df: DataFrame, text: str = "text", lang: str = "lang", top_words: int = TOP_WORDS) -> References:
-        counts = boundary(word_counts(df, text, lang))
-        sums = boundary(cls._language_sums(counts))
-        large = F.col("large") & F.col("lang").isNotNull()
-        sizes = {r["lang"]: r for r in sums.filter(large).collect()}
-        names = list(sizes)
-        top = cls._top(counts.filter(F.col("lang").isin(names)), top_words)
-        words = sorted({r["word"] for r in top.select("word").distinct().collect()}) if names else []
-        wanted = counts.filter(F.col("lang").isin(names) & F.col("word").isin(words)).collect() if words else []
-        chars, shares = {}, {}
-        for key, r in sizes.items():
-            classes = [r[c] for c in (*CLASSES, "other")]
-            chars[key] = [x / max(1, sum(classes)) for x in classes]
-            shares[key] = dict.fromkeys(words, 0.0)
-        for r in wanted:
-            shares[r["lang"]][r["word"]] = r["n"] / max(1, sizes[r["lang"]]["n"])
-        rest = sums.filter(~F.col("large") & F.col("lang").isNotNull() & (F.col("n") >= MIN_REFERENCE_WORDS))
-        small = None if rest.isEmpty() else boundary(cls._small(counts, rest, top_words))
-        return cls(words, chars, {k: [x[w] for w in words] for k, x in shares.items()}, small)
-
-    @staticmethod
-    def _top(counts: DataFrame, top_words: int) -> DataFrame:
-        # two ranks: the first leaves top_words of each of 64 parts of a language, so no task sees a whole one
-        parts = Window.partitionBy("lang", F.pmod(F.xxhash64("word"), F.lit(64))).orderBy(F.desc("n"), "word")
-        whole = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-        return (counts.withColumn("_r", F.row_number().over(parts)).filter(F.col("_r") <= top_words)
-                .withColumn("_r", F.row_number().over(whole)).filter(F.col("_r") <= top_words))
-
-    @classmethod
-    def _small(cls, counts: DataFrame, sums: DataFrame, top_words: int) -> DataFrame:
-        names = (*CLASSES, "other")
-        sizes = sums.select("lang", F.col("n").alias("of"), F.array(*names).alias("k"))
-        top = cls._top(counts.join(sizes.select("lang"), "lang", "left_semi"), top_words)
-        own = top.groupBy("lang").agg(F.sort_array(F.collect_list(
-            F.struct(F.xxhash64("word").alias("h"), F.col("n").alias("n")))).alias("w"))
-        add = F.aggregate("w", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-        chars = F.aggregate("k", F.lit(0).cast("long"), lambda a, x: a + x)
-        return own.join(sizes, "lang").select(
-            "lang", F.transform("w", lambda x: x["h"]).alias("words"),
-            F.concat(F.transform("w", lambda x: x["n"] / F.col("of")), F.array((F.col("of") - add) / F.col("of")))
-            .alias("shares"), F.transform("k", lambda x: x / F.greatest(chars, F.lit(1))).alias("chars"))
-
-    @classmethod
-    def _language_sums(cls, counts: DataFrame) -> DataFrame:
-        """Word and class totals of every language, and whether it is ``large``."""
-        size = F.char_length("word")
-        typed = counts.select("lang", "n", size.alias("size"), class_counts(F.col("word"), size).alias("k"))
-        known = F.aggregate("k", F.lit(0), lambda a, x: a + x)
-        rows = typed.select("lang", "n", *[(F.col("k")[i] * F.col("n")).alias(k) for i, k in enumerate(CLASSES)],
-                            ((F.col("size") - known) * F.col("n")).alias("other"))
-        names = (*CLASSES, "other", "n")
-        by_lang = rows.groupBy("lang").agg(*[F.sum(k).alias(k) for k in names])
-        total = by_lang.select(F.sum("n")).scalar()
-        return by_lang.withColumn("large", F.col("n") * MAX_LANGUAGES >= total)
-
-
-def _signed_hash(word: str) -> int:
-    h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
-    return h - (1 << 64) if h >= 1 << 63 else h
-
-
-def perfect_hash(hashes: list[int]) -> tuple[list[int], list[int]]:
-    """Displacements by ``h & (len(displacements) - 1)`` and the hash held by each
-    slot ``(h >> 20) + displacement & (len(slots) - 1)``; both lengths are powers of two."""
-    width = 1 << max(4, (4 * len(hashes)).bit_length())
-    heads = width // 8
-    groups: dict[int, list[int]] = {}
-    for h in hashes:
-        groups.setdefault(h & (heads - 1), []).append(h)
-    slots: list[int | None] = [None] * width
-    shift = [0] * heads
-    for head, members in sorted(groups.items(), key=lambda g: (-len(g[1]), g[0])):
-        for d in range(width):
-            at = [(h >> 20) + d & (width - 1) for h in members]
-            if len(set(at)) == len(at) and all(slots[x] is None for x in at):
-                break
-        else:
-            raise ValueError("two reference words share a hash")
-        shift[head] = d
-        for h, x in zip(members, at):
-            slots[x] = h
-    # a free slot holds a hash that belongs elsewhere, so nothing is found there
-    return shift, [_elsewhere(x, shift, width) if h is None else h for x, h in enumerate(slots)]
-
-
-def _elsewhere(slot: int, shift: list[int], width: int) -> int:
-    return next(h for h in range(0, len(shift) + 1 << 20, 1 << 20) if (h >> 20) + shift[0] & (width - 1) != slot)
-
-
-def _literals(values: list, kind: str) -> Column:
-    return F.array(*[F.lit(v) for v in values]).cast(f"array<{kind}>")
+def _top(counts: DataFrame, top_words: int) -> DataFrame:
+    # two ranks: the first leaves top_words of each of 64 parts of a language, so no task sees a whole one
+    parts = Window.partitionBy("lang", F.pmod(F.xxhash64("word"), F.lit(64))).orderBy(F.desc("n"), "word")
+    whole = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
+    return (counts.withColumn("_r", F.row_number().over(parts)).filter(F.col("_r") <= top_words)
+            .withColumn("_r", F.row_number().over(whole)).filter(F.col("_r") <= top_words)
+            .select("lang", F.xxhash64("word").alias("h"), "n"))
+
+
+def _language_sums(counts: DataFrame) -> DataFrame:
+    """``(lang, of, chars)``: word total and character class totals of every language."""
+    size = F.char_length("word")
+    typed = counts.select("lang", "n", size.alias("size"), class_counts(F.col("word"), size).alias("k"))
+    known = F.aggregate("k", F.lit(0), lambda a, x: a + x)
+    rows = typed.select("lang", "n", *[(F.col("k")[i] * F.col("n")).alias(k) for i, k in enumerate(CLASSES)],
+                        ((F.col("size") - known) * F.col("n")).alias("other"))
+    names = (*CLASSES, "other")
+    return (rows.groupBy("lang").agg(F.sum("n").alias("of"), *[F.sum(k).alias(k) for k in names])
+            .select("lang", "of", F.array(*names).alias("chars")))
+
+
+def place(h: Column, shift: Column, width: int) -> Column:
+    return F.call_function("shiftright", h, shift).bitwiseAND(F.lit(width - 1)).cast("int")
+
+
+def slotted(top: DataFrame, width: int, shifts: int = SHIFTS) -> DataFrame:
+    """``(lang, shift, kept, extra)``: of the words ``(lang, h, n)`` those with a place of
+    their own, ``kept`` as a map of it, and the others."""
+    tried = (top.select("lang", "h", F.explode(F.sequence(F.lit(0), F.lit(shifts - 1))).alias("shift"))
+             .groupBy("lang", "shift").agg(F.count_distinct(place(F.col("h"), F.col("shift"), width)).alias("apart")))
+    best = tried.groupBy("lang").agg(F.max(F.struct("apart", (-F.col("shift")).alias("s"))).alias("b"))
+    own = (top.join(best.select("lang", (-F.col("b.s")).alias("shift")), "lang")
+           .withColumn("at", place(F.col("h"), F.col("shift"), width)))
+    same = Window.partitionBy("lang", "at").orderBy(F.desc("n"), "h")
+    ranked = own.withColumn("_r", F.row_number().over(same))
+    word = F.struct("at", F.struct("h", "n"))
+    return ranked.groupBy("lang", "shift").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("_r") == 1, word))).alias("kept"),
+        F.sort_array(F.collect_list(F.when(F.col("_r") > 1, F.struct("h", "n")))).alias("extra"))
+
+
+def references(df: DataFrame, text: str = "text", lang: str = "lang", top_words: int = TOP_WORDS,
+               shifts: int = SHIFTS) -> DataFrame:
+    """``(lang, shift, slots, extra, shares, chars)``, a row per non-null language. ``shares``
+    are in the order of the slots, then the extra words, then all other words together."""
+    width = 1 << (SLOTS * top_words - 1).bit_length()
+    counts = boundary(word_counts(df.filter(F.col(lang).isNotNull()), text, lang))
+    placed = slotted(_top(counts, top_words), width, shifts).join(_language_sums(counts), "lang")
+    every = F.sequence(F.lit(0), F.lit(width - 1))
+    at = lambda i: F.get(F.array(F.element_at("kept", i)), F.lit(0))
+    # a free slot holds a hash that belongs to the next one, so nothing is found there
+    free = lambda i: F.call_function(
+        "shiftleft", (i + 1).bitwiseAND(F.lit(width - 1)).cast("long"), F.col("shift"))
+    none = F.lit(0).cast("long")
+    listed = (F.aggregate(F.map_values("kept"), none, lambda a, x: a + x["n"])
+              + F.aggregate("extra", none, lambda a, x: a + x["n"]))
+    total = F.greatest(F.aggregate("chars", none, lambda a, x: a + x), F.lit(1))
+    return boundary(placed.select(
+        "lang", "shift", F.transform(every, lambda i: F.coalesce(at(i)["h"], free(i))).alias("slots"),
+        F.transform("extra", lambda x: x["h"]).alias("extra"),
+        F.concat(F.transform(every, lambda i: F.coalesce(at(i)["n"], F.lit(0)) / F.col("of")),
+                 F.transform("extra", lambda x: x["n"] / F.col("of")),
+                 F.array((F.col("of") - listed) / F.col("of"))).alias("shares"),
+        F.transform("chars", lambda x: x / total).alias("chars")))
 
 
 def _term(p: Column, q: Column) -> Column:
@@ -248,31 +214,18 @@ def char_distance(counts: list[Column], total: Column, shares: Column) -> Column
     return _distance(sum((_term(c / n, F.get(shares, F.lit(i))) for i, c in enumerate([*counts, other])), F.lit(0.0)))
 
 
-def word_distance(hashes: Column, refs: References, shares: Column) -> Column:
-    """``shares`` of the reference by slot (see ``slot_shares``)."""
-    if not refs.words:
-        return F.lit(None).cast("double")
-    shift, slots = perfect_hash([_signed_hash(w) for w in refs.words])
-    shift_c, slots_c = _literals(shift, "bigint"), _literals(slots, "bigint")
-
-    def place(h: Column) -> Column:
-        own = F.get(shift_c, h.bitwiseAND(F.lit(len(shift) - 1)).cast("int"))
-        return (F.shiftright(h, 20) + own).bitwiseAND(F.lit(len(slots) - 1)).cast("int")
-
-    found = _let(F.transform(hashes, place), lambda p: F.filter(
-        p, lambda k, i: F.get(slots_c, k) == F.get(hashes, i)))
-    return _found_distance(found, hashes, shares, len(slots))
-
-
-def own_word_distance(hashes: Column, words: Column, shares: Column) -> Column:
-    """``shares`` in the order of the reference's own ``words`` (hashes), and that of all other words."""
-    found = F.filter(F.transform(hashes, lambda h: (F.array_position(words, h) - 1).cast("int")), lambda k: k >= 0)
-    return _found_distance(found, hashes, shares, F.size(words))
+def word_distance(hashes: Column, ref: Column, width: int) -> Column:
+    """``hashes`` of the document's words against its reference's row."""
+    found = _let(F.transform(hashes, lambda h: place(h, ref["shift"], width)), lambda p: F.filter(
+        p, lambda k, i: F.get(ref["slots"], k) == F.get(hashes, i)))
+    more = F.filter(F.transform(hashes, lambda h: (F.array_position(ref["extra"], h) + (width - 1)).cast("int")),
+                    lambda k: k >= width)
+    more = F.when(F.size(ref["extra"]) > 0, more).otherwise(F.array().cast("array<int>"))
+    return _found_distance(F.concat(found, more), hashes, ref["shares"], F.size(ref["shares"]) - 1)
 
 
-def _found_distance(found: Column, hashes: Column, shares: Column, rest_at: Column | int) -> Column:
+def _found_distance(found: Column, hashes: Column, shares: Column, rest_at: Column) -> Column:
     """``found`` are the places of the document's reference words in ``shares``, ``rest_at`` that of all others."""
-    rest_at = F.lit(rest_at) if isinstance(rest_at, int) else rest_at
     n = F.greatest(F.size(hashes), F.lit(1))
 
     def compare(s: Column) -> Column:
@@ -292,60 +245,29 @@ def _found_distance(found: Column, hashes: Column, shares: Column, rest_at: Colu
     return _let(F.sort_array(found), compare)
 
 
-def slot_shares(refs: References) -> dict[str, list[float]]:
-    """Every language's shares in the order of the hash slots, and that of all other words."""
-    _, slots = perfect_hash([_signed_hash(w) for w in refs.words])
-    at = {_signed_hash(w): i for i, w in enumerate(refs.words)}
-    place = {h: x for x, h in enumerate(slots) if h in at}
-    out = {}
-    for key, shares in refs.shares.items():
-        row = [0.0] * len(slots)
-        for h, x in place.items():
-            row[x] = shares[at[h]]
-        out[key] = [*row, max(0.0, 1.0 - sum(shares))]
-    return out
-
-
-def judge(df: DataFrame, refs: References, text: str = "text", lang: str = "lang",
+def judge(df: DataFrame, refs: DataFrame, text: str = "text", lang: str = "lang",
           char_limit: tuple[float, float] = CHAR_LIMIT, word_limit: tuple[float, float] = WORD_LIMIT,
-          out: str = "_q") -> DataFrame:
+          top_words: int = TOP_WORDS, out: str = "_q") -> DataFrame:
     """``df`` with the column ``out``: a struct of counts, distances and verdicts."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    words = words_of(F.col(text))
-
+    width = 1 << (SLOTS * top_words - 1).bit_length()
     split, name, own = free_names(df, "_words", "_ref_lang", "_ref")
-
-    def of(table: dict) -> Column:
-        chain = F.when(F.lit(False), F.lit(None).cast("array<double>"))
-        for k, row in table.items():
-            chain = chain.when(F.col(lang) == k, _literals(row, "double"))
-        return chain
-
-    base, shares, chars, small = df, of(slot_shares(refs)), of(refs.chars), None
-    if refs.small is not None:
-        table = refs.small.select(F.col("lang").alias(name), F.struct("words", "shares", "chars").alias(own))
-        base = df.join(F.broadcast(table) if table.count() <= BROADCAST_LANGUAGES else table,
-                       F.col(lang) == F.col(name), "left").drop(name)
-        chars, small = F.coalesce(chars, F.col(own)["chars"]), F.col(own)
-    base = base.withColumn(split, words)
-
-    def words_js(x: Column) -> Column:
-        js = F.when(x["s"].isNotNull(), word_distance(x["h"], refs, x["s"]))
-        return js if small is None else js.when(
-            small.isNotNull(), own_word_distance(x["h"], small["words"], small["shares"]))
-
+    table = refs.select(F.col("lang").alias(name), F.struct("shift", "slots", "extra", "shares", "chars").alias(own))
+    base = (df.join(F.broadcast(table) if refs.count() <= BROADCAST_LANGUAGES else table,
+                    F.col(lang) == F.col(name), "left").drop(name).withColumn(split, words_of(F.col(text))))
     base = base.withColumn(out, _let(
-        F.struct(F.transform(F.col(split), lambda w: F.xxhash64(w)).alias("h"), shares.alias("s"),
-                 chars.alias("c"), _let(F.char_length(F.array_join(F.col(split), "")), lambda n: F.struct(
+        F.struct(F.transform(F.col(split), lambda w: F.xxhash64(w)).alias("h"), F.col(own).alias("r"),
+                 _let(F.char_length(F.array_join(F.col(split), "")), lambda n: F.struct(
                      n.alias("n"), class_counts(whole, n).alias("k"))).alias("t")),
         lambda x: F.struct(
             F.size(x["h"]).cast("long").alias("n_words"),
             x["t"]["n"].cast("long").alias("word_chars"),
             F.get(x["t"]["k"], F.lit(list(CLASSES).index("symbol"))).cast("long").alias("n_symbols"),
             repeated_words(x["h"]).cast("long").alias("n_repeat_words"),
-            F.when(F.size(x["h"]) < 1, 0.0).when(x["c"].isNotNull(), char_distance(
-                [F.get(x["t"]["k"], F.lit(i)) for i in range(len(CLASSES))], x["t"]["n"], x["c"])).alias("char_js"),
-            F.when(F.size(x["h"]) < WORD_GUARD, 0.0).otherwise(words_js(x)).alias("word_js"))))
+            F.when(F.size(x["h"]) < 1, 0.0).when(x["r"].isNotNull(), char_distance(
+                [F.get(x["t"]["k"], F.lit(i)) for i in range(len(CLASSES))], x["t"]["n"], x["r"]["chars"])).alias("char_js"),
+            F.when(F.size(x["h"]) < WORD_GUARD, 0.0).when(x["r"].isNotNull(), word_distance(x["h"], x["r"], width))
+            .alias("word_js"))))
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     dup = _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
     q = F.col(out)
@@ -363,14 +285,14 @@ def judge(df: DataFrame, refs: References, text: str = "text", lang: str = "lang
 
 def quality(df: DataFrame, text: str = "text", lang: str = "lang", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns and the rule columns of every row."""
-    refs = References.learn(df, text, lang)
+    refs = references(df, text, lang)
     (q,) = free_names(df, "_q")
     return judge(df, refs, text, lang, out=q).select(*keep, f"{q}.*")
 
 
 def kept_documents(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """The rows of ``df`` that the rules keep."""
-    refs = References.learn(df, text, lang)
+    refs = references(df, text, lang)
     (q,) = free_names(df, "_q")
     return judge(df, refs, text, lang, out=q).filter(F.col(q)["kept"]).drop(q)
 
@@ -389,19 +311,18 @@ SQL = f"""
 WITH docs AS (SELECT doc_id, lang, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
 split AS (SELECT rid, lang, t, list_filter(string_split_regex(t, '{SPACE}'), lambda w: w <> '') AS ws FROM docs),
 occ AS (SELECT rid, lang, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM split),
-counts AS (SELECT lang, word, count(*) AS n FROM occ GROUP BY ALL),
-large AS (SELECT lang FROM counts WHERE lang IS NOT NULL GROUP BY lang
-          HAVING sum(n) * {MAX_LANGUAGES} >= (SELECT sum(n) FROM counts)),
-keyed AS (SELECT c.lang AS key, c.word, c.n FROM counts c JOIN large USING (lang)
-          UNION ALL SELECT '' AS key, word, n FROM counts),
-vocab AS (SELECT DISTINCT word FROM
-          (SELECT word, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r
-           FROM counts JOIN large USING (lang)) WHERE r <= {TOP_WORDS}),
-totals AS (SELECT key, sum(n) AS n, [{", ".join(f"sum({c} * n)" for c in _sql_classes("word"))},
-           sum((length(word) - ({" + ".join(_sql_classes("word"))})) * n)] AS k FROM keyed GROUP BY key),
+texts AS (SELECT lang, t, count(*) AS copies, strlen(t) AS size FROM docs WHERE lang IS NOT NULL AND t <> '' GROUP BY ALL),
+weights AS (SELECT lang, t, least(copies, greatest(1, floor(sum(size) OVER (PARTITION BY lang) / {COPY_PART} / size))) AS w
+            FROM texts),
+counts AS (SELECT lang, word, sum(w)::BIGINT AS n FROM (
+             SELECT lang, w, unnest(list_filter(string_split_regex(t, '{SPACE}'), lambda w: w <> '')) AS word FROM weights)
+           GROUP BY ALL),
+vocab AS (SELECT lang AS key, word, n FROM
+          (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM counts) WHERE r <= {TOP_WORDS}),
+totals AS (SELECT lang AS key, sum(n) AS n, [{", ".join(f"sum({c} * n)" for c in _sql_classes("word"))},
+           sum((length(word) - ({" + ".join(_sql_classes("word"))})) * n)] AS k FROM counts GROUP BY lang),
 chars AS (SELECT key, list_transform(k, lambda x: x / list_sum(k)) AS q FROM totals),
-shares AS (SELECT v.word, t.key, coalesce(sum(k.n), 0) / t.n AS q FROM vocab v CROSS JOIN (SELECT key, n FROM totals) t
-           LEFT JOIN keyed k ON k.word = v.word AND k.key = t.key GROUP BY v.word, t.key, t.n),
+shares AS (SELECT key, word, v.n / t.n AS q FROM vocab v JOIN totals t USING (key)),
 rest AS (SELECT key, greatest(0, 1 - sum(q)) AS q FROM shares GROUP BY key),
 tri AS (SELECT rid, pos, word || ' ' || lead(word) OVER w || ' ' || lead(word, 2) OVER w AS tri FROM occ
         WINDOW w AS (PARTITION BY rid ORDER BY pos)),
@@ -409,27 +330,27 @@ twice AS (SELECT rid, pos FROM (SELECT rid, pos, count(*) OVER (PARTITION BY rid
           WHERE tri IS NOT NULL) WHERE c > 1),
 covered AS (SELECT rid, count(DISTINCT pos + o) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS o) GROUP BY rid),
 lines AS (SELECT rid, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM split),
-base AS (SELECT s.rid, coalesce(l.lang, '') AS key, len(ws) AS n, list_sum(list_transform(ws, lambda w: length(w))) AS wc,
+base AS (SELECT s.rid, s.lang AS key, len(ws) AS n, list_sum(list_transform(ws, lambda w: length(w))) AS wc,
          {", ".join(f"{c} AS c{i}" for i, c in enumerate(_sql_classes("t")))}, coalesce(c.n, 0) AS rep,
          len(ls) - len(list_distinct(ls)) AS dup
-         FROM split s LEFT JOIN large l USING (lang) LEFT JOIN covered c USING (rid) JOIN lines USING (rid)),
+         FROM split s LEFT JOIN covered c USING (rid) JOIN lines USING (rid)),
 shared AS (SELECT b.*, q, [{", ".join(f"c{i} / greatest(wc, 1)" for i in range(_N))},
-           (wc - {" - ".join(f"c{i}" for i in range(_N))}) / greatest(wc, 1)] AS p FROM base b JOIN chars USING (key)),
-char_js AS (SELECT rid, CASE WHEN n < 1 THEN 0 ELSE sqrt(greatest(0, ({" + ".join(
+           (wc - {" - ".join(f"c{i}" for i in range(_N))}) / greatest(wc, 1)] AS p FROM base b LEFT JOIN chars USING (key)),
+char_js AS (SELECT rid, CASE WHEN n < 1 THEN 0 WHEN q IS NULL THEN NULL ELSE sqrt(greatest(0, ({" + ".join(
     _sql_term(f"p[{i + 1}]", f"q[{i + 1}]") for i in range(_N + 1))} + 1) / 2)) END AS js FROM shared),
-present AS (SELECT o.rid, o.word, count(*) AS c FROM occ o JOIN vocab USING (word) GROUP BY ALL),
+present AS (SELECT o.rid, o.word, count(*) AS c FROM occ o JOIN vocab v ON o.lang = v.key AND o.word = v.word GROUP BY ALL),
 parts AS (SELECT p.rid, sum({_sql_term("(p.c / b.n)", "s.q")}) AS x, sum(p.c) AS c FROM present p JOIN base b USING (rid)
           JOIN shares s ON s.key = b.key AND s.word = p.word GROUP BY p.rid),
-word_js AS (SELECT b.rid, CASE WHEN b.n < {WORD_GUARD} THEN 0 ELSE sqrt(greatest(0, (coalesce(x, 0)
+word_js AS (SELECT b.rid, CASE WHEN b.n < {WORD_GUARD} THEN 0 WHEN r.q IS NULL THEN NULL ELSE sqrt(greatest(0, (coalesce(x, 0)
             + CASE WHEN b.n > coalesce(c, 0) THEN {_sql_term("((b.n - coalesce(c, 0)) / b.n)", "r.q")} ELSE 0 END + 1) / 2))
-            END AS js FROM base b JOIN rest r USING (key) LEFT JOIN parts USING (rid)),
+            END AS js FROM base b LEFT JOIN rest r USING (key) LEFT JOIN parts USING (rid)),
 judged AS (SELECT rid, b.n, coalesce(wc, 0) AS wc, c{list(CLASSES).index("symbol")} AS sym, dup, rep, c.js AS cj, w.js AS wj,
            b.n < {MIN_WORDS} OR 100 * rep > {MAX_REPEAT_PERCENT} * b.n AS failed
            FROM base b JOIN char_js c USING (rid) JOIN word_js w USING (rid))
 SELECT doc_id, n::BIGINT AS n_words, wc::BIGINT AS word_chars, sym::BIGINT AS n_symbols, dup::BIGINT AS n_dup_lines,
        rep::BIGINT AS n_repeat_words, failed AS base_failed,
-       NOT failed AND cj <= {CHAR_LIMIT[0]} + {CHAR_LIMIT[1]} / sqrt(greatest(n, 1))
-           AND wj <= {WORD_LIMIT[0]} + {WORD_LIMIT[1]} / sqrt(greatest(n, 1)) AS kept,
+       NOT failed AND coalesce(cj <= {CHAR_LIMIT[0]} + {CHAR_LIMIT[1]} / sqrt(greatest(n, 1)), true)
+           AND coalesce(wj <= {WORD_LIMIT[0]} + {WORD_LIMIT[1]} / sqrt(greatest(n, 1)), true) AS kept,
        round(cj, 4) AS char_js, round(wj, 4) AS word_js
 FROM judged JOIN docs USING (rid)
 """

@@ -7,12 +7,13 @@ import random
 import zlib
 
 import brute
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe, langid, line_dedup, lm, mixing, quality, simhash, token_counts, topk, warc
-from tessera.llm.common import read_table
+from tessera.llm.common import boundary, read_table
 from tessera.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -130,24 +131,55 @@ def test_quality_keeps_clean_drops_noise(spark):
     assert r.get((0, True), 0) <= 0.2 * (r.get((0, True), 0) + r[(0, False)])
 
 
-def test_quality_keeps_clean_rare_languages(spark):
-    """Three Spanish copies of the corpus: a language under 1/64 of all words, one
-    with too few words for a reference, and none at all."""
+def with_rare_languages(spark):
+    """The corpus with three Spanish copies: a language of a few hundred documents, one
+    of ten, and none at all."""
     docs = read_table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang")
     labels = read_table(spark, "/root/testdata/sf0.01", "labels").select("doc_id", "quality")
     es = docs.filter("lang = 'es'").join(labels, "doc_id").drop("lang")
     rows = [es.withColumn("lang", F.lit("r1")), es.withColumn("lang", F.lit(None).cast("string")),
             es.filter("quality = 1 and length(text) < 2000").orderBy("doc_id").limit(10).withColumn("lang", F.lit("r2"))]
-    big = docs.filter("lang <> 'es'").withColumn("quality", F.lit(-1)).crossJoin(spark.range(16).select(F.lit(0)))
+    big = docs.filter("lang <> 'es'").withColumn("quality", F.lit(-1))
     for r in rows:
         big = big.select("doc_id", "text", "lang", "quality").unionByName(r)
+    return big
+
+
+def test_quality_keeps_clean_rare_languages(spark):
+    big = with_rare_languages(spark)
     out = quality.quality(big, keep=("lang", "quality")).filter("quality >= 0 and not base_failed").collect()
     clean = collections.Counter((r["lang"], r["kept"], r["word_js"] is None) for r in out if r["quality"] == 1)
-    assert set(clean) == {("r1", True, False), ("r2", True, True), (None, True, True)}
+    assert set(clean) == {("r1", True, False), ("r2", True, False), (None, True, True)}
     noise = [r["kept"] for r in out if r["quality"] == 0 and r["lang"] == "r1"]
     assert sum(noise) <= 0.2 * len(noise)
 
 
+def test_quality_twin_on_rare_null_and_copied_rows(spark, tmp_path):
+    """The SQL twin gives the same rows, with near copies of a Spanish document, a text
+    with a third of all rows, and null, empty and repeated rows as well."""
+    big = with_rare_languages(spark).drop("quality")
+    near = (read_table(spark, "/root/testdata/sf0.01", "documents").filter("doc_id = 221")
+            .select((F.col("doc_id") * 10_000).alias("d"), "text").crossJoin(spark.range(96))
+            .select((F.col("d") + F.col("id")).alias("doc_id"), F.concat("text", F.lit(" z"), "id").alias("text"),
+                    F.lit("es").alias("lang")))
+    hot = spark.range(600).select((F.col("id") + 10**9).alias("doc_id"), F.lit("una casa de la vida " * 30).alias("text"),
+                                  F.lit("r1").alias("lang"))
+    odd = spark.createDataFrame([(-1, None, "r3"), (-2, "", "r3"), (-3, "solo", "r4"), (-4, None, None)],
+                                "doc_id long, text string, lang string")
+    rows = big.unionByName(near).unionByName(hot).unionByName(odd)
+    rows.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = quality.quality(read_table(spark, str(tmp_path), "documents")).toPandas()
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = con.sql(quality.SQL).df()[list(got.columns)]
+
+    def lines(frame):
+        return sorted(map(repr, frame.astype(object).where(frame.notna(), None).itertuples(index=False, name=None)))
+
+    assert lines(got) == lines(want)
+    assert got["kept"].sum() > 500
+
+
 def test_quality_references_bear_copies(spark):
     """Copies of one clean document with a third of its language's rows and words."""
     docs = read_table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang").filter("lang = 'es'")
@@ -167,16 +199,32 @@ def test_quality_references_bear_copies(spark):
     assert counts == {"a": 2, "b": 1, "c": 1, "d": 1}
 
 
-def test_perfect_hash_finds_every_word():
-    codes = [quality._signed_hash(f"w{i}") for i in range(500)]
-    shift, slots = quality.perfect_hash(codes)
-
-    def held(h):
-        return slots[(h >> 20) + shift[h & (len(shift) - 1)] & (len(slots) - 1)]
-
-    assert all(held(h) == h for h in codes)
-    others = [quality._signed_hash(f"x{i}") for i in range(5000)]
-    assert not any(held(h) == h for h in [*others, *(set(slots) - set(codes))])
+@pytest.mark.parametrize("shifts", [1, 8])
+def test_slots_find_every_word_of_any_vocabulary(spark, shifts):
+    """1,000 random vocabularies of 16 to 4,096 words: each word has a place or is an extra."""
+    width, sizes = 1024, np.exp(np.random.default_rng(3).uniform(np.log(16), np.log(4096), 1000)).astype(int)
+    words = (spark.createDataFrame([(i, int(n)) for i, n in enumerate(sizes)], "lang long, size long")
+             .select("lang", F.explode(F.sequence(F.lit(1), "size")).alias("n"))
+             .select("lang", F.xxhash64("lang", "n").alias("h"), F.col("n")))
+    table = boundary(quality.slotted(words, width, shifts))
+    assert table.count() == 1000
+    at = quality.place(F.col("h"), F.col("shift"), width)
+    kept = F.element_at("kept", at)
+    own = kept.isNotNull() & (kept["h"] == F.col("h")) & (kept["n"] == F.col("n"))
+    extra = F.exists("extra", lambda x: (x["h"] == F.col("h")) & (x["n"] == F.col("n")))
+    found = words.join(table, "lang").select("lang", own.alias("own"), extra.alias("extra"))
+    assert found.filter(F.col("own") == F.col("extra")).isEmpty()
+    counts = table.select(F.sum(F.size("kept") + F.size("extra"))).first()[0]
+    assert counts == sizes.sum()
+
+
+def test_quality_extra_words_change_nothing(spark):
+    """One shift leaves many words as extras; the distances stay the same."""
+    docs = read_table(spark, SF, "documents").select("doc_id", "text", "lang")
+    got = [{r["doc_id"]: tuple(r["q"]) for r in quality.judge(docs, quality.references(docs, shifts=n), out="q")
+            .select("doc_id", "q").collect()} for n in (1, 48)]
+    assert got[0] == got[1]
+    assert quality.references(docs, shifts=1).filter(F.size("extra") > 0).count()
 
 
 # ---------------------------------------------------------------- 7
