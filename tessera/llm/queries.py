@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, langid, line_dedup, lm, mixing, quality, simhash, token_counts, topk, warc
+from tessera.llm import bpe, langid, lexical, licenses, line_dedup, lm, merkle, mixing, quality, simhash, token_counts, topk, warc
 from tessera.llm.common import read_table
 
 Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,28 @@ def op1_mixing(spark, sf):
 
 
 SQL["op1_mixing"] = mixing.SQL
+
+
+@register
+def op11_lexical_search(spark, sf):
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    found = lexical.search(docs, read_table(spark, sf, "benchmark"))
+    return found.withColumnRenamed("query_id", "item_id")
+
+
+SQL["op11_lexical_search"] = lexical.SQL
+
+
+@register
+def op12_merkle(spark, sf):
+    docs = read_table(spark, sf, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    return merkle.proofs(merkle.manifest(docs, changed={"n_chars": F.col("n_chars") + 1}, where=tampered))
+
+
+SQL["op12_merkle"] = merkle.SQL
+
+
+@register
+def op13_licenses(spark, sf):
+    return licenses.digest(licenses.scan(read_table(spark, sf, "documents").select("doc_id", "text")))

@@ -134,3 +134,69 @@ def cut_lines(docs, fold=200):
                 cut |= set(range(solid[i][a], solid[i][b]))
         out[i] = docs[i] if not cut else "".join(p for n, p in enumerate(parts) if n not in cut)
     return out
+
+
+def plain_terms(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", ascii_lower(text))
+
+
+def ranked(docs, items, k=10):
+    """``{(item row, rank, id, score)}`` of ``[(id, text)]`` and ``[text]``, by scoring every document."""
+    tf = [collections.Counter(plain_terms(t)) for _, t in docs]
+    size = [sum(c.values()) for c in tf]
+    n, total = sum(s > 0 for s in size), sum(size)
+    df = collections.Counter(w for c in tf for w in c)
+    weight = {w: math.floor(1000 * math.log((2 * n + 2) / (2 * f + 1))) for w, f in df.items()}
+    out = set()
+    for q, text in enumerate(items):
+        terms, rows = plain_terms(text), []
+        for (i, _), c, s in zip(docs, tf, size):
+            score = sum(weight[w] * (10**9 * c[w] // (1000 * c[w] + 8 * (25 + 75 * s * n // total))) for w in terms if w in c)
+            if score > 0:
+                rows.append((-score, i is None, i))
+        rows.sort(key=lambda r: (r[0], r[1], r[2] or 0))
+        out |= {(q, r + 1, i, -s) for r, (s, _, i) in enumerate(rows[:k])}
+    return out
+
+
+def sha(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def merkle(rows, fan=2):
+    """``[(id, leaf, subroot, root, proof, folded, verified)]`` of ``(doc_id, source, lang, n_chars, text)`` rows."""
+    import zlib
+
+    def leaf(row):
+        return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+    def levels(nodes):
+        out = [nodes]
+        while len(out[-1]) > 1:
+            out.append([sha(*out[-1][i:i + fan]) for i in range(0, len(out[-1]), fan)])
+        return out
+
+    langs = sorted({r[2] for r in rows}, key=lambda x: (x is not None, (x or "").encode()))
+    own = {x: sorted((r for r in rows if r[2] == x), key=lambda r: (r[0] is not None, r[0] or 0, leaf(r))) for x in langs}
+    trees = {x: levels([leaf(r) for r in own[x]]) for x in langs}
+    top = levels([trees[x][-1][0] for x in langs])
+    out = []
+    for at, x in enumerate(langs):
+        for i, r in enumerate(own[x]):
+            hit = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 7 == 0 and r[3] is not None
+            node, beside = leaf((*r[:3], r[3] + 1, r[4]) if hit else r), []
+            for tree, place in ((trees[x], i), (top, at)):
+                for level in tree[:-1]:
+                    start = place // fan * fan
+                    run = level[start:start + fan]
+                    run[place - start] = node
+                    beside += [h for j, h in enumerate(level[start:start + fan]) if start + j != place]
+                    node, place = sha(*run), place // fan
+            out.append((r[0], leaf(r), trees[x][-1][0], top[-1][0], sha(*beside), node, node == top[-1][0]))
+    return out
+
+
+def phrase_places(text, phrases):
+    w = plain_terms(text)
+    return sorted((label, i, i + len(p.split()) - 1) for p, label in phrases.items()
+                  for i in range(len(w)) if w[i:i + len(p.split())] == p.split())
