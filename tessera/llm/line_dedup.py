@@ -1,146 +1,226 @@
 """Line dedup by overlapping three-line windows.
 
-A text is cut into lines after each newline; a line of more than ``fold``
-characters (a paragraph) is folded into its sentences, so a passage repeated
-inside a long line is seen too. Every three consecutive non-blank lines
-(trimmed) are one window, known by a 96-bit hash. A window stays where it
-occurs first: in the document with the smallest id, at its first place there.
-Every later occurrence covers its three lines; covered positions are merged
-into runs, and the runs are cut out together with blank lines inside them.
-
-Windows are reduced to (hash, smallest id, largest id) by a partial aggregate;
-only hashes of several documents are joined back to the windows, and a hot
-window is split by the adaptive skew join. What comes back per document is at
-most one number per line. Everything is DataFrame expressions.
-
-Texts with fewer than three lines have no window and stay as they are, null
-text stays null. Rows that share an id count as one document: none of them
-is later than the other, and rows with a null id come after all others. Other
-columns are untouched; a document that is all repeats keeps its row with an
-empty text.
+A text is cut into lines after each newline, and a line further wherever its words
+say so: after a word whose key (of its MD5) is below those of the ``NEAR`` words before
+it and not above those of the ``NEAR`` words after it, all in the same line. Such
+cuts depend on nothing but the words nearby, so a passage repeated in the middle of a paragraph
+is cut alike at both places, whatever surrounds it and however it is punctuated.
+Pieces have about six words. A run of words that repeats in itself with
+a period of ``NEAR`` or less has no cut.
+
+Every three consecutive non-blank pieces (trimmed) are one window, known by a 96-bit
+hash. A window stays where it occurs first: in the document with the smallest id, at its
+first place there. Every later occurrence covers its three pieces; covered
+pieces are merged into runs, and the runs are cut out together with blank lines inside them.
+
+Tasks cut blocks of texts into numpy arrays. Within a block only the occurrence
+in the smallest id stands for a window, so a hot window sends one row per block;
+the others are later ones in any case. One shuffle brings the rows of a window
+together, ranked by id. What comes back per document is at most one number per piece.
+
+Texts with fewer than three pieces have no window and stay as they are, null
+text stays null, very long texts are cut whole. Rows that share an id count as one
+document: none of them is later than the other, and rows with a null id come after all
+others. An empty table gives an empty one. Other columns are untouched, also those
+named like working columns; a document that is all repeats keeps its row with an empty text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm.common import boundary, free_names
+from tessera.llm.common import free_names
 
 WINDOW = 3
-FOLD = 200
-BLANKS = " \t\r\n\x0b\x0c"
-
-
-def _let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
-
-
-def lines_of(text: Column, fold: int = FOLD) -> Column:
-    lines = F.split(F.coalesce(text, F.lit("")), r"(?<=\n)")
-    parts = F.transform(lines, lambda x: F.when(F.char_length(x) > fold, F.split(x, r"(?<=[.!?] )"))
-                        .otherwise(F.array(x)))
-    return F.filter(F.flatten(parts), lambda x: x != "")
-
-
-def _trim(x: Column) -> Column:
-    return F.btrim(x, F.lit(BLANKS))
-
-
-def places(lines: Column) -> Column:
-    """Indexes of the non-blank lines."""
-    marked = F.transform(lines, lambda x, i: F.when(_trim(x) != "", i).otherwise(-1))
-    return F.filter(marked, lambda i: i >= 0)
-
-
-def windows_of(lines: Column) -> Column:
-    """``(h, g, o, first)`` of every window: its hashes, the number of its first
-    non-blank line, and whether the text holds it there for the first time."""
-    solid = F.filter(F.transform(lines, _trim), lambda x: x != "")
-
-    def hashed(s: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), F.greatest(F.size(s) - WINDOW, F.lit(0))), lambda o: o + WINDOW <= F.size(s))
-        three = F.transform(at, lambda o: F.struct(
-            F.xxhash64(*[F.get(s, o + i) for i in range(WINDOW)]).alias("h"),
-            F.hash(*[F.get(s, o + i) for i in range(WINDOW)]).alias("g"), o.alias("o")))
-        return F.sort_array(three)
-
-    return _let(_let(solid, hashed), lambda w: F.transform(w, lambda x, j: F.struct(
-        x["h"].alias("h"), x["g"].alias("g"), x["o"].alias("o"),
-        (~F.coalesce((F.get(w, j - 1)["h"] == x["h"]) & (F.get(w, j - 1)["g"] == x["g"]), F.lit(False)))
-        .alias("first"))))
-
-
-def later_windows(df: DataFrame, id_col: str, text: str, fold: int = FOLD) -> DataFrame:
-    """``(_id, _th, _covered)``: per document, the windows to cut, by first line."""
-    # cut and hashed once; the aggregate and both sides of the join read the windows
-    seen = boundary(df.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"),
-                              F.explode(windows_of(lines_of(F.col(text), fold))).alias("w"))
-                    .select("_id", "_th", "w.*"), compression="lz4")
-    firsts = seen.filter("first").select("_id", "_th", "h", "g", "o")
-    shared = (firsts.groupBy("h", "g")
-              .agg(F.min("_id").alias("_min"), F.max("_id").alias("_max"),
-                   F.max(F.col("_id").isNull()).alias("_none"))
-              .filter((F.col("_max") > F.col("_min")) | (F.col("_none") & F.col("_min").isNotNull()))
-              .select("h", "g", "_min"))
-    across = (firsts.join(shared, ["h", "g"]).filter(F.col("_id").isNull() | (F.col("_id") > F.col("_min")))
-              .select("_id", "_th", "o"))
-    within = seen.filter(~F.col("first")).select("_id", "_th", "o")
-    return (across.unionByName(within).groupBy("_id", "_th")
+NEAR = 3
+BLOCK = 8 << 20  # bytes of text that a task cuts at once
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+
+
+class Pieces:
+    """The non-blank pieces of a block of texts (UTF-8), in order."""
+
+    def __init__(self, texts: list[bytes], near: int = NEAR):
+        self.texts = texts
+        self.whole = b"\n".join([*texts, b""])
+        data = np.frombuffer(self.whole, np.uint8)
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.begin = np.cumsum(sizes + 1) - sizes - 1
+        self.end = self.begin + sizes
+        solid = np.concatenate([[False], ~_BLANK[data], [False]])
+        edges = np.flatnonzero(solid[1:] != solid[:-1])
+        first, last = edges[::2], edges[1::2]
+        self.breaks = np.flatnonzero(data == 10)
+        line = np.searchsorted(self.breaks, first)
+        ends = self._cuts(data, solid[1:-1], first, last, line, near)
+        ends[:-1] |= line[1:] != line[:-1]
+        ends[-1:] = True
+        tail = np.flatnonzero(ends)
+        head = np.concatenate([[0], tail[:-1] + 1]) if len(tail) else tail
+        self.first, self.last, self.line = first[head], last[tail], line[head]
+        self.doc = np.searchsorted(self.begin, self.first, side="right") - 1
+        self.counts = np.bincount(self.doc, minlength=len(texts))
+
+    @staticmethod
+    def _cuts(data, solid, first, last, line, near) -> np.ndarray:
+        offsets = np.zeros(len(first) + 1, np.int64)
+        np.cumsum(last - first, out=offsets[1:])
+        words = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(data[solid])]).dictionary_encode()
+        own = b"".join(hashlib.md5(w).digest()[:8] for w in words.dictionary.to_pylist())
+        keys = np.frombuffer(own, ">u8").astype(np.uint64)[words.indices.to_numpy()]
+        cuts = np.ones(len(first), bool)
+        for d in range(1, near + 1):
+            other = line[d:] != line[:-d]
+            cuts[d:] &= other | (keys[d:] < keys[:-d])
+            cuts[:-d] &= other | (keys[:-d] <= keys[d:])
+        return cuts
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of every window: two hashes, its document and its first piece's number there."""
+        digest, whole = xxhash.xxh3_128_digest, memoryview(self.whole)
+        own = b"".join(digest(whole[a:b]) for a, b in zip(self.first.tolist(), self.last.tolist()))
+        low, high = np.frombuffer(own, "<u8").reshape(-1, 2).T
+        at = np.flatnonzero(self.doc[WINDOW - 1:] == self.doc[:len(self.doc) - WINDOW + 1]) if len(self.doc) >= WINDOW else (
+            np.zeros(0, np.int64))
+        odd = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
+        h, g = (sum((x[at + i] * np.uint64(odd[i]) for i in range(WINDOW)), np.zeros(len(at), np.uint64)) for x in (low, high))
+        start = np.cumsum(self.counts) - self.counts
+        return h.view(np.int64), (g >> np.uint64(32)).astype(np.uint32).view(np.int32), self.doc[at], at - start[self.doc[at]]
+
+    def without(self, doc: int, covered: np.ndarray) -> tuple[bytes, int]:
+        """The text without the pieces of the windows that begin at ``covered``, and their number."""
+        start = int(self.counts[:doc].sum())
+        gone = np.unique((covered[:, None] + np.arange(WINDOW)).ravel())
+        runs = np.split(gone, np.flatnonzero(np.diff(gone) != 1) + 1)
+        out, at = [], int(self.begin[doc])
+        for run in runs:
+            a, b = self._raw(start + int(run[0]), doc)[0], self._raw(start + int(run[-1]), doc)[1]
+            out.append(self.whole[at:a])
+            at = b
+        out.append(self.whole[at:int(self.end[doc])])
+        return b"".join(out), len(gone)
+
+    def _raw(self, i: int, doc: int) -> tuple[int, int]:
+        """Where piece ``i`` begins and ends with the blanks that belong to it."""
+        line = self.line[i]
+        if i and self.line[i - 1] == line:
+            a = self.last[i - 1]
+        else:
+            a = max(self.begin[doc], self.breaks[line - 1] + 1 if line else 0)
+        if i + 1 < len(self.line) and self.line[i + 1] == line:
+            b = self.last[i]
+        else:
+            b = min(self.end[doc], self.breaks[line] + 1)
+        return int(a), int(b)
+
+
+def _blocks(texts: pa.Array, limit: int = BLOCK) -> Iterator[tuple[int, int]]:
+    """Ranges of a batch with about ``limit`` bytes each."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < len(texts):
+        b = int(np.searchsorted(size, (size[a - 1] if a else 0) + limit)) + 1
+        yield a, min(b, len(texts))
+        a = b
+
+
+def _encoded(texts: pa.Array) -> list[bytes]:
+    return [(x or "").encode("utf-8", "surrogatepass") for x in texts.to_pylist()]
+
+
+def later_windows(df: DataFrame, id_col: str, text: str, near: int = NEAR, block: int = BLOCK) -> DataFrame:
+    """``(_id, _th, _covered)``: per document, the windows to cut, by first piece."""
+    rows = df.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_th"), F.col(text).alias("_text"))
+    schema = T.StructType([*rows.schema.fields[:2], *T._parse_datatype_string("h long, g int, o int, later boolean").fields])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in _blocks(batch.column(2), block):
+                part = batch.slice(a, b - a)
+                h, g, doc, o = Pieces(_encoded(part.column(2)), near).windows()
+                if not len(h):
+                    continue
+                rank = pc.rank(part.column(0), sort_keys="ascending", null_placement="at_end", tiebreaker="dense")
+                rank = rank.to_numpy().astype(np.int64)[doc]
+                order = np.lexsort((o, doc, rank, g, h))
+                h, g, doc, o, rank = h[order], g[order], doc[order], o[order], rank[order]
+                same = np.concatenate([[False], (h[1:] == h[:-1]) & (g[1:] == g[:-1])])
+                heads = np.flatnonzero(~same)
+                least = np.repeat(rank[heads], np.diff(np.append(heads, len(h))))
+                later = (rank > least) | (same & (doc == np.concatenate([[-1], doc[:-1]])))
+                at = pa.array(doc)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(at), part.column(1).take(at), pa.array(h), pa.array(g),
+                     pa.array(o.astype(np.int32)), pa.array(later)], schema.names)
+
+    # what is later within its block has found its earlier one: its rows are only kept
+    key = [F.when(F.col("later"), F.xxhash64("_th", "o")).otherwise(F.col("h")), "g", "later"]
+    ranked = rows.mapInArrow(cut, schema).withColumn(
+        "r", F.rank().over(Window.partitionBy(*key).orderBy(F.asc_nulls_last("_id"))))
+    return (ranked.filter(F.col("later") | (F.col("r") > 1)).groupBy("_id", "_th")
             .agg(F.sort_array(F.collect_set("o")).alias("_covered")))
 
 
-def _cut(lines: Column, covered: Column) -> Column:
-    """``(text, lines, removed)``: the text without the covered windows' runs of
-    lines (null where nothing is covered), the non-blank lines, and those removed."""
-
-    def cut(x: Column) -> Column:
-        units, at, p = x["u"], x["at"], x["p"]
-        starts = F.filter(p, lambda o, j: F.coalesce(o - F.get(p, j - 1) > WINDOW, F.lit(True)))
-        ends = F.filter(p, lambda o, j: F.coalesce(F.get(p, j + 1) - o > WINDOW, F.lit(True)))
-
-        def rest(r: Column) -> Column:
-            begin = F.concat(F.array(F.lit(0)), F.transform(r["e"], lambda o: F.get(at, o + WINDOW - 1) + 1))
-            end = F.concat(F.transform(r["s"], lambda o: F.get(at, o)), F.array(F.size(units)))
-            pieces = _let(F.struct(begin.alias("b"), end.alias("e")), lambda k: F.transform(
-                k["b"], lambda b, i: F.array_join(F.slice(units, b + 1, F.get(k["e"], i) - b), "")))
-            removed = F.aggregate(F.transform(r["e"], lambda e, i: e + WINDOW - F.get(r["s"], i)), F.lit(0),
-                                  lambda a, n: a + n)
-            return F.struct(F.array_join(pieces, "").alias("text"), F.size(at).alias("lines"), removed.alias("removed"))
-
-        same = F.struct(F.lit(None).cast("string").alias("text"), F.size(at).alias("lines"), F.lit(0).alias("removed"))
-        return F.when(p.isNull(), same).otherwise(_let(F.struct(starts.alias("s"), ends.alias("e")), rest))
+def _cut(near: int, block: int):
+    @F.arrow_udf("struct<text: string, lines: long, removed: long>")
+    def cut(texts: pa.Array, covered: pa.Array) -> pa.Array:
+        out, lines, removed = [], [], []
+        for a, b in _blocks(texts, block):
+            pieces = Pieces(_encoded(texts.slice(a, b - a)), near)
+            lines += pieces.counts.tolist()
+            for i, own in enumerate(covered.slice(a, b - a)):
+                rest, n = pieces.without(i, own.values.to_numpy()) if own.is_valid else (None, 0)
+                out.append(None if rest is None else rest.decode("utf-8", "surrogatepass"))
+                removed.append(n)
+        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(lines, pa.int64()),
+                                           pa.array(removed, pa.int64())], ["text", "lines", "removed"])
 
-    return _let(_let(lines, lambda u: F.struct(u.alias("u"), places(u).alias("at"), covered.alias("p"))), cut)
+    return cut
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", fold: int = FOLD,
-                lines: str = "_n_lines", removed: str = "_n_removed") -> DataFrame:
-    """``df`` with ``text`` cut, and the columns ``lines`` (non-blank lines) and
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text: str = "text", near: int = NEAR,
+                lines: str = "_n_lines", removed: str = "_n_removed", block: int = BLOCK) -> DataFrame:
+    """``df`` with ``text`` cut, and the columns ``lines`` (non-blank pieces) and
     ``removed`` (those that were cut)."""
     th, i, t, p, cut = free_names(df, "_text_hash", "_cover_id", "_cover_hash", "_cover", "_cut")
-    cover = later_windows(df, id_col, text, fold).toDF(i, t, p)
+    cover = later_windows(df, id_col, text, near, block).toDF(i, t, p)
     marked = df.withColumn(th, F.xxhash64(text))
     joined = marked.join(cover, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(th) == F.col(t)), "left")
-    out = joined.withColumn(cut, _cut(lines_of(F.col(text), fold), F.col(p)))
+    out = joined.withColumn(cut, _cut(near, block)(F.col(text), F.col(p)))
     kept = [F.coalesce(F.col(cut)["text"], F.col(text)).alias(text) if c == text else F.col(c) for c in df.columns]
-    return out.select(*kept, F.col(cut)["lines"].cast("long").alias(lines),
-                      F.col(cut)["removed"].cast("long").alias(removed))
+    return out.select(*kept, F.col(cut)["lines"].alias(lines), F.col(cut)["removed"].alias(removed))
 
 
-_CUT = "chr(57344)"  # marks the line ends in the SQL twin
-_SOLID = "trim(u, chr(32) || chr(9) || chr(13) || chr(10) || chr(11) || chr(12))"
+_MARK = "chr(57344)"  # marks the line ends in the SQL twin
+_KEYS = "min(key) OVER (PARTITION BY doc_id, i ORDER BY j ROWS BETWEEN {})"
+_SOLID = r"[^ \t\r\n\x0b\x0c]"
 SQL = f"""
-WITH units AS (
-  SELECT doc_id, u, row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS n FROM (
-    SELECT doc_id, i, unnest(parts) AS u, generate_subscripts(parts, 1) AS j FROM (
-      SELECT doc_id, i, CASE WHEN length(line) > {FOLD}
-             THEN string_split(regexp_replace(line, '([.!?] )', '\\1' || {_CUT}, 'g'), {_CUT}) ELSE [line] END AS parts
-      FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (
-        SELECT doc_id, string_split(replace(coalesce(text, ''), chr(10), chr(10) || {_CUT}), {_CUT}) AS ls
-        FROM documents)))) WHERE u <> ''),
-solid AS (SELECT doc_id, n, {_SOLID} AS s, row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS o
-          FROM units WHERE {_SOLID} <> ''),
+WITH lines AS (
+  SELECT doc_id, i, line, regexp_extract_all(line, '[ \\t\\r\\n\\x0b\\x0c]*{_SOLID}+') AS words FROM (
+    SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (
+      SELECT doc_id, string_split(replace(coalesce(text, ''), chr(10), chr(10) || {_MARK}), {_MARK}) AS ls FROM documents))),
+words AS (SELECT doc_id, i, j, word, j = m AS ends, left(md5(regexp_extract(word, '{_SOLID}+')), 16) AS key,
+                 CASE WHEN j = m THEN line[sum(length(word)) OVER (PARTITION BY doc_id, i)::BIGINT + 1:] ELSE '' END AS blanks
+          FROM (SELECT doc_id, i, line, unnest(words) AS word, generate_subscripts(words, 1) AS j, len(words) AS m FROM lines)),
+cuts AS (SELECT *, ends OR (key < coalesce({_KEYS.format(f"{NEAR} PRECEDING AND 1 PRECEDING")}, 'x')
+                            AND key <= coalesce({_KEYS.format(f"1 FOLLOWING AND {NEAR} FOLLOWING")}, 'x')) AS cut FROM words),
+units AS (SELECT doc_id, u, row_number() OVER (PARTITION BY doc_id ORDER BY i, b) AS n, u <> '' AND regexp_matches(u, '{_SOLID}') AS solid
+          FROM (SELECT doc_id, i, b, string_agg(word || blanks, '' ORDER BY j) AS u FROM (
+                  SELECT *, sum(cut::INT) OVER (PARTITION BY doc_id, i ORDER BY j) - cut::INT AS b FROM cuts) GROUP BY doc_id, i, b
+                UNION ALL SELECT doc_id, i, 0, line FROM lines WHERE len(words) = 0 AND line <> '')),
+solid AS (SELECT doc_id, n, trim(u, chr(32) || chr(9) || chr(13) || chr(10) || chr(11) || chr(12)) AS s,
+                 row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS o FROM units WHERE solid),
 three AS (SELECT doc_id, o, [s, lead(s) OVER w, lead(s, 2) OVER w] AS k, lead(o, 2) OVER w AS last FROM solid
           WINDOW w AS (PARTITION BY doc_id ORDER BY o)),
 ranked AS (SELECT doc_id, o, row_number() OVER (PARTITION BY k ORDER BY doc_id, o) AS r FROM three WHERE last IS NOT NULL),

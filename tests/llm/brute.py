@@ -112,14 +112,20 @@ def top_k(vectors, k=5, every=50, scale=256):
     return out
 
 
-def cut_lines(docs, fold=200):
-    """``{id: text}`` of ``{id: text}`` without later occurrences of three-line windows."""
+def pieces(line, near=3):
+    """A line cut after words whose MD5 is the least nearby."""
+    found = list(re.finditer(r"[^ \t\n\r\x0b\x0c]+", line))
+    keys = [hashlib.md5(m[0].encode()).hexdigest()[:16] for m in found]
+    ends = [m.end() for i, m in enumerate(found[:-1])
+            if all(keys[i] < k for k in keys[max(0, i - near):i]) and all(keys[i] <= k for k in keys[i + 1:i + 1 + near])]
+    return [line[a:b] for a, b in zip([0, *ends], [*ends, len(line)])]
+
+
+def cut_lines(docs):
+    """``{id: text}`` of ``{id: text}`` without later occurrences of three-piece windows."""
     units, solid, seen, gone = {}, {}, set(), collections.defaultdict(set)
     for i in sorted(docs):
-        parts = []
-        for line in re.split(r"(?<=\n)", docs[i] or ""):
-            parts += re.split(r"(?<=[.!?] )", line) if len(line) > fold else [line]
-        units[i] = [p for p in parts if p]
+        units[i] = [p for line in re.split(r"(?<=\n)", docs[i] or "") for p in pieces(line) if p]
         solid[i] = [n for n, p in enumerate(units[i]) if p.strip(" \t\r\n\x0b\x0c")]
         for o in range(len(solid[i]) - 2):
             key = tuple(units[i][n].strip(" \t\r\n\x0b\x0c") for n in solid[i][o:o + 3])

@@ -347,7 +347,35 @@ def test_line_dedup(spark, texts):
     small = {2: "a\nb\nc\nd\ne", 1: "x\nb\nc\n\nd\ny\n", 3: "a\na\na\na\na\nq", 5: "", 6: "one\ntwo",
              7: "b\n \nc\nd\nz\nx\nb\nc", 8: "p\nq\nr\ns\n" * 400}
     df = spark.createDataFrame(list(small.items()), "doc_id long, text string")
-    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()} == brute.cut_lines(small)
+    for block in (1, 40, 8 << 20):
+        got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df, block=block).collect()}
+        assert got == brute.cut_lines(small)
+    few = docs.repartition(5)
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(few, block=20_000).collect()} == brute.cut_lines(texts)
+
+
+@pytest.mark.parametrize("ends", [True, False])
+def test_line_dedup_finds_passages_inside_paragraphs(spark, ends):
+    """Runs of 51 to 60 words planted mid-text in two documents, with and without sentence
+    ends: under 2 % have no window in common, and most of their words go."""
+    rng, docs = random.Random(11), [r["text"] for r in read_table(spark, "/root/testdata/sf0.01", "documents").collect()]
+    words, rows, plain = " ".join(docs).split(), [], []
+    for i in range(500):
+        a, n = rng.randrange(len(words) - 60), rng.randrange(51, 61)
+        passage = [w if ends else w.replace(".", "") or "x" for w in words[a:a + n]]
+        while len(set(passage)) < 20:  # noise of a few words over and over has no place of its own
+            a = rng.randrange(len(words) - 60)
+            passage = [w if ends else w.replace(".", "") or "x" for w in words[a:a + n]]
+        for d in (2 * i, 2 * i + 1):
+            before, after = (" ".join(f"{d}{rng.random():.9f}" for _ in range(30)) for _ in range(2))
+            rows.append((d, f"{before} {' '.join(passage)} {after}"))
+        plain.append(n)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    left = {r["doc_id"]: len(r["text"].split()) for r in line_dedup.dedup_lines(frame, block=30_000).collect()}
+    gone = [60 + n - left[2 * i + 1] for i, n in enumerate(plain)]
+    assert sum(g == 0 for g in gone) < 0.02 * len(gone)
+    assert sum(gone) > 0.75 * sum(plain)
+    assert sum(60 + n - left[2 * i] for i, n in enumerate(plain)) < 0.05 * sum(plain)
 
 
 def test_line_dedup_odd_rows(spark, odd):
