@@ -641,3 +641,10 @@ SQL["class_files"] = with_views(f"""
   SELECT {strip_sql(one_line_sql('text'))} AS text, score::DOUBLE AS score FROM binary_predictions
   WHERE score IS NOT NULL""", "binary_predictions")
 SQL["appended_votes"] = with_views("SELECT task AS sentence_id, raw AS score FROM votes", "votes")
+
+_LETTERS = "CAST(len(regexp_extract_all(text, '{}')) AS DOUBLE)"
+SQL["scored_page_sentences"] = with_views(f"""
+  SELECT article_id, para_no, sent_no, CASE WHEN length(text) <= 300 THEN concat_ws(' ', a::VARCHAR, b::VARCHAR, c::VARCHAR) END AS scores,
+         CASE WHEN length(text) <= 300 THEN CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END END::INTEGER AS pred
+  FROM (SELECT *, {_LETTERS.format('[aeiou]')} AS a, {_LETTERS.format('[b-df-hj-np-tv-z]')} / 2 AS b,
+               10 * {_LETTERS.format('[#*%&$]')} AS c FROM page_sents)""", "page_sents")

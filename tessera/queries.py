@@ -359,8 +359,9 @@ def token_length_cap(spark, sf):
 def tfidf_logreg(spark, sf):
     d = doc_split(spark, sf)
     model = md.tfidf_logreg(d.filter(F.col("split") == "train"))
-    pred = md.predict(model, d)
-    e = mt.evaluate(pred, "score", "pred", by=["split"], probs="probs")
+    # text no longer needed: scores are evaluated on id, split and score
+    pred = md.predict(model, d).select("split", "score", "pred", "probs")
+    e = mt.evaluate(cut_lineage(pred), "score", "pred", by=["split"], probs="probs")
     return e.select("split", "n", _r("accuracy", 6).alias("accuracy"), _r("macro_f1", 6).alias("macro_f1"),
                     _r("loss", 6).alias("loss"))
 
@@ -405,6 +406,16 @@ def per_task_heads(spark, sf):
             .select("task_name", "split", "n", *[_r(F.col(x).cast("double"), 6).alias(x) for x in figures]))
 
 
+@register("shared_heads")
+def shared_heads(spark, sf):
+    """M9 on a shared projection + W8: every epoch's figure per task, and the epoch that W8 picks."""
+    log, _ = md.shared_heads(multitask(spark, sf).filter("valid"), registered_tasks())
+    log = cut_lineage(log)
+    best = md.best_epochs(log).select("run", "best_epoch")
+    return log.join(best, "run").select("run", "epoch", _r("f1", 6).alias("f1"),
+                                        (F.col("epoch") == F.col("best_epoch")).alias("best"))
+
+
 @register("score_sentences")
 def score_sentences(spark, sf):
     """M15 up to the scores, with the rule in place of a model."""
@@ -619,10 +630,34 @@ def label_pages_model(spark, sf):
     d = doc_split(spark, sf)
     model = md.tfidf_logreg(d.filter(F.col("split") == "train"))
     arts = page_articles(spark, sf)
-    scored = md.predict(model, lb.article_sentences(arts)).select("article_id", "para_no", "sent_no", "text", "pred")
+    sentences = cut_lineage(lb.article_sentences(arts))
+    scored = md.predict(model, sentences, key=("article_id", "para_no", "sent_no")).select(
+        "article_id", "para_no", "sent_no", "text", "pred")
     return lb.render(arts, lb.runs(scored))
 
 
+def load_letter_model():
+    """A stand-in for a model that a worker loads once: a text's scores are its counts
+    of vowels, of other lower-case letters (halved) and of marks (ten times)."""
+    import numpy as np
+
+    def counts(texts, pattern):
+        return texts.str.count(pattern).to_numpy(float)
+
+    return lambda texts: np.stack([counts(texts, "[aeiou]"), counts(texts, "[b-df-hj-np-tv-z]") / 2,
+                                   10 * counts(texts, "[#*%&$]")], axis=1).reshape(-1, 3)
+
+
+@register("scored_page_sentences")
+def scored_page_sentences(spark, sf):
+    """Every page sentence scored in batches by a model that each worker loads once;
+    sentences of over 300 characters stay with a null label, as in the reference's encoder."""
+    s = lb.article_sentences(page_articles(spark, sf))
+    out = md.score_batches(s, md.BatchScorer(load_letter_model), 3, keep=("article_id", "para_no", "sent_no"), max_chars=300)
+    return out.select("article_id", "para_no", "sent_no", F.array_join(F.transform(
+        "scores", lambda x: F.round(x, 1).cast("string")), " ").alias("scores"), "pred")
+
+
 @register("recode_texts")
 def recode_texts(spark, sf):
     """P4 with text keys: speaker names to numbers; other names have none."""
