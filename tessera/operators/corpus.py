@@ -2,14 +2,15 @@
 
 Operators: P2 blank-to-null + drop, P3 minimum sentence count, W7 keep-first
 dedup, A2/J5 sources over a threshold, W1 budget cut in curation order,
-W2/F9 explode and number, M12 the whole chain.
+W2/F9 explode and number, M12 the whole chain, F1 with abbreviations and
+sentence starters learned from the corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
@@ -130,3 +131,81 @@ def curated_sentences(articles: DataFrame, **kw) -> DataFrame:
                         F.posexplode(tx.split_sentences("text")).alias("pos", "sentence"))
             .select("paper_id", "domain", "date", F.col("sentence").alias("text"),
                     (F.col("first_sentence") + F.col("pos")).alias("sentence_id")))
+
+
+# ---------------------------------------------------------------- F1 learned from the corpus
+BLANKS = r"[ \t\n\r\f]+"
+WORD = "^[a-z.]*[a-z][a-z.]*$"
+EXPECTED = 0.99  # how often an abbreviation is followed by its period
+ABBREVIATION, STARTER = 0.3, 30.0  # least scores
+
+
+def abbreviations(df: DataFrame, text: str = "text", least: float = ABBREVIATION) -> DataFrame:
+    """``(word, n_period, n_plain, score)`` of the corpus's abbreviations, learned without labels.
+
+    Words are runs of non-blanks, lower-cased, without a closing period; of letters and
+    periods only. The score is the log-likelihood ratio of "followed by a period nearly always"
+    against "as any word is", times factors for the length (shorter is likelier), for periods inside,
+    and against occurrences without a period. Texts are reduced to counts of words in the first step."""
+    words = df.select(F.explode(F.split(F.lower(F.col(text)), BLANKS)).alias("w"))
+    typed = words.select(F.regexp_replace("w", "[.]$", "").alias("word"), F.col("w").endswith(".").cast("long").alias("p"))
+    counts = cut_lineage(typed.filter(F.col("word").rlike(WORD)).groupBy("word")
+                         .agg(F.sum("p").alias("n_period"), F.sum(1 - F.col("p")).alias("n_plain")))
+    share = counts.select(F.sum("n_period") / F.sum(F.col("n_period") + F.col("n_plain"))).scalar()
+    k, m = F.col("n_period"), F.col("n_plain")
+    usual = k * F.log(share) + m * F.log(1 - share)
+    close = k * F.log(F.lit(EXPECTED)) + m * F.log(F.lit(1 - EXPECTED))
+    size = F.length(F.regexp_replace("word", "[.]", ""))
+    inner = F.length("word") - size
+    score = 2 * (close - usual) * F.exp(-size) * (inner + 1) * F.pow(size.cast("double"), -m.cast("double"))
+    return (counts.filter("n_period > 0").withColumn("score", score).filter(F.col("score") >= least)
+            .select("word", "n_period", "n_plain", "score"))
+
+
+def _pieces(df: DataFrame, id_col: str, text: str) -> DataFrame:
+    """The rule's sentences with their first word and the word before their closing period, lower-cased."""
+    rows = df.select(id_col, F.posexplode(tx.split_sentences(F.col(text))).alias("at", "piece"))
+    first = F.lower(F.regexp_extract("piece", "^([a-zA-Z]+)", 1))
+    last = F.regexp_replace(F.lower(F.regexp_extract("piece", r"([^ \t\n\r\f]+)[.]$", 1)), "^[^a-z]+", "")
+    return rows.select(id_col, "at", "piece", first.alias("first"), last.alias("last"))
+
+
+def sentence_starters(df: DataFrame, known: DataFrame, text: str = "text", id_col: str = "paper_id",
+                      least: float = STARTER) -> DataFrame:
+    """``(word, n_start, n_all, score)``: words that begin sentences far more often than they
+    stand elsewhere, by the log-likelihood ratio of both shares. A text's first piece counts as a
+    sentence, and those after a piece that does not end in a ``known`` abbreviation."""
+    order = Window.partitionBy(id_col).orderBy("at")
+    after = _pieces(df, id_col, text).select("first", F.lag("last").over(order).alias("word"))
+    starts = (after.join(known.select("word"), "word", "left_anti").filter(F.col("first") != "")
+              .groupBy(F.col("first").alias("word")).agg(F.count(F.lit(1)).alias("n_start")))
+    words = df.select(F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z]+"), F.lit(0))).alias("word"))
+    both = cut_lineage(words.groupBy("word").agg(F.count(F.lit(1)).alias("n_all"))
+                       .join(starts, "word", "left").select("word", F.coalesce("n_start", F.lit(0)).alias("n_start"), "n_all"))
+    rest = F.greatest(F.col("n_all") - F.col("n_start"), F.lit(0))
+    k1, k2 = F.col("n_start"), rest
+    n1, n2 = both.select(F.sum("n_start")).scalar(), both.select(F.sum(rest)).scalar()
+
+    def fits(k: Column, n: Column, p: Column) -> Column:
+        return F.when(k > 0, k * F.log(p)).otherwise(0.0) + F.when(n > k, (n - k) * F.log(1 - p)).otherwise(0.0)
+
+    p1, p2, p = k1 / n1, k2 / n2, (k1 + k2) / (n1 + n2)
+    score = 2 * (fits(k1, n1, p1) + fits(k2, n2, p2) - fits(k1, n1, p) - fits(k2, n2, p))
+    return (both.filter(F.col("n_start") > 0).withColumn("score", score).filter((F.col("score") >= least) & (p1 > p2))
+            .select("word", "n_start", "n_all", "score"))
+
+
+def learned_sentences(df: DataFrame, known: DataFrame, starters: DataFrame, id_col: str = "paper_id",
+                      text: str = "text") -> DataFrame:
+    """F1 with what was learned: ``(id, sent_no, text)``. The rule's pieces; one that ends in a
+    known abbreviation goes on with the next, unless that begins with a sentence starter. Pieces are
+    joined by a blank. The fixed rule stays the default elsewhere."""
+    rows = _pieces(df, id_col, text)
+    rows = (rows.join(known.select(F.col("word").alias("last"), F.lit(True).alias("short")), "last", "left")
+            .join(starters.select(F.col("word").alias("first"), F.lit(True).alias("opens")), "first", "left"))
+    order = Window.partitionBy(id_col).orderBy("at")
+    goes_on = F.lag("short").over(order).isNotNull() & F.col("opens").isNull()
+    numbered = rows.withColumn("_new", F.when(goes_on, 0).otherwise(1)).withColumn("sent_no", F.sum("_new").over(order) - 1)
+    return (numbered.groupBy(id_col, "sent_no").agg(F.sort_array(F.collect_list(F.struct("at", "piece"))).alias("p"))
+            .select(id_col, F.col("sent_no").cast("long").alias("sent_no"),
+                    F.array_join(F.transform("p", lambda x: x["piece"]), " ").alias("text")))

@@ -161,14 +161,19 @@ def padded_batches(df: DataFrame, ids: str, order: Sequence[Column | str],
     the longest sequence of the batch. A batch has at most ``batch_size``
     rows, so the per-batch max is a bounded aggregate."""
     key = order[0] if len(order) == 1 and isinstance(order[0], str) else None
-    src = df.withColumn("_ids", tx.wrap_markers(ids, bos, eos))
-    wrapped = prefix.number_by_key(src, key, [], order, "_r") if key else prefix.row_number(src, order, "_r")
-    batched = wrapped.withColumn("batch_id", F.floor(F.col("_r") / batch_size).cast("long"))
-    width = batched.groupBy("batch_id").agg(F.max(F.size("_ids")).alias("_w"))
-    return (batched.join(width, "batch_id")
-            .withColumn("padded", F.concat("_ids", F.array_repeat(F.lit(pad), F.col("_w") - F.size("_ids"))))
-            .withColumnRenamed("_w", "width")
-            .drop("_ids", "_r"))
+    if key is None:
+        numbered = prefix.row_number(df, order, "_r")
+    else:  # ranks and widths from ids and lengths alone; the sequences join once, at the end
+        numbered = prefix.row_number(df.select(key, F.size(ids).alias("_len")), [key], "_r")
+    size = F.col("_len") if key else F.size(ids)
+    batched = numbered.withColumn("batch_id", F.floor(F.col("_r") / batch_size).cast("long"))
+    width = batched.groupBy("batch_id").agg((F.max(size) + 2).alias("width"))
+    placed = batched.join(width, "batch_id")
+    if key:
+        placed = df.join(placed.select(key, "batch_id", "width"), key)
+    wrapped = tx.wrap_markers(ids, bos, eos)
+    return (placed.withColumn("padded", F.concat(wrapped, F.array_repeat(F.lit(pad), F.col("width") - F.size(ids) - 2)))
+            .drop("_r"))
 
 
 def align_predictions(examples: DataFrame, preds: DataFrame, key: str) -> DataFrame:
@@ -217,4 +222,19 @@ def write_splits(df: DataFrame, path: str, cols: Sequence[str] = ("text", "score
     (``split=train|val|test``) written in one pass; M8 reads them back by
     partition (``split`` is a partition column, so a per-split read prunes)."""
     (df.select(*cols, split).write.mode(mode).partitionBy(split)
-     .option("header", True).option("quote", '"').option("escape", '"').csv(path))
+     .option("header", True).option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+
+
+def collect_chunks(df: DataFrame, key: Sequence[str], order: Sequence[Column | str], value: Column | str,
+                   size: int = 1024) -> DataFrame:
+    """A3: the values of every key in ``order``, as lists of at most ``size``: ``(key, chunk,
+    values)`` with chunks from 0. The chunks of a key, one after the other, are its whole
+    list; a key with a third of all rows is as many rows as others have between them. ``order``
+    must be total within a key (end with a unique column)."""
+    val = F.col(value) if isinstance(value, str) else value
+    ranked = prefix.rank_within(df.withColumn("_v", val), list(key), list(order), "_r")
+    chunk = F.floor(F.col("_r") / size).cast("long")
+    return (ranked.groupBy(*key, chunk.alias("chunk"))
+            .agg(F.sort_array(F.collect_list(F.struct("_r", "_v"))).alias("_s"))
+            .select(*key, "chunk", F.transform("_s", lambda x: x["_v"]).alias("values")))

@@ -50,7 +50,8 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", html: str = "html")
 
     Title: the article's ``<h1>``, else ``<title>``; image: the first
     ``<img src>``; paragraphs: the article body split at ``<p>``/``</p>``/
-    ``<br>``, tags stripped, entities decoded, empty pieces dropped."""
+    ``<br>``, tags stripped, entities decoded, empty pieces dropped. A page
+    without ``<article>`` gives its main text (see ``page_blocks``)."""
     body = F.regexp_extract(F.col(html), ARTICLE_RE, 1)
     h1 = F.nullif(clean_fragment(F.regexp_extract(body, H1_RE, 1)), F.lit(""))
     title = F.coalesce(h1, F.nullif(clean_fragment(F.regexp_extract(F.col(html), TITLE_RE, 1)), F.lit("")))
@@ -58,7 +59,59 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", html: str = "html")
     rest = F.regexp_replace(body, H1_RE, "")
     paras = F.filter(F.transform(F.split(rest, PARA_BREAK_RE), clean_fragment), lambda p: p != F.lit(""))
     return pages.select(F.col(id_col).alias("article_id"), title.alias("title"),
-                        image.alias("image_url"), paras.alias("paragraphs"))
+                        image.alias("image_url"),
+                        F.when(F.col(html).rlike(ARTICLE_RE), paras).otherwise(main_text(F.col(html))).alias("paragraphs"))
+
+
+# Elements whose text is never read, and elements that end a block.
+SKIP_RE = (r"(?is)<!--.*?-->|<(script|style|noscript|template|head|svg|select|textarea)([ \t\n\r\f][^>]*)?>.*?"
+           r"</(script|style|noscript|template|head|svg|select|textarea)[ \t\n\r\f]*>")
+BLOCK_RE = (r"(?i)</?(address|article|aside|blockquote|body|br|caption|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|"
+            r"header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul)([ \t\n\r\f][^>]*)?/?>")
+LINK_RE = r"(?is)<a([ \t\n\r\f][^>]*)?>"
+# marks put in place of tags; texts that hold them already lose them
+BLOCK_MARK, LINK_ON, LINK_OFF = "\u0003", "\u0001", "\u0002"
+MAX_LINK_SHARE = 0.33  # more of a block's characters in links: navigation
+MANY_WORDS, SOME_WORDS = 15, 4  # a block of text; a short one that stands beside such a block
+
+
+def page_blocks(html: Column) -> Column:
+    """The page's blocks in order, as ``(text, n_words, link_share, kept)``: the tag stream without
+    scripts, styles and comments, cut where an element begins or ends a block.
+
+    A block is kept if few of its characters stand in links and it has ``MANY_WORDS`` words, or
+    ``SOME_WORDS`` beside a block that is kept for its words: the density rules of boilerplate detection."""
+    plain = F.regexp_replace(F.coalesce(html, F.lit("")), "[\u0001-\u0003]", "")
+    marked = F.regexp_replace(F.regexp_replace(plain, SKIP_RE, " "), BLOCK_RE, BLOCK_MARK)
+    marked = F.regexp_replace(F.regexp_replace(marked, LINK_RE, LINK_ON), r"(?i)</a[ \t\n\r\f]*>", LINK_OFF)
+    pieces = F.split(F.regexp_replace(marked, TAG_RE, ""), BLOCK_MARK)
+
+    def solid(x: Column) -> Column:
+        return F.length(F.regexp_replace(x, r"[ \t\n\r\f\x0B\u0001\u0002]+", ""))
+
+    def block(x: Column) -> Column:
+        text = tx.strip_ws(tx.straighten_quotes(decode_entities(F.regexp_replace(x, "[\u0001\u0002]", ""))))
+        linked = solid(x) - solid(F.regexp_replace(x, "\u0001[^\u0002]*(\u0002|$)", ""))
+        return F.struct(text.alias("text"), F.size(F.regexp_extract_all(text, F.lit(r"[^ \t\n\r\f\x0B]+"), F.lit(0))).alias("n_words"),
+                        F.when(solid(x) > 0, linked / solid(x)).otherwise(0.0).alias("link_share"))
+
+    blocks = F.filter(F.transform(pieces, block), lambda b: b["text"] != "")
+
+    def full(b: Column) -> Column:
+        return F.coalesce((b["n_words"] >= MANY_WORDS) & (b["link_share"] <= MAX_LINK_SHARE), F.lit(False))
+
+    def judge(every: Column) -> Column:
+        return F.transform(every, lambda b, i: F.struct(
+            b["text"].alias("text"), b["n_words"].alias("n_words"), b["link_share"].alias("link_share"),
+            (full(b) | ((b["n_words"] >= SOME_WORDS) & (b["link_share"] <= MAX_LINK_SHARE)
+                        & (full(F.get(every, i - 1)) | full(F.get(every, i + 1))))).alias("kept")))
+
+    return F.transform(F.array(blocks), judge)[0]
+
+
+def main_text(html: Column) -> Column:
+    """S8 where a page names no article: the kept blocks as paragraphs."""
+    return F.transform(F.filter(page_blocks(html), lambda b: b["kept"]), lambda b: b["text"])
 
 
 def text_articles(df: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
+from tessera.plans.joins import join_checked
 from tessera.session import cut_lineage
 
 # Worker id given to the expert rater, F1 cut for workers,
@@ -180,25 +181,56 @@ def task_text(agg: DataFrame, results: DataFrame) -> DataFrame:
     return agg.join(results.select("task", "text").distinct(), "task", "left")
 
 
-def text_join(left: DataFrame, right: DataFrame, text: str = "text", how: str = "inner") -> DataFrame:
+HOT_ROWS = 100_000  # rows of one text that a task may have from each side
+
+
+def text_join(left: DataFrame, right: DataFrame, text: str = "text", how: str = "inner",
+              hot_rows: int | None = None) -> DataFrame:
     """Equi-join on a long text column with ``xxhash64(text)`` as the leading
     key: a sort-merge join then orders and compares 64-bit hashes, and the
     full strings only on hash ties; equality on the text itself keeps the
-    result exact."""
-    lh = left.withColumn("_th", F.xxhash64(text))
-    rh = right.withColumn("_th", F.xxhash64(text))
-    return lh.join(rh, ["_th", text], how).drop("_th")
+    result exact.
+
+    With ``hot_rows``, texts with more rows than that on a side are found by a partial aggregate
+    (both sides are read once more for it). Each
+    side of such a text is dealt into parts by a hash of the whole row, and sent to all parts of the
+    other side, so its pairs are a grid of cells, none with more rows of a side than others have.
+    In an outer join only the left side is dealt (a row must meet all its partners in one place).
+    Other texts are left as they are. Rows that are equal in all columns stay together."""
+    lh, rh = left.withColumn("_th", F.xxhash64(text)), right.withColumn("_th", F.xxhash64(text))
+    if hot_rows is None:
+        return lh.join(rh, ["_th", text], how).drop("_th")
+    count = F.count(F.lit(1))
+    sizes = (lh.groupBy("_th").agg(count.alias("l")).filter(F.col("l") > hot_rows)
+             .join(rh.groupBy("_th").agg(count.alias("r")).filter(F.col("r") > hot_rows), "_th", "full"))
+    one = F.lit(1).cast("long")
+    parts = sizes.select("_th", F.coalesce(F.ceil(F.col("l") / hot_rows), one).alias("_lp"),
+                         (F.coalesce(F.ceil(F.col("r") / hot_rows), one) if how == "inner" else one).alias("_rp"))
+    hot = cut_lineage(parts)
+    if hot.isEmpty():
+        return lh.join(rh, ["_th", text], how).drop("_th")
+
+    def dealt(df: DataFrame, own: str, other: str, mine: str, theirs: str) -> DataFrame:
+        """Own part by the row's hash, once for every part of the other side."""
+        cells = join_checked(df, hot, ["_th"], "left")
+        row = F.pmod(F.xxhash64(*df.columns), F.coalesce(own, one))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(F.col(other), one) - 1))
+        return cells.withColumn(mine, row).withColumn(theirs, every).drop("_lp", "_rp")
+
+    cells = dealt(lh, "_lp", "_rp", "_a", "_b").join(dealt(rh, "_rp", "_lp", "_b", "_a"), ["_th", text, "_a", "_b"], how)
+    return cells.drop("_th", "_a", "_b")
 
 
 def retrieve_ids(results: DataFrame, retrieval: DataFrame, how: str = "inner",
-                 text: str = "text", id_col: str = "sentence_id") -> DataFrame:
+                 text: str = "text", id_col: str = "sentence_id", hot_rows: int = HOT_ROWS) -> DataFrame:
     """Map result texts to ids via the pool's (pool_text -> id) table.
 
     Both sides drop carriage returns first; repeated texts fan out (many to
-    many, as in the reference); with ``how='inner'`` misses are dropped."""
-    left = results.withColumn(text, tx.drop_carriage_returns(text))
-    right = retrieval.select(tx.drop_carriage_returns("pool_text").alias(text), id_col)
-    return text_join(left, right, text, how)
+    many, as in the reference); with ``how='inner'`` misses are dropped.
+    Both sides are written first: hot texts are counted before the join."""
+    left = cut_lineage(results.withColumn(text, tx.drop_carriage_returns(text)))
+    right = cut_lineage(retrieval.select(tx.drop_carriage_returns("pool_text").alias(text), id_col))
+    return text_join(left, right, text, how, hot_rows)
 
 
 def attach_attributes(labels: DataFrame, sentences: DataFrame, key: str = "task") -> DataFrame:

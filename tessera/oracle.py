@@ -648,3 +648,84 @@ SQL["scored_page_sentences"] = with_views(f"""
          CASE WHEN length(text) <= 300 THEN CASE WHEN a >= b AND a >= c THEN 0 WHEN b >= c THEN 1 ELSE 2 END END::INTEGER AS pred
   FROM (SELECT *, {_LETTERS.format('[aeiou]')} AS a, {_LETTERS.format('[b-df-hj-np-tv-z]')} / 2 AS b,
                10 * {_LETTERS.format('[#*%&$]')} AS c FROM page_sents)""", "page_sents")
+
+SQL["csv_articles_in_splits"] = "SELECT doc_id, source, text FROM documents"
+SQL["stored_pages"] = with_views("SELECT article_id, html FROM page_html WHERE article_id % 2 = 0", "page_html")
+SQL["registered_corpora"] = f"SELECT * FROM ({SQL['multitask_corpus']}) WHERE split IN ('train', 'test')"
+SQL["vote_lists"] = with_views("""
+  SELECT worker, (r // 64)::BIGINT AS chunk, string_agg(label::VARCHAR, ' ' ORDER BY r) AS labels
+  FROM (SELECT worker, label, row_number() OVER (PARTITION BY worker ORDER BY event_id) - 1 AS r FROM votes)
+  GROUP BY worker, r // 64""", "votes")
+
+_SKIPPED = "script|style|noscript|template|head|svg|select|textarea"
+_BLOCKS = ("address|article|aside|blockquote|body|br|caption|dd|div|dl|dt|fieldset|figcaption|figure|footer|form|h[1-6]|"
+           "header|hr|html|li|main|nav|ol|p|pre|section|table|tbody|td|tfoot|th|thead|tr|ul")
+_GAP = r"[ \t\n\r\f]"
+
+
+def _solid_sql(x: str) -> str:
+    return rf"length(regexp_replace({x}, '[ \t\n\r\f\x0B\x01\x02]+', '', 'g'))"
+
+
+def _decoded_sql(x: str) -> str:
+    for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
+        x = f"replace({x}, '{a}', '{b}')"
+    return strip_sql(f"translate({x}, '‘’“”', '''''\"\"')")
+
+
+_UNLINKED = r"regexp_replace(x, '\x01[^\x02]*(\x02|$)', '', 'g')"
+SQL["page_blocks"] = rf"""
+  WITH marked AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+      coalesce(html, ''), '[\x01-\x03]', '', 'g'),
+      '(?is)<!--.*?-->|<({_SKIPPED})({_GAP}[^>]*)?>.*?</({_SKIPPED}){_GAP}*>', ' ', 'g'),
+      '(?i)</?({_BLOCKS})({_GAP}[^>]*)?/?>', chr(3), 'g'), '(?is)<a({_GAP}[^>]*)?>', chr(1), 'g'),
+      '(?i)</a{_GAP}*>', chr(2), 'g'), '<[^>]+>', '', 'g') AS m FROM pages),
+  cut AS (SELECT page_id, unnest(string_split(m, chr(3))) AS x, generate_subscripts(string_split(m, chr(3)), 1) AS i FROM marked),
+  texts AS (SELECT page_id, i, x, {_decoded_sql(r"regexp_replace(x, '[\x01\x02]', '', 'g')")} AS text FROM cut),
+  sized AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS block_no, text,
+                   len(regexp_extract_all(text, '[^ \t\n\r\f\x0B]+')) AS n_words,
+                   CASE WHEN {_solid_sql('x')} > 0 THEN ({_solid_sql('x')} - {_solid_sql(_UNLINKED)}) / {_solid_sql('x')} ELSE 0 END AS link_share
+            FROM texts WHERE text <> ''),
+  judged AS (SELECT *, n_words >= 15 AND link_share <= 0.33 AS big FROM sized)
+  SELECT page_id, block_no::INTEGER AS block_no, n_words::INTEGER AS n_words, round(link_share, 6) AS link_share, text,
+         big OR (n_words >= 4 AND link_share <= 0.33 AND (coalesce(lag(big) OVER w, false) OR coalesce(lead(big) OVER w, false))) AS kept
+  FROM judged WINDOW w AS (PARTITION BY page_id ORDER BY block_no)"""
+
+cte("short_words", ("articles",), rf"""
+  SELECT word, n_period, n_plain, score FROM (
+    SELECT *, 2 * (k * ln(0.99::DOUBLE) + m * ln(1 - 0.99::DOUBLE) - k * ln(share) - m * ln(1 - share)) * exp(-size)
+              * (length(word) - size + 1) * pow(size::DOUBLE, -m) AS score
+    FROM (SELECT word, n_period, n_plain, n_period::DOUBLE AS k, n_plain::DOUBLE AS m, length(replace(word, '.', '')) AS size,
+                 sum(n_period) OVER () / sum(n_period + n_plain) OVER () AS share
+          FROM (SELECT word, sum(p)::BIGINT AS n_period, sum(1 - p)::BIGINT AS n_plain FROM (
+                  SELECT regexp_replace(w, '[.]$', '') AS word, CASE WHEN w LIKE '%.' THEN 1 ELSE 0 END AS p FROM (
+                    SELECT unnest(string_split_regex(lower(text), '{_GAP}+')) AS w FROM articles))
+                WHERE regexp_matches(word, '^[a-z.]*[a-z][a-z.]*$') GROUP BY word))
+    WHERE n_period > 0) WHERE score >= 0.01""")
+cte("rule_pieces", ("articles",), rf"""
+  SELECT paper_id, nth, piece, lower(regexp_extract(piece, '^([a-zA-Z]+)', 1)) AS first,
+         regexp_replace(lower(regexp_extract(piece, '([^ \t\n\r\f]+)[.]$', 1)), '^[^a-z]+', '') AS last
+  FROM (SELECT paper_id, unnest(s) AS piece, generate_subscripts(s, 1) AS nth FROM (
+          SELECT paper_id, {split_sql('text')} AS s FROM articles))""")
+cte("openers", ("rule_pieces", "short_words"), """
+  SELECT word FROM (
+    SELECT *, k1 / n1 AS p1, k2 / n2 AS p2, (k1 + k2) / (n1 + n2) AS p FROM (
+      SELECT word, k1, k2, sum(k1) OVER () AS n1, sum(k2) OVER () AS n2 FROM (
+        SELECT word, coalesce(s.n, 0)::DOUBLE AS k1, greatest(a.n - coalesce(s.n, 0), 0)::DOUBLE AS k2 FROM (
+          SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM articles) GROUP BY word) a
+        LEFT JOIN (SELECT first AS word, count(*) AS n FROM (
+            SELECT first, lag(last) OVER (PARTITION BY paper_id ORDER BY nth) AS before FROM rule_pieces)
+          WHERE first <> '' AND (before IS NULL OR before NOT IN (SELECT word FROM short_words)) GROUP BY first) s USING (word))))
+  WHERE k1 > 0 AND p1 > p2 AND 2 * (
+      k1 * ln(p1) + CASE WHEN n1 > k1 THEN (n1 - k1) * ln(1 - p1) ELSE 0 END
+      + CASE WHEN k2 > 0 THEN k2 * ln(p2) ELSE 0 END + CASE WHEN n2 > k2 THEN (n2 - k2) * ln(1 - p2) ELSE 0 END
+      - (k1 * ln(p) + CASE WHEN n1 > k1 THEN (n1 - k1) * ln(1 - p) ELSE 0 END)
+      - (CASE WHEN k2 > 0 THEN k2 * ln(p) ELSE 0 END + CASE WHEN n2 > k2 THEN (n2 - k2) * ln(1 - p) ELSE 0 END)) >= 30""")
+SQL["abbreviations"] = with_views("SELECT word, n_period, n_plain, round(score, 6) AS score FROM short_words", "short_words")
+SQL["learned_sentences"] = with_views("""
+  SELECT paper_id, sent_no::BIGINT AS sent_no, string_agg(piece, ' ' ORDER BY nth) AS text FROM (
+    SELECT *, sum(fresh) OVER (PARTITION BY paper_id ORDER BY nth) - 1 AS sent_no FROM (
+      SELECT paper_id, nth, piece, CASE WHEN lag(w.word) OVER (PARTITION BY paper_id ORDER BY nth) IS NOT NULL AND o.word IS NULL
+                                       THEN 0 ELSE 1 END AS fresh
+      FROM rule_pieces p LEFT JOIN short_words w ON p.last = w.word LEFT JOIN openers o ON p.first = o.word))
+  GROUP BY paper_id, sent_no""", "rule_pieces", "short_words", "openers")

@@ -339,7 +339,8 @@ def vocabulary_ids(spark, sf):
 def encoded(spark, sf):
     """Every document's term ids (token-free documents have none)."""
     toks = tb.tokens(spark, sf)
-    return fe.encode(toks, fe.vocabulary(fe.term_counts(toks)))
+    # a boundary: batches need the lengths first and the ids at the end
+    return cut_lineage(fe.encode(toks, fe.vocabulary(fe.term_counts(toks))))
 
 
 @register("padded_batches")
@@ -741,3 +742,71 @@ def appended_votes(spark, sf):
     for part in (0, 1):
         files.append_rows(v.filter(F.col("sentence_id") % 2 == part), path)
     return files.read_store(spark, path)
+
+
+@register("csv_articles_in_splits")
+def csv_articles_in_splits(spark, sf):
+    """S9 + S1: few large headed CSV files with fields over several lines, each read by many
+    tasks. The files are written two at most, so that a split is a part of one."""
+    path = shared_folder(spark)
+    d = tb.table(spark, sf, "documents").select("doc_id", "source", "text")
+    (d.coalesce(2).write.option("header", True).option("quote", '"').option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return files.read_csv_splits(spark, path, "doc_id long, source string, text string", split_bytes=1 << 18)
+
+
+@register("stored_pages")
+def stored_pages(spark, sf):
+    """Highlighted pages packed into shards with an offset index; every second one read back by its id."""
+    path = shared_folder(spark)
+    files.write_documents(lb.render(page_articles(spark, sf), rule_spans(spark, sf)), path, shard_bytes=1 << 20)
+    ids = tb.table(spark, sf, "pages").filter(F.col("page_id") % 2 == 0).select(F.col("page_id").alias("id"))
+    return files.read_documents(spark, path, ids).select(F.col("id").alias("article_id"), F.col("text").alias("html"))
+
+
+@register("registered_corpora")
+def registered_corpora(spark, sf):
+    """S12 + M8: every task's corpus written as split folders, then read back as the
+    registry file (a copy in the shared folder) names them; train and test splits only."""
+    root = shared_folder(spark)
+    with open(os.path.join(os.path.dirname(__file__), "tasks.json"), encoding="utf-8") as f:
+        spark.createDataFrame([(f.read(),)], "value string").coalesce(1).write.text(f"{root}/registry")
+    for folder, corpus_of in CORPORA.items():
+        ds.write_splits(corpus_of(spark, sf), f"{root}/{folder}")
+    parts = files.registered_parts(spark, f"{root}/registry", root, ("train", "test"))
+    return ds.multitask_corpus(parts)
+
+
+@register("vote_lists")
+def vote_lists(spark, sf):
+    """A3: every worker's labels in the order of the votes, in lists of at most 64."""
+    chunks = ds.collect_chunks(tb.votes(spark, sf).select("worker", "event_id", "label"), ["worker"], ["event_id"], "label", 64)
+    return chunks.select("worker", "chunk", F.array_join(F.transform("values", lambda x: x.cast("string")), " ").alias("labels"))
+
+
+@register("page_blocks")
+def page_blocks(spark, sf):
+    """S8 without the article element: the blocks of every page, their densities, and which are its main text."""
+    p = tb.table(spark, sf, "pages")
+    return (p.select("page_id", F.posexplode(lb.page_blocks(F.col("html"))).alias("block_no", "b"))
+            .select("page_id", "block_no", F.col("b.n_words").alias("n_words"), _r("b.link_share", 6).alias("link_share"),
+                    F.col("b.kept").alias("kept"), F.col("b.text").alias("text")))
+
+
+def learned(spark, sf):
+    a = tb.articles(spark, sf).select("paper_id", "text")
+    known = cut_lineage(corpus.abbreviations(a, least=0.01))
+    return a, known, cut_lineage(corpus.sentence_starters(a, known))
+
+
+@register("abbreviations")
+def abbreviations(spark, sf):
+    """abbreviations learned from the corpus (a low bar, as invented prose has few)."""
+    return learned(spark, sf)[1].select("word", "n_period", "n_plain", _r("score", 6).alias("score"))
+
+
+@register("learned_sentences")
+def learned_sentences(spark, sf):
+    """sentences by the learned abbreviations and sentence starters."""
+    a, known, starters = learned(spark, sf)
+    return corpus.learned_sentences(a, known, starters)

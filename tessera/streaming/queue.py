@@ -43,6 +43,41 @@ def start_queue(spark: SparkSession, sentences: DataFrame, store_path: str, queu
     return writer.start()
 
 
+BLOCK = 4096  # sentence ids that share a key of the delta stream's state
+
+
+def start_deltas(spark: SparkSession, store_path: str, delta_path: str, checkpoint_location: str,
+                 available_now: bool = True):
+    """T1 as a stream of changes: the state holds the highest mark of every block of sentence ids,
+    and a micro-batch emits the blocks that new marks touched, nothing else: ``(block, mark)``
+    rows, at most as many as new marks, whatever the corpus's or the queue's size.
+
+    Marks are aggregated by block before the shuffle, so no block is a hot key. A batch overwrites its own
+    folder, so a retried one leaves the same rows; after a restart the state goes on from the checkpoint."""
+    marks = spark.readStream.schema(STORE_SCHEMA).parquet(store_path).filter(F.col("sentence_id").isNotNull())
+    blocks = marks.groupBy(F.floor(F.col("sentence_id") / BLOCK).cast("long").alias("block")).agg(F.max("sentence_id").alias("mark"))
+
+    def emit(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(os.path.join(delta_path, f"batch={batch_id}"))
+
+    writer = (blocks.writeStream.outputMode("update").foreachBatch(emit)
+              .option("checkpointLocation", checkpoint_location))
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="30 seconds")
+    return writer.start()
+
+
+def queue_of_deltas(spark: SparkSession, sentences: DataFrame, delta_path: str) -> DataFrame:
+    """The queue as the deltas so far leave it: sentences after the highest mark, with their context."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(delta_path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = [str(s.getPath().getParent()) for s in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "batch=*/_SUCCESS")) or []]
+    if not done:
+        return annotation_queue(sentences, None)
+    deltas = spark.read.schema("block long, mark long").parquet(*done)
+    return annotation_queue(sentences, deltas.select(F.col("mark").alias("sentence_id")))
+
+
 def latest_queue(spark: SparkSession, queue_path: str) -> DataFrame:
     """The queue of the newest batch. A folder counts once its ``_SUCCESS``
     file is there, so a reader never sees a half-written queue; older batches
