@@ -97,14 +97,13 @@ class Block:
 
     def spread(self, by_bucket: dict[int, list | np.ndarray], dtype=None):
         """Values listed by bucket, put in the order of the word indexes."""
+        order = np.argsort(self.bucket_of, kind="stable")
         if dtype is None:
             out = [None] * len(self.bucket_of)
-            for slot in sorted(by_bucket):
-                for i, v in zip(np.flatnonzero(self.bucket_of == slot).tolist(), by_bucket[slot]):
-                    out[i] = v
+            for i, v in zip(order.tolist(), (v for slot in sorted(by_bucket) for v in by_bucket[slot])):
+                out[i] = v
             return out
         out = np.zeros(len(self.bucket_of), dtype)
-        order = np.argsort(self.bucket_of, kind="stable")
         if len(order):
             out[order] = np.concatenate([by_bucket[s] for s in sorted(by_bucket)])
         return out
@@ -126,7 +125,7 @@ def _flush(number: int, ids: dict, codes: np.ndarray, sizes: list[int], trained:
     # distinct words only; their bytes decide the bucket
     raw = [words[i] if isinstance(words[i], bytes) else words[i].encode("utf-8", "surrogatepass")
            for i in order.tolist()]
-    bucket_of = np.fromiter((xxhash.xxh32_intdigest(w) % slots for w in raw), np.uint16, n)
+    bucket_of = np.fromiter((xxhash.xxh32_intdigest(w) % slots for w in raw), np.uint32, n)
     sink = pa.BufferOutputStream()
     table = pa.Table.from_batches(metas)
     with pa.ipc.new_stream(sink, table.schema) as out:
@@ -134,15 +133,13 @@ def _flush(number: int, ids: dict, codes: np.ndarray, sizes: list[int], trained:
     sequence = rank[codes] if n else np.zeros(0, np.uint32)
     yield (number, DOCS_SLOT, len(sizes), len(codes), _squeeze(
         sink.getvalue().to_pybytes(), pack_ints(np.array(sizes, np.uint32)), pack_ints(sequence),
-        bucket_of.astype("<u2").tobytes()))
+        pack_ints(bucket_of)))
     by_bucket = np.argsort(bucket_of, kind="stable")
-    cuts = np.searchsorted(bucket_of[by_bucket], np.arange(slots + 1))
+    present, cuts = np.unique(bucket_of[by_bucket], return_index=True)
     learned = learned[order]
-    for slot in range(slots):
-        at = by_bucket[cuts[slot]:cuts[slot + 1]]
-        if len(at):
-            yield (number, slot, 0, len(at), _squeeze(
-                *pack_ragged([raw[i] for i in at.tolist()]), pack_ints(learned[at])))
+    for slot, at in zip(present.tolist(), np.split(by_bucket, cuts[1:])):
+        yield (number, slot, 0, len(at), _squeeze(
+            *pack_ragged([raw[i] for i in at.tolist()]), pack_ints(learned[at])))
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
@@ -224,7 +221,7 @@ def unpack_block(rows: pa.Table) -> Block | None:
         return None
     docs, sizes, sequence, bucket_of = _expand(own)
     return Block(number, pa.ipc.open_stream(docs).read_all(), unpack_ints(sizes), unpack_ints(sequence),
-                 np.frombuffer(bucket_of, "<u2"), buckets)
+                 unpack_ints(bucket_of), buckets)
 
 
 def answer(table: DataFrame, reply: Callable[[list[bytes], np.ndarray], list[bytes]]) -> DataFrame:

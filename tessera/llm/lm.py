@@ -16,13 +16,17 @@ Shape of the work: documents are packed into blocks (see ``blocks``); distinct
 words of each block are summed by bucket and the sums go back to the blocks.
 Pairs are 64-bit hashes (a pair that fills the corpus is one entry per block)
 shuffled to shards of the filter by their top bits; each shard is built in one
-task. The filter is cut into parts of at most ``part_bytes``; a part is what is
-broadcast at once, whatever the corpus, and every part scores the pairs that
-belong to it, so partial scores add up. No pair is left out at any size.
-
-Null text is an empty text: one token, the end. Rows with null ids count as
-documents with an empty id text. Repeated rows are scored, and learned from,
-row by row. An empty training set gives p(w) = 1 for every token.
+task. The filter is cut into parts, equal ranges of hashes of at most ``part_bytes`` (or
+one shard) each; their sizes are an aggregate over the shards. One part after the other is
+broadcast, scores the pairs that belong to it into a written table, and is destroyed before
+the next one is fetched, so the driver and the workers hold one part at a time, whatever the
+corpus. Partial scores add up; no pair is left out at any size.
+
+Null and empty texts are one token, the end; very long texts and words are scored
+whole. Rows with null ids count as documents with an empty id text. Repeated rows are
+scored, and learned from, row by row. An empty training set gives p(w) = 1 for every
+token, an empty table an empty result. Columns of ``keep`` may have any name but the
+result's; others are left out.
 """
 
 from __future__ import annotations
@@ -177,25 +181,25 @@ def _merge(payloads: Iterator[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndar
 
 
 def filter_shards(counted: DataFrame) -> DataFrame:
-    """``(shard, distinct, data)``: the filter of each shard."""
+    """``(shard, distinct, size, data)``: the filter of each shard."""
 
     def group(rows: pa.Table) -> pa.Table:
         pairs, counts = _merge(zip(rows.column("pairs").to_pylist(), rows.column("counts").to_pylist()))
+        data = build_shard(pairs, counts).tobytes()
         return pa.table({"shard": rows.column("shard").slice(0, 1), "distinct": pa.array([len(pairs)], pa.int64()),
-                         "data": pa.array([build_shard(pairs, counts).tobytes()], pa.binary())})
+                         "size": pa.array([len(data)], pa.int64()), "data": pa.array([data], pa.binary())})
 
-    return counted.groupBy("shard").applyInArrow(group, "shard long, distinct long, data binary")
+    return counted.groupBy("shard").applyInArrow(group, "shard long, distinct long, size long, data binary")
 
 
-def _parts(sizes: list[tuple[int, int]], part_bytes: int, shards: int) -> list[tuple[int, int]]:
-    """Ranges that cover all shards, each of at most ``part_bytes`` (or one shard)."""
-    out, first, total = [], 0, 0
-    for shard, size in sizes:
-        if total and total + size > part_bytes:
-            out.append((first, shard))
-            first, total = shard, 0
-        total += size
-    return [*out, (first, shards)]
+def _part_bits(shards: DataFrame, part_bytes: int, shard_bits: int) -> int:
+    """Bits of the hash that number the parts: the fewest with which every part has at most
+    ``part_bytes``, or a part for every shard."""
+    for bits in range(shard_bits):
+        part = F.shiftright("shard", shard_bits - bits)
+        if int(shards.groupBy(part).agg(F.sum("size").alias("n")).agg(F.max("n")).first()[0] or 0) <= part_bytes:
+            return bits
+    return shard_bits
 
 
 def score(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), train: str = "train",
@@ -204,9 +208,12 @@ def score(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
     """``keep`` columns, n_tokens, n_known, train_tokens, base_score and score of every row;
     the model learns from the rows whose boolean column ``train`` is true."""
     spark = df.sparkSession
-    numbered = df.select(*keep, F.col(text).alias("_t"), F.coalesce(F.col(train), F.lit(False)).alias("_train"))
+    # working columns have names of their own, whatever ``keep`` holds
+    kept = [f"k{i}" for i in range(len(keep))]
+    numbered = df.select(*[F.col(c).alias(k) for c, k in zip(keep, kept)], F.col(text).alias("_t"),
+                         F.coalesce(F.col(train), F.lit(False)).alias("_train"))
     slots = slots or max(16, 2 * shuffle_partitions(spark))
-    table = blocks.pack(numbered, "_t", [*keep, "_train"], split, slots, train="_train", block_bytes=block_bytes)
+    table = blocks.pack(numbered, "_t", [*kept, "_train"], split, slots, train="_train", block_bytes=block_bytes)
 
     def reply(_words: list[bytes], counts: np.ndarray) -> list[bytes]:
         raw = counts.astype("<i8").tobytes()
@@ -219,33 +226,38 @@ def score(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
     if shard_bits is None:
         shard_bits = (n_train // SHARD_ITEMS).bit_length()
     shards = boundary(filter_shards(pair_counts(table, "_train", shard_bits)))
-    known = {r["shard"]: r["size"] for r in
-             shards.select("shard", F.octet_length("data").alias("size")).collect()}
-    schema = T.StructType([T.StructField("_place", T.LongType()), *[numbered.schema[c] for c in keep],
-                           T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
-                           T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()),
-                           T.StructField("_part", T.DoubleType())])
-    ranges = _parts(sorted(known.items()), part_bytes, 1 << shard_bits)
-    total = None
-    for first, last in ranges:
-        held = spark.sparkContext.broadcast((shard_bits, first, *_gather(shards, known, first, last)))
-        part = blocks.reunite(table, replies, _scorer(held, [*keep], n_train, n_docs, v), schema)
-        total = part if total is None else total.unionByName(part)
-    if len(ranges) == 1:
-        return total.drop("_place").withColumnRenamed("_part", "score")
-    firsts = ["n_tokens", "n_known", "train_tokens", "base_score"]
-    return (total.groupBy("_place").agg(*[F.first(c).alias(c) for c in (*keep, *firsts)],
-                                        F.sum("_part").alias("score")).drop("_place"))
-
-
-def _gather(shards: DataFrame, known: dict[int, int], first: int, last: int) -> tuple[list[int], bytearray]:
-    """Sizes and bytes of the shards ``first .. last - 1``, fetched one Spark
-    partition at a time into one buffer of at most a part's size."""
-    sizes = [known.get(s, 0) for s in range(first, last)]
+    figures = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
+               T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType())]
+    place, part_score = T.StructField("_place", T.LongType()), T.StructField("_part", T.DoubleType())
+    bits = _part_bits(shards, part_bytes, shard_bits)
+    wide, narrow, width = None, [], 1 << shard_bits - bits
+    for first in range(0, 1 << shard_bits, width):
+        held = spark.sparkContext.broadcast((shard_bits, first, *_gather(shards, first, width)))
+        # the first part's table has the documents' columns, the others only scores
+        own = kept if wide is None else []
+        fields = [place, *[numbered.schema[c] for c in own], *(figures if wide is None else []), part_score]
+        part = boundary(blocks.reunite(table, replies, _scorer(held, own, wide is None, n_train, n_docs, v), T.StructType(fields)))
+        held.destroy()
+        wide, narrow = (part, narrow) if wide is None else (wide, [*narrow, part])
+    if narrow:
+        more = narrow[0]
+        for part in narrow[1:]:
+            more = more.unionByName(part)
+        more = more.groupBy("_place").agg(F.sum("_part").alias("_more"))
+        wide = wide.join(more, "_place").withColumn("_part", F.col("_part") + F.col("_more"))
+    return wide.select(*[F.col(k).alias(c) for c, k in zip(keep, kept)], *[f.name for f in figures], F.col("_part").alias("score"))
+
+
+def _gather(shards: DataFrame, first: int, width: int) -> tuple[list[int], bytearray]:
+    """Sizes and bytes of ``width`` shards from ``first`` on, fetched one Spark partition
+    at a time into one buffer of a part's size."""
+    own = shards.filter(F.col("shard").between(first, first + width - 1))
+    sizes = [0] * width
+    for r in own.select("shard", "size").toLocalIterator():
+        sizes[r["shard"] - first] = r["size"]
     ends = np.cumsum(sizes, dtype=np.int64)
     data = bytearray(int(ends[-1]))
-    rows = shards.filter(F.col("shard").between(first, last - 1)).select("shard", "data")
-    for r in rows.toLocalIterator():
+    for r in own.select("shard", "data").toLocalIterator():
         end = int(ends[r["shard"] - first])
         data[end - len(r["data"]):end] = r["data"]
     return sizes, data
@@ -267,7 +279,7 @@ def train_totals(table: DataFrame, train: str) -> DataFrame:
                                                                F.sum("tokens").alias("tokens"))
 
 
-def _scorer(held, keep: list[str], n_train: int, n_docs: int, v: int):
+def _scorer(held, keep: list[str], figures: bool, n_train: int, n_docs: int, v: int):
     """Scores of one filter part. A pair outside it scores nothing here."""
 
     def finish(block: blocks.Block, replies: dict) -> pa.Table:
@@ -293,10 +305,11 @@ def _scorer(held, keep: list[str], n_train: int, n_docs: int, v: int):
         out = {"_place": pa.array((np.int64(block.number) << 24) + np.arange(len(starts)), pa.int64())}
         for k in keep:
             out[k] = block.docs.column(k)
-        out["n_tokens"] = pa.array(block.sizes.astype(np.int64))
-        out["n_known"] = pa.array(per_doc((c > 0).astype(np.int64)).astype(np.int64))
-        out["train_tokens"] = pa.array(np.full(len(starts), n_train, np.int64))
-        out["base_score"] = pa.array(per_doc(np.log10(p)).astype(np.float64))
+        if figures:
+            out["n_tokens"] = pa.array(block.sizes.astype(np.int64))
+            out["n_known"] = pa.array(per_doc((c > 0).astype(np.int64)).astype(np.int64))
+            out["train_tokens"] = pa.array(np.full(len(starts), n_train, np.int64))
+            out["base_score"] = pa.array(per_doc(np.log10(p)).astype(np.float64))
         out["_part"] = pa.array(per_doc(logp).astype(np.float64))
         return pa.table(out)
 

@@ -249,6 +249,28 @@ def test_lm_against_exact_counts(spark, texts):
     assert parts == pytest.approx(whole)
 
 
+def test_lm_names_and_part_sizes(spark, odd):
+    """Columns named like working ones stay; parts are the fewest equal ranges that fit."""
+    clash = ["_t", "_train", "_place", "_part", "k0", "block", "slot"]
+    df = odd.select(F.col("n").alias("doc_id"), "text", *[F.lit(c).alias(c) for c in clash]).withColumn("train", F.lit(True))
+    got = lm.score(df, keep=("doc_id", *clash), shard_bits=3, part_bytes=200).collect()
+    assert len(got) == len(ODD) and all(r[c] == c for r in got for c in clash)
+    plain = {r["doc_id"]: r["score"] for r in lm.score(df).collect()}
+    assert {r["doc_id"]: r["score"] for r in got} == pytest.approx(plain, abs=1.0)
+    shards = spark.createDataFrame([(i, 10) for i in range(8)], "shard long, size long")
+    assert [lm._part_bits(shards, n, 3) for n in (80, 79, 40, 39, 20, 10, 1)] == [0, 1, 1, 2, 2, 3, 3]
+
+
+def test_many_buckets(spark, texts):
+    """More buckets than 16 bits number."""
+    docs = read_table(spark, SF, "documents").limit(60)
+    library = brute.library_encoder()
+    got = bpe.round_trip(docs, slots=70_001).collect()
+    assert len(got) == 60
+    for r in got:
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == brute.digests(library, texts[r["doc_id"]])
+
+
 def test_lm_odd_rows(spark, odd):
     df = spark.createDataFrame([(1, None, True), (None, "A b", False), (2, "", None), (2, "a b a b" * 500, True)],
                                "doc_id long, text string, train boolean")
