@@ -12,19 +12,25 @@ the product of the targets' sizes, whatever the data, which bounds what the
 driver rakes and what every task holds.
 
 The cells are one partial aggregate over a scan (a hot source is one row per
-cell and task) and the draw is a projection: no row is shuffled.
+cell and task) and the draw is a join with the broadcast cells: no row is shuffled. Margins
+that no weights can meet leave a gap, which is warned of; the cells then are as the last round left them.
 
 ``p = min(1, rate * factor)`` where ``factor`` is target over corpus tokens of
 the cell and ``rate`` makes the expected tokens ``fraction`` of the corpus. Cells
 that would need more than they have are kept whole; ``weight = rate * factor / p``
 is the weight a kept document needs for the marginals to hold (1 elsewhere).
 
-Null text has no tokens. Rows with a null id are drawn by their text, rows that
-share an id are kept or left together. An empty table gives an empty result.
+Null and empty texts have no tokens and are never kept; very long ones count whole. Rows
+with a null id are drawn by their text, rows that share an id are kept or left together. An
+empty table gives an empty result. Columns named ``_tokens``, ``_weight``, ``_prob`` and
+``_sampled`` are replaced; a column ``topic`` is taken as the topic; all others are untouched.
 """
 
 from __future__ import annotations
 
+import functools
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +38,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import free_names
 
 REST = "*"
-ROUNDS = 60
 TOLERANCE = 1e-12
+PATIENCE = 50  # rounds without a smaller gap after which the margins are taken to conflict
+BROADCAST_CELLS = 200_000  # some 50 bytes each
+SQL_ROUNDS = 60  # unrolled in the SQL twin, enough for the registered targets
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -61,11 +69,13 @@ def shares(targets: dict[str, float], present: dict[str, float]) -> dict[str, fl
     return {REST: rest, **{k: v / whole * (1 - rest) for k, v in named.items()}}
 
 
-def rake(cells: list[tuple], targets: list[dict[str, float]]) -> np.ndarray:
-    """Token share of every cell ``(key, ..., tokens)`` after raking."""
+def rake(cells: list[tuple], targets: list[dict[str, float]]) -> tuple[np.ndarray, float]:
+    """Token share of every cell ``(key, ..., tokens)`` after raking, and the largest gap left
+    to a margin. Rounds go on until that is ``TOLERANCE``, or has not fallen for ``PATIENCE``
+    rounds: then no weights of these cells meet all margins."""
     n = np.array([c[-1] for c in cells], np.float64)
     if not n.sum():
-        return np.zeros(len(cells))
+        return np.zeros(len(cells)), 0.0
     w = n / n.sum()
     margins = []
     for d, wanted in enumerate(targets):
@@ -75,15 +85,17 @@ def rake(cells: list[tuple], targets: list[dict[str, float]]) -> np.ndarray:
         sums = np.bincount(at, n)
         goal = shares(wanted, {k: sums[i] for k, i in place.items()})
         margins.append((at, np.array([goal.get(k, 0.0) for k in sorted(place)])))
-    for _ in range(ROUNDS):
+    least, stale = np.inf, 0
+    while True:
         gap = 0.0
         for at, goal in margins:
             now = np.bincount(at, w, minlength=len(goal))
             gap = max(gap, float(np.abs(now - goal).max()))
             w = w * np.divide(goal, now, out=np.zeros_like(goal), where=now > 0)[at]
-        if gap < TOLERANCE:
-            break
-    return w
+        stale = 0 if gap < least * (1 - 1e-6) else stale + 1
+        least = min(least, gap)
+        if gap < TOLERANCE or stale >= PATIENCE:
+            return w, gap
 
 
 def probabilities(n: np.ndarray, w: np.ndarray, fraction: float) -> tuple[np.ndarray, np.ndarray]:
@@ -127,17 +139,20 @@ def mix(df: DataFrame, targets: dict[str, dict[str, float]], fraction: float, id
         keyed = keyed.withColumn(k, _key(F.col(d), targets[d]))
     cells = [tuple(r) for r in keyed.groupBy(*keys).agg(F.sum("_tokens").alias("n")).orderBy(*keys).collect()]
     n = np.array([c[-1] for c in cells], np.float64)
-    p, weight = probabilities(n, rake(cells, list(targets.values())), fraction)
-    # one small map per cell value: the literals are bounded like the cells
-    name = F.concat_ws("\x1f", *keys)
-    if cells:
-        table = {"\x1f".join(c[:-1]): (float(a), float(b)) for c, a, b in zip(cells, p, weight)}
-        lookup = F.create_map(*[x for k, (a, b) in table.items()
-                                for x in (F.lit(k), F.struct(F.lit(a).alias("p"), F.lit(b).alias("w")))])
-        keyed = keyed.withColumn(cell, lookup[name])
-    else:
-        keyed = keyed.withColumn(cell, F.struct(F.lit(0.0).alias("p"), F.lit(1.0).alias("w")))
-    out = keyed.withColumn("_prob", F.col(cell)["p"]).withColumn("_weight", F.col(cell)["w"])
+    w, gap = rake(cells, list(targets.values()))
+    if gap > 1e-6:
+        warnings.warn(f"the targets conflict: a margin is missed by {gap:.3g} of the tokens", stacklevel=2)
+    p, weight = probabilities(n, w, fraction)
+    named = free_names(keyed, *[f"_c{i}" for i in range(len(keys))])
+    table = df.sparkSession.createDataFrame(
+        [(*c[:-1], (float(a), float(b))) for c, a, b in zip(cells, p, weight)],
+        ", ".join(f"`{c}` string" for c in named) + f", `{cell}` struct<p: double, w: double>")
+    # one row per cell; the cells are at most the product of the targets' sizes
+    small = F.broadcast(table) if len(cells) <= BROADCAST_CELLS else table
+    same = functools.reduce(lambda x, y: x & y, [keyed[k] == small[c] for k, c in zip(keys, named)])
+    keyed = keyed.join(small, same, "left").drop(*named)
+    out = (keyed.withColumn("_prob", F.coalesce(F.col(cell)["p"], F.lit(0.0)))
+           .withColumn("_weight", F.coalesce(F.col(cell)["w"], F.lit(1.0))))
     drawn = uniform(F.col(id_col), F.col(text), seed) < F.col("_prob")
     return out.withColumn("_sampled", drawn).drop(cell, *keys)
 
@@ -174,7 +189,7 @@ goal_{d} AS (SELECT k_{d}, CASE WHEN k_{d} = '{REST}' THEN share
              LEFT JOIN (VALUES {rows}) AS t(k_{d}, v) USING (k_{d}))"""
 
     steps, last = [], "start"
-    for i in range(ROUNDS):
+    for i in range(SQL_ROUNDS):
         for d in dims:
             steps.append(f"w{i}_{d} AS MATERIALIZED (SELECT {', '.join(f'k_{x}, goal_{x}' for x in dims)}, n, "
                          f"w * goal_{d} / sum(w) OVER (PARTITION BY k_{d}) AS w FROM {last})")

@@ -13,13 +13,18 @@ block itself) a vector is dropped when
 What is left is scored exactly in integers. Bounds are widened by the rotation's
 rounding error, so no vector with a score of ``t`` or more is lost.
 
-Queries travel in blocks to every vector block (a stated query set against all
-rows); a block pair returns at most k rows per query.
+Queries travel in blocks (a stated query set against all rows), and only to vector blocks
+that can hold a result: the first threshold of a query over its own length is the least
+length a vector needs, and the least of these over a block of queries is where the descending
+vector blocks end for it. Which those are is a running count over block summaries, before any
+payload moves. A block pair returns at most k rows per query row, merged in two steps.
 
 Rows without an id, with a null vector, or with a null or non-finite component
 take no part. Shorter vectors count as filled up with zeros. Repeated rows
 (same id and vector) count once; rows that share an id but not the vector stay
-apart as candidates and never answer a query of their own id.
+apart, as candidates and as queries with results of their own, and never answer a query of
+their own id. Empty tables, and those without a usable vector, give an empty result. Only the
+id and the vector are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -32,6 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import boundary
+from tessera.plans import prefix
 
 SCALE = 256
 SEEDS = 2048  # longest vectors that give every query its first threshold
@@ -186,8 +192,10 @@ def search(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, t.schema) as out:
                 out.write_table(t)
-            return pa.RecordBatch.from_arrays([pa.array([(part << 32) | serial], pa.int64()),
-                                               pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["b", "data"])
+            longest = int(t.column("len")[0].as_py())
+            return pa.RecordBatch.from_arrays(
+                [pa.array([(part << 32) | serial], pa.int64()), pa.array([np.sqrt(float(longest))]),
+                 pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["b", "longest", "data"])
 
         for batch in batches:
             for a in range(0, batch.num_rows, block):
@@ -200,10 +208,12 @@ def search(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k:
             yield emit()
 
     ordered = rows.repartitionByRange(parts, F.desc("len"), "id").sortWithinPartitions(F.desc("len"), "id")
-    vectors = boundary(ordered.select("id", "v").mapInArrow(pack, "b long, data binary"))
+    vectors = boundary(ordered.select("id", "v", "len").mapInArrow(pack, "b long, longest double, data binary"))
     asked = rows.filter(F.col("id") % every == 0)
     n_asked = asked.count()
-    queries = asked.repartition(-(-max(1, n_asked) // query_block), "id").select("id", "v")
+    # by length: queries that need long vectors share blocks, so these reach less of the vectors
+    queries = (asked.repartitionByRange(-(-max(1, n_asked) // query_block), F.desc("len"), "id")
+               .select("id", "v", F.xxhash64("v").alias("h")))
     longest = rows.orderBy(F.desc("len"), "id").limit(seeds).select("id", "v")
     held_seeds = df.sparkSession.sparkContext.broadcast(_pack(longest.toArrow(), dim))  # ``seeds`` rows at most
 
@@ -219,12 +229,11 @@ def search(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k:
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, t.schema) as out:
                     out.write_table(t)
-                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["queries"])
+                yield pa.RecordBatch.from_arrays([pa.array([_least_length(q, best[:, -1])]),
+                                                  pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["least", "queries"])
 
-    query_blocks = boundary(queries.mapInArrow(start, "queries binary"))
-    # every query block goes to every vector block: one row per pair of blocks
-    numbers = vectors.select(F.collect_list("b")).scalar()
-    pairs = query_blocks.withColumn("_bs", numbers).select("queries", F.explode("_bs").alias("b"))
+    query_blocks = boundary(queries.mapInArrow(start, "least double, queries binary"))
+    pairs = block_pairs(vectors.select("b", "longest"), query_blocks.withColumn("_q", F.monotonically_increasing_id()))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         searcher, last, unpacked = _Searcher(turn, k), None, None
@@ -238,24 +247,49 @@ def search(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", k:
                 qid, q = _pack(t, dim)
                 best, at = searcher.search(qid, q, np.asarray(t.column("first")), vid, v)
                 row, place = np.nonzero(at >= 0)
+                own = np.asarray(t.column("h"))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(qid[row]), pa.array(vid[at[row, place]]),
-                     pa.array(best[row, place].astype(np.int64))], ["query_id", "vec_id", "score"])
+                    [pa.array(qid[row]), pa.array(own[row]), pa.array(vid[at[row, place]]),
+                     pa.array(best[row, place].astype(np.int64))], ["query_id", "h", "vec_id", "score"])
 
     found = (pairs.join(vectors, "b").select("b", "data", "queries")
-             .mapInArrow(compare, "query_id long, vec_id long, score long"))
-    # a query gets at most k rows from each vector block
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+             .mapInArrow(compare, "query_id long, h long, vec_id long, score long"))
+    # a query row gets at most k rows from each vector block; the first step leaves k of each part of these
+    some = Window.partitionBy("query_id", "h", F.pmod(F.xxhash64("vec_id"), F.lit(16))).orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id", "h").orderBy(F.desc("score"), "vec_id")
+    return (found.withColumn("rank", F.row_number().over(some)).filter(F.col("rank") <= k)
+            .withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
 
 
+def _least_length(q: np.ndarray, first: np.ndarray) -> float:
+    """The length below which no vector can reach the first threshold of any query of a block."""
+    size = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
+    need = np.divide(first, size, out=np.full(len(first), np.inf), where=size > 0)
+    # a query of length 0 has only scores of 0; widened by what the division rounds
+    need = np.where(size > 0, need, np.where(first > 0, np.inf, -np.inf))
+    return float(need.min(initial=np.inf)) * (1 - 1e-9) - 1e-9 if len(need) else np.inf
+
+
+def block_pairs(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """``(b, queries)`` of the block pairs to compare: to every row of ``queries`` (_q, least, queries)
+    the vector blocks (b, longest) with a longest vector of ``least`` or more. A running count of
+    blocks in the order of both lengths gives each query block its number of them."""
+    both = (vectors.select(F.col("longest").alias("size"), F.lit(0).alias("kind"), F.col("b").alias("key"))
+            .unionByName(queries.select(F.col("least").alias("size"), F.lit(1).alias("kind"), F.col("_q").alias("key"))))
+    counted = prefix.running_total(both, [F.desc("size"), "kind", "key"], F.when(F.col("kind") == 0, 1).otherwise(0), "upto")
+    blocks = counted.filter("kind = 0").select(F.col("key").alias("b"), F.col("upto").alias("at"))
+    reach = counted.filter((F.col("kind") == 1) & (F.col("upto") > 0)).select(
+        F.col("key").alias("_q"), F.explode(F.sequence(F.lit(1).cast("long"), "upto")).alias("at"))
+    return reach.join(blocks, "at").join(queries.select("_q", "queries"), "_q").select("b", "queries")
+
+
 SQL = f"""
-WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v
+WITH v AS (SELECT *, row_number() OVER () AS rid FROM (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v
            FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])), 0)::BIGINT AS score
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)),
+s AS (SELECT q.vec_id AS query_id, q.rid, c.vec_id, coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])), 0)::BIGINT AS score
       FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+r AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """

@@ -299,6 +299,42 @@ def test_top_k(spark):
     assert topk.search(df.filter("vec_id = 3")).collect() == []
 
 
+def test_top_k_query_rows_of_one_id(spark):
+    """Two query rows share an id: each has its own best rows."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0])] + [(i, [float(i % 7), float(i % 5)]) for i in range(1, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for sizes in ({}, {"block": 5, "query_block": 1, "seeds": 3}):
+        got = sorted(tuple(r) for r in topk.search(df, **sizes).collect())
+        want = []
+        for axis in (0, 1):
+            best = sorted(((-256 * int(v[axis]) * 256, i) for i, v in rows if i))[:5]
+            want += [(0, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+        assert got == sorted(want)
+
+
+def test_top_k_pairs_only_blocks_that_can_matter(spark):
+    """Few long vectors, many short ones: most vector blocks meet no query block."""
+    rng = np.random.default_rng(6)
+    size = np.where(np.arange(4000) < 200, 50.0, 1.0)
+    x = np.abs(rng.normal(size=(4000, 8))) * size[:, None]
+    rows = [(int(i), [float(y) for y in v]) for i, v in zip(rng.permutation(4000), x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    seen, plain = [], topk.block_pairs
+
+    def counted(vectors, queries):
+        out = plain(vectors, queries)
+        seen.append((out.count(), vectors.count() * queries.count()))
+        return out
+
+    topk.block_pairs = counted
+    try:
+        got = {tuple(r) for r in topk.search(df, block=100, query_block=16, seeds=300).collect()}
+    finally:
+        topk.block_pairs = plain
+    assert got == brute.top_k(dict(rows))
+    assert seen[0][0] < 0.2 * seen[0][1]
+
+
 # ---------------------------------------------------------------- 2
 def test_warc_round_trip(spark):
     big = "x\r\n\r\nWARC/1.1" * 300
@@ -432,10 +468,28 @@ def test_mixing_odd_rows(spark, odd):
     assert mixing.mixed_documents(df.limit(0)).collect() == []
 
 
+def test_rake_goes_on_until_it_converges_or_cannot():
+    """Cells that tie the margins loosely need hundreds of rounds; margins that conflict end with their gap."""
+    slow = [("x", "p", 1e6), ("x", "q", 1.0), ("y", "p", 1.0), ("y", "q", 1e6)]
+    w, gap = mixing.rake(slow, [{"x": 0.9, "y": 0.1}, {"p": 0.1, "q": 0.9}])
+    assert gap < mixing.TOLERANCE and w[0] + w[1] == pytest.approx(0.9) and w[0] + w[2] == pytest.approx(0.1)
+    w, gap = mixing.rake([("x", "p", 5.0), ("y", "q", 5.0)], [{"x": 0.9, "y": 0.1}, {"p": 0.5, "q": 0.5}])
+    assert gap == pytest.approx(0.4)
+
+
+def test_mixing_warns_of_conflicts_and_keeps_names(spark):
+    rows = [(i, "a b c", "x" if i % 2 else "y", "p" if i % 2 else "q", "kept", "kept") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, _c0 string, _cell string")
+    with pytest.warns(UserWarning, match="targets conflict"):
+        out = mixing.mix(df, {"source": {"x": 0.9, "y": 0.1}, "lang": {"p": 0.5, "q": 0.5}}, 0.5).collect()
+    assert len(out) == 200 and all(r["_c0"] == r["_cell"] == "kept" for r in out)
+
+
 def test_rake_reaches_every_margin():
     rng = np.random.default_rng(1)
     cells = [(a, b, float(n)) for a in "xyz" for b in "pq" for n in [rng.integers(1, 100)]]
-    w = mixing.rake(cells, [{"x": 0.5, "y": 0.3, "z": 0.2}, {"p": 0.9, "q": 0.1}])
+    w, gap = mixing.rake(cells, [{"x": 0.5, "y": 0.3, "z": 0.2}, {"p": 0.9, "q": 0.1}])
+    assert gap < mixing.TOLERANCE
     for d, goal in enumerate(({"x": 0.5, "y": 0.3, "z": 0.2}, {"p": 0.9, "q": 0.1})):
         for k, v in goal.items():
             assert sum(x for c, x in zip(cells, w) if c[d] == k) == pytest.approx(v)
