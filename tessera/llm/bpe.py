@@ -10,8 +10,9 @@
 Decoding looks every id up in the token-byte table (a fixed vocabulary of
 some 50,000 rows, broadcast) and joins the bytes.
 
-Null text is an empty text (no ids, digest of the empty string). Repeated rows
-and null ids stay row by row. Columns other than ``keep`` are left out.
+Null and empty texts have no ids and the digest of the empty string; very long ones are
+encoded whole. Repeated rows and null ids stay row by row; an empty table gives an empty one.
+Columns other than ``keep`` are left out; ``keep`` may hold any name but the result's.
 """
 
 from __future__ import annotations

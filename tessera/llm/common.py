@@ -33,6 +33,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             base = "file://" + tempfile.mkdtemp(prefix="tessera-llm-", dir="/tmp")
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir()
@@ -56,7 +58,9 @@ def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
     name = "tessera_" + os.path.basename(path)
     (df.write.option("path", path).option("compression", "uncompressed")
      .bucketBy(buckets, column).saveAsTable(name))
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog forgets it; its files stay where they are
+    return table
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

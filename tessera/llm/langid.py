@@ -13,7 +13,9 @@ language's last row, calibrates: the temperature of the softmax, and the lowest
 
 Prediction reads whole texts in place, with the model (a few hundred KB)
 broadcast. Text that is null or has no letter, or any text if nothing could be
-learned, gives ``und`` with score 0. Labels, source and id are not features.
+learned, gives ``und`` with score 0. Labels, source and id are not features. Equal scores
+go to the first label in order. Repeated rows and null ids stay row by row, an empty table
+gives an empty one. ``keep`` may hold any name but the result's; other columns are left out.
 """
 
 from __future__ import annotations

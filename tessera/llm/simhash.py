@@ -15,6 +15,9 @@ size costs one row after a partial aggregate.
 
 A null or word-free text has fingerprint zero, which links like any other.
 Null ids are kept; they never become a component's id unless it has no other.
+Very long texts and words are hashed whole, repeated rows stay row by row, an empty table
+gives an empty one. ``keep`` may hold any name but the result's. Of rows that share the smallest id
+of a group, ``one_of_each`` keeps the one whose text has the smallest hash.
 """
 
 from __future__ import annotations

@@ -6,8 +6,10 @@ sequence's lowest-ranked pair in each round, and the surviving symbols are
 counted. A document's count is the sum over its pre-tokens. Scan, count and
 write happen in one task: nothing is shuffled, so no key can be hot.
 
-Null text counts as empty (0 bytes, 0 tokens); repeated rows and null ids are
-kept row by row; other columns are left out unless asked for with ``keep``.
+Null text counts as empty (0 bytes, 0 tokens); very long texts are counted whole;
+repeated rows and null ids are kept row by row; an empty table gives an empty one. Other
+columns are left out unless asked for with ``keep``, which may hold any name but the
+result's (``n_bytes``, ``n_tokens``, ``over_limit``).
 """
 
 from __future__ import annotations

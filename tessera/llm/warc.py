@@ -14,7 +14,10 @@ through Spark; the driver sees counts.
 
 Nulls: a null payload is empty; a null url or id leaves its header out. A record
 with an id shared by others keeps its own row. Copies of a payload are a
-partial aggregate on its digest; a hot digest is split by the adaptive skew join.
+partial aggregate on its digest; a hot digest is split by the adaptive skew join. Very
+long payloads are records of their own length, repeated rows are records of their own, an
+empty table gives no archive and an empty result. Columns other than the three named
+ones are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,6 +38,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import boundary, shared_dir
 
 ARCHIVE_BYTES = 32 << 20  # payload bytes after which a task starts its next archive
+ARCHIVES_PER_TASK = 16
 REVISIT_BYTES = 1000  # smaller payloads are always stored in full
 PIECE = 1 << 16  # compressed bytes inflated at once
 GZIP = 31  # zlib's window setting for gzip framing
@@ -220,7 +224,7 @@ def normalise(archives: DataFrame, folder: str, n_archives: int) -> DataFrame:
                 if rows:
                     yield _index_batch(rows)
 
-    return boundary(archives.select("archive").repartition(max(1, n_archives)).mapInArrow(run, INDEX))
+    return boundary(archives.select("archive").repartition(_tasks(archives, n_archives)).mapInArrow(run, INDEX))
 
 
 def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -229,13 +233,42 @@ def _index_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
+def payload_of(record: bytes) -> tuple[dict[str, str], bytes, int]:
+    """Headers, payload and payload size of an inflated record of any type. The payload of a record that
+    holds an HTTP message is its body, that of any other its whole block; a revisit
+    has none, and the size that its HTTP head states."""
+    end = record.index(b"\r\n\r\n")
+    headers = parse_headers(record[:end])
+    block = record[end + 4:end + 4 + int(headers["content-length"])]
+    if not headers.get("content-type", "").lower().startswith("application/http"):
+        return headers, block, len(block)
+    http, _, payload = block.partition(b"\r\n\r\n")
+    length = re.search(rb"(?im)^content-length: *(\d+)", http)
+    return headers, payload, int(length[1]) if length and headers.get("warc-type") != "request" else len(payload)
+
+
+def stated_digest(value: str | None) -> str | None:
+    """Bare hex of a SHA-1 in base 32 or hex; None for none, and for other algorithms."""
+    kind, _, digest = (value or "").strip().partition(":")
+    if kind.lower() != "sha1":
+        return None
+    return digest.lower() if len(digest) == 40 else base64.b32decode(digest.upper()).hex()
+
+
+def _tasks(df: DataFrame, n_archives: int) -> int:
+    """Tasks for ``n_archives``: all cores at work twice over, and at most ``ARCHIVES_PER_TASK`` each beyond that."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return max(1, min(n_archives, max(2 * cores, -(-n_archives // ARCHIVES_PER_TASK))))
+
+
 RECORDS = ("page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, "
            "archive string, offset long, length long")
 
 
 def read_records(index: DataFrame, n_archives: int) -> DataFrame:
-    """The records that the index rows point at, each inflated on its own and
-    checked against its digest."""
+    """The records that the index rows point at, of any type and writer, each inflated on its
+    own; a stated SHA-1 is checked, and where none is stated the payload's own is returned.
+    ``page_id`` and ``refers_to`` are null where the record does not name them."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = source = None
@@ -248,17 +281,14 @@ def read_records(index: DataFrame, n_archives: int) -> DataFrame:
                     fs, path = _open(archive)
                     name, source = archive, fs.open_input_file(path)
                 record = zlib.decompress(source.read_at(length, offset), GZIP)
-                end = record.index(b"\r\n\r\n")
-                headers = parse_headers(record[:end])
-                block = record[end + 4:end + 4 + int(headers["content-length"])]
-                http, payload = block.split(b"\r\n\r\n", 1)
-                digest = base64.b32decode(headers["warc-payload-digest"].removeprefix("sha1:")).hex()
-                size = int(re.search(rb"(?im)^content-length: *(\d+)", http)[1])
-                if headers["warc-type"] == "response":
-                    if len(payload) != size or hashlib.sha1(payload).hexdigest() != digest:
-                        raise ValueError(f"payload of {headers['warc-record-id']} in {archive} does not match its digest")
+                headers, payload, size = payload_of(record)
+                stated, digest = stated_digest(headers.get("warc-payload-digest")), hashlib.sha1(payload).hexdigest()
+                if headers.get("warc-type") == "revisit":
+                    digest = stated
+                elif stated not in (None, digest) or len(payload) != size:
+                    raise ValueError(f"payload of {headers.get('warc-record-id')} in {archive} does not match its digest")
                 page, target = headers.get("x-page-id"), headers.get("x-refers-to-page")
-                out.append((None if page is None else int(page), size, digest, headers["warc-type"],
+                out.append((None if page is None else int(page), size, digest, headers.get("warc-type"),
                             None if target is None else int(target), archive, offset, length))
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
             cols = list(zip(*out)) or [[] for _ in kinds]
@@ -267,7 +297,7 @@ def read_records(index: DataFrame, n_archives: int) -> DataFrame:
         if source is not None:
             source.close()
 
-    return (index.repartition(max(1, n_archives), "archive").sortWithinPartitions("archive", "offset")
+    return (index.repartition(_tasks(index, n_archives), "archive").sortWithinPartitions("archive", "offset")
             .select("archive", "offset", "length").mapInArrow(read, RECORDS))
 
 

@@ -206,3 +206,37 @@ def phrase_places(text, phrases):
     w = plain_terms(text)
     return sorted((label, i, i + len(p.split()) - 1) for p, label in phrases.items()
                   for i in range(len(w)) if w[i:i + len(p.split())] == p.split())
+
+
+def subword_shares(text, buckets):
+    """Shares of the hashed two- to four-byte runs of letters and word ends, one by one."""
+    data = (" " + text.lower() + " ").encode("utf-8", "surrogatepass")
+    letters = bytes(b if 97 <= b < 123 or b >= 128 else 32 for b in data)
+    spaced = b" " + b" ".join(letters.split()) + b" " if letters.split() else b" "
+    total = collections.Counter()
+    for n in (2, 3, 4):
+        for i in range(len(spaced) - n + 1):
+            gram = spaced[i:i + n]
+            if 32 in gram[1:-1]:
+                continue
+            code = gram[0]
+            for b in gram[1:]:
+                code = (code * 257 + b) % 2**32
+            total[((code ^ (n * 0x1F123BB5) % 2**32) * 2654435761 % 2**32) >> (33 - buckets.bit_length())] += 1
+    whole = sum(total.values())
+    return {k: v / whole for k, v in total.items()}
+
+
+def language(model, text, buckets):
+    """Label and probability of a text by plain sums over the model's numbers."""
+    if text is None or not any(map(str.isalpha, text)):
+        return "und", 0.0
+    mean = [0.0] * model.embedding.shape[1]
+    for k, share in subword_shares(text, buckets).items():
+        for d, e in enumerate(model.embedding[k].tolist()):
+            mean[d] += share * e
+    z = [(sum(m * w for m, w in zip(mean, col)) + b) / model.temperature
+         for col, b in zip(model.weights.T.tolist(), model.bias.tolist())]
+    e = [math.exp(v - max(z)) for v in z]
+    best = max(range(len(e)), key=lambda i: e[i])
+    return model.labels[best], e[best] / sum(e)

@@ -364,6 +364,39 @@ def test_warc_index_points_at_members(spark, tmp_path):
     assert listed == 40
 
 
+def test_warc_records_of_other_writers(spark, tmp_path):
+    """Types without payload digests, HTTP heads or page ids, and digests in hex or of other kinds."""
+    import hashlib
+
+    def record(kind, body, more=""):
+        head = f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:{kind}>\r\n{more}Content-Length: {len(body)}\r\n\r\n"
+        return head.encode() + body + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n"
+    hexed = f"WARC-Payload-Digest: sha1:{hashlib.sha1(b'page').hexdigest().upper()}\r\nContent-Type: application/http; msgtype=response\r\n"
+    parts = [record("warcinfo", b"software: x\r\n", "Content-Type: application/warc-fields\r\n"),
+             record("request", b"GET / HTTP/1.1\r\nContent-Length: 7\r\n\r\n", "Content-Type: application/http; msgtype=request\r\n"),
+             record("response", http + b"page", hexed), record("metadata", b"a: b\r\n\r\nc"),
+             record("resource", b"", "WARC-Payload-Digest: md5:00\r\n"), record("conversion", "é".encode())]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.warc.gz").write_bytes(gzip.compress(b"".join(parts)))
+    archives = spark.createDataFrame([(f"file://{tmp_path}/in/a.warc.gz",)], "archive string")
+    index = warc.normalise(archives, f"file://{tmp_path}/out", 1)
+    got = {r["record_type"]: r for r in warc.read_records(index, 1).collect()}
+    bodies = {"warcinfo": b"software: x\r\n", "request": b"", "response": b"page", "metadata": b"a: b\r\n\r\nc", "resource": b"",
+              "conversion": "é".encode()}
+    assert set(got) == set(bodies)
+    for kind, body in bodies.items():
+        r = got[kind]
+        assert (r["page_id"], r["refers_to"], r["payload_bytes"]) == (None, None, len(body))
+        assert r["payload_digest"] == hashlib.sha1(body).hexdigest()
+    (tmp_path / "in" / "b.warc.gz").write_bytes(gzip.compress(record("response", http + b"other", hexed)))
+    bad = warc.normalise(spark.createDataFrame([(f"file://{tmp_path}/in/b.warc.gz",)], "archive string"), f"file://{tmp_path}/out", 1)
+    with pytest.raises(Exception, match="does not match its digest"):
+        warc.read_records(bad, 1).collect()
+    assert [warc._tasks(bad, n) for n in (0, 1, 10**6)] == [1, 1, 62_500]
+
+
 def test_warc_stream_pieces():
     records = [warc.record_bytes(i, "u", random.randbytes(random.randint(0, 3000)), "00" * 20, None) for i in range(20)]
     for data in (gzip.compress(b"".join(records)), b"".join(map(gzip.compress, records))):
@@ -390,6 +423,36 @@ def test_langid(spark, odd):
     assert {r["lang_pred"] for r in langid.identify(none, None).collect()} == {"und"}
 
 
+def test_langid_against_plain_sums(spark, odd):
+    """Features and predictions of whole texts, counted and summed one by one."""
+    docs = read_table(spark, SF, "documents").select("doc_id", "text", "lang")
+    marked = docs.withColumn("train", ~langid.held_out(F.col("doc_id"))).withColumn("score", F.lit("z"))
+    model = langid.learn(marked)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in langid.identify(marked.limit(60), model).collect():
+        label, p = brute.language(model, texts[r["doc_id"]], langid.BUCKETS)
+        assert r["lang_pred"] == label and r["score"] == pytest.approx(p, abs=1e-4)
+    for r in langid.identify(odd, model, keep=("n",)).collect():
+        label, p = brute.language(model, ODD[r["n"]], langid.BUCKETS)
+        assert r["lang_pred"] == label or abs(r["score"] - p) < 1e-4
+        assert r["score"] == pytest.approx(p, abs=1e-4)
+
+
+def test_langid_training_lowers_the_loss_like_plain_descent():
+    """Without noise of order, a fit on separable shares ends where every label is right and sure."""
+    rng = np.random.default_rng(0)
+    x = np.zeros((300, langid.BUCKETS), np.float32)
+    y = rng.integers(0, 3, 300)
+    for i, label in enumerate(y):
+        at = rng.choice(200, 40) + 600 * label
+        np.add.at(x[i], at, 1 / 40)
+    model = langid.Model.fit(x, y, ["a", "b", "c"])
+    best, p = model.predict(x)
+    assert (best == y).all() and p.min() > 0.5 and model.accept <= p.max()
+    again = langid.Model.fit(x, y, ["a", "b", "c"])
+    assert np.array_equal(again.embedding, model.embedding) and again.temperature == model.temperature
+
+
 def test_langid_learns_every_language(spark):
     rows = [(i, " ".join(chr(97 + i % 26) + chr(97 + i // 26 % 26) * 3 for _ in range(9)), f"l{i % 230:03}", True)
             for i in range(3 * 230)]

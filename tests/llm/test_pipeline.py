@@ -1,6 +1,7 @@
 """The pipeline against brute-force stages, and odd rows in every stage."""
 
 import brute
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,7 +12,15 @@ from tessera.llm.common import boundary, read_table
 SF = "/root/testdata/sf0.001"
 
 
-def test_stages_against_brute_force(spark):
+def twin(docs, sql, folder):
+    """What DuckDB's SQL gives on the rows of a stage."""
+    docs.write.parquet(str(folder))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM read_parquet('{folder}/*.parquet')")
+    return con.sql(sql)
+
+
+def test_stages_against_brute_force(spark, tmp_path):
     """Rows of every stage from the rows of the one before."""
     docs, rows = read_table(spark, SF, "documents"), {}
     for name, stage in corpus_pipeline.STAGES:
@@ -19,7 +28,7 @@ def test_stages_against_brute_force(spark):
         out = boundary(stage(spark, docs, SF))
         rows[name] = got = {r["doc_id"]: r for r in out.collect()}
         if name == "quality rules":
-            kept = {r["doc_id"] for r in quality.quality(docs).filter("kept").collect()}
+            kept = {r[0] for r in twin(docs, quality.SQL, tmp_path / "q").filter("kept").fetchall()}
             assert set(got) == kept and all(got[i] == before[i] for i in got)
             for i in got:
                 n, *_, rep = brute.base_quality(before[i]["text"])
@@ -33,8 +42,7 @@ def test_stages_against_brute_force(spark):
             roots = brute.components([brute.fingerprint(before[i]["text"]) for i in ids])
             assert set(got) == {ids[r] for r in roots}
         elif name == "mixing":
-            drawn = mixing.mixed_documents(docs).filter("_sampled").select("doc_id").collect()
-            assert set(got) == {r["doc_id"] for r in drawn}
+            assert set(got) == {r[0] for r in twin(docs, mixing.SQL, tmp_path / "m").filter("sampled").fetchall()}
         else:
             library = brute.library_encoder()
             assert set(got) == set(before)
