@@ -45,13 +45,17 @@ def build_session(master: str | None = None, app: str = "tessera",
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """Return the shared checkpoint folder, registering it with the context.
 
-    ``spark.checkpoint.dir`` wins. Where it is unset (one machine, as in tests)
-    ``fallback`` or a new folder under ``/tmp`` stands in for it.
+    ``spark.checkpoint.dir`` wins, then ``fallback``. Where both are unset a new folder
+    under ``/tmp`` stands in on one machine (as in tests); on a cluster that is an error.
     """
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or fallback or tempfile.mkdtemp(prefix="tessera-", dir="/tmp"))
+        configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None) or fallback
+        if not configured:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            configured = tempfile.mkdtemp(prefix="tessera-", dir="/tmp")
+        sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
