@@ -253,22 +253,23 @@ def consolidate(expert: DataFrame, crowd: DataFrame, retrieval: DataFrame,
 
     ``crowd`` has (text, worker, label) with the pool text; ``retrieval`` has
     (pool_text, sentence_id); ``sentences`` the corpus."""
+    # Texts are compared by their SHA-256 digests: none is shuffled but in the last join, by id.
     # Votes are reduced to (pool text, worker, label, n), and the retrieval
     # table to (pool text, sentence text, smallest id, m ids): all m sentences
     # of one text end in the same canonical task, so one row with n * m votes
     # stands for the m rows of the many-to-many join.
-    crowd_counts = vote_counts(crowd, ("text", "worker", "label"))
-    texts = sentences.select(F.col("sentence_id").alias("task"), "text")
-    ids = retrieval.select("pool_text", F.col("sentence_id").alias("task")).join(texts, "task")
-    places = (ids.groupBy("pool_text", "text").agg(F.min("task").alias("task"), F.count(F.lit(1)).alias("m"))
-              .withColumnRenamed("text", "sentence_text"))
-    pool = places.select(tx.drop_carriage_returns("pool_text").alias("text"), "sentence_text", "task", "m")
-    found = text_join(crowd_counts.withColumn("text", tx.drop_carriage_returns("text")), pool)
-    mapped = found.select("task", "worker", "label", (F.col("n") * F.col("m")).alias("n"),
-                          F.col("sentence_text").alias("text"))
-    with_text = expert.withColumn("n", F.lit(1).cast("long")).join(texts, "task").unionByName(mapped)
-    canon = canonical_task(with_text)
-    keyed = (text_join(with_text, canon, "text")
+    def digest(text: str):
+        return F.unhex(F.sha2(F.col(text), 256))
+
+    voted = crowd.withColumn("text", tx.drop_carriage_returns("text")).select(digest("text").alias("pool"), "worker", "label")
+    texts = cut_lineage(sentences.select(F.col("sentence_id").alias("task"), digest("text").alias("text")))
+    shown = retrieval.withColumn("pool_text", tx.drop_carriage_returns("pool_text"))
+    ids = shown.select(digest("pool_text").alias("pool"), F.col("sentence_id").alias("task")).join(texts, "task")
+    places = ids.groupBy("pool", "text").agg(F.min("task").alias("task"), F.count(F.lit(1)).alias("m"))
+    mapped = vote_counts(voted, ("pool", "worker", "label")).join(places, "pool").select(
+        "task", "worker", "label", (F.col("n") * F.col("m")).alias("n"), "text")
+    with_text = cut_lineage(expert.withColumn("n", F.lit(1).cast("long")).join(texts, "task").unionByName(mapped))
+    keyed = (with_text.join(canonical_task(with_text), "text")
              .select(F.col("canonical_task").alias("task"), "worker", "label", "n"))
     agg = wawa(keyed).withColumnRenamed("label", "score")
     attrs = sentences.select(F.col("sentence_id").alias("task"), "text", "domain", "date", "paper_id")
