@@ -14,7 +14,8 @@ result's (``n_bytes``, ``n_tokens``, ``over_limit``).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import public_tokenizers
@@ -27,14 +28,15 @@ from pyspark.sql import types as T
 from tessera.llm.bytebpe import Vocabulary
 
 VOCABULARY = "byte_bpe_50k.json"
-SPECIAL = "<|endoftext|>"  # the file's one added token: recognised inside texts
 CACHE = 400_000  # pre-tokens a worker remembers; beyond it starts anew
 CHUNK = 1 << 20  # bytes of pre-tokens merged at once
 
 
 class Counter:
-    def __init__(self, vocabulary: Vocabulary, pattern: str, special: str, cache: int = CACHE):
-        self.vocabulary, self.special, self.cache = vocabulary, special, cache
+    def __init__(self, vocabulary: Vocabulary, pattern: str, special: Sequence[str], cache: int = CACHE):
+        """``special``: strings that are one token wherever they stand, the longest first."""
+        self.vocabulary, self.special, self.cache = vocabulary, [x for x in special if x], cache
+        self.parts = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))).split
         self.find, self.seen = regex.compile(pattern).findall, {}
 
     def learn(self, items: list[str]) -> None:
@@ -46,8 +48,8 @@ class Counter:
     def counts(self, texts: list[str]) -> list[int]:
         extra, cut = [0] * len(texts), []
         for i, t in enumerate(texts):
-            if self.special and self.special in t:
-                parts = t.split(self.special)
+            if any(x in t for x in self.special):
+                parts = self.parts(t)
                 extra[i] = len(parts) - 1
                 cut.append([w for p in parts for w in self.find(p)])
             else:
@@ -88,10 +90,14 @@ def _groups(texts: list[str], limit: int = 4 << 20) -> Iterator[tuple[int, int]]
 
 def token_counts(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = 512,
                  vocabulary: str | None = None, pattern: str = public_tokenizers.PATTERN,
-                 special: str = SPECIAL) -> DataFrame:
-    """``keep`` columns, n_bytes, n_tokens and over_limit of every row."""
+                 special: Sequence[str] | None = None) -> DataFrame:
+    """``keep`` columns, n_bytes, n_tokens and over_limit of every row. ``special``
+    strings are the file's added tokens, unless others are given."""
     with open(vocabulary or public_tokenizers.path(VOCABULARY), "rb") as f:
-        data = df.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file
+        content = f.read()
+    if special is None:
+        special = [t["content"] for t in json.loads(content).get("added_tokens", [])]
+    data = df.sparkSession.sparkContext.broadcast(content)  # one vocabulary file
     picked = df.select(*keep, F.col(text).alias("__text"))
     schema = T.StructType([*picked.schema.fields[:-1], T.StructField("n_bytes", T.LongType()),
                            T.StructField("n_tokens", T.LongType()), T.StructField("over_limit", T.BooleanType())])
