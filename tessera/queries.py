@@ -752,7 +752,7 @@ def csv_articles_in_splits(spark, sf):
     d = tb.table(spark, sf, "documents").select("doc_id", "source", "text")
     (d.coalesce(2).write.option("header", True).option("quote", '"').option("escape", '"')
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
-    return files.read_csv_splits(spark, path, "doc_id long, source string, text string", split_bytes=1 << 18)
+    return files.read_csv_splits(spark, path, "doc_id long, source string, text string", split_bytes=1 << 20)
 
 
 @register("stored_pages")
