@@ -43,7 +43,8 @@ def main() -> None:
     spark = build_session(f"local[{cpus}]", app="tessera-bench", shuffle_partitions=partitions,
                           # a folder all executors share; needed only where spark.checkpoint.dir is unset
                           fallback_checkpoint_dir=os.environ.get("BENCH_CHECKPOINT_DIR"),
-                          extra={"spark.driver.memory": "16g"})
+                          # the text tables are one row group each at this size: dealt over the cores
+                          extra={"spark.driver.memory": "16g", "tessera.scan.partitions": str(cpus)})
     # warm-up: JVM start, parquet footers
     Q["scan_articles"](spark, sf_dir).write.format("noop").mode("overwrite").save()
 

@@ -333,14 +333,14 @@ def tfidf_weights(spark, sf):
 
 @register("vocabulary_ids")
 def vocabulary_ids(spark, sf):
-    return fe.vocabulary(fe.term_counts(tb.tokens(spark, sf)))
+    return fe.token_vocabulary(tb.tokens(spark, sf))
 
 
 def encoded(spark, sf):
     """Every document's term ids (token-free documents have none)."""
     toks = tb.tokens(spark, sf)
     # a boundary: batches need the lengths first and the ids at the end
-    return cut_lineage(fe.encode(toks, fe.vocabulary(fe.term_counts(toks))))
+    return cut_lineage(fe.encode(toks, fe.token_vocabulary(toks)))
 
 
 @register("padded_batches")

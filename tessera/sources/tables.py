@@ -19,6 +19,10 @@ from tessera.session import cut_lineage
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
+# Session setting, unset by default: partitions of a text table's rows.
+SCAN_PARTITIONS = "tessera.scan.partitions"
+TEXT_TABLES = ("documents", "pages")
+
 # Fixture parameters (vote overlap, event type -> 0-5 score,
 # start date of the derived article dates).
 VOTE_OVERLAP = 3
@@ -29,8 +33,12 @@ PAIR_CLASS_NAMES = {0: "contradiction", 1: "neutral", 2: "entailment"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table, partitioned as the scan splits it."""
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """A driver table, partitioned as the scan splits it. A caller whose text files hold fewer row
+    groups than the cluster has cores sets ``SCAN_PARTITIONS``: the rows of text tables are then
+    dealt over that many partitions, once, after column pruning and pushed filters."""
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    wanted = spark.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted and name in TEXT_TABLES else df
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:

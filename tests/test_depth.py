@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.operators import corpus
 from tessera.operators import datasets as ds
+from tessera.operators import features as fe
 from tessera.operators import labelling as lb
 from tessera.operators import votes as vt
+from tessera.sources import tables as tb
 
 
 # ---------------------------------------------------------------- J3
@@ -81,6 +83,35 @@ def test_batches_of_any_lengths(spark):
             assert (got.batch_id, got.width, got.padded) == (i // 8, width, want)
 
 
+def test_vocabulary_from_token_arrays(spark):
+    """Distinct terms within the row give the ids that (document, term) counts give; empty and null
+    token arrays and repeated rows of tokens count as documents of their own."""
+    words = ["a", "b", "c", "d", "é", "zz"]
+    rows = [(i, random.Random(i).choices(words[: 1 + i % 6], k=i % 7)) for i in range(60)] + [(60, []), (61, None), (62, ["b", "b"])]
+    toks = spark.createDataFrame(rows, "doc_id long, tokens array<string>").repartition(3)
+    want = {r.term: r.id for r in fe.vocabulary(fe.term_counts(toks)).collect()}
+    df = collections.Counter(t for _, x in rows for t in set(x or []))
+    assert want == {t: fe.RESERVED_IDS + k for k, t in enumerate(sorted(df, key=lambda t: (-df[t], t.encode())))}
+    assert {r.term: r.id for r in fe.token_vocabulary(toks).collect()} == want
+    assert fe.token_vocabulary(toks.limit(0)).count() == 0
+
+
+# ---------------------------------------------------------------- scan option
+def test_scan_partitions_deal_text_tables(spark, tmp_path):
+    """The option changes how rows lie, never which; other tables are left as they are scanned."""
+    for name in ("documents", "events"):
+        spark.range(500).withColumnRenamed("id", "doc_id").coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    spark.conf.set(tb.SCAN_PARTITIONS, "6")
+    try:
+        sizes = [n for (n,) in tb.table(spark, str(tmp_path), "documents").groupBy(F.spark_partition_id()).count().select("count").collect()]
+        assert len(sizes) == 6 and sum(sizes) == 500 and max(sizes) < 2 * min(sizes)
+        assert tb.table(spark, str(tmp_path), "documents").distinct().count() == 500
+        assert tb.table(spark, str(tmp_path), "events").select(F.spark_partition_id()).distinct().count() == 1
+    finally:
+        spark.conf.unset(tb.SCAN_PARTITIONS)
+    assert tb.table(spark, str(tmp_path), "documents").select(F.spark_partition_id()).distinct().count() == 1
+
+
 # ---------------------------------------------------------------- S8
 PAGE = """<!DOCTYPE html><html><head><title>The title</title><style>p{x:1}</style><script>var t="<p>no text at all here</p>";</script></head>
 <body><!-- <p>a comment of many words that nobody should ever read in the text of any page</p> -->
