@@ -96,6 +96,22 @@ def test_vocabulary_from_token_arrays(spark):
     assert fe.token_vocabulary(toks.limit(0)).count() == 0
 
 
+def test_encoding_in_blocks_of_any_size(spark):
+    """Ids in token order for every row: repeated, null and empty rows too, one text over many blocks' size."""
+    rnd = random.Random(2)
+    rows = [(i % 50, [rnd.choice("abcdefgh") for _ in range(i % 12)]) for i in range(120)]
+    rows += [(200, None), (201, []), (202, ["x"] * 5), (203, [rnd.choice("abxy") for _ in range(500)]), (None, ["a", "x", "b"]), (None, ["a", "x", "b"])]
+    toks = spark.createDataFrame(rows, "doc_id long, tokens array<string>").repartition(3)
+    vocab = spark.createDataFrame([(t, 4 + i) for i, t in enumerate("abcdefg")], "term string, id long")
+    ids = {t: 4 + i for i, t in enumerate("abcdefg")}
+    want = sorted((d is None, d or 0, [ids[t] for t in x or [] if t in ids]) for d, x in rows)
+    for size in (1, 16, 1 << 18):
+        got = fe.encode(toks, vocab, block_tokens=size).collect()
+        assert sorted((r.doc_id is None, r.doc_id or 0, r.ids) for r in got) == want
+    assert fe.encode(toks.limit(0), vocab).count() == 0
+    assert {tuple(r.ids) for r in fe.encode(toks, vocab.limit(0)).collect()} == {()}
+
+
 # ---------------------------------------------------------------- scan option
 def test_scan_partitions_deal_text_tables(spark, tmp_path):
     """The option changes how rows lie, never which; other tables are left as they are scanned."""
