@@ -14,7 +14,7 @@ lookups, J8 vote-label join, M14 vote consolidation.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as tx
@@ -245,6 +245,16 @@ def expert_votes(scores: DataFrame, worker: int = EXPERT_WORKER) -> DataFrame:
                          tx.recode("score", tx.COLLAPSE_SCALE).cast("int").alias("label"))
 
 
+def text_digest(text) -> Column:
+    """SHA-256 of a text in 32 bytes: what stands for it where texts are compared, not shown."""
+    return F.unhex(F.sha2(F.col(text) if isinstance(text, str) else text, 256))
+
+
+def pool_digest(text: str) -> Column:
+    """Digest of a pool text as J3 compares it: without carriage returns."""
+    return text_digest(tx.drop_carriage_returns(text))
+
+
 def consolidate(expert: DataFrame, crowd: DataFrame, retrieval: DataFrame,
                 sentences: DataFrame) -> DataFrame:
     """Union expert and crowd votes, map crowd texts to sentence ids,
@@ -253,20 +263,24 @@ def consolidate(expert: DataFrame, crowd: DataFrame, retrieval: DataFrame,
 
     ``crowd`` has (text, worker, label) with the pool text; ``retrieval`` has
     (pool_text, sentence_id); ``sentences`` the corpus."""
-    # Texts are compared by their SHA-256 digests: none is shuffled but in the last join, by id.
+    return consolidate_digests(expert, crowd.select(pool_digest("text").alias("pool"), "worker", "label"),
+                               retrieval.select(pool_digest("pool_text").alias("pool"), "sentence_id"), sentences)
+
+
+def consolidate_digests(expert: DataFrame, crowd: DataFrame, retrieval: DataFrame,
+                        sentences: DataFrame) -> DataFrame:
+    """``consolidate`` of a crowd ``(pool, worker, label)`` and a retrieval table ``(pool, sentence_id)``
+    that hold the ``pool_digest`` of their texts: a pool with context is about seven times its
+    sentences, and its digests are all that is written or shuffled of it."""
+    # No text is shuffled but in the last join, by id.
     # Votes are reduced to (pool text, worker, label, n), and the retrieval
     # table to (pool text, sentence text, smallest id, m ids): all m sentences
     # of one text end in the same canonical task, so one row with n * m votes
     # stands for the m rows of the many-to-many join.
-    def digest(text: str):
-        return F.unhex(F.sha2(F.col(text), 256))
-
-    voted = crowd.withColumn("text", tx.drop_carriage_returns("text")).select(digest("text").alias("pool"), "worker", "label")
-    texts = cut_lineage(sentences.select(F.col("sentence_id").alias("task"), digest("text").alias("text")))
-    shown = retrieval.withColumn("pool_text", tx.drop_carriage_returns("pool_text"))
-    ids = shown.select(digest("pool_text").alias("pool"), F.col("sentence_id").alias("task")).join(texts, "task")
+    texts = cut_lineage(sentences.select(F.col("sentence_id").alias("task"), text_digest("text").alias("text")))
+    ids = retrieval.select("pool", F.col("sentence_id").alias("task")).join(texts, "task")
     places = ids.groupBy("pool", "text").agg(F.min("task").alias("task"), F.count(F.lit(1)).alias("m"))
-    mapped = vote_counts(voted, ("pool", "worker", "label")).join(places, "pool").select(
+    mapped = vote_counts(crowd, ("pool", "worker", "label")).join(places, "pool").select(
         "task", "worker", "label", (F.col("n") * F.col("m")).alias("n"), "text")
     with_text = cut_lineage(expert.withColumn("n", F.lit(1).cast("long")).join(texts, "task").unionByName(mapped))
     keyed = (with_text.join(canonical_task(with_text), "text")

@@ -120,11 +120,11 @@ def labelled(spark, sf):
     """M14 on the fixtures: expert = first rater's raw scores, crowd = votes
     with pool texts, ids retrieved through the pool table."""
     cur = tb.corpus_sentences(spark, sf)
-    pool = cut_lineage(pools.pool_text(cur))
-    retrieval = pool.select("pool_text", "sentence_id")
-    c = crowd(spark, sf, pool).select("text", "worker", "label")
+    pool = cut_lineage(pools.pool_text(cur).select("sentence_id", vt.pool_digest("pool_text").alias("pool")))
+    crowd = (tb.votes(spark, sf).select("task", "worker", "label")
+             .join(pool.withColumnRenamed("sentence_id", "task"), "task").select("pool", "worker", "label"))
     expert = vt.expert_votes(tb.raters(spark, sf).select("sentence_id", "score"))
-    return cut_lineage(vt.consolidate(expert, c, retrieval, cur))
+    return cut_lineage(vt.consolidate_digests(expert, crowd, pool, cur))
 
 
 @register("votes_consolidate")
