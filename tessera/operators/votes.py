@@ -272,19 +272,23 @@ def consolidate_digests(expert: DataFrame, crowd: DataFrame, retrieval: DataFram
     """``consolidate`` of a crowd ``(pool, worker, label)`` and a retrieval table ``(pool, sentence_id)``
     that hold the ``pool_digest`` of their texts: a pool with context is about seven times its
     sentences, and its digests are all that is written or shuffled of it."""
-    # No text is shuffled but in the last join, by id.
+    # Votes are few beside the corpus: the pool rows that were voted on and the sentences that they
+    # or an expert name are picked by semi joins (sized by Spark) and written, and all else reads those.
     # Votes are reduced to (pool text, worker, label, n), and the retrieval
     # table to (pool text, sentence text, smallest id, m ids): all m sentences
     # of one text end in the same canonical task, so one row with n * m votes
     # stands for the m rows of the many-to-many join.
-    texts = cut_lineage(sentences.select(F.col("sentence_id").alias("task"), text_digest("text").alias("text")))
-    ids = retrieval.select("pool", F.col("sentence_id").alias("task")).join(texts, "task")
-    places = ids.groupBy("pool", "text").agg(F.min("task").alias("task"), F.count(F.lit(1)).alias("m"))
-    mapped = vote_counts(crowd, ("pool", "worker", "label")).join(places, "pool").select(
+    voted = cut_lineage(vote_counts(crowd, ("pool", "worker", "label")))
+    ids = cut_lineage(retrieval.join(voted, "pool", "left_semi").select("pool", F.col("sentence_id").alias("task")))
+    wanted = ids.select("task").unionByName(expert.select("task"))
+    rated = cut_lineage(sentences.select(F.col("sentence_id").alias("task"), "text", "domain", "date", "paper_id")
+                        .join(wanted, "task", "left_semi").withColumn("digest", text_digest("text")))
+    texts = rated.select("task", F.col("digest").alias("text"))
+    places = ids.join(texts, "task").groupBy("pool", "text").agg(F.min("task").alias("task"), F.count(F.lit(1)).alias("m"))
+    mapped = voted.join(places, "pool").select(
         "task", "worker", "label", (F.col("n") * F.col("m")).alias("n"), "text")
     with_text = cut_lineage(expert.withColumn("n", F.lit(1).cast("long")).join(texts, "task").unionByName(mapped))
     keyed = (with_text.join(canonical_task(with_text), "text")
              .select(F.col("canonical_task").alias("task"), "worker", "label", "n"))
     agg = wawa(keyed).withColumnRenamed("label", "score")
-    attrs = sentences.select(F.col("sentence_id").alias("task"), "text", "domain", "date", "paper_id")
-    return agg.join(attrs, "task", "left")
+    return agg.join(rated.drop("digest"), "task", "left")
