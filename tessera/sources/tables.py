@@ -151,10 +151,13 @@ def annotated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = (v.groupBy("task", "name").agg(F.count(F.lit(1)).alias("n"))
            .groupBy("task").agg(F.max(F.struct("n", "name")).alias("b"))
            .select("task", F.when(F.col("b.n") >= 2, F.col("b.name")).otherwise(F.lit("-")).alias("gold_label")))
-    s = sentences(spark, sf_dir).select("sentence_id", "text")
+    pairs = cut_lineage(lab.join(top, "task"))
+    # of the corpus, only the sentences of a pair are joined
+    wanted = pairs.select(F.col("task").alias("sentence_id")).unionByName(pairs.select((F.col("task") + 1).alias("sentence_id")))
+    s = cut_lineage(sentences(spark, sf_dir).select("sentence_id", "text").join(wanted, "sentence_id", "left_semi"))
     s1 = s.select(F.col("sentence_id").alias("task"), F.col("text").alias("sentence1"))
     s2 = s.select((F.col("sentence_id") - 1).alias("task"), F.col("text").alias("sentence2"))
-    return (lab.join(top, "task").join(s1, "task", "left").join(s2, "task", "left")
+    return (pairs.join(s1, "task", "left").join(s2, "task", "left")
             .withColumnRenamed("task", "pair_id"))
 
 
