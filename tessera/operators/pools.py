@@ -40,11 +40,13 @@ def pool_text(sent: DataFrame, before: int = POOL_BEFORE, after: int = POOL_AFTE
 def article_pools(sents: str, form: Callable[[Column], Column] = lambda text: text,
                   before: int = POOL_BEFORE, after: int = POOL_AFTER) -> Column:
     """W4 within a row that holds a whole article as an array: ``form`` of every sentence's pool text."""
-    def pool(sentence, i):
-        prev = F.array_join(F.slice(sents, F.greatest(i - before, F.lit(0)) + 1, F.least(i, F.lit(before))), " ")
-        return tx.join_context(prev, sentence, F.array_join(F.slice(sents, i + 2, F.lit(after)), " "), TARGET_MARK)
+    return F.transform(F.transform(sents, lambda sentence, i: pool_at(sents, i, before, after)), form)
 
-    return F.transform(F.transform(sents, pool), form)
+
+def pool_at(sents: str, i: Column, before: int = POOL_BEFORE, after: int = POOL_AFTER) -> Column:
+    """The pool text of sentence ``i`` of an article's array."""
+    prev = F.array_join(F.slice(sents, F.greatest(i - before, F.lit(0)) + 1, F.least(i, F.lit(before))), " ")
+    return tx.join_context(prev, F.get(sents, i), F.array_join(F.slice(sents, i + 2, F.lit(after)), " "), TARGET_MARK)
 
 
 def near_sentences(sent: DataFrame, tasks: DataFrame, before: int = POOL_BEFORE, after: int = POOL_AFTER) -> DataFrame:

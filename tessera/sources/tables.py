@@ -75,13 +75,17 @@ def number_sentences(art: DataFrame, order, sents_col: str = "sents",
             .withColumnRenamed("_sent", "text_sentence"))
 
 
+def article_offsets(art: DataFrame, order, sents_col: str = "sents") -> DataFrame:
+    """Articles without their sentence array, with its size ``_n`` and the number ``_first`` of its
+    first sentence. Only this narrow table is written."""
+    counted = art.withColumn("_n", F.size(sents_col)).drop(sents_col)
+    return prefix.running_total(cut_lineage(counted), order, "_n", "_first", inclusive=False)
+
+
 def number_articles(art: DataFrame, order, sents_col: str = "sents", key: str = "paper_id", carried=None) -> DataFrame:
-    """Articles with their sentence array, its size ``_n`` and the number ``_first`` of its first
-    sentence. Only the narrow table with the sizes is written; ``art`` is read twice. With
-    ``carried``, a column made of the array, that goes through the join and the array does not."""
-    counted = art.withColumn("_n", F.size(sents_col))
-    offsets = prefix.running_total(cut_lineage(counted.drop(sents_col)), order, "_n", "_first", inclusive=False)
-    return offsets.join(counted.select(key, sents_col if carried is None else carried), key)
+    """``article_offsets`` with the sentence array; ``art`` is read twice. With ``carried``, a column
+    made of the array, that goes through the join and the array does not."""
+    return article_offsets(art, order, sents_col).join(art.select(key, sents_col if carried is None else carried), key)
 
 
 def split_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
