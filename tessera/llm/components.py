@@ -7,6 +7,17 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import boundary
 
+FILE_ROWS = 1 << 20  # links of one file, where there are more than a file for each core holds
+
+
+def _stored(edges: DataFrame, rows: int) -> DataFrame:
+    """``boundary`` in files fit for ``rows``: a shuffle has its partitions however few the
+    links are, and every file costs a commit and, on a local file system, forked processes.
+    The links are dealt out again, as ``coalesce`` would hold the memory of all the
+    partitions of a task at once."""
+    files = max(edges.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS))
+    return boundary(edges.repartition(files))
+
 
 def _state(edges: DataFrame) -> tuple:
     h = F.xxhash64("a", "b")
@@ -20,10 +31,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     are never collected, a node's minimum is a partial aggregate joined back
     (a hot node's links are split by the adaptive skew join). Rounds grow with
     the logarithm of the longest path, and each is written to the shared
-    folder. Nothing but two checksums reaches the driver.
+    folder. Nothing but counts and two checksums reaches the driver. ``links``
+    is read twice, once to count it.
     """
-    edges = boundary(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
-                     .filter("a != b").distinct())
+    edges = _stored(links.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b"))
+                    .filter("a != b").distinct(), links.count())
     before = _state(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -35,7 +47,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(low, "a")
         small = moved.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        edges = boundary(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        edges = _stored(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), before[0])
         after = _state(edges)
         if after == before:
             break

@@ -210,7 +210,7 @@ OUT = "a long, b long, bit long, rest long"
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Links ``(a, b)`` between distinct fingerprints ``fp`` (signed long) whose
-    connected components are those of all pairs within ``max_bits``."""
+    connected components are those of all pairs within ``max_bits``; they are stored."""
     met = variants(fps, max_bits).repartition("bit", "rest").sortWithinPartitions("bit", "rest", "fp")
     first = boundary(met.mapInArrow(_compare(max_bits, bucket_rows, ["bit", "rest"]), OUT))
     found = first.filter(F.col("bit").isNull()).select("a", "b")
@@ -224,8 +224,8 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, bucket_rows: int = BUCKET_RO
              .select("bit", "rest", "fp", "_own", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_other"))
              .select("bit", "rest", F.least("_own", "_other").alias("p"), F.greatest("_own", "_other").alias("q"), "fp"))
     keys = ["bit", "rest", "p", "q"]
-    again = (dealt.repartition(*keys).sortWithinPartitions(*keys, "fp")
-             .mapInArrow(_compare(max_bits, None, keys), OUT))
+    again = boundary(dealt.repartition(*keys).sortWithinPartitions(*keys, "fp")
+                     .mapInArrow(_compare(max_bits, None, keys), OUT))
     return found.unionByName(again.select("a", "b"))
 
 

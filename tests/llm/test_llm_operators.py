@@ -94,6 +94,22 @@ def test_simhash_links_of_dense_groups(spark, bucket_rows):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
 
 
+def test_components_in_few_files(spark):
+    cores = spark.sparkContext.defaultParallelism
+    conf = {"spark.sql.shuffle.partitions": str(8 * cores), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    links = boundary(spark.range(3000).selectExpr("id AS a", "id - id % 30 AS b"))
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        found = components(links)
+        assert {r["node"]: r["root"] for r in found.collect()} == {i: i - i % 30 for i in range(3000)}
+        assert len(found.inputFiles()) <= cores
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
 def test_simhash_odd_rows(spark, odd):
     df = spark.createDataFrame([(1, "a b c d e"), (2, "A b\tc d e"), (None, "a b c d e"), (None, None), (None, ""),
                                 (5, "x"), (5, "x")], "doc_id long, text string")
