@@ -41,13 +41,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def boundary(df: DataFrame, compression: str = "zstd") -> DataFrame:
+def boundary(df: DataFrame, compression: str = "zstd", group_rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: later
     steps start from a scan with column pruning, and a lost executor costs a
     re-read instead of a recomputation. The files belong to the session's
-    checkpoint folder and go when its owner clears it."""
+    checkpoint folder and go when its owner clears it.
+
+    ``group_rows`` is for rows of megabytes: Parquet's writer looks at the size of a row
+    group after 100 rows at the earliest, and its reader takes up to 4,096 rows of a group at once,
+    so groups of so many rows are what tasks hold on both sides."""
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    df.write.option("compression", compression).parquet(path)
+    out = df.write.option("compression", compression)
+    if group_rows:
+        out = out.option("parquet.block.row.count.limit", group_rows)
+    out.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -70,7 +70,8 @@ def _shard(ids: list[int | None], texts: list[bytes]) -> pa.RecordBatch:
 
 def index(df: DataFrame, id_col: str = "doc_id", text: str = "text", shard_bytes: int = SHARD_BYTES,
           shard_docs: int = SHARD_DOCS) -> DataFrame:
-    """One row per shard, written to the shared folder."""
+    """One row per shard, written to the shared folder in row groups of their own: a task holds one at a time,
+    however many shards its file has."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, texts, size = [], [], 0
@@ -85,7 +86,7 @@ def index(df: DataFrame, id_col: str = "doc_id", text: str = "text", shard_bytes
         if ids:
             yield _shard(ids, texts)
 
-    return boundary(df.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(build, SHARD))
+    return boundary(df.select(F.col(id_col).cast("long"), F.col(text)).mapInArrow(build, SHARD), group_rows=1)
 
 
 class RangeMaxima:

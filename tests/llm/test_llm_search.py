@@ -5,6 +5,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -50,6 +51,16 @@ def test_search_odd_rows(spark):
     assert lexical.search(docs.filter("doc_id in (3, 4, 7)"), asked).collect() == []
 
 
+def test_a_task_holds_one_shard_at_a_time(spark):
+    """Shards of megabytes that share a file lie in row groups of their own."""
+    docs = spark.createDataFrame([(i, f"a b c{i}") for i in range(12)], "doc_id long, text string").coalesce(1)
+    shards = lexical.index(docs, shard_docs=2)
+    assert shards.count() == 6
+    groups = [m.row_group(i).num_rows for f in shards.inputFiles() for m in [pq.ParquetFile(f.removeprefix("file://")).metadata]
+              for i in range(m.num_row_groups)]
+    assert groups == [1] * 6
+
+
 def test_range_maxima_and_bounds():
     rng = np.random.default_rng(4)
     values = rng.integers(0, 50, 300)
